@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from webgrain.llm import quality
+from webgrain.llm import mixing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality.op2}
+    return {"op2_quality_rules": quality.op2, "op4_mixing": mixing.op4, "op10_secret_scan": secrets.op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.ORACLE_OP4}
