@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webgrain.staging import fresh_path, shared_dir, staged  # noqa: F401  (used by the operators)
+
 #: Characters between words: space and U+0009..U+000D.
 WS_CLASS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -29,36 +29,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WS_CLASS), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="webgrain-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends in a durable table."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A small frame cut from its lineage by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def filesystem(uri: str):
     """pyarrow file system and path of a shared URI; works on executors."""
     from pyarrow import fs
@@ -135,3 +105,12 @@ def hashed_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple
     part = (data[at].astype(np.uint64) + np.uint64(1)) * _COEF[pos]
     begin = np.flatnonzero(np.concatenate(([True], word_of[1:] != word_of[:-1])))
     return mix64(np.add.reduceat(part, begin)), np.searchsorted(starts, off), starts
+
+
+def row_chunks(off: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about limit bytes each at most (a longer row is a range of its own)."""
+    a, n = 0, len(off) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
+        yield a, min(b, n)
+        a = min(b, n)

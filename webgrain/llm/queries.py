@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from webgrain.llm import mixing, packing, quality, secrets, token_files
+from webgrain.llm import minhash, mixing, packing, quality, secrets, token_files
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality.op2, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op10_secret_scan": secrets.op10}
+    return {"op2_quality_rules": quality.op2, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op7_minhash": minhash.op7, "op10_secret_scan": secrets.op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_OP4}
+    return {"op4_mixing": mixing.ORACLE_OP4, "op7_minhash": minhash.ORACLE_OP7}
