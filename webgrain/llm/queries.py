@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from webgrain.llm import minhash, mixing, packing, quality, secrets, token_files
+from webgrain.llm import minhash, mixing, packing, quality, secrets, substrings, token_files
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality.op2, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op7_minhash": minhash.op7, "op10_secret_scan": secrets.op10}
+    return {"op2_quality_rules": quality.op2, "op3_substring_dedup": substrings.op3, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op7_minhash": minhash.op7, "op10_secret_scan": secrets.op10}
 
 
 def oracle_sql() -> dict[str, str]:
