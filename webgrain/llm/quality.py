@@ -17,6 +17,8 @@ WINDOW = 8
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
 BUCKETS = 1 << 15
 ALPHA = 0.5
+#: Trusted ids up to which they are broadcast (about 30 MB); beyond, texts are joined with them by shuffling.
+BROADCAST_TRUSTED = 1_000_000
 #: A document is kept when its mean log ratio per n-gram (nats) is at least this.
 THRESHOLD = -0.1
 
@@ -96,7 +98,8 @@ def quality_rules(
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "n_grams"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
     marks = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__t", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id"), "left")
+    few = marks.count() <= BROADCAST_TRUSTED
+    flagged = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id"), "left")
     weights = bucket_ratios(flagged, F.coalesce("__t", F.lit(False)), buckets, alpha)
     scored = docs.withColumn("__w", weights.scalar()).withColumn(  # a scalar subquery: one row, bounded by the number of buckets
         "__b",
