@@ -43,7 +43,11 @@ def repeated_words(words: Column) -> Column:
         )
         return let(starts, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b))
 
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    def hashes(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        return F.when(n >= WINDOW, each).otherwise(F.array().cast("array<bigint>"))
+
+    windows = let(F.transform(words, lambda w: F.xxhash64(w)), hashes)
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
