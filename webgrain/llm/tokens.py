@@ -8,6 +8,30 @@ from array import array
 CACHE_WORDS = 700_000
 
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The character that byte-level vocabularies write for each byte: visible Latin-1 ones as they are, others from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
+def plain_words(tokenizer) -> bool:
+    """Whether a run of Latin letters and the ASCII punctuation after it are lower-cased and then given to the model
+    apart, as bytes: so the library's model can be asked at once, without its normaliser and splitter."""
+    probe = ["hello,", "\u00c9t\u00e9!?", "stra\u00dfe"]
+    try:
+        for w in probe:
+            low = w.lower()
+            stem = low.rstrip(PUNCTUATION)
+            ids = [t.id for t in tokenizer.model.tokenize("".join(map(BYTE_CHARS.__getitem__, stem.encode())))]
+            if stem != low:
+                ids += tokenizer.encode(low[len(stem) :], add_special_tokens=False).ids
+            if ids != tokenizer.encode(w, add_special_tokens=False).ids:
+                return False
+    except Exception:  # noqa: BLE001  another kind of model
+        return False
+    return True
+
+
 class WordEncoder(dict):
     """Ids of texts as packed little-endian bytes. The tokenizer drops white space and works inside words alone, so the
     ids of a text are those of its words (split at ASCII white space) in order; each word is encoded by the library."""
@@ -20,8 +44,17 @@ class WordEncoder(dict):
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
 
+        self.model, self.plain = self.tokenizer.model, plain_words(self.tokenizer)
+
     def __missing__(self, word: bytes) -> bytes:
-        ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        low = word.decode().lower()
+        stem = low.rstrip(PUNCTUATION)
+        if self.plain and stem.isalpha() and max(stem) < "\u0250":
+            ids = array(self.code, [t.id for t in self.model.tokenize("".join(map(BYTE_CHARS.__getitem__, stem.encode())))]).tobytes()
+            if len(stem) < len(low):
+                ids += self[low[len(stem) :].encode()]
+        else:
+            ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
