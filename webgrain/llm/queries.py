@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from webgrain.llm import lines, minhash, mixing, packing, quality, secrets, substrings, token_files
+from webgrain.llm import lines, minhash, mixing, packing, quality, search, secrets, substrings, token_files
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": lines.op1, "op2_quality_rules": quality.op2, "op3_substring_dedup": substrings.op3, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op7_minhash": minhash.op7, "op10_secret_scan": secrets.op10}
+    return {"op1_line_dedup": lines.op1, "op2_quality_rules": quality.op2, "op3_substring_dedup": substrings.op3, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op7_minhash": minhash.op7, "op9_top_k": search.op9, "op10_secret_scan": secrets.op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_OP4, "op7_minhash": minhash.ORACLE_OP7}
+    return {"op4_mixing": mixing.ORACLE_OP4, "op7_minhash": minhash.ORACLE_OP7, "op9_top_k": search.ORACLE_OP9}
