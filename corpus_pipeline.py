@@ -1,22 +1,59 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+A stage takes (spark, docs, sf_dir), works on all rows of docs, and returns the columns of documents, but for the last one,
+which returns the pieces of packed sequences. run() applies all stages to the table of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webgrain.llm import quality
+from webgrain.llm import lines, minhash, mixing, packing, quality
 from webgrain.llm.common import staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; trusted are those labelled good and not toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_rules(docs, quality.trusted_ids(labels)).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the lines that repeat earlier ones; n_chars follows, a document left without a word goes."""
+    out = lines.dedup_lines(docs)
+    changed = F.col("n_removed_lines") > 0
+    out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least id (and one row of it)."""
+    groups = minhash.near_duplicates(docs)
+    gone = groups.where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of sources, as many rows as there are documents in expectation; copies have equal ids."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-#: SQL can't express the hashed scores and block layouts; the stages are tested against brute force.
+#: SQL can't express the 64-bit hashes of the quality score, code-point edit distances and token ids; the stages are tested
+#: against brute force instead.
 ORACLE_SQL = None
 
 
