@@ -25,6 +25,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature positions that are compared at a time, and the chance of missing a link that pruning may add at each step.
 BATCH, MISS = 32, 1e-6
+#: Classes that hold a shingle up to which it is rare.
+RARE = 8
 #: Classes up to which their row keys are broadcast to fetch their texts; beyond, they are joined by shuffling.
 BROADCAST_CLASSES = 300_000
 
@@ -176,16 +178,55 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     sizes = classes.select(F.col("node").alias("least"), F.col("n").alias("na"))
     star = members.where("least < node").join(sizes, "least").select(F.col("least").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb")).where(sized).select("a", "b").distinct()
     star_links = links(staged(star, "minhash-star"), "star")
-    found = staged(connected_components(star_links), "minhash-found")
-    # buckets whose members lie in several components yet
-    labelled = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_ = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1 AND size > 2").select("bucket")
-    rest = staged(labelled.join(open_, "bucket", "left_semi"), "minhash-open")
-    l = rest.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    r = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = l.join(r, (l["bucket"] == r["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & F.expr(sized)).select("a", "b").distinct()
-    more_links = links(cross, "cross")
-    component = connected_components(star_links.unionByName(more_links))
+    edges = star_links
+
+    # Pairs that lie in different components yet. A shingle that no other such class has is in no intersection, so of n
+    # shingles the u that others share bound every overlap: |a & b| <= min(ua, ub). Copies with edits of their own,
+    # whose pairs would be many, fall out here one by one; the best shared class of each bucket gathers the rest.
+    def still_open(rows: DataFrame, name: str) -> DataFrame:
+        """rows (bucket, node, n, ...) of buckets whose members lie in several components, with their component c."""
+        found = connected_components(edges)
+        labelled = rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        several = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
+        return staged(labelled.join(several, "bucket", "left_semi"), f"minhash-{name}")
+
+    def explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                cut = b.slice(lo, 256)
+                parts = [np.frombuffer(x, np.int64) for x in cut.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cut.column(0).to_numpy(zero_copy_only=False), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["node", "x"])
+
+    rest = still_open(members, "open")
+    holders = staged(sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(explode_sets, "node long, x long"), "minhash-holders")
+    held_twice = holders.groupBy("x").agg(F.count("*").alias("df")).where("df > 1").select("x")
+    shared_by = holders.join(held_twice, "x", "left_semi").groupBy("node").agg(F.count("*").alias("u"))
+    rest = staged(rest.join(shared_by, "node").where(f"100 * u >= {percent} * n"), "minhash-shared")
+    bound = f"{100 + percent} * least(ua, ub) >= {percent} * (na + nb)"
+    pivots = rest.groupBy("bucket").agg(F.max(F.struct((F.col("u") / F.col("n")).alias("q"), "node", "n", "u", "c")).alias("p"))
+    around = rest.join(pivots, "bucket").where("c <> p.c").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("u").alias("ua"), F.col("p.u").alias("ub"))
+    edges = staged(edges.unionByName(links(staged(around.where(sized).where(bound).select("a", "b").distinct(), "minhash-around"), "around")), "minhash-edges")
+    # The last pairs. A pair that shares a rare shingle is found by it; one that shares none overlaps in common shingles
+    # alone, so at most in the fewer of the two. Of the buckets that two classes share, the least one names the pair.
+    rest = still_open(rest.drop("c", "u"), "open-again")
+    own = rest.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("c").alias("c"), F.collect_set("bucket").alias("buckets"))
+    held = holders.join(own.select("node"), "node", "left_semi")
+    df = held.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    counted = staged(held.join(df, "x").select("node", "x", "df"), "minhash-counted")
+    common = counted.where(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("k"))
+    own = staged(own.join(common, "node", "left").withColumn("k", F.coalesce("k", F.lit(0))), "minhash-own")
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("k").alias(f"k{x}"), F.col("buckets").alias(f"s{x}"))
+    a, b = side("a"), side("b")
+    enough = f"{100 + percent} * least(ka, kb) >= {percent} * (na + nb)"
+    able = f"100 * k{{0}} >= {percent} * n{{0}}"  # what `enough` asks of either side alone
+    l, r = (x.where(able.format(n)).withColumn("bucket", F.explode(f"s{n}")) for x, n in ((a, "a"), (b, "b")))
+    first = F.array_min(F.array_intersect("sa", "sb")) == l["bucket"]
+    by_bucket = l.join(r, (l["bucket"] == r["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & F.expr(sized) & F.expr(enough) & first).select("a", "b")
+    rare = counted.where(F.col("df") <= RARE)
+    by_rare = rare.select("x", F.col("node").alias("a")).join(rare.select("x", F.col("node").alias("b")), "x").where("a < b").select("a", "b").distinct()
+    by_rare = by_rare.join(a.drop("sa"), "a").join(b.drop("sb"), "b").where("ca <> cb").where(sized).select("a", "b")
+    cross = by_bucket.unionByName(by_rare).distinct()
+    component = connected_components(edges.unionByName(links(staged(cross, "minhash-cross"), "cross")))
 
     labels = classes.select("node", "key", "low").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = labels.groupBy("component").agg(F.min("low").alias("component_id"))
