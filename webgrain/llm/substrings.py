@@ -22,8 +22,8 @@ SENTENCE_WORDS = 16
 #: Covered runs with fewer words stay: shared one-liners aren't passages.
 LEAST_WORDS = 25
 #: Repeated hashes, and positions to remove, up to which they are broadcast; beyond, they are joined by shuffling.
-BROADCAST_HASHES = 2_000_000
-BROADCAST_POSITIONS = 3_000_000
+BROADCAST_HASHES = 100_000
+BROADCAST_POSITIONS = 100_000
 
 _COEF = coefficients(SENTENCE_WORDS + 8, 23)
 _ENDS = np.zeros(256, dtype=bool)
