@@ -28,11 +28,19 @@ def keyword_tokens(text: Column) -> Column:
     return F.filter(trimmed, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~w.rlike(r"^\d+$"))
 
 
+def _run(tokens: Column, n: int):
+    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+
+
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All runs of low to high tokens, shorter ones first, in order."""
+    return let(tokens, lambda t: _ngrams(t, low, high))
+
+
+def _ngrams(tokens: Column, low: int, high: int) -> Column:
     runs = []
     for n in range(low, high + 1):
-        some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
+        some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), _run(tokens, n))
         runs.append(F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>")))
     return F.concat(*runs)
 

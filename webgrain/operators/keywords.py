@@ -15,6 +15,10 @@ PLACES = {"title": (800, 1, 4), "h1": (700, 1, 4), "h2": (400, 2, 4), "descripti
 LEAST_LENGTH, LEAST_SCORE, PER_PAGE = 4, 200, 40
 
 
+def _weighted(weight: int, place: str):
+    return lambda p: F.struct(p.alias("phrase"), F.lit(weight).alias("w"), F.lit(place).alias("place"))
+
+
 def page_signals(pages: DataFrame, key: str, columns: dict[str, Column], *, per_page: int = PER_PAGE, body_chars: int | None = None) -> DataFrame:
     """(key, phrase, score_h, places, rank): the best phrases of each page, from text columns by place.
 
@@ -25,8 +29,7 @@ def page_signals(pages: DataFrame, key: str, columns: dict[str, Column], *, per_
     for i, (place, (weight, low, high)) in enumerate(PLACES.items()):
         if place in columns:
             text = F.substring(columns[place], 1, body_chars) if place == "body" and body_chars else columns[place]
-            found = F.transform(ngrams(keyword_tokens(text), low, high), lambda p, w=weight, n=place: F.struct(p.alias("phrase"), F.lit(w).alias("w"), F.lit(n).alias("place")))
-            parts.append(found)
+            parts.append(F.transform(ngrams(keyword_tokens(text), low, high), _weighted(weight, place)))
     rows = pages.select(F.col(key), F.posexplode(F.concat(*parts)).alias("at", "x")).select(key, "at", "x.*")
     scored = rows.groupBy(key, "phrase").agg(F.sum("w").alias("score_h"), F.min("at").alias("first_at"), F.array_sort(F.collect_set("place")).alias("places"))
     kept = scored.where((F.length("phrase") >= LEAST_LENGTH) & (F.col("score_h") >= LEAST_SCORE))
