@@ -22,7 +22,7 @@ class AuditSession:
         """Extracted pages (snapshots: page_id, url, html) with measures, dimensions of answer readiness and rule inputs."""
         p = extract_pages(snapshots)
         texts = lambda n: F.transform(F.filter("headings", lambda h: h["level"] == n), lambda h: h["text"])
-        day = lambda c: F.coalesce(F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss z")), F.try_to_timestamp(c))
+        day = lambda c: F.coalesce(F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")), F.try_to_timestamp(c))
         read = tx.readability(F.col("text"))
         p = p.withColumns({"h1s": texts(1), "h2s": texts(2), "r": read, "page_type": ur.page_type(F.col("url"), F.col("has_article")), "content_date": F.coalesce("modified", "published")})
         p = p.withColumns({"words": F.col("r.words"), "grade": F.col("r.grade"), "words_per_sentence": F.col("r.words_per_sentence")})

@@ -98,7 +98,8 @@ def parse_date(text: str) -> date | None:
 def period(text: str, dimensions: dict) -> dict | None:
     """The period of an export: a filter row with two dates or a label, a 'Date:' line, or the dates of its rows."""
     rows = table(text)
-    for r in rows:
+    listed = next((i for i, r in enumerate(rows) if bare(r[0]) == "filter"), len(rows))
+    for r in rows[listed + 1 :]:
         if len(r) >= 2 and bare(r[0]) in ("date", "daterange"):
             days = [d for p in re.split(r"\s+(?:-|–|to)\s+", r[1]) if (d := parse_date(p))]
             if len(days) == 2:
