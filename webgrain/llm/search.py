@@ -25,7 +25,9 @@ DECIMALS = 6
 EPSILON = 10.0**-DECIMALS
 NULL_ID = np.iinfo(np.int64).max
 #: Lists that are added up before the threshold is looked at again.
-CHUNK = 24
+CHUNK = 64
+#: Lists of at least one document in so many are also kept as rows of impacts, for random access.
+DENSE_SHARE, MOST_DENSE = 10, 256
 
 
 def term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,6 +59,14 @@ class Shard:
         self.block, self.block_most = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
         self.block_starts = np.searchsorted(new, starts)
         self.key = (which << 32) | self.docs
+        size = np.diff(starts)
+        long = np.argsort(-size, kind="stable")[:MOST_DENSE]
+        long = long[size[long] * DENSE_SHARE >= len(sizes)]
+        self.dense_row = np.full(len(terms), -1, np.int64)
+        self.dense_row[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), len(sizes)))
+        for i, t in enumerate(long):
+            self.dense[i, self.docs[starts[t] : starts[t + 1]]] = self.impact[starts[t] : starts[t + 1]]
 
     def _gather(self, starts: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all entries of the lists, and which list each is in."""
@@ -76,11 +86,14 @@ class Shard:
         left = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # what the lists from here on can add
         acc, j, n = np.zeros(len(self.ids)), 0, len(at)
         while j < n and (left[j] >= least - EPSILON or least == 0):
-            lists = at[j : j + CHUNK]
-            place, which = self._gather(self.starts, lists)
-            acc += np.bincount(self.docs[place], self.impact[place] * w[j : j + CHUNK][which], len(acc))
+            lists, weight = at[j : j + CHUNK], w[j : j + CHUNK]
+            row = self.dense_row[lists]
+            place, which = self._gather(self.starts, lists[row < 0])
+            acc += np.bincount(self.docs[place], self.impact[place] * weight[row < 0][which], len(acc))
+            if (row >= 0).any():
+                acc += weight[row >= 0] @ self.dense[row[row >= 0]]
             j += len(lists)
-            if len(acc) > k and j < n:
+            if j < n and len(acc) > k and left[j] < acc.max():  # else the k-th best can't end it either
                 least = max(least, float(np.partition(acc, len(acc) - k)[len(acc) - k]))
         found = np.flatnonzero((acc > 0) & (acc + left[j] >= least - EPSILON))
         if j < n and len(found):
@@ -88,6 +101,10 @@ class Shard:
             place, which = self._gather(self.block_starts, rest)
             more = np.bincount(self.block[place], self.block_most[place] * weight[which], -(-len(acc) // BLOCK))
             found = found[acc[found] + more[found // BLOCK] >= least - EPSILON]
+            row = self.dense_row[rest]
+            if (row >= 0).any():
+                acc[found] += weight[row >= 0] @ self.dense[np.ix_(row[row >= 0], found)]
+            rest, weight = rest[row < 0], weight[row < 0]
             key = ((rest << 32)[:, None] | found[None, :]).ravel()
             p = np.searchsorted(self.key, key)
             p[p == len(self.key)] = 0
