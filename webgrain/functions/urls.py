@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 URL = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SCHEME, HOST, PORT, PATH, QUERY = 1, 2, 3, 4, 5
 
-#: Query keys that each normal form drops.
+# Query keys that each normal form drops, paths of archives, and patterns of sign-in flows and redirects
+# that content systems make.
 LINK_TRACKING = r"(?i)^(utm_|gclid|fbclid)"
 CRAWL_TRACKING = r"(?i)^(utm_.+|gclid|fbclid|msclkid|dclid|mc_cid|mc_eid|share|replytocom)$"
 HISTORY_TRACKING = r"(?i)^(utm_.+|gclid|fbclid|msclkid)$"
+ARCHIVE_PATHS = (r"(?i)^/(tag|category|author)(/|$)", r"(?i)/page/\d+/?$", r"(?i)/feed/?$")
+MEMBERSHIP_HOST, MEMBERSHIP_LOGIN = r"(?i)(^|\.)patreon\.com$", r"(?i)/(login|oauth2)(/|$)"
+UNLOCK_PATH, UNLOCK_KEY = r"(?i)(^|/)patreon-flow/?$", r"(?i)^patreon-(unlock|login|final)"
+GATE_SOURCE_PATH = r"(?i)/(login|sign-?in|oauth|authorize|checkout|subscribe|membership|members|unlock)(/|$)"
+GATE_SOURCE_KEY = r"(?i)(login|auth|oauth|unlock|return|redirect)"
+GATE_PATH = r"(?i)/(login|sign-?in|oauth2?|authorize|checkout|subscribe|membership)(/|$)"
+MADE_PATH, MADE_KEY = r"(?i)/(attachment|author|feed|wp-admin|wp-login)(/|$)", r"(?i)^(attachment_id|p|page_id|redirect_to)$"
 
 
 def is_url(url: Column) -> Column:
@@ -117,7 +125,7 @@ def bucket(url: Column) -> Column:
 
 def is_archive(url: Column) -> Column:
     p = path(url)
-    return p.rlike(r"(?i)^/(tag|category|author)(/|$)") | p.rlike(r"(?i)/page/\d+/?$") | p.rlike(r"(?i)/feed/?$") | has_key(url, "^s$")
+    return p.rlike(ARCHIVE_PATHS[0]) | p.rlike(ARCHIVE_PATHS[1]) | p.rlike(ARCHIVE_PATHS[2]) | has_key(url, "^s$")
 
 
 def page_type(url: Column, has_article: Column) -> Column:
@@ -168,18 +176,17 @@ def slash_redirect(source: Column, final: Column) -> Column:
 
 def gated_flow(source: Column, final: Column, chain: Column) -> Column:
     """Whether a redirect leads into another host's sign-in, payment or membership flow."""
-    membership = r"(?i)(^|\.)patreon\.com$"
-    unlock = path(source).rlike(r"(?i)(^|/)patreon-flow/?$") | has_key(source, r"(?i)^patreon-(unlock|login|final)")
-    login = F.exists(F.concat(F.array(final), F.coalesce(chain, F.array().cast("array<string>"))), lambda u: host(u).rlike(membership) & path(u).rlike(r"(?i)/(login|oauth2)(/|$)"))
-    asks = path(source).rlike(r"(?i)/(login|sign-?in|oauth|authorize|checkout|subscribe|membership|members|unlock)(/|$)") | has_key(source, r"(?i)(login|auth|oauth|unlock|return|redirect)")
-    gate = path(final).rlike(r"(?i)/(login|sign-?in|oauth2?|authorize|checkout|subscribe|membership)(/|$)")
+    unlock = path(source).rlike(UNLOCK_PATH) | has_key(source, UNLOCK_KEY)
+    login = F.exists(F.concat(F.array(final), F.coalesce(chain, F.array().cast("array<string>"))), lambda u: host(u).rlike(MEMBERSHIP_HOST) & path(u).rlike(MEMBERSHIP_LOGIN))
+    asks = path(source).rlike(GATE_SOURCE_PATH) | has_key(source, GATE_SOURCE_KEY)
+    gate = path(final).rlike(GATE_PATH)
     return (unlock & login) | ((host(source) != host(final)) & asks & gate)
 
 
 def redirect_class(source: Column, final: Column, chain: Column) -> Column:
     """automatic (made by a content system), deliberate (same host, short) or unknown."""
     every = F.concat(F.array(source, final), F.coalesce(chain, F.array().cast("array<string>")))
-    made = F.exists(every, lambda u: path(u).rlike(r"(?i)/(attachment|author|feed|wp-admin|wp-login)(/|$)") | has_key(u, r"(?i)^(attachment_id|p|page_id|redirect_to)$"))
+    made = F.exists(every, lambda u: path(u).rlike(MADE_PATH) | has_key(u, MADE_KEY))
     return F.when(made, "automatic").when(same_host(source, final) & (F.size(F.coalesce(chain, F.array().cast("array<string>"))) <= 3), "deliberate").otherwise("unknown")
 
 

@@ -35,6 +35,7 @@ CORE_PROPERTIES = {
     "Organization": ["name", "url"],
     "BreadcrumbList": ["itemListElement"],
 }
+# Wordings of calls to action, questions, cited claims and follow-up topics.
 ACTION = re.compile(r"\b(get|start|try|buy|shop|book|schedule|contact|request|download|subscribe|sign up|learn more|demo|quote)\b", re.I)
 QUESTION = re.compile(r"\?|^(what|why|how|when|where|who|which|can|does|is|are|should)\b", re.I)
 CLAIM = re.compile(r"\b\d+(?:\.\d+)?%?\b[^.]{0,160}(?:according to|source:|study|report|research|data from)", re.I)
