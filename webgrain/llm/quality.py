@@ -105,23 +105,22 @@ def quality_rules(
     few = marks.count() <= BROADCAST_TRUSTED
     flagged = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id"), "left")
     weights = bucket_ratios(flagged, F.coalesce("__t", F.lit(False)), buckets, alpha)
-    scored = docs.withColumn("__w", weights.scalar()).withColumn(  # a scalar subquery: one row, bounded by the number of buckets
-        "__b",
-        let(
-            buckets_of(text_or_empty("text"), buckets),
-            lambda b: F.struct(
-                F.size(b).cast("long").alias("n_grams"),
-                F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("__w"), x)).alias("total"),
-            ),
-        ),
-    )
-    base = base_columns(text_or_empty("text"))
-    out = scored.withColumn("__r", base).withColumn("llr", F.when(F.col("__b.n_grams") > 0, F.col("__b.total") / F.col("__b.n_grams")).otherwise(0.0))
-    failed = (F.col("__r.n_words") < 20) | (100 * F.col("__r.n_repeat_words") > 30 * F.col("__r.n_words"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "__r.*", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr", F.col("__b.n_grams").alias("n_grams")
+    text = text_or_empty("text")
+    weighed = let(
+        buckets_of(text, buckets),
+        lambda b: F.struct(F.size(b).cast("long").alias("n"), F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("__w"), x)).alias("total")),
     )
 
+    def verdict(x: Column) -> Column:
+        r, g = x["r"], x["g"]
+        failed = (r["n_words"] < 20) | (100 * r["n_repeat_words"] > 30 * r["n_words"])
+        llr = F.when(g["n"] > 0, g["total"] / g["n"]).otherwise(0.0)
+        return F.struct(*[r[c].alias(c) for c in own[:5]], failed.alias("base_failed"), (~failed & (llr >= threshold)).alias("kept"), llr.alias("llr"), g["n"].alias("n_grams"))
+
+    # One expression for all results: a filter on one of them, pushed below, then repeats nothing.
+    judged = docs.withColumn("__w", weights.scalar()).withColumn("__q", let(F.struct(base_columns(text).alias("r"), weighed.alias("g")), verdict))  # one row, bounded by the number of buckets
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], "__q.*")
+
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Documents labelled good and not toxic; a document with any contrary label isn't trusted."""
