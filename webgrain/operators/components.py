@@ -16,6 +16,12 @@ def _with_least(pairs: DataFrame, own: bool) -> DataFrame:
     return joined.withColumn("m", F.least("u", "m")) if own else joined
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether pairs (u, v), v < u, are stars: each u has one v, and no v is a u. Each v is then its component's least."""
+    n, distinct = stars.agg(F.count("*"), F.countDistinct("u")).collect()[0]
+    return n == distinct and stars.select("v").join(stars.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b), component being the least node that is reachable.
 
@@ -24,19 +30,17 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     longest path. An empty edge table has no components.
     """
     clean = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    nodes = staged(clean.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc-edges")
-    stars, mark = nodes.where("u <> v"), None
+    nodes = staged(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    stars = nodes.where("u <> v")
     for _ in range(max_rounds):
+        if _settled(stars):
+            break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         linked = _with_least(down, own=False)
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         stars = staged(small, "cc-stars")
-        now = stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).collect()[0]
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     every = nodes.select("u").unionByName(nodes.select(F.col("v").alias("u"))).distinct()
