@@ -17,7 +17,7 @@ THRESHOLD = 2
 #: Shorter lines (in code points) are left alone: headings, list marks and the like repeat by nature.
 LEAST_CHARS = 24
 #: Letters whose counts tell lines apart before texts are fetched: an edit changes their L1 distance by 2 at most.
-LETTERS = "etainorshdlu"
+LETTERS = "etainors"
 #: Lines, or line numbers, up to which a table is broadcast; beyond, it is joined by shuffling.
 BROADCAST_LINES = 400_000
 BROADCAST_NUMBERS = 3_000_000
@@ -34,16 +34,16 @@ def index_keys(s: Column, length: Column, threshold: int) -> list[Column]:
     return [F.xxhash64(length, F.lit(i), F.substring(s, *segment(i, length, threshold))) for i in range(1, threshold + 2)]
 
 
-def probe_keys(s: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys of the substrings that can match a segment of a line shorter by 0 to threshold characters. A segment may be
-    shifted by the edits before it, at most i - 1 of them, or after it, seen from the other end; both bounds hold."""
+def probe_keys(s: Column, length: Column, threshold: int) -> list[tuple[int, Column]]:
+    """(less, key) of the substrings that can match a segment of a line shorter by less, 0 to threshold. A segment may be shifted by the edits before it, at most i - 1 of them, or after it, seen from the
+    other end; both bounds hold."""
     keys, n = [], threshold + 1
     for less in range(n):
         shorter = length - less
         for i in range(1, n + 1):
             start, size = segment(i, shorter, threshold)
             for shift in range(max(1 - i, less - (n - i)), min(i - 1, less + (n - i)) + 1):
-                keys.append(F.xxhash64(shorter, F.lit(i), F.substring(s, start + shift, size)))
+                keys.append((less, F.xxhash64(shorter, F.lit(i), F.substring(s, start + shift, size))))
     return keys
 
 
@@ -65,6 +65,15 @@ def letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
+def bag_distance(x: Column, y: Column) -> Column:
+    """L1 distance of the counts of a to z; an edit changes it by 2 at most."""
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+    total = F.lit(0)
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        total = total + F.abs(count(x, c) - count(y, c))
+    return total
+
+
 def banded_distance(x: Column, y: Column, threshold: int) -> Column:
     """Edit distance of two strings whose lengths differ by at most threshold, exact up to threshold (else larger).
 
@@ -153,10 +162,17 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     firsts = once.select("doc_id", "t", F.explode(F.transform(kept, lambda i: F.struct(i.alias("no"), F.get(F.col("all"), i).alias("s")))).alias("l"))
     firsts = firsts.select("doc_id", "t", "l.no", "l.s").where(F.length("s") >= least_chars)
 
-    sized = firsts.select("s", F.xxhash64("s").alias("h"), F.length("s").alias("n"), letter_counts(F.col("s")).alias("c"))
-    index = sized.select("h", "c", F.explode(F.array(*index_keys(F.col("s"), F.col("n"), threshold))).alias("k"))
-    probe = sized.select(F.col("h").alias("g"), F.col("c").alias("e"), F.explode(F.array(*probe_keys(F.col("s"), F.col("n"), threshold))).alias("k"))
-    near = index.join(probe, (index["k"] == probe["k"]) & (F.col("h") != F.col("g")) & (letters_apart(F.col("c"), F.col("e")) <= 2 * threshold))
+    # one pass over the texts; of equally long lines one direction is enough
+    sized = firsts.select("s", F.xxhash64("s").alias("h"), F.length("s").alias("n"))
+    keyed = sized.select("h", letter_counts(F.col("s")).alias("c"), F.array(*index_keys(F.col("s"), F.col("n"), threshold)).alias("index"), F.array(*[k for _, k in probe_keys(F.col("s"), F.col("n"), threshold)]).alias("probe"))
+    keys = staged(keyed, "lines-keys")
+    lesses = F.array(*[F.lit(less) for less, _ in probe_keys(F.lit(""), F.lit(1), threshold)])
+    index = keys.select("h", "c", F.explode("index").alias("k"))
+    probe = keys.select(F.col("h").alias("g"), F.col("c").alias("e"), F.posexplode("probe").alias("p", "k"))
+    probe = probe.select("g", F.col("e").bitwiseOR(F.shiftleft(F.get(lesses, F.col("p")).cast("long"), 48)).alias("e"), "k")
+    less = F.shiftright("e", 48)
+    ordered = (F.col("h") != F.col("g")) & ((F.col("h") < F.col("g")) | (less > 0))
+    near = index.join(probe, (index["k"] == probe["k"]) & ordered & (letters_apart(F.col("c"), F.col("e")) <= 2 * threshold))
     pairs = staged(near.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct(), "lines-pairs")
 
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "lines-wanted")
@@ -165,7 +181,8 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     texts = staged(texts.select("h", order.alias("o"), "s"), "lines-texts")
     x = texts.select(F.col("h").alias("a"), F.col("o").alias("oa"), F.col("s").alias("x"))
     y = texts.select(F.col("h").alias("b"), F.col("o").alias("ob"), F.col("s").alias("y"))
-    close = pairs.join(x, "a").join(y, "b").where(F.abs(F.length("x") - F.length("y")) <= threshold).where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold)
+    close = pairs.join(x, "a").join(y, "b").where(F.abs(F.length("x") - F.length("y")) <= threshold)
+    close = close.where((bag_distance(F.col("x"), F.col("y")) <= 2 * threshold) & (banded_distance(F.col("x"), F.col("y"), threshold) <= threshold))
     later = close.select(F.greatest("oa", "ob").alias("o")).distinct().select("o.doc_id", "o.t", "o.no")
 
     final = with_removed(docs.withColumn("t", F.xxhash64("text")), exact.unionByName(later), "lines-removed")
