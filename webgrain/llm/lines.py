@@ -172,7 +172,8 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     probe = probe.select("g", F.col("e").bitwiseOR(F.shiftleft(F.get(lesses, F.col("p")).cast("long"), 48)).alias("e"), "k")
     less = F.shiftright("e", 48)
     ordered = (F.col("h") != F.col("g")) & ((F.col("h") < F.col("g")) | (less > 0))
-    near = index.join(probe, (index["k"] == probe["k"]) & ordered & (letters_apart(F.col("c"), F.col("e")) <= 2 * threshold))
+    # of at most threshold edits, `less` at least are insertions, which change one count by 1 each; the others two
+    near = index.join(probe, (index["k"] == probe["k"]) & ordered & (letters_apart(F.col("c"), F.col("e")) <= 2 * threshold - less))
     pairs = staged(near.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct(), "lines-pairs")
 
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "lines-wanted")
