@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     near = index.join(probe, (index["k"] == probe["k"]) & ordered & (letters_apart(F.col("c"), F.col("e")) <= 2 * threshold - less))
     pairs = staged(near.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct(), "lines-pairs")
 
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "lines-wanted")
+    wanted = staged(pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct(), "lines-wanted")
     few = wanted.count() <= BROADCAST_LINES
     texts = firsts.withColumn("h", F.xxhash64("s")).join(F.broadcast(wanted) if few else wanted, F.col("h") == F.col("w"), "left_semi")
     texts = staged(texts.select("h", order.alias("o"), "s"), "lines-texts")
