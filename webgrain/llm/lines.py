@@ -186,11 +186,12 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     close = close.where((bag_distance(F.col("x"), F.col("y")) <= 2 * threshold) & (banded_distance(F.col("x"), F.col("y"), threshold) <= threshold))
     later = close.select(F.greatest("oa", "ob").alias("o")).distinct().select("o.doc_id", "o.t", "o.no")
 
-    final = with_removed(docs.withColumn("t", F.xxhash64("text")), exact.unionByName(later), "lines-removed")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("t"))  # names of docs can't clash with ours
+    final = with_removed(whole, exact.unionByName(later), "lines-removed")
     every = F.split(F.col("text"), "\n")
     left = let(every, lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n"))
     return final.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(every)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
     )
