@@ -335,3 +335,11 @@ def test_pipeline(spark, library):
     copies = Counter(r["doc_id"] for r in mixed_.collect())
     total = sum(copies[i] * (len(library.encode(t, add_special_tokens=False).ids) + 1) for i, t in texts.items())
     assert packed.agg(F.sum("length")).collect()[0][0] == total
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame(EDGE, DOCS).withColumns({c: F.lit(c) for c in ("n", "h", "node", "key", "sig", "ids", "part", "ord", "start", "length", "rid", "copy", "rate", "cdf")})
+    assert {r["rate"] for r in mixing.mixed(df).collect()} <= {"rate"}
+    for run in (token_files.token_files, packing.pack, minhash.near_duplicates, lm.lm_scores):
+        assert run(df).count() >= len(EDGE)
+    assert search.top_k(df, df.select(F.col("doc_id").alias("query_id"), "text", "node")).count() > 0

@@ -218,3 +218,13 @@ def test_secret_edges(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert len(got) == 7 and all(r["base_sha256"] == empty and r["spans"] == "" for r in got)
     assert secrets.secret_scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame(EDGE, "doc_id long, text string, x string").withColumns({c: F.lit(c) for c in ("t", "h", "no", "gone", "d", "dt", "s", "row", "source", "copy", "kept", "llr", "b", "__b", "places", "first_doc_ids")})
+    extra = [c for c in df.columns if c not in ("doc_id", "text")]
+    got = lines.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed_lines"] and all(r[c] == c for r in got.collect() for c in extra if c != "x")
+    out = quality.quality_rules(df, df.select("doc_id").limit(0))
+    assert all(r[c] == c for r in out.collect() for c in extra if c not in ("x", "kept", "llr"))
+    assert substrings.remove_repeats(df).count() == secrets.secret_scan(df, keep=("doc_id", "d")).count() == len(EDGE)
