@@ -107,7 +107,7 @@ def hashed_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple
     return mix64(np.add.reduceat(part, begin)), np.searchsorted(starts, off), starts
 
 
-def row_chunks(off: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about limit bytes each at most (a longer row is a range of its own)."""
     a, n = 0, len(off) - 1
     while a < n:

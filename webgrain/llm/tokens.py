@@ -5,7 +5,7 @@ from __future__ import annotations
 from array import array
 
 #: Words whose ids a Python worker keeps; later words are encoded anew each time.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
