@@ -48,17 +48,19 @@ class Shard:
     """The index of some documents, with bounds of each list and of its blocks of documents."""
 
     def __init__(self, terms, starts, docs, counts, ids, sizes, mean: float):
-        self.terms, self.starts, self.docs, self.ids = terms, starts, docs.astype(np.int64), ids
+        self.terms, self.starts, self.docs, self.ids = terms, starts, docs.astype(np.int32), ids
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(len(sizes), K1)
-        tf = counts.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
+        self.impact = counts.astype(np.float64)
+        self.impact *= (K1 + 1) / (self.impact + norm[self.docs])
         self.most = np.maximum.reduceat(self.impact, starts[:-1]) if len(terms) else np.zeros(0)
-        which = np.repeat(np.arange(len(terms)), np.diff(starts))
+        which = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(starts))
         block = self.docs // BLOCK
         new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])))) if len(docs) else np.zeros(0, np.int64)
         self.block, self.block_most = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
         self.block_starts = np.searchsorted(new, starts)
-        self.key = (which << 32) | self.docs
+        self.key = which.astype(np.int64)
+        self.key <<= 32
+        self.key |= self.docs
         size = np.diff(starts)
         long = np.argsort(-size, kind="stable")[:MOST_DENSE]
         long = long[size[long] * DENSE_SHARE >= len(sizes)]
