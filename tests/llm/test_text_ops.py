@@ -179,6 +179,27 @@ def test_span_edges(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_passages_that_start_inside_a_sentence(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, shared = [], {}
+    for i in range(40):  # no ends at all, and an end every 14 words; 0 to 15 words of its own come before
+        p = [w + "." if i % 2 and j % 14 == 13 else w for j, w in enumerate(words(substrings.PASSAGE_WORDS + i % 7))]
+        shared[2 * i + 1] = p
+        rows += [(2 * i, " ".join([*words(9), *p, *words(5)]), "x"), (2 * i + 1, " ".join([*words(i % 16), *p, *words(3)]), "x")]
+    changed = words(120)  # a word more in the middle puts what follows out of step
+    rows += [(100, " ".join(changed), "x"), (101, " ".join([*changed[:60], "more", *changed[60:]]), "x")]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    own = {i: t.split() for i, t, _ in rows}
+    for i, p in shared.items():
+        assert got[i - 1]["n_removed"] == 0 and got[i - 1]["text"].split() == own[i - 1]
+        left = got[i]["text"].split()
+        assert got[i]["removed_words"] == len(own[i]) - len(left) >= substrings.WORD_SPAN and got[i]["n_removed"] > 0 and got[i]["first_doc_ids"] == [i - 1]
+        assert [w for w in own[i] if w not in set(p)] == [w for w in left if w not in set(p)]  # nothing but the passage goes
+    assert got[100]["n_removed"] == 0 and "more" in got[101]["text"].split()
+    assert not set(changed[85:96]) & set(got[101]["text"].split())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("aB é\n\t.", max_size=12), max_size=8))
 def test_hashed_words_agree_with_split(texts):

@@ -1,8 +1,10 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and by word spans at places that the words choose.
 
 Texts are cut into sentences (an overlong one into runs of a fixed number of words), every run of several consecutive
-sentences is hashed, hashes are joined globally, and sentences that any non-first span covers are removed. Only hashes
-are counted over the whole corpus; texts are never shuffled unless very many documents change.
+sentences is hashed, hashes are joined globally, and sentences that any non-first span covers are removed. Sentences need
+not be in step in two documents, so runs of WORD_SPAN words are hashed too, at places chosen by their hashes alone
+(winnowing): any PASSAGE_WORDS repeated words hold one, wherever they start. Only hashes are counted over the whole
+corpus; texts are never shuffled unless very many documents change.
 """
 
 from __future__ import annotations
@@ -21,11 +23,17 @@ SPAN = 3
 SENTENCE_WORDS = 16
 #: Covered runs with fewer words stay: shared one-liners aren't passages.
 LEAST_WORDS = 25
+#: Any so many repeated words hold a whole word span: of each WINDOW consecutive word spans, the one of least hash is kept.
+#: A word span is longer than a window, so that those of one passage leave no word between them.
+PASSAGE_WORDS = 50
+WORD_SPAN = PASSAGE_WORDS // 2 + 1
+WINDOW = PASSAGE_WORDS - WORD_SPAN + 1
 #: Repeated hashes, and positions to remove, up to which they are broadcast; beyond, they are joined by shuffling.
 BROADCAST_HASHES = 100_000
 BROADCAST_POSITIONS = 100_000
 
 _COEF = coefficients(SENTENCE_WORDS + 8, 23)
+_WORD_COEF = coefficients(WORD_SPAN, 29)
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True
 _CLOSERS = np.zeros(256, dtype=bool)
@@ -33,11 +41,13 @@ _CLOSERS[list(b"\"')]")] = True
 
 
 class Sentences:
-    """Sentences of the rows of an Arrow buffer: hash, first byte and words of each, and each row's first one."""
+    """Sentences of the rows of an Arrow buffer: hash, first byte and words of each, and each row's first one; hashes and
+    first bytes of all words, and each row's first word."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         words, first, starts = hashed_words(data, off)
         n = len(words)
+        self.word, self.word_start, self.word_row = words, starts, first
         self.row = np.zeros(len(off), np.int64)
         self.hash, self.start, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not n:
@@ -71,33 +81,62 @@ class Sentences:
         ok = np.flatnonzero(row[:m] == row[k - 1 :])
         return mix64(h)[ok], row[ok], ok - self.row[row[ok]]
 
+    def word_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, row, first word in the row) of the chosen runs of WORD_SPAN words of a row."""
+        m = len(self.word) - PASSAGE_WORDS + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = np.zeros(m + WINDOW - 1, np.uint64)
+        for i in range(WORD_SPAN):
+            h += self.word[i : len(h) + i] * _WORD_COEF[i]
+        h = mix64(h)
+        least, at, index = h[:m].copy(), np.arange(m), np.arange(m)
+        for i in range(1, WINDOW):
+            low = h[i : m + i] <= least
+            np.copyto(least, h[i : m + i], where=low)
+            np.copyto(at, index + i, where=low)
+        row = np.repeat(np.arange(len(self.word_row) - 1), np.diff(self.word_row))
+        chosen = np.unique(at[row[:m] == row[PASSAGE_WORDS - 1 :]])
+        return h[chosen], row[chosen], chosen - self.word_row[row[chosen]]
+
+
+def runs(places: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Firsts and ends of the runs of n words that the spans from places to ends cover."""
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, places, 1)
+    np.add.at(mark, ends, -1)
+    edge = np.diff(np.concatenate(([0], (np.cumsum(mark[:n]) > 0).astype(np.int64), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
 
 def cut(text: bytes, places: np.ndarray, k: int, least: int) -> tuple[bytes, int, int]:
-    """text without the sentences that spans at those places cover, sentences removed and words removed."""
+    """text without the words that spans at those places cover, sentences that lose words, and words removed. Places are
+    twice a sentence's number, or twice a word's number plus 1."""
     s = Sentences(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    n = len(s.hash)
-    mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, places, 1)
-    np.add.at(mark, np.minimum(places + k, n), -1)
-    covered = np.concatenate(([0], (np.cumsum(mark[:n]) > 0).astype(np.int64), [0]))
-    edge = np.diff(covered)
-    bounds = np.append(s.start, len(text))
-    out, at, sentences, words = [], 0, 0, 0
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        if (w := int(s.words[a:b].sum())) >= least:
-            out.append(text[at : bounds[a]])
-            at, sentences, words = int(bounds[b]), sentences + int(b - a), words + w
+    n, first = len(s.word), np.append(0, np.cumsum(s.words))
+    of_sentences, of_words = places[places % 2 == 0] // 2, places[places % 2 == 1] // 2
+    parts = [runs(first[of_sentences], first[np.minimum(of_sentences + k, len(s.words))], n), runs(of_words, of_words + WORD_SPAN, n)]
+    long = [(a[b - a >= least], b[b - a >= least]) for a, b in parts]
+    bounds = np.append(s.word_start, len(text))
+    out, at, words, lost = [], 0, 0, np.zeros(n, bool)
+    for a, b in zip(*runs(*(np.concatenate(x) for x in zip(*long, strict=True)), n), strict=True):
+        out.append(text[at : bounds[a]])
+        at, words = int(bounds[b]), words + int(b - a)
+        lost[a:b] = True
+    sentences = int(np.logical_or.reduceat(lost, first[:-1]).sum()) if n else 0
     return b"".join([*out, text[at:]]), sentences, words
 
 
 def remove_repeats(docs: DataFrame, *, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, text without repeats, n_removed (sentences), removed_words and
-    first_doc_ids, the sorted ids of the documents that hold the first occurrences of what its spans repeat.
+    """A row for each row of docs (doc_id, text): doc_id, text without repeats, n_removed (sentences, whole or in part),
+    removed_words and first_doc_ids, the sorted ids of the documents that hold the first occurrences of what its spans repeat.
 
     The first occurrence of a span is that with the least (doc_id, text hash, place), null ids last; all others are
-    removed, in the same document too. Sentences are compared word by word, A-Z as a-z, white space aside.
-    Defined results: a null text stays null, an empty one empty; a text of fewer sentences than a span, or covered runs of
-    fewer than least_words words, stay; rows with equal id and text count as one occurrence; very long texts are handled
+    removed, in the same document too. Spans are compared word by word, A-Z as a-z, white space aside. Every repeated run
+    of PASSAGE_WORDS words holds a span, and so loses WORD_SPAN words or more (if least_words allows); of its words at
+    either end WINDOW - 1 at most stay.
+    Defined results: a null text stays null, an empty one empty; runs of fewer than least_words words that spans of either
+    kind cover stay; rows with equal id and text count as one occurrence; very long texts are handled
     whole; an empty table gives an empty result; other columns are ignored.
     """
 
@@ -105,7 +144,9 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, least_words: int = LEAS
         for b in batches:
             data, off = utf8_column(b.column(2))
             for lo, hi in row_chunks(off):
-                h, row, place = Sentences(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).spans(span)
+                s = Sentences(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                (h, row, place), (h2, row2, word) = s.spans(span), s.word_spans()
+                h, row, place = np.concatenate((h, h2)), np.concatenate((row, row2)), np.concatenate((2 * place, 2 * word + 1))
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place)], names=["h", "doc_id", "t", "place"])
 
