@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that repeat earlier ones; n_chars follows, a document left without a word goes."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, exact_chars=lines.EXACT_CHARS)
     changed = F.col("n_removed_lines") > 0
     out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

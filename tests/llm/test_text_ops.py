@@ -82,6 +82,19 @@ def test_line_dedup_against_brute_force(spark):
     assert got == want
 
 
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["Les.\n\nOwn one\n a\nSummary one", "Les.\n\n    \nSummary two?\n a\nb", "Les.\n    \nSumary one\nLet.", "b"]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [texts[0], "\n    \nSummary two?\nb", "    \nLet.", ""]  # blank lines stay, short ones aren't compared by edits
+    got = {r["doc_id"]: r["text"] for r in lines.op1(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(4)] == want
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, df, str(tmp_path)).collect()}
+    assert left == {i: (t, len(t)) for i, t in enumerate(want) if t}
+
+
 def test_line_dedup_edges(spark):
     df = spark.createDataFrame(EDGE, DOCS)
     got = sorted((str(r["doc_id"]), len(r["text"] or ""), r["n_lines"], r["n_removed_lines"]) for r in lines.dedup_lines(df).collect())

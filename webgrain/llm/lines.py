@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from webgrain.llm.common import let, staged, text_or_empty
 
 THRESHOLD = 2
-#: Shorter lines (in code points) are left alone: headings, list marks and the like repeat by nature.
-LEAST_CHARS = 24
+#: Shorter lines (in code points) are not joined by edits: segments need so many, and two edits make most of such lines alike.
+LEAST_CHARS = 2 * THRESHOLD + 2
+#: Equal lines with a word are grouped from this length on by the query and the pipeline.
+EXACT_CHARS = 1
 #: Letters whose counts tell lines apart before texts are fetched: an edit changes their L1 distance by 2 at most.
 LETTERS = "etainors"
 #: Lines, or line numbers, up to which a table is broadcast; beyond, it is joined by shuffling.
@@ -131,25 +133,28 @@ def with_removed(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left").drop("d", "dt")
 
 
-def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with its text less the repeated lines; n_lines and n_removed_lines appended.
 
     A line (between line feeds, compared as it is) of least_chars code points or more is removed if an equal line comes
     earlier, or if it is the first of its kind and another kind's first line within `threshold` edits comes earlier; the
     order is (doc_id, text hash, line), null ids last. Lines that are removed themselves still count as earlier ones.
+    A shorter line of exact_chars or more (least_chars if None) is removed if it has a word and an equal line comes earlier.
     Defined results: a null text stays null with no lines, an empty one is one empty line; rows with equal id and text
     count as one and change alike; very long texts and lines are handled whole; a row may end up empty; an empty table
     gives an empty result; a column of docs named like an appended one is replaced.
     """
     if threshold < 1 or least_chars < 2 * threshold + 2:
         raise ValueError("threshold is 1 or more, and least_chars at least 2 * threshold + 2")
+    exact_chars = least_chars if exact_chars is None else exact_chars
     own = ["n_lines", "n_removed_lines"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
     source = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "no")
 
     cut = source.select("doc_id", "t", F.posexplode(F.split(text_or_empty("text"), "\n")).alias("no", "s"))
-    hashed = cut.where(F.length("s") >= least_chars).select("doc_id", "t", "no", F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit("second")).alias("h2"))
+    grouped = (F.length("s") >= least_chars) | ((F.length("s") >= exact_chars) & F.col("s").rlike(r"[^\x20\x09-\x0D]"))
+    hashed = cut.where(grouped).select("doc_id", "t", "no", F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit("second")).alias("h2"))
     lines = staged(hashed, "lines")
     copies = staged(lines.groupBy("h", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-copies")
     exact = staged(lines.join(copies, ["h", "h2"]).where(order != F.col("first")).select("doc_id", "t", "no"), "lines-exact")
@@ -198,4 +203,4 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), exact_chars=EXACT_CHARS)
