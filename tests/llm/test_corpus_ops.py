@@ -313,6 +313,22 @@ def test_search_prunes_nothing_that_counts(spark, docs):
             assert search.best(found, score, 10)[0].tolist() == want[0].tolist()
 
 
+def test_every_training_window_trains():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 3000, n).astype(np.uint16) for n in [1, 32, 33, 200, 5, 9000] * 100]
+    voc = attention.Vocabulary(rng.integers(1, 9, 3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts], pa.binary())], names=["ids"])
+    got = list(lm.all_windows(iter([batch]), voc))
+    sizes = np.array([len(x) for x in texts])
+    text, at, _ = attention.windows(sizes)
+    assert sum(len(i) for i, _, _ in got) == len(text) and max(len(i) for i, _, _ in got) <= lm.BATCH
+    assert sum(int(r.sum()) for _, _, r in got) == np.minimum(sizes[text] - at, attention.WINDOW).sum()
+    want = Counter(int(voc.klass[x]) for t, a in zip(text, at, strict=True) for x in texts[t][a : a + attention.WINDOW])
+    assert sum((Counter(k[r].tolist()) for _, k, r in got), Counter()) == want
+
+
 def test_pipeline(spark, library):
     import corpus_pipeline
     from webgrain.staging import staged

@@ -1,7 +1,7 @@
 """Language-model scores of whole texts: a smoothed word unigram baseline and a causal self-attention model.
 
 Held-out documents are those whose crc32 of the id as text is 0 modulo 10; everything is learned from the others, all of
-them: word counts, subword counts, counts of subword pairs, and a fixed share of all their windows for the attention
+them: word counts, subword counts, counts of subword pairs, and all their windows, in each round, for the attention
 weights. Those are trained by rounds of local passes, one to a task, and averaged by weight between rounds; only averages
 (a fixed number of values) reach the driver. Words that are frequent are looked up in a table of bounded size, the counts
 of all others are joined by shuffling.
@@ -17,18 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import attention as att
-from webgrain.llm.common import hashed_words, mix64, row_chunks, staged, utf8_column
+from webgrain.llm.common import hashed_words, row_chunks, staged, utf8_column
 from webgrain.llm.tokens import default_path, encoder
 
 ALPHA = 0.1
 #: Words whose counts are broadcast at most (12 bytes each).
 HEAD_WORDS = 300_000
 END_ID = 49407
-#: One window in so many of the training texts trains the attention weights, in each round.
-WINDOW_SHARE = 24
 ROUND_RATES = (0.01, 0.005)
 BATCH = 128
-HASH_SEED = np.uint64(0x632BE59BD9B4E019)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -161,47 +158,34 @@ def vocabulary(rows: DataFrame, size: int) -> att.Vocabulary:
     return att.Vocabulary(counts, table)
 
 
+def all_windows(batches: Iterator[pa.RecordBatch], v: att.Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, classes, real positions) of every window of the texts of batches (ids), BATCH at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist())
+            text, at, _ = att.windows(sizes)
+            for i in range(0, len(text), BATCH):
+                inputs, target, real = att.cut(flat, start, sizes, text[i : i + BATCH], at[i : i + BATCH], v)
+                yield inputs.astype(np.int64), v.klass[target].astype(np.int64), real
+
+
 def train(rows: DataFrame, v: att.Vocabulary) -> dict[str, np.ndarray]:
     """Attention weights after all rounds."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(v)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = shared.value
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                cut = b.slice(lo, 500)
-                flat, start, sizes = _laid_out(cut.column(1).to_pylist())
-                text, at, _ = att.windows(sizes)
-                rid = cut.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-                pick = np.flatnonzero(mix64(mix64(rid[text]) + at.astype(np.uint64) * HASH_SEED) % np.uint64(WINDOW_SHARE) == 0)
-                for i in range(0, len(pick), 2048):
-                    some = pick[i : i + 2048]
-                    inputs, target, real = att.cut(flat, start, sizes, text[some], at[some], voc)
-                    packed = np.stack((inputs.astype(np.uint16), voc.klass[target].astype(np.uint16), real.astype(np.uint16)))
-                    yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()])], names=["windows"])
-
-    sampled = staged(rows.where("NOT held_out").select("rid", "ids").mapInArrow(sample, "windows binary"), "lm-windows")
+    train_rows = rows.where("NOT held_out").select("ids")
     params = att.flat(att.fresh())
     for rate in ROUND_RATES:
         current = sc.broadcast(params)
 
         def learn(batches: Iterator[pa.RecordBatch], current=current, rate=rate) -> Iterator[pa.RecordBatch]:
-            bias = shared.value.bias
-
-            def steps():
-                for b in batches:
-                    for x in b.column(0):
-                        w = np.frombuffer(x.as_buffer(), np.uint16).reshape(3, -1, att.WINDOW).astype(np.int64)
-                        for i in range(0, w.shape[1], BATCH):
-                            yield w[0, i : i + BATCH], w[1, i : i + BATCH], w[2, i : i + BATCH] > 0
-
-            new, seen = att.train(att.unflat(current.value), steps(), rate, bias)
+            new, seen = att.train(att.unflat(current.value), all_windows(batches, shared.value), rate, shared.value.bias)
             if seen:
                 flat = att.flat(new).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["i", "x", "w"])
 
-        mean = sampled.mapInArrow(learn, "i long, x double, w long").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()  # a row for each weight
+        mean = train_rows.mapInArrow(learn, "i long, x double, w long").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()  # a row for each weight
         if mean.num_rows:
             params = params.copy()
             params[mean.column(0).to_numpy()] = mean.column(1).to_numpy()
