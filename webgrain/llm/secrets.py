@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer that follows constants to sensitive names.
 
-Texts go through Arrow batches; each row is scanned on its own, so nothing is shuffled and memory is one batch.
+The lexer (`assignments.py`) pairs names with literals in source and configuration syntax; here names and whole values are
+scored. Texts go through Arrow batches; each row is scanned on its own, so nothing is shuffled and memory is one batch.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.llm.assignments import NAME_WEIGHTS, Site, name_weight, resolve, sites_of
+
 #: Fixed patterns of the base scan and the shortest group or match that counts.
 ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -25,23 +28,10 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of HEX with 24 characters or
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "named")
 
-#: The lexer: a name, an operator and a literal or a reference; JSON and YAML keys, shell exports, flags, source code.
-PAIR = re.compile(
-    r"(?P<q>[\"']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,127})(?P=q)\x20*(?::=|=>|[:=])\x20*"
-    r"(?:(?P<quote>[\"'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s\"'`,;(){}\[\]]+))"
-)
-REFERENCE = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
-NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-
-#: Weights of name parts. A literal counts when its name's weight and its own shape reach LEAST_SCORE.
-NAME_WEIGHTS = {
-    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
-    "credentials": 2.5, "private": 1.5, "auth": 1.5, "authorization": 2.0, "bearer": 2.0, "access": 1.0, "api": 1.0, "key": 1.5,
-    "signature": 1.5, "session": 1.0, "cookie": 1.0, "salt": 1.5, "client": 0.5, "public": -2.5, "example": -1.5, "name": -1.0, "path": -1.5, "url": -1.5, "file": -1.5, "length": -3.0, "count": -3.0, "type": -2.0,
-}
+#: A literal counts when its name's weight and its own shape reach this.
 LEAST_SCORE = 3.5
-LITERAL_LEAST = 8
-MAX_HOPS = 8
+#: Texts without any of these have no name of weight.
+SENSITIVE = re.compile("|".join(w for w, x in NAME_WEIGHTS.items() if x > 0), re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,40 +42,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
 
 
-def name_weight(name: str) -> float:
-    """Sum of the weights of a name's parts, camel case and separators split; each part once."""
-    return sum(NAME_WEIGHTS.get(p, 0.0) for p in {p.lower() for p in NAME_PART.findall(name)})
-
-
-def literal_score(value: str) -> float:
-    """0 for short values or words; up to 3 for long, mixed, high-entropy values."""
-    n = len(value)
-    if n < LITERAL_LEAST or any(c.isspace() for c in value):
+def shape_score(chars: Counter, odd: bool) -> float:
+    """0 for plain words and numbers, texts with white space or one kind of character; up to 3 for long, mixed, high-entropy
+    ones. chars: how often each character occurs; odd: whether the text is more than plain words."""
+    n = sum(chars.values())
+    if not n or not odd or any(c.isspace() for c in chars):
         return 0.0
-    kinds = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value)
+    kinds = any(c.isdigit() for c in chars) + any(c.islower() for c in chars) + any(c.isupper() for c in chars)
     if kinds < 2:
         return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    entropy = -sum(k / n * math.log2(k / n) for k in chars.values())
     return min(1.0, n / 20) + min(1.0, entropy / 4) + (kinds - 1) / 2
 
 
-def named_spans(text: str) -> list[tuple[int, int, int]]:
-    """Literals whose own name, or a name that they reach by assignments of constants, is sensitive.
+def site_weight(site: Site) -> float:
+    """Weight of a site's name, and of the heaviest name around it unless its own speaks against."""
+    own = name_weight(site.name)
+    return own if own < 0 else own + max([0.0, *map(name_weight, site.around)])
 
-    One pass lexes pairs in order; a bare value that is a known name takes over that name's literal (assignments before
-    it only, at most MAX_HOPS long), so `a = "..."; password = a` marks the literal at its definition.
-    """
-    constants: dict[str, tuple[int, int, int]] = {}  # name: start, end and hops of the literal that it holds
-    found = set()
-    for m in PAIR.finditer(text):
-        name, group = m["name"], "quoted" if m["quoted"] is not None else "bare"
-        held = (*m.span(group), 0)
-        if group == "bare" and (r := REFERENCE.match(m["bare"])) and (known := constants.get(r[1])) and known[2] < MAX_HOPS:
-            held = (known[0], known[1], known[2] + 1)
-        constants[name] = held
-        weight = name_weight(name)
-        if weight > 0 and (shape := literal_score(text[held[0] : held[1]])) > 0 and weight + shape >= LEAST_SCORE:
-            found.add((held[0], 3, held[1]))
+
+def named_spans(text: str) -> list[tuple[int, int, int]]:
+    """Literals of sites whose name, and whole value, make them secrets: those in the value itself and, by references of
+    any number, those that it is made of. A name's reference may stand before or after what binds it."""
+    sites = sites_of(text)
+    chars, odd = resolve(sites)
+    todo = [i for i, s in enumerate(sites) if (w := site_weight(s)) > 0 and (x := shape_score(chars[i], odd[i])) > 0 and w + x >= LEAST_SCORE]
+    found, seen = set(), set(todo)
+    while todo:
+        site = sites[todo.pop()]
+        found.update((p.start, 3, p.end) for p in site.parts if p.name is None)
+        new = set(site.links) - seen
+        seen |= new
+        todo += new
     return list(found)
 
 
@@ -97,7 +85,7 @@ def scan_text(text: str | None) -> tuple[int, int, int, str, str, int]:
     """n_assign, n_access, n_hex, base_sha256, spans, n_named of one whole text."""
     text = text or ""
     base = base_spans(text)
-    named = named_spans(text) if "=" in text or ":" in text else []
+    named = named_spans(text) if SENSITIVE.search(text) else []
     n = Counter(k for _, k, _ in base)
     line = joined(base)
     return n[0], n[1], n[2], hashlib.sha256(line.encode()).hexdigest(), joined(base + named) if named else line, len(named)
