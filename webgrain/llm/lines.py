@@ -37,8 +37,8 @@ def index_keys(s: Column, length: Column, threshold: int) -> list[Column]:
 
 
 def probe_keys(s: Column, length: Column, threshold: int) -> list[tuple[int, Column]]:
-    """(less, key) of the substrings that can match a segment of a line shorter by less, 0 to threshold. A segment may be shifted by the edits before it, at most i - 1 of them, or after it, seen from the
-    other end; both bounds hold."""
+    """(less, key) of the substrings that can match a segment of a line shorter by less, 0 to threshold. A segment may be
+    shifted by the edits before it, at most i - 1 of them, or after it, seen from the other end; both bounds hold."""
     keys, n = [], threshold + 1
     for less in range(n):
         shorter = length - less
@@ -49,9 +49,14 @@ def probe_keys(s: Column, length: Column, threshold: int) -> list[tuple[int, Col
     return keys
 
 
+def letter_count(s: Column, c: str) -> Column:
+    """How often an ASCII letter occurs; bytes are counted, as that needs no look at each character."""
+    return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))
+
+
 def letter_counts(s: Column) -> Column:
     """Counts of LETTERS modulo 16, four bits each, as one long."""
-    parts = [F.shiftleft(((F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * k) for k, c in enumerate(LETTERS)]
+    parts = [F.shiftleft((letter_count(s, c) % 16).cast("long"), 4 * k) for k, c in enumerate(LETTERS)]
     out = parts[0]
     for p in parts[1:]:
         out = out.bitwiseOR(p)
@@ -69,10 +74,9 @@ def letters_apart(a: Column, b: Column) -> Column:
 
 def bag_distance(x: Column, y: Column) -> Column:
     """L1 distance of the counts of a to z; an edit changes it by 2 at most."""
-    count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
     total = F.lit(0)
     for c in "abcdefghijklmnopqrstuvwxyz":
-        total = total + F.abs(count(x, c) - count(y, c))
+        total = total + F.abs(letter_count(x, c) - letter_count(y, c))
     return total
 
 
@@ -142,13 +146,13 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     A shorter line of exact_chars or more (least_chars if None) is removed if it has a word and an equal line comes earlier.
     Defined results: a null text stays null with no lines, an empty one is one empty line; rows with equal id and text
     count as one and change alike; very long texts and lines are handled whole; a row may end up empty; an empty table
-    gives an empty result; a column of docs named like an appended one is replaced.
+    gives an empty result; a column of docs named like an appended one (in either case) is replaced.
     """
     if threshold < 1 or least_chars < 2 * threshold + 2:
         raise ValueError("threshold is 1 or more, and least_chars at least 2 * threshold + 2")
     exact_chars = least_chars if exact_chars is None else exact_chars
     own = ["n_lines", "n_removed_lines"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
     source = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "no")
 
