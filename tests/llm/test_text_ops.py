@@ -151,6 +151,11 @@ def test_quality_edges(spark):
     assert quality.quality_rules(df.limit(0), none).count() == 0
 
 
+def joined(words):
+    raw = " ".join(words).encode()
+    return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+
+
 def test_spans_against_brute_force(spark):
     docs = documents(spark)
     low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
@@ -165,28 +170,37 @@ def test_spans_against_brute_force(spark):
         return [*out, cur] if cur else out
 
     cut, first = {i: sentences(t) for i, t in docs.items()}, {}
-    key = lambda s: tuple(tuple(low(m[0]) for m in x) for x in s)
-    for i in sorted(cut):
-        for p in range(len(cut[i]) - 2):
-            first.setdefault(key(cut[i][p : p + 3]), (i, p))
+    words = {i: [low(m[0]) for x in s for m in x] for i, s in cut.items()}
+    spans = {i: [] for i in docs}  # (what is compared, first word, end)
+    for i, s in cut.items():
+        at = [0, *np.cumsum([len(x) for x in s]).tolist()]
+        for p in range(len(s) - substrings.SPAN + 1):
+            q = p + substrings.SPAN
+            spans[i].append((tuple(tuple(low(m[0]) for m in x) for x in s[p:q]), at[p], at[q]))
+        n, size = len(words[i]), substrings.WORD_SPAN
+        h = [int(hashed_words(*joined(words[i][p : p + size]))[0] @ substrings._WORD_COEF) % 2**64 for p in range(n - size + 1)] if n >= substrings.PASSAGE_WORDS else []
+        h = substrings.mix64(np.array(h, np.uint64)).tolist()
+        chosen = {min(range(p, p + substrings.WINDOW), key=lambda q: (h[q], -q)) for p in range(n - substrings.PASSAGE_WORDS + 1)}
+        spans[i] += [(tuple(words[i][p : p + size]), p, p + size) for p in chosen]
+    for i in sorted(spans):
+        for key, p, _ in sorted(spans[i], key=lambda x: x[1]):
+            first.setdefault(key, (i, p))
     got = {r["doc_id"]: r for r in substrings.op3(spark, SF).collect()}
     for i, s in cut.items():
-        hit = {q for p in range(len(s) - 2) if first[key(s[p : p + 3])] != (i, p) for q in range(p, p + 3)}
-        text, at, n, p = "", 0, 0, 0
-        while p < len(s):
-            q = p
-            while q in hit:
-                q += 1
-            if q > p and sum(map(len, s[p:q])) >= substrings.LEAST_WORDS:
-                text, at, n = text + docs[i][at : s[p][0].start()], s[q][0].start() if q < len(s) else len(docs[i]), n + q - p
-            p = max(q, p + 1)
-        assert (got[i]["text"], got[i]["n_removed"]) == (text + docs[i][at:], n)
+        gone = {q for key, a, b in spans[i] if first[key] != (i, a) for q in range(a, b)}
+        starts = [m.start() for x in s for m in x] + [len(docs[i] or "")]
+        text, at = "", 0
+        for q in sorted(gone):
+            text, at = text + (docs[i] or "")[at : starts[q]], starts[q + 1]
+        ends = np.cumsum([len(x) for x in s])
+        lost = {int(np.searchsorted(ends, q, side="right")) for q in gone}
+        assert (got[i]["text"] or "", got[i]["n_removed"], got[i]["removed_words"]) == (text + (docs[i] or "")[at:], len(lost), len(gone))
 
 
 def test_span_edges(spark):
     passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. Words go on and on until the end of it."
     df = spark.createDataFrame([*EDGE, (7, passage, "x"), (8, f"Own start. {passage}\nOwn end é.", "x"), (9, f"More. {passage}", "x")], DOCS)
-    got = {r["doc_id"]: r for r in substrings.remove_repeats(df).collect()}
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(df, span=3).collect()}
     assert len(got) == 9 and got[1]["text"] is None and got[7]["n_removed"] == 0
     assert got[8]["text"] == "Own start. Own end é." and got[8]["first_doc_ids"] == [7] and got[9]["text"] == "More. "
     assert substrings.remove_repeats(df.limit(0)).count() == 0

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from webgrain.llm.common import _SPACE, coefficients, hashed_words, mix64, row_chunks, staged, utf8_column
 
-SPAN = 3
+#: Sentences of a span: so many that short lines which pages share, of a few short sentences, are none.
+SPAN = 5
 #: A sentence without an end goes on as a new one after so many words.
 SENTENCE_WORDS = 16
-#: Covered runs with fewer words stay: shared one-liners aren't passages.
-LEAST_WORDS = 25
+#: Covered runs with fewer words stay. By default all of them go, as the method says.
+LEAST_WORDS = 0
 #: Any so many repeated words hold a whole word span: of each WINDOW consecutive word spans, the one of least hash is kept.
 #: A word span is longer than a window, so that those of one passage leave no word between them.
 PASSAGE_WORDS = 50
@@ -156,8 +157,9 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, least_words: int = LEAS
     small = repeated.count() <= BROADCAST_HASHES
     hits = staged(spans.join(F.broadcast(repeated) if small else repeated, "h", "left_semi"), "spans-hits")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "place")
-    firsts = hits.groupBy("h").agg(F.min(order).alias("f"))
-    later = hits.join(firsts, "h").where(order != F.col("f"))
+    # a table of its own: minima are combined before they are dealt out, and a join of two tables may split a hot hash
+    firsts = staged(hits.groupBy("h").agg(F.min(order).alias("f")), "spans-firsts")
+    later = hits.join(F.broadcast(firsts) if small else firsts, "h").where(order != F.col("f"))
     per_doc = later.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(
         F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set("f.doc_id")).alias("first_doc_ids")
     )
