@@ -91,9 +91,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
+    """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id, text_hash, stays.
 
-    class_id numbers documents with equal shingle sets (null without words); links between classes of different sets are
+    class_id numbers documents with equal shingle sets (null without words). stays marks one (doc_id, text) of each
+    component, the least by id and text hash, null ids last, and every text without words; links between classes of different sets are
     found whole but for the chance that banding or pruning misses one (about 1e-5 at the threshold itself).
     Defined results: null, empty and blank texts have n_shingles 0, are their own component and kept; repeated rows are
     linked with each other, and each is kept if its id is the component's; a null doc_id never names a component unless
@@ -118,7 +119,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     described = staged(source.mapInArrow(describe, "doc_id long, h long, n_shingles long, key binary, sig binary"), "minhash-rows")
     # the class of a set, and the row whose text stands for it
-    grouped = described.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("r"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    grouped = described.where("n_shingles > 0").groupBy("key").agg(
+        F.min("doc_id").alias("low"), F.min(order).alias("r"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")
+    )
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +134,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "node", "n"])
 
     bands = classes.select("node", "n", "sig").mapInArrow(band, "bucket long, node long, n long")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
+    # a bucket's least class comes with its size, so that nothing has to be dealt out by that class, which may be that of many
+    ends = bands.groupBy("bucket").agg(F.min(F.struct("node", F.col("n").alias("na"))).alias("l"), F.max("node").alias("most"))
+    shared = ends.where("l.node < most").select("bucket", F.col("l.node").alias("least"), "l.na")
     members = staged(bands.join(shared, "bucket"), "minhash-members")
 
     involved = members.select("node").distinct()
@@ -175,8 +181,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
         return staged(held.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"minhash-links-{name}")
 
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    sizes = classes.select(F.col("node").alias("least"), F.col("n").alias("na"))
-    star = members.where("least < node").join(sizes, "least").select(F.col("least").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb")).where(sized).select("a", "b").distinct()
+    stars = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    star = stars.where(sized).select("a", "b").distinct()
     star_links = links(staged(star, "minhash-star"), "star")
     edges = star_links
 
@@ -197,7 +203,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
                 parts = [np.frombuffer(x, np.int64) for x in cut.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cut.column(0).to_numpy(zero_copy_only=False), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["node", "x"])
 
-    rest = still_open(members, "open")
+    rest = still_open(members.drop("na"), "open")
     holders = staged(sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(explode_sets, "node long, x long"), "minhash-holders")
     held_twice = holders.groupBy("x").agg(F.count("*").alias("df")).where("df > 1").select("x")
     shared_by = holders.join(held_twice, "x", "left_semi").groupBy("node").agg(F.count("*").alias("u"))
@@ -228,12 +234,21 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     cross = by_bucket.unionByName(by_rare).distinct()
     component = connected_components(edges.unionByName(links(staged(cross, "minhash-cross"), "cross")))
 
-    labels = classes.select("node", "key", "low").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = labels.groupBy("component").agg(F.min("low").alias("component_id"))
-    per_class = labels.join(named, "component").select("key", F.col("node").alias("class_id"), "component_id")
-    out = described.select("doc_id", "n_shingles", "key").join(per_class, "key", "left")
-    cid = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "class_id")
+    labels = classes.select("node", "key", "low", "r").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min("r").alias("first"))
+    per_class = labels.drop("r").join(named, "component").select("key", F.col("node").alias("class_id"), "component_id", "first")
+    out = described.select("doc_id", "h", "n_shingles", "key").join(per_class, "key", "left")
+    worded = F.col("n_shingles") > 0
+    cid = F.when(worded, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        cid.alias("component_id"),
+        F.col("doc_id").eqNullSafe(cid).alias("kept"),
+        "class_id",
+        F.col("h").alias("text_hash"),
+        (~worded | (order == F.col("first"))).alias("stays"),
+    )
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
