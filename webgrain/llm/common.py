@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.staging import fresh_path, shared_dir, staged  # noqa: F401  (used by the operators)
@@ -20,6 +20,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def apart(docs: DataFrame, own: list[str], *needed: str) -> tuple[DataFrame, list[Column]]:
+    """docs as a struct `row` beside the columns needed, so that its other names can't clash with an operator's, and how to
+    select them again: all columns but those named like own ones, in either case."""
+    kept = [c for c in docs.columns if c.lower() not in own]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *needed)
+    return packed, [F.col("row").getField(c).alias(c) for c in kept]
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

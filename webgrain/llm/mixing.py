@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.llm.common import apart
+
 #: Sources up to which the table of sources (one short row each) is broadcast; beyond, a salted shuffle join takes its place.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
@@ -73,10 +75,10 @@ def mixed(
     size: expected number of rows of the mixture; the input's by default.
     Defined results: a null source is a source of its own (weight 0 where weights are given); a source that weights
     doesn't name gets none; null doc_ids share one uniform number; repeated rows get equal counts; an empty table gives
-    an empty mixture; a column of docs named like an appended one is replaced. Texts pass through untouched.
+    an empty mixture; a column of docs named like an appended one (in either case) is replaced. Texts pass through untouched.
     """
     own = ["copy", "n_copies", "shuffle_key"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
+    docs, columns = apart(docs, own, "doc_id", "source")
     rates = source_rates(docs.select("source"), weights, size, temperature)
     most = F.floor(F.col("rate") / 600)  # whole copies for huge rates, the rest from the Poisson law of what is left
     table = rates.select(F.col("source").alias("__source"), (most * 600).cast("long").alias("__whole"), poisson_cdf(F.col("rate") - most * 600).alias("__cdf"))
@@ -94,7 +96,7 @@ def mixed(
     counted = joined.withColumn("__u", u).withColumn("n_copies", n.cast("long")).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), named, F.col("copy").cast("string")))
-    dealt = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], *own).repartition("shuffle_key")
+    dealt = keyed.select(*columns, *own).repartition("shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 

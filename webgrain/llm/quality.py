@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import WS_CHARS, let, text_or_empty, words_of
+from webgrain.llm.common import WS_CHARS, apart, let, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -97,10 +97,10 @@ def quality_rules(
     trusted: one column doc_id, the trusted documents; repeated ids count once. The raw corpus is docs itself.
     Defined results: null or blank text has no words, no n-grams, llr 0 and fails the base rules; a null doc_id is never
     trusted; repeated rows are scored alike and both returned; an empty table gives an empty result; a column of docs
-    named like an appended one is replaced. With no trusted document the target is uniform over the buckets.
+    named like an appended one (in either case) is replaced. With no trusted document the target is uniform over the buckets.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "n_grams"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
+    docs, columns = apart(docs, own, "doc_id", "text")
     marks = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__t", F.lit(True))
     few = marks.count() <= BROADCAST_TRUSTED
     flagged = docs.select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id"), "left")
@@ -118,8 +118,9 @@ def quality_rules(
         return F.struct(*[r[c].alias(c) for c in own[:5]], failed.alias("base_failed"), (~failed & (llr >= threshold)).alias("kept"), llr.alias("llr"), g["n"].alias("n_grams"))
 
     # One expression for all results: a filter on one of them, pushed below, then repeats nothing.
-    judged = docs.withColumn("__w", weights.scalar()).withColumn("__q", let(F.struct(base_columns(text).alias("r"), weighed.alias("g")), verdict))  # one row, bounded by the number of buckets
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], "__q.*")
+    found = let(F.struct(base_columns(text).alias("r"), weighed.alias("g")), verdict)
+    judged = docs.withColumn("__w", weights.scalar()).withColumn("__q", found)  # weights: one row, bounded by the buckets
+    return judged.select(*columns, "__q.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
