@@ -13,35 +13,77 @@ from webgrain.llm import lines, minhash, mixing, packing, quality
 from webgrain.llm.common import staged
 
 
+#: Rows that go, or repeat, up to which their keys are broadcast (16 bytes each); beyond, they are joined by shuffling.
+BROADCAST_KEYS = 500_000
+
+
+def _with_row(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads, beside all columns of docs as one struct: no name can clash with its own."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; trusted are those labelled good and not toxic."""
+    """Documents that the quality rules keep; trusted are those labelled good and not toxic.
+
+    Defined results: null, empty and blank texts fail the base rules and go; a null id is never trusted; repeated rows share
+    one verdict, and are all kept or all gone; very long texts are read whole; an empty table stays empty; columns of any
+    name pass through.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_rules(docs, quality.trusted_ids(labels)).where("kept").select(*docs.columns)
+    judged = quality.quality_rules(_with_row(docs, "doc_id", "text"), quality.trusted_ids(labels))
+    return judged.where("kept").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines that repeat earlier ones; n_chars follows, a document left without a word goes."""
-    out = lines.dedup_lines(docs, exact_chars=lines.EXACT_CHARS)
+    """All documents, less the lines that repeat earlier ones; n_chars follows, a document left without a word goes.
+
+    Defined results: a null or empty text has nothing to lose and stays, a blank one too; null ids come last in the order;
+    rows of equal id and text lose the same lines; very long texts and lines are handled whole; an empty table stays empty;
+    columns of any name pass through, and n_chars need not be among them.
+    """
+    out = lines.dedup_lines(_with_row(docs, "doc_id", "text"), exact_chars=lines.EXACT_CHARS)
     changed = F.col("n_removed_lines") > 0
-    out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    left = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[(new.get(c) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id (and one row of it)."""
-    groups = minhash.near_duplicates(docs)
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the least id.
+
+    Documents are told apart by id and text, so a text that is no copy stays though another has its id.
+    Defined results: null ids come last in a group's order, and go like others; of rows with equal id and text one stays;
+    texts without words are copies of nothing, so each stays (once to an id); very long texts are compared whole; an empty
+    table stays empty; columns of any name pass through.
+    """
+    found = staged(minhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "text_hash", "stays"), "pipeline-groups")
+    gone = found.where("NOT stays").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    twice = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.count("*").alias("n"), F.min("stays").alias("s"))
+    twice = staged(twice.where("n > 1 AND s").select("d", "h"), "pipeline-twice")
+    rows = _with_row(docs, "doc_id", F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    held = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    marked = rows.join(held(staged(gone, "pipeline-gone")), same, "left_anti").join(held(twice), same, "left")
+    repeated = marked.where("h IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))  # those rows alone
+    return marked.where("h IS NULL").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources, as many rows as there are documents in expectation; copies have equal ids."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """The mixture of sources, as many rows as there are documents in expectation; copies have equal ids.
+
+    Defined results: a null source is a source of its own; null ids share one random number; null, empty and very long texts
+    pass through untouched; repeated rows get equal counts; an empty table stays empty; columns of any name pass through.
+    """
+    return mixing.mixed(_with_row(docs, "doc_id", "source")).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    """Pieces of sequences of at most 4096 tokens.
+
+    Defined results: null and empty texts are the end id alone; null ids pass through; repeated rows (copies of the mixture)
+    are packed each; very long texts fill windows of their own; an empty table gives no piece; other columns are ignored.
+    """
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES = [
