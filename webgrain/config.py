@@ -26,6 +26,7 @@ class AuditConfig:
     analyze_images: bool = True
     report_broken_links: bool = True
     analyze_schema: bool = True
+    sitemap_only: bool = False
 
     def __post_init__(self):
         def check(ok: bool, what: str) -> None:
@@ -41,6 +42,13 @@ class AuditConfig:
         check(0 <= self.external_depth <= 3, "external_depth is from 0 to 3")
         check(1 <= self.max_external_pages <= 5000, "max_external_pages is from 1 to 5000")
 
+    @classmethod
+    def clamped(cls, **given) -> AuditConfig:
+        """Settings as an interface takes them: numbers beyond their bounds are brought within, 50 pages if not said."""
+        between = {"delay_ms": (0, 2000), "max_depth": (0, 50), "max_urls_per_path": (10, 50_000), "max_keywords": (1, 5000), "max_rankings": (0, 100), "external_depth": (0, 3), "max_external_pages": (1, 5000)}
+        bounded = {k: min(max(v, between[k][0]), between[k][1]) if k in between and v is not None else v for k, v in given.items()}
+        return cls(**{"max_pages": 50, **bounded})
+
     @property
     def exhaustive(self) -> bool:
         return self.max_pages is None and not self.exclude_paths and self.max_depth is None

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +52,8 @@ def _ngrams(tokens: Column, low: int, high: int) -> Column:
     return F.concat(*runs)
 
 
+# Patterns of words, and of tokens that fingerprints are made of.
+SIMHASH_TOKEN = re.compile(rb"[a-z0-9]{3,}")
 WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 
 
@@ -87,19 +96,39 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.sha2(token, 256), 1, 16), 16, -10).cast("long")
 
 
+#: Token hashes that a Python worker keeps.
+CACHED_TOKENS = 200_000
+
+
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and fingerprint (long): bit i is set where the frequency-weighted votes of token hashes are 0 or more.
 
-    Tokens are runs of three or more of a-z0-9. Hashing happens once for each distinct token of a row, and one row for
-    each key is shuffled at most per task. Rows without tokens have all bits set.
+    Tokens are runs of three or more of a-z0-9, in lower case; rows without any have all bits set. Each row is hashed on its
+    own in Arrow batches, so nothing is shuffled, and a very long text costs its distinct tokens alone.
     """
-    bag = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("t"))
-    votes = bag.groupBy(key, "t").agg(F.count("*").alias("n")).withColumn("h", token_hash(F.col("t")))
-    sums = votes.groupBy(key).agg(*[F.sum(F.when(F.shiftright("h", i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)])
-    bits = F.lit(0).cast("long")
-    for i in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{i}") >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return df.select(key).join(sums.select(key, bits.alias("fingerprint")), key, "left").select(key, F.coalesce("fingerprint", F.lit(-1).cast("long")).alias("fingerprint"))
+    kind = df.select(key).dtypes[0][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        place = np.arange(64, dtype=np.uint64)
+        for b in batches:
+            out = np.full(b.num_rows, -1, np.int64)
+            for i, t in enumerate(b.column(1).cast(pa.large_binary()).to_pylist()):
+                found = Counter(SIMHASH_TOKEN.findall(t))
+                if not found:
+                    continue
+                if len(known) > CACHED_TOKENS:
+                    known.clear()
+                for token in found.keys() - known.keys():
+                    known[token] = int.from_bytes(hashlib.sha256(token).digest()[:8], "big")
+                h = np.array([known[x] for x in found], np.uint64)
+                n = np.array(list(found.values()), np.int64)
+                ones = n @ ((h[:, None] >> place) & np.uint64(1)).astype(np.int64)
+                out[i] = ((2 * ones >= n.sum()).astype(np.uint64) << place).sum(dtype=np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[key, "fingerprint"])
+
+    lowered = df.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("__text"))
+    return lowered.mapInArrow(run, f"`{key}` {kind}, fingerprint long")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -135,8 +135,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
 
     bands = classes.select("node", "n", "sig").mapInArrow(band, "bucket long, node long, n long")
     # a bucket's least class comes with its size, so that nothing has to be dealt out by that class, which may be that of many
-    ends = bands.groupBy("bucket").agg(F.min(F.struct("node", F.col("n").alias("na"))).alias("l"), F.max("node").alias("most"))
-    shared = ends.where("l.node < most").select("bucket", F.col("l.node").alias("least"), "l.na")
+    ends = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.min_by("n", "node").alias("na"), F.max("node").alias("most"))
+    shared = ends.where("least < most").drop("most")
     members = staged(bands.join(shared, "bucket"), "minhash-members")
 
     involved = members.select("node").distinct()

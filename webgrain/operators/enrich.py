@@ -50,6 +50,34 @@ def image_inventory(images: DataFrame) -> DataFrame:
     return images.groupBy("src").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("occurrences"), F.min_by("alt", at).alias("alt"), F.min_by("filename", at).alias("filename"))
 
 
+def advice_by_image(suggestions: DataFrame) -> DataFrame:
+    """The first suggestion for each image source over all pages: (src, suggested_alt, suggested_filename)."""
+    at = F.struct("page", "n")
+    known = suggestions.where("suggested_alt IS NOT NULL")
+    return known.groupBy("src").agg(F.min_by("suggested_alt", at).alias("suggested_alt"), F.min_by("suggested_filename", at).alias("suggested_filename"))
+
+
+def with_advice(inventory: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """The image inventory with the first suggestion for each source, null where there is none."""
+    return inventory.join(advice_by_image(suggestions), "src", "left")
+
+
+def with_image_analysis(suggestions: DataFrame, analysis: DataFrame) -> DataFrame:
+    """suggestions with what an image service (src, alt, filename, description) found in their place: texts up to 160
+    characters; `basis` tells page context from vision."""
+    found = analysis.groupBy(F.col("src").alias("seen_src")).agg(*[F.max(c).alias(f"seen_{c}") for c in ("alt", "filename", "description")])
+    both = suggestions.join(found, F.col("src") == F.col("seen_src"), "left")
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    return both.withColumns(
+        {
+            "suggested_alt": F.coalesce(F.substring(given("seen_alt"), 1, 160), "suggested_alt"),
+            "suggested_filename": F.coalesce(given("seen_filename"), "suggested_filename"),
+            "description": given("seen_description"),
+            "basis": F.when(F.col("seen_src").isNotNull(), "vision").otherwise("page"),
+        }
+    ).drop("seen_src", "seen_alt", "seen_filename", "seen_description")
+
+
 def duplicate_texts(pages: DataFrame, column: str) -> DataFrame:
     """Non-empty texts, lower-cased, that several pages have."""
     t = F.lower(F.col(column))

@@ -131,6 +131,11 @@ def priorities(findings: DataFrame, total_pages: int | Column, *, limit: int = 2
     return out.where(F.col("rank") <= limit)
 
 
+def leading_findings(findings: DataFrame, *, limit: int = 30) -> DataFrame:
+    """The first findings that aren't mere notes, critical ones first, then in the order of pages and rules."""
+    return findings.where("severity <> 'info'").orderBy(F.col("severity") != "critical", "page", "ordinal").limit(limit)
+
+
 def health(findings: DataFrame, pages: DataFrame) -> DataFrame:
     """One row: counts by severity and the label."""
     counts = findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")])

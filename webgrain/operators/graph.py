@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.functions.urls import host
+from webgrain.sources.sinks import SOCIAL
 from webgrain.staging import staged
 
 
@@ -16,22 +18,32 @@ def incoming_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return pages.join(counts, F.col("key") == F.col("target_key"), "left").select("key", F.coalesce("n", F.lit(0)).alias("incoming"))
 
 
-def click_depths(pages: DataFrame, edges: DataFrame, start: DataFrame, *, max_levels: int = 1000) -> DataFrame:
+#: Levels after which the tables of seen pages are written as one.
+LEVELS_A_TABLE = 8
+
+
+def click_depths(pages: DataFrame, edges: DataFrame, start: DataFrame, *, max_levels: int | None = None) -> DataFrame:
     """(key, depth) for all pages, null where no path of links leads from a start page.
 
-    Breadth-first: each level is a join of the frontier with the edges less what has been seen; levels are durable
-    tables, so lineage doesn't grow, and the loop ends with the first empty level.
+    Breadth-first: each level is a join of the frontier with the edges less what has been seen, as a durable table, so
+    lineage doesn't grow. A page is on no level but its own, so a frontier needs comparing with pages seen only where edges
+    lead back; the tables of levels are written as one every few levels. The loop ends with the first empty level; with
+    max_levels given, pages beyond raise.
     """
     keys = pages.select("key").distinct()
-    real = staged(edges.select("source", "target").join(keys.withColumnRenamed("key", "target"), "target", "left_semi").distinct(), "bfs-edges")
+    inner = edges.select("source", "target").join(keys.withColumnRenamed("key", "target"), "target", "left_semi")
+    real = staged(inner.where("source <> target").distinct(), "bfs-edges")
     level = staged(keys.join(start.select("key").distinct(), "key", "left_semi").withColumn("depth", F.lit(0)), "bfs-level")
-    seen = level
-    for n in range(1, max_levels + 1):
+    seen, n = level, 0
+    while not level.isEmpty():
+        n += 1
+        if max_levels is not None and n > max_levels + 1:
+            raise RuntimeError(f"pages lie deeper than {max_levels} levels")
         step = real.join(level.select(F.col("key").alias("source")), "source").select(F.col("target").alias("key")).distinct()
         level = staged(step.join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(n)), "bfs-level")
-        if level.isEmpty():
-            break
         seen = seen.unionByName(level)
+        if n % LEVELS_A_TABLE == 0:
+            seen = staged(seen, "bfs-seen")
     return keys.join(seen, "key", "left")
 
 
@@ -65,3 +77,23 @@ def redirect_sources(redirects: DataFrame, links: DataFrame) -> DataFrame:
 def external_targets(links: DataFrame) -> DataFrame:
     """External URLs with the number of linking pages and their least one."""
     return links.where("NOT internal").groupBy("target").agg(F.countDistinct("source").alias("pages"), F.min("source").alias("first_source"))
+
+
+def external_sources(links: DataFrame) -> DataFrame:
+    """External URLs with the sorted distinct pages that link to them."""
+    return links.where("NOT internal").groupBy("target").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def link_inventory(links: DataFrame, *key: str) -> DataFrame:
+    """links (source, text, target, ...) by internal or external, text and target: occurrences and pages. Links to share
+    buttons and those that jump to the page's content don't count; key: the columns to group by, these by default."""
+    shared = F.coalesce(host(F.col("target")).rlike(SOCIAL), F.lit(False))
+    jump = F.col("text").rlike(r"(?i)^skip (to )?(main )?content$")
+    rows = links.where(~shared & ~F.coalesce(jump, F.lit(False)))
+    return rows.groupBy(*(key or ("internal", "text", "target"))).agg(F.count("*").alias("occurrences"), F.countDistinct("source").alias("pages"))
+
+
+def blocked_targets(links: DataFrame, blocked: DataFrame) -> DataFrame:
+    """One row: distinct internal targets among blocked pages (key)."""
+    hit = links.where("internal").select(F.col("target_key").alias("key")).join(blocked.select("key"), "key", "left_semi")
+    return hit.agg(F.countDistinct("key").alias("blocked"))

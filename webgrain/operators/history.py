@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webgrain.functions.text import fingerprint
@@ -78,8 +78,46 @@ def merge_domains(runs: DataFrame, merges: DataFrame) -> DataFrame:
     return runs.join(clean, F.col("domain") == F.col("source"), "left").withColumn("domain", F.coalesce("target", "domain")).drop("source", "target")
 
 
+EVENTS = "action string, domain string, run_id string, actor string, details string, at timestamp"
+
+
+def event(spark: SparkSession, action: str, domain: str | None, run_id: str | None, actor: str, **details) -> DataFrame:
+    """One row for the log of what was done to the history."""
+    row = (action, domain, run_id, actor, json.dumps(details, sort_keys=True, default=str))
+    return spark.createDataFrame([row], ", ".join(EVENTS.split(", ")[:5])).withColumn("at", F.current_timestamp())
+
+
+def _confirmed(what: str, confirmation: str) -> None:
+    if confirmation != f"DELETE {what}":
+        raise ValueError(f"confirm with: DELETE {what}")
+
+
 def delete_run(runs: DataFrame, run_id: str, confirmation: str) -> DataFrame:
     """runs without one, if the caller typed what it asks for."""
-    if confirmation != f"DELETE {run_id}":
-        raise ValueError(f"confirm with: DELETE {run_id}")
+    _confirmed(run_id, confirmation)
     return runs.where(F.col("run_id") != run_id)
+
+
+def delete_domain(tables: dict[str, DataFrame], domain: str, confirmation: str, actor: str = "local") -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables (with column domain) without a domain's rows, merges from or to it included, and the event to log; the
+    caller must have typed what it asks for. The log itself stays."""
+    _confirmed(domain, confirmation)
+    left = {}
+    for name, df in tables.items():
+        if name == "events":
+            left[name] = df
+        elif name == "merges":
+            left[name] = df.where(~F.col("source").eqNullSafe(F.lit(domain)) & ~F.col("target").eqNullSafe(F.lit(domain)))
+        else:
+            left[name] = df.where(~F.col("domain").eqNullSafe(F.lit(domain)))
+    spark = next(iter(tables.values())).sparkSession
+    return left, event(spark, "DOMAIN_DELETED", domain, None, actor, tables=sorted(tables))
+
+
+def domain_trend(runs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(domain, runs): each domain's runs in order of time as one array, each with its deltas (fingerprint, state)."""
+    changes = F.array_sort(F.collect_list(F.struct("fingerprint", "state"))).alias("deltas")
+    per_run = deltas.groupBy("domain", "run_id").agg(changes)
+    both = runs.join(per_run, ["domain", "run_id"], "left")
+    fields = ["generated_at", "run_id", *[c for c in runs.columns if c not in ("domain", "run_id", "generated_at")]]
+    return both.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct(*fields, "deltas"))).alias("runs"))

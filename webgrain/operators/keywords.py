@@ -5,36 +5,66 @@ Scores are whole hundredths until the last projection, so sums are exact and ord
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.functions.text import keyword_tokens, ngrams
+from webgrain.functions.text import keyword_tokens
 
 #: Hundredths that one occurrence adds, and the phrase lengths that count, by place.
 PLACES = {"title": (800, 1, 4), "h1": (700, 1, 4), "h2": (400, 2, 4), "description": (300, 2, 4), "body": (12, 2, 4)}
 LEAST_LENGTH, LEAST_SCORE, PER_PAGE = 4, 200, 40
 
 
-def _weighted(weight: int, place: str):
-    return lambda p: F.struct(p.alias("phrase"), F.lit(weight).alias("w"), F.lit(place).alias("place"))
-
-
-def page_signals(pages: DataFrame, key: str, columns: dict[str, Column], *, per_page: int = PER_PAGE, body_chars: int | None = None) -> DataFrame:
+def page_signals(
+    pages: DataFrame, key: str, columns: dict[str, Column], *, per_page: int = PER_PAGE, body_chars: int | None = None
+) -> DataFrame:
     """(key, phrase, score_h, places, rank): the best phrases of each page, from text columns by place.
 
     Ties go to the longer phrase (in words), then to the first one in the page's order of places, lengths and positions.
-    body_chars cuts the body (None: the whole).
+    body_chars cuts the body (None: the whole). A page's phrases are counted where the page is, in Arrow batches, and only
+    its best leave: phrases are never shuffled. A row of pages is a page; null texts have no phrase.
     """
-    parts = []
-    for i, (place, (weight, low, high)) in enumerate(PLACES.items()):
-        if place in columns:
-            text = F.substring(columns[place], 1, body_chars) if place == "body" and body_chars else columns[place]
-            parts.append(F.transform(ngrams(keyword_tokens(text), low, high), _weighted(weight, place)))
-    rows = pages.select(F.col(key), F.posexplode(F.concat(*parts)).alias("at", "x")).select(key, "at", "x.*")
-    scored = rows.groupBy(key, "phrase").agg(F.sum("w").alias("score_h"), F.min("at").alias("first_at"), F.array_sort(F.collect_set("place")).alias("places"))
-    kept = scored.where((F.length("phrase") >= LEAST_LENGTH) & (F.col("score_h") >= LEAST_SCORE))
-    order = Window.partitionBy(key).orderBy(F.desc("score_h"), F.desc(F.size(F.split("phrase", " "))), "first_at")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_page).drop("first_at")
+    places = [p for p in PLACES if p in columns]
+    cut = lambda p: F.substring(columns[p], 1, body_chars) if p == "body" and body_chars else columns[p]
+    tokens = pages.select(key, *[keyword_tokens(cut(p)).alias(f"tokens_{p}") for p in places])
+
+    def best(lists: list[list[str] | None]) -> list[tuple]:
+        score: Counter[str] = Counter()
+        grams, held = [], {}
+        for place, words in zip(places, lists, strict=True):
+            weight, low, high = PLACES[place]
+            for n in range(low, high + 1):
+                own = list(map(" ".join, zip(*[(words or [])[i:] for i in range(n)], strict=False)))
+                grams.append((place, n, own))
+                for phrase, times in Counter(own).items():
+                    score[phrase] += weight * times
+        kept = {p for p, s in score.items() if s >= LEAST_SCORE and len(p) >= LEAST_LENGTH}
+        at = 0
+        for place, n, own in grams if kept else ():
+            for i, phrase in enumerate(own):
+                if phrase in kept:
+                    held.setdefault(phrase, [-score[phrase], -n, at + i, set()])[3].add(place)
+            at += len(own)
+        order = sorted(held, key=lambda p: held[p][:3])[:per_page]
+        return [(p, score[p], sorted(held[p][3]), rank) for rank, p in enumerate(order, 1)]
+
+    shape = pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [best(list(lists)) for lists in zip(*(b.column(i + 1).to_pylist() for i in range(len(places))), strict=True)]
+            found = list(zip(*[x for r in rows for x in r], strict=True)) or [(), (), (), ()]
+            of = b.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows])))
+            made = [pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], shape), pa.array(found[3], pa.int32())]
+            yield pa.RecordBatch.from_arrays([of, *made], names=[key, "phrase", "score_h", "places", "rank"])
+
+    kind = pages.select(key).dtypes[0][1]
+    return tokens.mapInArrow(run, f"`{key}` {kind}, phrase string, score_h long, places array<string>, rank int")
 
 
 def site_keywords(signals: DataFrame, key: str) -> DataFrame:
@@ -80,6 +110,25 @@ def observed_queries(rows: DataFrame) -> DataFrame:
     )
 
 
+def observed_page_metrics(rows: DataFrame) -> DataFrame:
+    """The same for each query and page: (query, page, clicks, impressions, ctr, position); rows without a page are left out."""
+    paged = rows.where("page IS NOT NULL")
+    weighted = F.try_divide(F.sum(F.col("position") * F.col("impressions")), F.sum("impressions"))
+    return paged.groupBy("query", "page").agg(
+        F.sum("clicks").alias("clicks"),
+        F.sum("impressions").alias("impressions"),
+        F.coalesce(F.try_divide(F.sum("clicks"), F.sum("impressions")), F.lit(0.0)).alias("ctr"),
+        F.coalesce(weighted, F.max_by("position", "ordinal")).alias("position"),
+    )
+
+
+def with_page_metrics(queries: DataFrame, metrics: DataFrame) -> DataFrame:
+    """queries with `page_metrics`, a map from each page to its figures."""
+    entry = F.struct("page", F.struct("clicks", "impressions", "ctr", "position"))
+    maps = metrics.groupBy("query").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("page_metrics"))
+    return queries.join(maps, "query", "left")
+
+
 def average_position(queries: DataFrame) -> DataFrame:
     """One row: the impression-weighted mean position, the plain mean without impressions, null without rows."""
     return queries.agg(F.coalesce(F.try_divide(F.sum(F.col("position") * F.col("impressions")), F.sum("impressions")), F.avg("position")).alias("position"))
@@ -95,14 +144,26 @@ def observed_competition(rows: DataFrame) -> DataFrame:
 
 
 def merge_observed(keywords: DataFrame, observed: DataFrame) -> DataFrame:
-    """Full outer join of keywords and observed queries on the lower-cased phrase; observed first, by impressions, score
-    and phrase in `final_rank` order of the caller."""
+    """Full outer join of keywords and observed queries on the lower-cased phrase; `final_keywords` orders and cuts it."""
     k = keywords.withColumn("join_key", F.lower("phrase"))
     o = observed.withColumn("join_key", F.lower("query"))
     both = k.join(o, "join_key", "full_outer")
     return both.select(F.coalesce("phrase", "query").alias("keyword"), F.col("query").isNotNull().alias("observed"), F.coalesce("score_h", F.lit(0)).alias("score_h"), F.coalesce("impressions", F.lit(0)).alias("impressions"), F.coalesce("clicks", F.lit(0)).alias("clicks"), "position")
 
 
+def final_keywords(merged: DataFrame, most: int) -> DataFrame:
+    """The first `most` keywords with `rank`: observed ones first, then by impressions, score and phrase."""
+    order = [F.desc("observed"), F.desc("impressions"), F.desc("score_h"), F.col("keyword")]
+    return merged.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of `most` rows
+
+
+def primary_keywords(pages: DataFrame, signals: DataFrame, key: str) -> DataFrame:
+    """(key, primary_keyword): a page's best phrase of several words, else its first main heading, else its title."""
+    best = signals.where(F.col("phrase").contains(" ")).groupBy(key).agg(F.min_by("phrase", "rank").alias("p"))
+    own = F.coalesce("p", F.nullif(F.get("h1s", 0), F.lit("")), F.nullif(F.col("title"), F.lit("")))
+    return pages.join(best, key, "left").select(key, own.alias("primary_keyword"))
+
+
 def with_rankings(keywords: DataFrame, rankings: DataFrame) -> DataFrame:
     """Keywords with their ranking (position), null where none was looked up."""
     return keywords.join(rankings.select("keyword", F.col("position").alias("ranking")), "keyword", "left")

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgrain.config import AuditConfig
 from webgrain.functions import text as tx
 from webgrain.functions import urls as ur
-from webgrain.operators import duplicates, enrich, findings, graph, history, keywords
+from webgrain.operators import crawl_rules, duplicates, enrich, findings, graph, history, keywords, structure
 from webgrain.sources import exports, site, sinks
 from webgrain.sources.html import extract_pages
 
@@ -108,6 +109,39 @@ def exclusion_reason(spark, d):
     return rows.select("page_id", reason.alias("reason"))
 
 
+CEILING = 40
+
+
+@query(f"""WITH {PARTS}, x AS (SELECT page_id, coalesce(seg[1], '/') AS bucket, row_number() OVER (PARTITION BY coalesce(seg[1], '/') ORDER BY page_id) AS n FROM v)
+SELECT page_id, bucket, n > {CEILING} AS over FROM x""")
+def bucket_ceiling(spark, d):
+    rows = load(spark, d, "pages").select("page_id", ur.bucket(F.col("url")).alias("bucket"))
+    return crawl_rules.bucket_ceiling(rows, "page_id", CEILING)
+
+
+MAIN_HOST = "blog.tionsh.example.net"
+
+
+@query(f"""WITH {PARTS}, e AS (SELECT *, CASE WHEN bare = '/fr' OR starts_with(bare, '/fr/') THEN 'configured' WHEN {ARCHIVE_SQL} THEN 'archive' WHEN len(seg) > 1 AND page_id % 9 = 0 THEN NULL END AS early FROM v),
+o AS (SELECT page_id, row_number() OVER (PARTITION BY coalesce(seg[1], '/') ORDER BY page_id) > {CEILING} AS over FROM e WHERE early IS NULL)
+SELECT page_id, coalesce(early, CASE WHEN over THEN 'bucket_full' WHEN page_id % 11 = 0 THEN 'robots' WHEN page_id % 19 = 0 THEN 'fetch_error'
+  WHEN host <> '{MAIN_HOST}' THEN 'off_domain' WHEN page_id % 5 = 0 THEN 'not_html' END) AS reason FROM e LEFT JOIN o USING (page_id)""")
+def crawl_reasons(spark, d):
+    i = F.col("page_id")
+    log = load(spark, d, "pages").select(
+        F.col("page_id").alias("ordinal"),
+        "url",
+        F.col("url").alias("final_url"),
+        F.lit(200).alias("status"),
+        F.when(i % 5 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
+        F.array().cast("array<string>").alias("chain"),
+        F.when(i % 19 == 0, "timeout").alias("error"),
+        (i % 11 != 0).alias("allowed"),
+    )
+    config = AuditConfig(start_url=f"https://{MAIN_HOST}/", exclude_paths=("/fr",), exclude_archives=True, max_urls_per_path=CEILING)
+    return crawl_rules.with_reasons(log, config).select(F.col("ordinal").alias("page_id"), "reason")
+
+
 @query(f"WITH {PARTS}, g AS (SELECT scheme || '://' || host || pp || path AS k, count(*) AS n FROM v GROUP BY 1) SELECT coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS extra FROM g")
 def param_duplicates(spark, d):
     u = F.col("url")
@@ -141,7 +175,8 @@ def link_explode(spark, d):
 
 @query(f"WITH {LINKS_SQL} SELECT {CLEAN_SQL('anchor')} AS anchor, href, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM l GROUP BY ALL")
 def link_inventory(spark, d):
-    return _links(spark, d).groupBy("anchor", "href").agg(F.count("*").alias("occurrences"), F.countDistinct("page_id").alias("pages"))
+    links = _links(spark, d).select(F.col("page_id").alias("source"), F.col("anchor").alias("text"), F.col("href").alias("target"))
+    return graph.link_inventory(links, "text", "target").withColumnsRenamed({"text": "anchor", "target": "href"})
 
 
 @query(f"WITH {LINKS_SQL} SELECT p.page_id, count(DISTINCT href) FILTER (starts_with(href, '/')) AS internal, count(DISTINCT href) FILTER (NOT starts_with(href, '/')) AS external FROM pages p LEFT JOIN l USING (page_id) GROUP BY 1")
@@ -255,6 +290,13 @@ def observed_queries(spark, d):
     return keywords.observed_queries(_search(spark, d)).select("query", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 6).alias("position"), "pages")
 
 
+@query(f"""WITH {SEARCH_SQL} SELECT query, page, sum(clicks) AS clicks, sum(impressions) AS impressions, round(coalesce(sum(clicks) / nullif(sum(impressions), 0), 0), 6) AS ctr,
+round(coalesce(sum(position * impressions) / nullif(sum(impressions), 0), arg_max(position, ordinal)), 6) AS position FROM x GROUP BY ALL""")
+def observed_page_metrics(spark, d):
+    m = keywords.observed_page_metrics(_search(spark, d))
+    return m.select("query", "page", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 6).alias("position"))
+
+
 @query(f"WITH {OBSERVED_SQL} SELECT round(coalesce(sum(position * impressions) / nullif(sum(impressions), 0), avg(position)), 6) AS position FROM o")
 def weighted_position(spark, d):
     return keywords.average_position(keywords.observed_queries(_search(spark, d))).select(F.round("position", 6).alias("position"))
@@ -480,7 +522,7 @@ def aio_score(spark, d):
 RUNS_SQL = """ev AS (SELECT event_type AS domain, event_type || '-' || lpad((date_diff('day', TIMESTAMP '2020-01-01', ts) // 7)::VARCHAR, 5, '0') AS run_id, date_diff('day', TIMESTAMP '2020-01-01', ts) // 7 AS wk, user_id, event_id FROM events),
 rn AS (SELECT domain, run_id, wk, row_number() OVER (PARTITION BY domain ORDER BY wk) AS n, CASE WHEN wk % 3 = 0 THEN 'b' ELSE 'a' END AS cfg FROM (SELECT DISTINCT domain, run_id, wk FROM ev)),
 sq AS (SELECT *, lag(run_id) OVER w AS previous_run, CASE WHEN lag(run_id) OVER w IS NULL THEN 'BASELINE' WHEN lag(cfg) OVER w <> cfg THEN 'PARTIAL' ELSE 'COMPARABLE' END AS comparison FROM rn WINDOW w AS (PARTITION BY domain ORDER BY wk)),
-fs AS (SELECT DISTINCT domain, run_id, sha256(domain || chr(10) || 'a.example/u' || user_id || chr(10) || 'rule' || (user_id % 5) || chr(10)) AS fingerprint FROM ev WHERE event_id % 3 = 0)"""
+fs AS (SELECT DISTINCT domain, run_id, sha256(domain || chr(10) || 'a.example/u' || user_id || chr(10) || 'rule' || (user_id % 5) || chr(10)) AS fingerprint FROM ev)"""
 
 
 def _runs(spark, d):
@@ -489,7 +531,7 @@ def _runs(spark, d):
     runs = e.select("domain", "run_id", F.col("wk").alias("generated_at"), F.when(F.col("wk") % 3 == 0, "b").otherwise("a").alias("config_fp"), F.lit(history.RULESET).alias("ruleset")).distinct()
     url = F.concat(F.lit("https://www.a.example/u"), F.col("user_id").cast("string"), F.lit("/?utm_source=x"))
     print_ = history.finding_fingerprint(F.col("domain"), url, F.concat(F.lit("rule"), (F.col("user_id") % 5).cast("string")), F.lit(None).cast("string"))
-    return runs, e.where("event_id % 3 = 0").select("domain", "run_id", print_.alias("fingerprint"))
+    return runs, e.select("domain", "run_id", print_.alias("fingerprint"))
 
 
 @query(f"WITH {RUNS_SQL} SELECT domain, run_id, fingerprint FROM fs")
@@ -565,6 +607,90 @@ def summary_ratios(spark, d):
     )
 
 
+#: Pages with link metrics of the arithmetic graph and columns that stand in for what these pages lack.
+SITE_SQL_PAGES = f"""{GRAPH_SQL}, b AS (SELECT 0::BIGINT AS k, 0 AS depth UNION SELECT t, depth + 1 FROM b JOIN g1 ON s = k WHERE depth < 60), dp AS (SELECT k, min(depth) AS depth FROM b GROUP BY 1),
+ic AS (SELECT t, count(DISTINCT s) AS n FROM g1 GROUP BY 1),
+cn AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN page_id // 2 WHEN page_id % 4 = 1 THEN page_id + 100000 ELSE page_id END AS canonical FROM pages),
+tt AS (SELECT page_id, lower({CLEAN_SQL(f"regexp_extract(html, '{TITLE}', 1)")}) AS t, {CLEAN_SQL(f"regexp_extract(html, '{H1}', 1)")} AS h1, length(html) AS n_chars FROM pages),
+gp AS (SELECT t, count(*) AS n FROM tt WHERE t <> '' GROUP BY 1 HAVING count(*) > 1),
+sp AS (SELECT p.page_id AS page, dp.depth, p.page_id <> 0 AND coalesce(ic.n, 0) = 0 AS orphan, cn.canonical, c2.canonical IS NOT NULL AND c2.canonical <> cn.canonical AS chain,
+  CASE WHEN cn.canonical >= 100000 AND cn.canonical % 3 = 0 THEN 404 END AS bad_status, gp.n AS alike, tt.t, tt.h1, tt.n_chars
+  FROM pages p LEFT JOIN dp ON dp.k = p.page_id LEFT JOIN ic ON ic.t = p.page_id JOIN cn USING (page_id) LEFT JOIN cn c2 ON c2.page_id = cn.canonical JOIN tt USING (page_id) LEFT JOIN gp ON gp.t = tt.t)"""
+
+
+def _site_pages(spark, d):
+    """One row for each page: page, url, title, depth, orphan, canonical_key, target_canonical, chain, bad_status, render_error."""
+    p, e = _page_graph(spark, d)
+    found = graph.incoming_links(p, e.select("source", "target", F.col("target").alias("target_key")))
+    found = graph.orphans(found.withColumn("is_start", F.col("key") == 0), exhaustive=True).drop("is_start")
+    found = found.join(graph.click_depths(p, e, p.where("key = 0")), "key")
+    i = F.col("key")
+    canonical = F.when(i % 4 == 0, F.floor(i / 2)).when(i % 4 == 1, i + 100000).otherwise(i)
+    keyed = p.withColumn("canonical_key", canonical)
+    dropped = keyed.where("canonical_key >= 100000").select(F.col("canonical_key").alias("key"), F.when(F.col("canonical_key") % 3 == 0, 404).otherwise(200).alias("status"))
+    problems = graph.canonical_problems(keyed, dropped).drop("canonical_key")
+    targets = keyed.select(F.col("key").alias("canonical_key"), F.col("canonical_key").cast("string").alias("target_canonical"))
+    rows = found.join(keyed, "key").join(problems, "key").join(targets, "canonical_key", "left")
+    html = load(spark, d, "pages").select(F.col("page_id").alias("key"), "url", tx.clean(F.regexp_extract("html", TITLE, 1)).alias("title"), tx.clean(F.regexp_extract("html", H1, 1)).alias("h1"), F.length("html").alias("n_chars"))
+    return rows.join(html, "key").withColumn("render_error", F.when(i % 50 == 7, "timeout")).withColumnRenamed("key", "page")
+
+
+@query(f"""WITH RECURSIVE {SITE_SQL_PAGES}
+SELECT page, 'orphan_page' AS rule, 'warning' AS severity FROM sp WHERE orphan UNION ALL SELECT page, 'deep_click_depth', 'info' FROM sp WHERE depth > 3
+UNION ALL SELECT page, 'canonical_chain', 'warning' FROM sp WHERE chain UNION ALL SELECT page, 'canonical_non_200', 'critical' FROM sp WHERE bad_status IS NOT NULL
+UNION ALL SELECT page, 'near_duplicate_content', 'warning' FROM sp WHERE alike > 1 UNION ALL SELECT page, 'javascript_render_failed', 'warning' FROM sp WHERE page % 50 = 7""")
+def site_findings(spark, d):
+    pages = _site_pages(spark, d)
+    titled = pages.where("title <> ''").select("page", F.lower("title").alias("t"))
+    groups = titled.join(titled.groupBy("t").agg(F.min("page").alias("component")), "t").select("page", "component")
+    return structure.site_findings(pages, groups).select("page", "rule", "severity")
+
+
+@query(f"""WITH RECURSIVE {SITE_SQL_PAGES}
+SELECT count(*) AS pages, count(*) FILTER (orphan) AS orphan_pages, round(avg(depth), 6) AS average_click_depth, round(100.0 * count(*) FILTER (n_chars % 5 > 0 AND page % 3 = 0) / nullif(count(*) FILTER (n_chars % 5 > 0), 0), 6) AS schema_coverage,
+round(100.0 * count(*) FILTER (canonical = page) / count(*), 6) AS canonical_self_rate, count(*) FILTER (chain) AS canonical_chains, count(*) FILTER (bad_status IS NOT NULL) AS canonical_non_200,
+count(*) FILTER (page % 6 = 0) AS heading_violations, count(*) FILTER (n_chars % 2 = 0) AS mixed_content_pages, count(*) FILTER (n_chars > 730) AS stale_pages, count(*) FILTER (page % 2 = 0) AS listed_pages FROM sp""")
+def summary(spark, d):
+    i, n = F.col("page"), F.col("n_chars")
+    stand_ins = {
+        "page_type": F.when(n % 5 > 0, "landing").otherwise("feed"), "has_schema": i % 3 == 0, "listed": i % 2 == 0, "canonical": F.col("canonical_key"),
+        "canonical_self": F.col("canonical_key") == i, "heading_skip": F.when(i % 6 == 0, "H1 to H3"), "mixed": n % 2 == 0, "content_age_days": n,
+    }
+    s = structure.summary(_site_pages(spark, d).withColumns(stand_ins))
+    return s.select(*[F.round(c, 6).alias(c) if c in ("average_click_depth", "schema_coverage", "canonical_self_rate") else c for c in s.columns])
+
+
+@query(f"""WITH RECURSIVE {SITE_SQL_PAGES}
+SELECT count(*) FILTER (t = '') AS missing_titles, count(*) FILTER (page % 3 > 0) AS missing_descriptions, count(*) FILTER (h1 = '') AS missing_h1s, 0::BIGINT AS missing_canonicals, round(avg(nullif(n_chars, 0)), 6) AS average_words,
+round(avg(nullif(page % 7, 0)), 6) AS average_response_ms, sum(page % 4)::BIGINT AS images_without_alt, count(*) FILTER (canonical <> page) AS canonical_mismatches FROM sp""")
+def document_counts(spark, d):
+    i = F.col("page")
+    stand_ins = {"description": F.when(i % 3 == 0, "x"), "canonical": F.col("canonical_key").cast("string"), "url": i.cast("string"), "words": F.col("n_chars"), "response_ms": i % 7, "images_without_alt": i % 4}
+    c = structure.document_counts(_site_pages(spark, d).withColumns(stand_ins))
+    return c.select(*[F.round(x, 6).alias(x) if x.startswith("average") else x for x in c.columns])
+
+
+@query("""WITH r AS (SELECT CASE WHEN l_linenumber > 1 THEN l_quantity END AS lcp, l_discount AS cls, CASE WHEN l_linenumber > 9 THEN 1.0::DOUBLE END AS inp, CASE WHEN l_returnflag = 'R' THEN l_tax END AS tbt FROM lineitem)
+SELECT round(avg(lcp), 6) AS lcp, round(avg(cls), 6) AS cls, avg(inp) AS inp, round(avg(tbt), 6) AS tbt FROM r""")
+def performance_means(spark, d):
+    n = F.col("l_linenumber")
+    r = load(spark, d, "lineitem").select(F.when(n > 1, F.col("l_quantity")).alias("lab_lcp"), F.col("l_discount").alias("lab_cls"), F.when(n > 9, F.lit(1.0)).alias("field_inp"), F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("lab_tbt"))
+    m = structure.performance_means(r)
+    return m.select(*[F.round(c, 6).alias(c) if c != "inp" else F.col(c) for c in m.columns])
+
+
+H1_ALL = r"(?is)<h1[^>]*>.*?</h1>"
+ENTITIES = lambda x: f"replace({x}, '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, {ENTITIES(CLEAN_SQL(f"regexp_extract(html, '{TITLE}', 1)"))} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '{H1_ALL}')) AS h1s,
+len(regexp_extract_all(html, '<a href="[^"]+"')) AS links, length(html)::INT AS html_chars FROM pages""")
+def html_extract_counts(spark, d):
+    """What patterns can tell of the Python pass over these pages."""
+    p = extract_pages(load(spark, d, "pages"))
+    return p.select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"), F.size(F.filter("headings", lambda h: h["level"] == 1)).cast("long").alias("h1s"), F.size("links").cast("long").alias("links"), "html_chars")
+
+
 @query()
 def html_extract(spark, d):
     """The Python pass over pages; tested against fixtures."""

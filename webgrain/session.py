@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from webgrain.config import AuditConfig
 from webgrain.functions import text as tx
 from webgrain.functions import urls as ur
+from webgrain.operators import crawl_rules as rules
+from webgrain.operators import duplicates, enrich, graph, keywords, structure, suggestions
 from webgrain.operators import findings as fi
-from webgrain.operators import graph, keywords
+from webgrain.sources import site
 from webgrain.sources.html import extract_pages
 from webgrain.staging import staged
 
@@ -20,7 +22,7 @@ class AuditSession:
 
     def pages(self, snapshots: DataFrame, as_of: str = "2026-01-01") -> DataFrame:
         """Extracted pages (snapshots: page_id, url, html) with measures, dimensions of answer readiness and rule inputs."""
-        p = extract_pages(snapshots)
+        p = extract_pages(snapshots.select("page_id", "url", "html", *(["headers"] if "headers" in snapshots.columns else [])))
         texts = lambda n: F.transform(F.filter("headings", lambda h: h["level"] == n), lambda h: h["text"])
         day = lambda c: F.coalesce(F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")), F.try_to_timestamp(c))
         read = tx.readability(F.col("text"))
@@ -54,19 +56,27 @@ class AuditSession:
 
     def findings(self, snapshots: DataFrame, as_of: str = "2026-01-01") -> DataFrame:
         """Findings of all rules that need one page, less those of modules that are off."""
-        p = self.pages(snapshots, as_of)
+        return self._findings(self.pages(snapshots, as_of))
+
+    def _findings(self, p: DataFrame) -> DataFrame:
         rows = fi.explode_rules(p, "page_id", fi.page_rules(p)).select("page_id", "category", "severity", "rule", "message", "evidence")
         rows = rows.unionByName(fi.schema_findings(p, "page_id")) if self.config.analyze_schema else rows.where(~F.col("rule").contains("schema"))
         return rows if self.config.analyze_images else rows.where(~F.col("rule").rlike("^image_|^aio_multimodal"))
 
     def links(self, snapshots: DataFrame) -> DataFrame:
-        p = extract_pages(snapshots).select("page_id", ur.graph_form(F.col("url")).alias("source"), F.posexplode("links").alias("ordinal", "l"))
-        return p.select("page_id", "source", "ordinal", F.col("l.text").alias("text"), F.col("l.url").alias("target"), F.col("l.internal").alias("internal"), ur.graph_form(F.col("l.url")).alias("target_key"))
+        return self._links(extract_pages(snapshots))
+
+    def _links(self, pages: DataFrame) -> DataFrame:
+        p = pages.select("page_id", "url", ur.graph_form(F.col("url")).alias("source"), F.posexplode("links").alias("ordinal", "l"))
+        link = [F.col("l.text").alias("text"), F.col("l.url").alias("target"), F.col("l.internal").alias("internal")]
+        return p.select("page_id", "url", "source", "ordinal", *link, ur.graph_form(F.col("l.url")).alias("target_key"))
 
     def link_metrics(self, snapshots: DataFrame) -> DataFrame:
         """(key, incoming, depth, orphan) of the pages' link graph from the site's root, else the start URL."""
         pages = snapshots.select(ur.graph_form(F.col("url")).alias("key")).where("key IS NOT NULL").distinct()
-        links = staged(self.links(snapshots).where("internal"), "audit-links")
+        return self._link_metrics(pages, staged(self.links(snapshots).where("internal"), "audit-links"))
+
+    def _link_metrics(self, pages: DataFrame, links: DataFrame) -> DataFrame:
         root = ur.graph_form(F.concat(ur.origin(F.lit(self.config.start_url)), F.lit("/")))
         has_root = pages.where(F.col("key") == root).limit(1).count() > 0
         start = pages.where(F.col("key") == (root if has_root else ur.graph_form(F.lit(self.config.start_url))))
@@ -76,11 +86,145 @@ class AuditSession:
 
     def keywords(self, snapshots: DataFrame) -> DataFrame:
         """Site keywords after suppression, the best max_keywords."""
-        p = self.pages(snapshots)
+        return self._keywords(self.pages(snapshots)).limit(self.config.max_keywords)
+
+    def _signals(self, p: DataFrame) -> DataFrame:
         places = {"title": F.col("title"), "h1": F.array_join("h1s", " "), "h2": F.array_join("h2s", " "), "description": F.col("description"), "body": F.col("text")}
-        site = keywords.site_keywords(keywords.page_signals(p, "page_id", places), "page_id")
-        return keywords.suppress_parts(site).orderBy(F.desc("score_h"), F.desc(F.length("phrase")), "phrase").limit(self.config.max_keywords)
+        return keywords.page_signals(p, "page_id", places)
+
+    def _keywords(self, p: DataFrame) -> DataFrame:
+        site = keywords.site_keywords(self._signals(p), "page_id")
+        return keywords.suppress_parts(site).orderBy(F.desc("score_h"), F.desc(F.length("phrase")), "phrase")
 
     def priorities(self, snapshots: DataFrame) -> DataFrame:
         rows = self.findings(snapshots).withColumn("page", F.col("page_id")).withColumn("ordinal", F.lit(0))
         return fi.priorities(rows, snapshots.count())
+
+    def run(
+        self,
+        log: DataFrame,
+        *,
+        robots: dict[str, str] | None = None,
+        sitemaps: DataFrame | None = None,
+        search: DataFrame | None = None,
+        analytics: DataFrame | None = None,
+        rankings: DataFrame | None = None,
+        performance: DataFrame | None = None,
+        external: DataFrame | None = None,
+        as_of: str = "2026-01-01",
+    ) -> dict[str, DataFrame]:
+        """A whole audit of fetched rows: the report's tables by name.
+
+        log: ordinal, url, final_url, status, content_type, html, chain, error; headers, response_ms, render_error and allowed
+        if known, rows of sources.fetch.crawl for one. robots: rules by origin; sitemaps: (url, status, xml); search,
+        analytics: typed rows of exports; rankings: (keyword, position); performance: (url, lab_..., field_...); external:
+        rows of external_checks. What isn't given is left out of the report.
+        """
+        spark, c = self.spark, self.config
+        for name, kind in (("headers", "map<string,string>"), ("response_ms", "double"), ("render_error", "string")):
+            log = log if name in log.columns else log.withColumn(name, F.lit(None).cast(kind))
+        if "allowed" not in log.columns:
+            log = site.with_allowed(log, robots or {}, c.user_agent)
+        if "reason" in log.columns:  # rows that the crawl itself left out
+            shut = log.where("reason IS NOT NULL").select("url", "status", "reason")
+            log = log.where("reason IS NULL").drop("reason")
+        else:
+            shut = spark.createDataFrame([], "url string, status int, reason string")
+        ordered = rules.with_reasons(log, c).orderBy("ordinal")  # ids follow the order of the crawl
+        judged = staged(ordered.withColumn("page_id", F.monotonically_increasing_id()), "audit-log")
+        dropped = shut.unionByName(judged.where("reason IS NOT NULL").select(F.coalesce(F.when(F.col("reason") == "not_html", F.col("final_url")), F.col("url")).alias("url"), "status", "reason"))
+
+        html = judged.where("reason IS NULL").select("page_id", F.col("final_url").alias("url"), "html", "headers")
+        facts = judged.where("reason IS NULL").select("page_id", "status", "response_ms", "render_error", F.col("chain").alias("redirect_chain"))
+        every = staged(self.pages(html, as_of).join(facts, "page_id"), "audit-extracted")
+        every = every.withColumn("reason", rules.unindexable(F.col("status"), F.col("robots"))).withColumn("indexable", F.col("reason").isNull())
+        dropped = dropped.unionByName(every.where("NOT indexable").select("url", "status", "reason"))
+        dropped = staged(dropped.withColumn("key", ur.graph_form(F.col("url"))), "audit-excluded")
+        first = every.where("indexable").groupBy("url").agg(F.min("page_id").alias("page_id"))
+        pages = staged(every.join(first.select("page_id"), "page_id", "left_semi").drop("reason"), "audit-pages")
+
+        links = staged(self._links(pages), "audit-links")
+        keyed = pages.withColumn("key", ur.graph_form(F.col("url"))).withColumn("canonical_key", ur.graph_form(F.col("canonical")))
+        graph_rows = self._link_metrics(keyed.select("key").distinct(), links.where("internal"))
+        heads = keyed.select("page_id", "key", "url", "canonical_key", F.col("render_error"))
+        targets = keyed.groupBy(F.col("key").alias("canonical_key")).agg(F.min("canonical").alias("target_canonical"))
+        problems = graph.canonical_problems(heads.select("page_id", "key", "canonical_key"), dropped.select("key", "status").where("status IS NOT NULL").distinct())
+        linked = heads.join(graph_rows, "key", "left").join(problems.select("page_id", "chain", "bad_status"), "page_id").join(targets, "canonical_key", "left")
+        linked = staged(linked.dropDuplicates(["page_id"]).withColumnRenamed("page_id", "page"), "audit-linked")
+        prints = pages.select(F.col("page_id").alias("page"), "page_type", "title", "description", "words")
+        prints = prints.join(tx.simhash(pages.select(F.col("page_id").alias("page"), "text"), "page", "text"), "page")
+        groups = staged(duplicates.duplicate_groups(prints), "audit-groups")
+
+        site_rows = structure.site_findings(linked, groups).withColumnRenamed("page", "page_id").withColumn("ordinal", F.lit(1000))
+        own = self._findings(pages).withColumn("ordinal", F.lit(0)).unionByName(site_rows)
+        found = staged(own.join(pages.select("page_id", "url"), "page_id"), "audit-findings")
+
+        listed = None if sitemaps is None else staged(site.sitemap_pages(sitemaps, c.start_url).select(ur.graph_form(F.col("url")).alias("k")).distinct(), "audit-sitemap")
+        shape = linked.select("page", "key", "depth", "orphan", "incoming", "chain", "bad_status")
+        full = pages.join(shape, pages["page_id"] == shape["page"]).drop("page")
+        full = full.join(listed.withColumn("listed", F.lit(True)), F.col("key") == F.col("k"), "left").drop("k") if listed is not None else full.withColumn("listed", F.lit(None).cast("boolean"))
+        full = full.withColumns(
+            {
+                "listed": F.coalesce("listed", F.lit(False)),
+                "has_schema": structure.own_schema(F.col("schemas")),
+                "canonical_self": F.col("canonical") == F.col("url"),
+                "mixed": F.size("insecure") > 0,
+                "h1": F.get("h1s", 0),
+            }
+        )
+        if analytics is not None:
+            rows = enrich.last_by_path(analytics.withColumn("path", ur.path(F.concat(ur.origin(F.lit(c.start_url)), F.col("page")))).drop("page"), "path", "ordinal")
+            full = enrich.with_analytics(full.withColumn("path_key", ur.bare_path(F.col("url"))), rows.drop("ordinal", "path")).drop("path_key")
+        full = staged(full, "audit-full")
+
+        blocked = dropped.where("reason = 'robots'").select("key").distinct()
+        waste = structure.crawl_waste(graph.blocked_targets(links, blocked), enrich.parameter_duplicates(judged.select(F.concat(ur.origin(F.col("url")), ur.path(F.col("url"))).alias("k")), "k"))
+        summary = structure.summary(full).crossJoin(F.broadcast(waste))  # one row each
+        counts = [("near_duplicate_groups", groups.agg(F.countDistinct("component"))), ("excluded", dropped.agg(F.count("*"))), ("fetched", judged.agg(F.count("*")))]
+        if listed is not None:
+            counts.append(("sitemap_pages", listed.agg(F.count("*"))))
+        for name, one in counts:
+            summary = summary.withColumn(name, one.toDF(name).scalar())
+        if listed is not None:
+            summary = summary.withColumn("indexable_rate", F.try_divide(100.0 * F.col("listed_pages"), F.col("sitemap_pages")))
+
+        merged = self._keywords(pages)
+        if search is not None:
+            merged = keywords.merge_observed(merged, keywords.observed_queries(search))
+        else:
+            merged = merged.select(F.col("phrase").alias("keyword"), F.lit(False).alias("observed"), "score_h", F.lit(0.0).alias("impressions"), F.lit(0.0).alias("clicks"), F.lit(None).cast("double").alias("position"))
+        final = staged(keywords.final_keywords(merged, c.max_keywords), "audit-keywords")
+        final = final if rankings is None else keywords.with_rankings(final, rankings)
+
+        advice = suggestions.image_suggestions(pages, "page_id", F.coalesce(F.get("h1s", 0), F.col("title"))) if c.analyze_images else None
+        images = pages.select(F.col("page_id").alias("page"), F.posexplode("images").alias("ordinal", "i")).select("page", "ordinal", "i.src", "i.alt", "i.filename")
+        inventory = enrich.image_inventory(images)
+        moved = rules.redirects(judged.where("reason IS NULL OR reason IN ('off_domain', 'not_html')"))
+        ranked = found.select(F.col("page_id").alias("page"), "ordinal", "rule", "category", "severity", "message")
+        out = {
+            "pages": full,
+            "findings": found,
+            "priorities": fi.priorities(ranked, pages.count()),
+            "links": links,
+            "link_inventory": graph.link_inventory(links),
+            "excluded": dropped.drop("key"),
+            "redirects": moved.join(graph.redirect_sources(moved.select("url"), links), "url", "left"),
+            "broken_links": graph.broken_links(links, dropped.where("status >= 400").select("url", "status").distinct()) if c.report_broken_links else None,
+            "external": external if external is not None else graph.external_sources(links),
+            "keywords": final,
+            "competing_pages": keywords.observed_competition(search) if search is not None else keywords.competing_pages(self._signals(pages), "page_id"),
+            "primary_keywords": keywords.primary_keywords(pages, self._signals(pages), "page_id"),
+            "schema_suggestions": pages.select("page_id", "url", suggestions.schema_suggestions(F.col("url"), F.col("title"), F.col("h1s"), F.col("h2s"), F.col("text"), F.flatten(F.transform("schemas", lambda s: s["types"]))).alias("types")) if c.analyze_schema else None,
+            "images": inventory if advice is None else enrich.with_advice(inventory, advice.withColumnRenamed("page_id", "page")),
+            "image_suggestions": advice,
+            "document": structure.document_counts(full),
+            "summary": summary,
+            "health": fi.health(found, pages),
+            "crawler_access": spark.createDataFrame(site.crawler_access(robots or {}, c.start_url), "crawler string, allowed boolean"),
+            "sitemaps": site.sitemap_report(sitemaps, c.start_url) if sitemaps is not None else None,
+            "search": keywords.observed_queries(search) if search is not None else None,
+            "search_pages": keywords.observed_page_metrics(search) if search is not None else None,
+            "performance": performance,
+            "performance_means": structure.performance_means(performance) if performance is not None else None,
+        }
+        return {k: v for k, v in out.items() if v is not None}

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from webgrain.operators.enrich import number, rate
 
 # Spellings of fields in exports, by their letters and digits.
-SEARCH_DIMENSIONS = {"query": ("query", "topqueries"), "page": ("page", "toppages"), "date": ("date",)}
+SEARCH_DIMENSIONS = {"query": ("query", "queries", "topqueries"), "page": ("page", "pages", "toppages"), "date": ("date",)}
 SEARCH_METRICS = {"clicks": ("clicks",), "impressions": ("impressions",), "ctr": ("ctr",), "position": ("position", "averageposition")}
-ANALYTICS_DIMENSIONS = {"page": ("landingpage", "landingpagequerystring", "pagepath", "pagepathandscreenclass"), "date": ("date",)}
+ANALYTICS_DIMENSIONS = {
+    "page": ("landingpage", "landingpagequerystring", "pagepath", "pagepathquerystring", "pagepathandscreenclass", "page", "pages"),
+    "date": ("date",),
+}
 ANALYTICS_METRICS = {
     "sessions": ("sessions",),
     "users": ("totalusers", "activeusers", "users"),
@@ -25,7 +28,7 @@ ANALYTICS_METRICS = {
     "key_events": ("keyevents", "conversions"),
 }
 #: Queries with a search operator aren't searches of visitors.
-OPERATOR = r"(?i)^(site|cache|related|info|link|inurl|intitle|intext|allinurl|allintitle|allintext|filetype):"
+OPERATOR = r"(?i)^(site|cache|related|info|filetype|inurl|intitle|allinurl|allintitle):"
 DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%Y%m%d", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y")
 
 
@@ -47,13 +50,19 @@ def find_header(rows: list[list[str]], dimensions: dict, metrics: dict) -> int |
 def read_export(spark: SparkSession, path: str, dimensions: dict, metrics: dict) -> DataFrame:
     """All data rows of an export as strings, in columns named by field, missing ones null, with `ordinal`.
 
-    The header is looked for in the file's first lines; the body is read by Spark's CSV reader.
+    The header is the first line, however late, with a known dimension and a known metric; only that line comes to the
+    driver. The body is read by Spark's CSV reader.
     """
-    head = table("\n".join(r["value"] for r in spark.read.text(path).limit(200).collect()))  # a preamble is short
-    at = find_header(head, dimensions, metrics)
-    if at is None:
+    known = [F.array(*[F.lit(s) for v in x.values() for s in v]) for x in (dimensions, metrics)]
+    line = F.regexp_replace("value", "\r$", "")
+    cells = F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(line.alias("value"), cells.alias("c"), place.alias("place"))
+    heads = lines.where(F.arrays_overlap("c", known[0]) & F.arrays_overlap("c", known[1]))
+    found = heads.agg(F.min_by("value", "place")).collect()[0][0]
+    if found is None:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*dimensions, *metrics]) + ", ordinal long")
-    header = head[at]
+    header = table(found)[0]
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
     raw = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
     rows = raw.withColumn("ordinal", F.monotonically_increasing_id())
@@ -86,6 +95,22 @@ def combined(raw: DataFrame) -> bool:
     return raw.where("query IS NOT NULL AND page IS NOT NULL").limit(1).count() > 0
 
 
+def merge_search(combined_files: list[DataFrame], single_files: list[DataFrame]) -> DataFrame | None:
+    """Typed rows of the search exports that count: files with queries and pages, where there are any, else all others;
+    together they would count twice. `ordinal` follows the order of the files. None without files."""
+    chosen = combined_files or single_files
+    out = None
+    for i, rows in enumerate(chosen):
+        placed = rows.withColumn("ordinal", F.struct(F.lit(i).alias("file"), "ordinal"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def chosen_period(given: dict | None, *detected: dict | None) -> dict | None:
+    """The period that the caller or an interface gives, else the first one that is found in the files."""
+    return next((p for p in (given, *detected) if p), None)
+
+
 def parse_date(text: str) -> date | None:
     for f in DATE_FORMATS:
         try:

@@ -7,36 +7,69 @@ by module path; crawls of more than a list are `crawl`, a loop of frontier joins
 from __future__ import annotations
 
 import importlib
+import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from webgrain.functions.urls import crawl_form
+from webgrain.config import AuditConfig
+from webgrain.functions.urls import bucket, crawl_form, private_host, same_host
+from webgrain.operators.crawl_rules import before_fetching, bucket_ceiling
 from webgrain.sources.html import extract
+from webgrain.sources.site import with_allowed
 from webgrain.staging import staged
 
-FETCH_SCHEMA = "url string, final_url string, status int, content_type string, html string, chain array<string>, error string"
-HOPS = 10
+FETCH_SCHEMA = (
+    "url string, final_url string, status int, content_type string, html string, chain array<string>, error string, "
+    "statuses array<int>, response_ms double, headers map<string,string>"
+)
+NAMES = [c.split()[0] for c in FETCH_SCHEMA.split(", ")]
+HOPS, TIMEOUT_S = 10, 30
+
+
+def http_get(url: str, timeout: float = TIMEOUT_S, agent: str = "webgrain") -> dict:
+    """One answer over HTTP, redirects not followed: status, location, content_type, headers, body."""
+    import urllib.error
+    import urllib.request
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *args):
+            return None
+
+    try:
+        answer = urllib.request.build_opener(Stay).open(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout)
+    except urllib.error.HTTPError as e:
+        answer = e
+    with answer:
+        headers = {k.lower(): v for k, v in answer.headers.items()}
+        body = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+        return {"status": answer.status, "location": headers.get("location"), "content_type": headers.get("content-type"), "headers": headers, "body": body}
 
 
 def follow(url: str, get: Callable[[str], dict], hops: int = HOPS) -> dict:
-    """One URL through its redirects; loops and too many hops are errors. get(url): status, location, content_type, body."""
-    chain, at = [url], url
+    """One URL through its redirects; loops and too many hops are errors. get(url): status, location, content_type, headers,
+    body. The row has the status of each hop and the time that all took."""
+    chain, at, statuses, begun = [url], url, [], time.monotonic()
+    row = {"url": url, "final_url": url, "status": None, "content_type": None, "html": None, "chain": [], "error": None, "statuses": statuses, "response_ms": None, "headers": {}}
     try:
         for _ in range(hops + 1):
             r = get(at)
+            statuses.append(r["status"])
             if not 300 <= r["status"] < 400 or not r.get("location"):
-                return {"url": url, "final_url": at, "status": r["status"], "content_type": r.get("content_type"), "html": r.get("body"), "chain": chain if len(chain) > 1 else [], "error": None}
-            at = r["location"].split("#")[0]
+                row |= {"status": r["status"], "content_type": r.get("content_type"), "html": r.get("body"), "headers": r.get("headers") or {}}
+                return row | {"final_url": at, "chain": chain if len(chain) > 1 else [], "response_ms": 1000 * (time.monotonic() - begun)}
+            at = urljoin(at, r["location"]).split("#")[0]
             if at in chain:
                 raise ValueError("redirect loop: " + " > ".join([*chain, at]))
             chain.append(at)
         raise ValueError(f"more than {hops} redirects")
     except Exception as e:  # noqa: BLE001  whatever a fetcher raises is the row's error
-        return {"url": url, "final_url": at, "status": None, "content_type": None, "html": None, "chain": chain, "error": str(e)}
+        return row | {"final_url": at, "chain": chain, "error": str(e)}
 
 
 class FetchSource(DataSource):
@@ -68,9 +101,8 @@ class FetchReader(DataSourceReader):
             yield tuple(follow(u, get).values())
 
 
-def crawl(spark: SparkSession, start: list[str], get: Callable[[str], dict], *, max_pages: int | None = None, max_levels: int = 50) -> DataFrame:
-    """Fetched rows (FETCH_SCHEMA and level) from the start URLs over internal links, breadth first, each URL once in
-    crawl form. max_pages bounds what is fetched, in the order of levels and URLs."""
+def _run(get: Callable[[str], dict], internal: bool):
+    """Rows of fetched URLs with the links on each page, of its own host or all."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -78,22 +110,123 @@ def crawl(spark: SparkSession, start: list[str], get: Callable[[str], dict], *,
             for u in f["url"]:
                 r = follow(u, get)
                 page = extract(r["final_url"], r["html"]) if r["html"] else None
-                rows.append(r | {"targets": [x["url"] for x in page["links"] if x["internal"]] if page else []})
-            yield pd.DataFrame(rows, columns=[*[c.split()[0] for c in FETCH_SCHEMA.split(", ")], "targets"])
-
-    todo = spark.createDataFrame([(u,) for u in start], "url string").select(crawl_form(F.col("url")).alias("url")).distinct()
-    done, left = None, max_pages
-    for level in range(max_levels):
+                rows.append(r | {"targets": [x["url"] for x in page["links"] if x["internal"] or not internal] if page else []})
+            yield pd.DataFrame(rows, columns=[*NAMES, "targets"])
+
+    return run
+
+
+FETCHED = FETCH_SCHEMA + ", targets array<string>"
+
+
+def crawl(
+    spark: SparkSession,
+    start: list[str],
+    get: Callable[[str], dict],
+    *,
+    config: AuditConfig | None = None,
+    robots: dict[str, str] | None = None,
+    sitemap: DataFrame | None = None,
+    max_pages: int | None = None,
+    max_levels: int | None = None,
+) -> DataFrame:
+    """Fetched rows (FETCH_SCHEMA, level, ordinal, reason, allowed) from the start URLs, and those of a sitemap (url), over
+    internal links, breadth first, each URL once in crawl form.
+
+    config: its excluded paths, archives, depth and path ceilings hold before a URL is fetched; robots: rules by origin.
+    What they leave out is a row with its reason and nothing fetched. max_pages bounds what is fetched, in the order of
+    levels and URLs (of config, if not given). The loop ends when no new URL is found; with max_levels, URLs beyond raise.
+    """
+    config = config or AuditConfig(start_url=start[0], max_depth=None, max_urls_per_path=10**9)
+    most = max_pages if max_pages is not None else config.max_pages
+    first = spark.createDataFrame([(u,) for u in start], "url string")
+    if sitemap is not None:
+        first = first.unionByName(sitemap.select("url"))
+    form = lambda df: df.select(crawl_form(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
+    todo, done, left, level = form(first), None, most, 0
+    while True:
+        if max_levels is not None and level > max_levels:
+            if todo.isEmpty():
+                break
+            raise RuntimeError(f"URLs lie deeper than {max_levels} levels")
+        # levels are ordered by URL: an ordinal for each URL, without dealing all of them to one task
+        placed = todo.withColumn("bucket", bucket(F.col("url"))).withColumn("ordinal", F.struct(F.lit(level).alias("level"), "url"))
+        judged = placed.withColumn("reason", before_fetching(config, F.col("url")))
+        if done is not None:
+            earlier = done.where("NOT coalesce(reason, '') IN ('configured', 'archive', 'too_deep')")
+            judged = judged.unionByName(earlier.select("url", bucket(F.col("url")).alias("bucket"), "ordinal", "reason"))
+        ranked = bucket_ceiling(judged.where("coalesce(reason, '') IN ('', 'bucket_full', 'robots')"), "ordinal", config.max_urls_per_path)
+        over = ranked.where("over").select("url").withColumn("full", F.lit(True))
+        here = placed.withColumn("reason", before_fetching(config, F.col("url"))).join(over, "url", "left")
+        here = with_allowed(here, robots or {}, config.user_agent)
+        reason = F.coalesce("reason", F.when(F.col("full"), "bucket_full"), F.when(~F.col("allowed"), "robots"))
+        here = staged(here.select("url", "ordinal", reason.alias("reason"), "allowed"), "crawl-level")
+        wanted = here.where("reason IS NULL")
         if left is not None:
-            todo = todo.orderBy("url").limit(left)
-        got = staged(todo.mapInPandas(run, FETCH_SCHEMA + ", targets array<string>").withColumn("level", F.lit(level)), "crawl-level")
+            wanted = wanted.orderBy("url").limit(left)
+        fetched = wanted.select("url").mapInPandas(_run(get, True), FETCHED)
+        marks = here.select("url", "ordinal", "reason", "allowed")
+        got = staged(marks.join(fetched, "url", "inner" if left is not None else "left").where("reason IS NULL"), "crawl-fetched")
         n = got.count()
-        if not n:
-            break
-        done = got if done is None else done.unionByName(got)
+        shut = here.where("reason IS NOT NULL")
+        rows = got.unionByName(shut, allowMissingColumns=True)
+        done = rows if done is None else done.unionByName(rows)
         left = None if left is None else left - n
         if left == 0:
             break
-        found = got.select(F.explode("targets").alias("u")).select(crawl_form(F.col("u")).alias("url")).where("url IS NOT NULL").distinct()
+        found = form(got.select(F.explode("targets").alias("url")))
         todo = staged(found.join(done.select("url"), "url", "left_anti"), "crawl-frontier")
-    return done
+        level += 1
+        if config.sitemap_only or not n or todo.isEmpty():
+            break
+    return done.withColumn("level", F.col("ordinal.level"))
+
+
+def external_checks(links: DataFrame, get: Callable[[str], dict], config: AuditConfig) -> DataFrame:
+    """Fetched rows of external link targets (links: source, target, internal), with depth, robots_allowed and the sorted
+    sources that link to each; HTML pages found are read for more links down to config.external_depth.
+
+    At most config.max_external_pages are fetched, in the order of depth and URL. Each URL counts once, in crawl form;
+    private hosts are left out; each origin's robots rules are read through get.
+    """
+    spark = links.sparkSession
+    shape = links.where("NOT internal").select(F.col("source"), crawl_form(F.col("target")).alias("url"))
+    outside = ~private_host(F.col("url")) & ~same_host(F.col("url"), F.lit(config.start_url))
+    edges = staged(shape.where(F.col("url").isNotNull() & outside).distinct(), "external-edges")
+    done, left, agent = None, config.max_external_pages, config.user_agent
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rules: dict[str, RobotFileParser] = {}
+        for f in frames:
+            rows = []
+            for u in f["url"]:
+                at = "/".join(u.split("/")[:3])
+                if at not in rules:
+                    rules[at] = RobotFileParser()
+                    answer = follow(f"{at}/robots.txt", get)
+                    rules[at].parse((answer["html"] or "").splitlines() if answer["status"] == 200 else [])
+                may = rules[at].can_fetch(agent, u)
+                r = follow(u, get) if may else {n: None for n in NAMES} | {"url": u, "final_url": u, "error": "robots"}
+                html = r["html"] if (r["content_type"] or "").startswith(("text/html", "application/xhtml+xml")) and r["status"] and r["status"] < 300 else None
+                page = extract(r["final_url"], html) if html else None
+                rows.append(r | {"html": None, "robots_allowed": may, "targets": [x["url"] for x in page["links"]] if page else []})
+            yield pd.DataFrame(rows, columns=[*NAMES, "robots_allowed", "targets"])
+
+    every = edges
+    for depth in range(1, config.external_depth + 1):
+        todo = every.select("url").distinct()
+        if done is not None:
+            todo = todo.join(done.select("url"), "url", "left_anti")
+        rows = todo.orderBy("url").limit(left).mapInPandas(run, FETCH_SCHEMA + ", robots_allowed boolean, targets array<string>")
+        got = staged(rows.withColumn("depth", F.lit(depth)), "external-level")
+        n = got.count()
+        done = got if done is None else done.unionByName(got)
+        left -= n
+        if not n or left <= 0:
+            break
+        more = got.select(F.col("url").alias("source"), F.explode("targets").alias("t")).select("source", crawl_form(F.col("t")).alias("url"))
+        every = staged(every.unionByName(more.where(F.col("url").isNotNull() & outside)).distinct(), "external-edges")
+    if done is None:
+        return spark.createDataFrame([], FETCH_SCHEMA + ", robots_allowed boolean, depth int, sources array<string>")
+    sources = every.groupBy("url").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return done.drop("targets").join(sources, "url", "left")

@@ -12,8 +12,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from webgrain.functions.urls import resolve
 
@@ -195,7 +198,8 @@ def image_row(n: Node, base: str) -> dict | None:
 def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -> dict:
     """Values of one page. A null or empty document has empty values."""
     html, headers = html or "", {k.lower(): v for k, v in (headers or {}).items()}
-    nodes = list(Tree(html).root.walk())
+    root = Tree(html).root
+    nodes = list(root.walk())
     first = lambda *tags: next((n for n in nodes if n.tag in tags), None)
     meta: dict[str, str] = {}
     for n in nodes:
@@ -207,7 +211,7 @@ def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -
     headings = [{"text": t, "level": int(n.tag[1])} for n in nodes if re.fullmatch("h[1-6]", n.tag) and (t := n.text())]
     jump = next((f"H{a['level']} to H{b['level']}" for a, b in zip(headings, headings[1:], strict=False) if b["level"] > a["level"] + 1), None)
     main, body = first("main"), first("body")
-    text = (main.text() if main else "") or (body.text() if body else " ".join(Tree(html).root.text().split()) if not first("html") else "")
+    text = (main.text() if main else "") or (body.text() if body else " ".join(root.text().split()) if not first("html") else "")
     by_id = {n.attrs["id"]: n for n in nodes if n.attrs.get("id")}
     links, host = [], urlsplit(url).hostname
     for n in nodes:
@@ -269,15 +273,17 @@ action struct<text:string,url:string,location:string,score:int,confidence:double
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """pages (key, url, html) with the extracted columns in html's place; other columns are left out."""
+    """pages (key, url, html, and headers, a map, if there) with the extracted columns in html's place; other columns are
+    left out. Batches go through Arrow; key and url are passed on as they are."""
     kind = pages.select(key).dtypes[0][1]
+    headers = F.col("headers") if "headers" in pages.columns else F.lit(None).cast("map<string,string>")
+    shape = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{key: k, "url": u} | extract(u or "", h) for k, u, h in zip(f[key], f["url"], f["html"], strict=True)], columns=[key, "url", *_columns()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            urls, htmls, given = (b.column(i).to_pylist() for i in (1, 2, 3))
+            rows = [extract(u or "", h, dict(x) if x else None) for u, h, x in zip(urls, htmls, given, strict=True)]
+            columns = [pa.array([r[f.name] for r in rows], f.type) for f in shape]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=[key, "url", *shape.names])
 
-    return pages.select(key, "url", "html").mapInPandas(run, f"{key} {kind}, url string, {SCHEMA}")
-
-
-def _columns() -> list[str]:
-    return list(extract("http://a.example/", ""))
+    return pages.select(key, "url", "html", headers.alias("headers")).mapInArrow(run, f"{key} {kind}, url string, {SCHEMA}")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.functions.urls import link_form
+from webgrain.functions.urls import link_form, same_host
 
 MAX_SITEMAPS = 100
 CRAWLERS = ("OAI-SearchBot", "GPTBot", "ChatGPT-User", "Googlebot", "Bingbot")
@@ -17,12 +17,28 @@ FIELD = {"lcp": "LARGEST_CONTENTFUL_PAINT_MS", "inp": "INTERACTION_TO_NEXT_PAINT
 SCORES = {"performance": "performance", "accessibility": "accessibility", "best_practices": "best-practices", "seo": "seo"}
 
 
-def sitemap_entries(files: DataFrame) -> DataFrame:
-    """files (url, xml): url, kind (index, urlset, unknown) and locations in link form, unusable ones left out."""
+def sitemap_report(files: DataFrame, start_url: str) -> DataFrame:
+    """files (url, status, xml): url, status, kind, entries (locations of the audited host), ok (a status of 200 and a known
+    kind); of files that weren't found only those that something names should be given."""
+    entries = sitemap_entries(files, start_url)
+    told = files.select(F.col("url").alias("u"), "status").join(entries, F.col("u") == F.col("url")).drop("u")
+    return told.select("url", "status", "kind", F.size("locations").alias("entries"), ((F.col("status") == 200) & (F.col("kind") != "unknown")).alias("ok"))
+
+
+def sitemap_pages(files: DataFrame, start_url: str) -> DataFrame:
+    """(url): distinct page locations of the audited host in sitemaps (url, xml)."""
+    listed = sitemap_entries(files, start_url).where("kind = 'urlset'")
+    return listed.select(F.explode("locations").alias("url")).distinct()
+
+
+def sitemap_entries(files: DataFrame, start_url: str | None = None) -> DataFrame:
+    """files (url, xml): url, kind (index, urlset, unknown) and locations in link form, unusable ones left out, and with
+    start_url those of other hosts."""
     xml = F.coalesce("xml", F.lit(""))
     kind = F.when(xml.rlike("<sitemapindex[ >]"), "index").when(xml.rlike("<urlset[ >]"), "urlset").otherwise("unknown")
     found = F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return files.select("url", kind.alias("kind"), F.filter(F.transform(found, link_form), lambda u: u.isNotNull()).alias("locations"))
+    usable = lambda u: u.isNotNull() & (same_host(u, F.lit(start_url)) if start_url else F.lit(True))
+    return files.select("url", kind.alias("kind"), F.filter(F.transform(found, link_form), usable).alias("locations"))
 
 
 def reachable_sitemaps(files: DataFrame, start: list[str], *, most: int = MAX_SITEMAPS) -> DataFrame:
