@@ -177,3 +177,71 @@ def test_summary_without_pages(spark):
     empty = spark.createDataFrame([], "depth int, orphan boolean, page_type string, has_schema boolean, listed boolean, canonical string, canonical_self boolean, chain boolean, bad_status int, heading_skip string, mixed boolean, content_age_days int")
     r = structure.summary(empty).collect()[0]
     assert (r["pages"], r["average_click_depth"], r["schema_coverage"]) == (0, None, None)
+
+
+def test_views_and_files(spark, tmp_path):
+    from webgrain import __main__ as cli
+    from webgrain.sources import sinks
+
+    cli.main([f"{HOST}/", str(tmp_path / "out"), "--max-depth", "3", "--exclude", "/blog", "--external-depth", "1"], spark, fetcher())
+    read = lambda n: spark.read.csv(str(tmp_path / "out" / f"{n}.csv"), header=True, escape='"', multiLine=True)
+    pages = {r["url"].removeprefix(HOST): r for r in read("pages").collect()}
+    assert pages["/a"]["title"] == "Red shoes" and pages["/a"]["internal_links"] == "2" and pages["/"]["external_links"] == "2" and len(pages["/"]) > 40
+    assert {r["kind"] for r in read("technical").collect()} == {"broken_link", "redirect", "external", "excluded"}
+    assert any(r["text"] == "share buttons" for r in read("links").collect()) and read("keywords").columns[0] == "keyword"
+    report = {n: spark.read.json(str(tmp_path / "out" / "report" / n)) for n in ("summary", "run")}
+    assert report["run"].collect()[0]["domain"] == "a.example" and report["summary"].collect()[0]["pages"] == len(pages)
+    assert sinks.flat(report["summary"]).count() == 1
+
+
+def test_report_views(spark):
+    log = fetch.crawl(spark, [f"{HOST}/"], fetcher(), config=CONFIG)
+    performance = spark.createDataFrame([(f"{HOST}/a", 2.0, 0.1, None, 30.0)], "url string, lab_lcp double, lab_cls double, field_inp double, lab_tbt double")
+    search = spark.createDataFrame([("red shoes", f"{HOST}/a", 5.0, 100.0, 0.05, 2.0, 1)], "query string, page string, clicks double, impressions double, ctr double, position double, ordinal long")
+    analytics = spark.createDataFrame([("/a", 9.0, 8.0, 7.0, 0.0, 0.5, 2)], "page string, sessions double, users double, engaged double, key_events double, bounce double, ordinal long")
+    report = AuditSession(spark, CONFIG).run(log, search=search, analytics=analytics, performance=performance)
+    from webgrain.operators import views
+
+    shown = views.report_views(report)
+    assert set(shown) == {"executive", "priorities", "pages", "content", "technical", "readiness", "keywords", "images", "findings", "search", "analytics", "performance"}
+    assert all(v.count() >= 0 for v in shown.values()) and shown["executive"].collect()[0]["sessions"] == 9.0
+    assert views.document_keywords(report["keywords"]).first()["keyword"] == "red shoes"
+
+
+def test_services(spark):
+    from webgrain.operators import enrich, findings
+    from webgrain.sources import services
+
+    rows = [{"keys": [f"q{i}", "p"], "clicks": i, "impressions": 10, "ctr": 0.1, "position": 2} for i in range(7)]
+    got = services.search_console_rows(spark, lambda first, limit, rows=rows: rows[first : first + limit], most=20, page=4).orderBy("ordinal").collect()
+    assert [r["query"] for r in got] == [f"q{i}" for i in range(7)] and got[3]["clicks"] == 3.0
+    asked = spark.createDataFrame([(i, f"u{i}") for i in range(4)], "ordinal long, url string")
+    answers = {"u0": {"status": 200, "body": "{}"}, "u1": {"status": 500}, "u2": {"status": 429, "retry_after": "1"}, "u3": {"status": 200, "body": "{}"}}
+    told = services.performance_reports(asked, lambda u, a=answers: a[u], wait=lambda s: None).orderBy("ordinal").collect()
+    assert [(r["error_code"], r["skipped"]) for r in told] == [(None, False), ("http_500", False), ("rate_limited", False), ("skipped_after_rate_limit", True)]
+    keys = spark.createDataFrame([("a",), ("b",)], "keyword string")
+    ranked = services.lookup_rankings(keys, lambda k, d: {"position": 3, "ranking_url": d} if k == "a" else 1 / 0, "a.example").collect()
+    assert [(r["keyword"], r["position"]) for r in ranked] == [("a", 3)]
+    images = spark.createDataFrame([("i1", "x" * 9, "f.webp", 1, 0), ("i2", "y", "g.webp", 1, 1)], "src string, suggested_alt string, suggested_filename string, page long, n int")
+    seen = services.image_analysis(images, lambda src: {"alt": "a" * 200, "description": "d"} if src == "i1" else 1 / 0)
+    merged = {r["src"]: r for r in enrich.with_image_analysis(images, seen).collect()}
+    assert len(merged["i1"]["suggested_alt"]) == 160 and merged["i1"]["suggested_filename"] == "f.webp" and merged["i1"]["basis"] == "vision" and merged["i2"]["basis"] == "page"
+    inventory = spark.createDataFrame([("i1", 2), ("i9", 1)], "src string, pages long")
+    assert {r["src"]: r["suggested_alt"] for r in enrich.with_advice(inventory, images).collect()} == {"i1": "x" * 9, "i9": None}
+    found = spark.createDataFrame([(2, 0, "critical"), (1, 0, "warning"), (1, 1, "info")], "page int, ordinal int, severity string")
+    assert [(r["page"], r["severity"]) for r in findings.leading_findings(found).collect()] == [(2, "critical"), (1, "warning")]
+
+
+def test_stored_runs(spark, tmp_path):
+    from webgrain.sources import store
+
+    root = str(tmp_path)
+    rows = lambda run, **kw: spark.createDataFrame([("a", run, *kw.values())], "domain string, run_id string, " + ", ".join(f"{k} string" for k in kw))
+    store.save_run({"findings": rows("r1", fingerprint="f"), "runs": rows("r1", status="x")}, root)
+    store.save_run({"findings": rows("r2", fingerprint="g")}, root)  # broke off before its row in runs
+    assert [r["run_id"] for r in store.saved(spark, root, "findings").collect()] == ["r1"]
+    store.save_report({"summary": rows("r1", v="1")}, root, "r1")
+    assert store.stored_report(spark, root, "r1", ["summary"])["summary"].collect()[0]["v"] == "1"
+    for bad in ("..", "../x", "."):
+        with pytest.raises(ValueError):
+            store.stored_report(spark, root, bad, ["summary"])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.operators.findings import DIMENSIONS
+from webgrain.sources.sinks import technical_rows
+
 SEVERITY = {"critical": 0, "warning": 1, "info": 2}
 
 
@@ -68,3 +71,84 @@ def dashboard_totals(pages: DataFrame) -> DataFrame:
         F.try_divide(F.sum("engaged"), F.sum("sessions")).alias("engagement_rate"),
         F.try_divide(F.sum(F.col("bounce") * known), F.sum(known)).alias("bounce_rate"),
     )
+
+
+def document_keywords(keywords: DataFrame) -> DataFrame:
+    """Keywords as a document lists them: observed ones first, by position, those without one last, then by phrase."""
+    return keywords.orderBy(F.desc("observed"), F.asc_nulls_last("position"), "keyword")
+
+
+def executive_view(report: dict[str, DataFrame]) -> DataFrame:
+    """One row: the summary's figures, severity counts, label, and key figures of the pages."""
+    totals = [report["summary"], report["health"].drop("pages")]
+    if "sessions" in report["pages"].columns:
+        totals.append(dashboard_totals(report["pages"]))
+    out = totals[0]
+    for one in totals[1:]:
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
+def page_view(pages: DataFrame, *, text: str | None = None, page_type: str | None = None) -> DataFrame:
+    out = pages.where(_has("url", text) | _has("title", text))
+    out = out if page_type is None else out.where(F.col("page_type") == page_type)
+    return out.select("url", "page_type", "status", "title", "words", "incoming", "depth", "orphan", "score", "label").orderBy("url")
+
+
+def content_view(pages: DataFrame) -> DataFrame:
+    """What pages say of themselves, thin and stale ones first."""
+    columns = ["url", "title", "description", "h1", "words", "grade", "words_per_sentence", "content_age_days"]
+    return pages.select(*columns).orderBy("words", F.desc_nulls_last("content_age_days"), "url")
+
+
+def technical_view(report: dict[str, DataFrame]) -> DataFrame:
+    """Broken links, redirects, external pages and excluded URLs as rows of one shape."""
+    external = report["external"]
+    target = "target" if "target" in external.columns else "url"
+    outside = external.select(F.get("sources", 0).alias("first_source"), F.col(target).alias("target"), F.size("sources").alias("pages"))
+    broken = report.get("broken_links")
+    if broken is None:
+        broken = report["excluded"].limit(0).select(F.lit("").alias("source"), F.lit("").alias("text"), F.lit("").alias("target"), "status")
+    return technical_rows(broken, report["redirects"], outside, report["excluded"])
+
+
+def readiness_view(pages: DataFrame) -> DataFrame:
+    """Answer readiness by page, the least ready first."""
+    return pages.select("url", "score", "label", *DIMENSIONS).orderBy("score", "url")
+
+
+def image_view(images: DataFrame, *, missing: bool = False) -> DataFrame:
+    out = images.where(F.coalesce(F.col("alt"), F.lit("")) == "") if missing else images
+    return out.orderBy(F.desc("pages"), F.desc("occurrences"), "src")
+
+
+def performance_view(reports: DataFrame) -> DataFrame:
+    """Performance reports, the slowest first, those without a score last."""
+    return reports.orderBy(F.asc_nulls_last("performance"), "url") if "performance" in reports.columns else reports.orderBy(F.desc_nulls_last("lab_lcp"), "url")
+
+
+def priority_view(priorities: DataFrame, *, impact: str | None = None) -> DataFrame:
+    return (priorities if impact is None else priorities.where(F.col("impact") == impact)).orderBy("rank")
+
+
+def report_views(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every view of a report, by name; those of what it lacks are left out."""
+    pages = report["pages"]
+    views = {
+        "executive": executive_view(report),
+        "priorities": priority_view(report["priorities"]),
+        "pages": page_view(pages),
+        "content": content_view(pages),
+        "technical": technical_view(report),
+        "readiness": readiness_view(pages),
+        "keywords": document_keywords(report["keywords"]),
+        "images": image_view(report["images"]),
+        "findings": finding_view(report["findings"]),
+    }
+    if "search" in report:
+        views["search"] = search_view(report["search"])
+    if "sessions" in pages.columns:
+        views["analytics"] = analytics_view(pages)
+    if report.get("performance") is not None:
+        views["performance"] = performance_view(report["performance"])
+    return views

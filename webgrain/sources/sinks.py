@@ -35,6 +35,36 @@ def append_run(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("domain").parquet(path)
 
 
+def page_rows(pages: DataFrame) -> DataFrame:
+    """The columns of a pages file, in its order; lists are joined when it is written. What a report lacks is null."""
+    has = lambda c: F.col(c) if c in pages.columns else F.lit(None).cast("string")
+    internal = lambda inside: F.size(F.array_distinct(F.transform(F.filter("links", lambda x: x["internal"] if inside else ~x["internal"]), lambda x: x["url"])))
+    h2s = F.transform(F.filter("headings", lambda h: h["level"] == 2), lambda h: h["text"])
+    chosen = {
+        "url": F.col("url"), "page_type": F.col("page_type"), "status": has("status"), "response_ms": has("response_ms"),
+        "redirect_chain": F.array_join(F.coalesce(has("redirect_chain"), F.array().cast("array<string>")), " > ") if "redirect_chain" in pages.columns else has("redirect_chain"),
+        "internal_links": internal(True), "external_links": internal(False), "incoming": has("incoming"), "depth": has("depth"), "orphan": has("orphan"),
+        **{c: has(c) for c in ("sessions", "users", "engaged", "engagement_rate", "bounce", "key_events")},
+        "image_count": F.col("image_count"), "images_without_alt": F.col("images_without_alt"),
+        **{c: has(c) for c in ("score", "label", "extractability", "evidence", "entity_clarity", "intent_coverage", "freshness", "multimodal")},
+        "lang": F.col("lang"), "has_viewport": F.col("has_viewport"), "canonical": F.col("canonical"), "canonical_self": has("canonical_self"),
+        "title": F.col("title"), "title_chars": F.length("title"), "description": F.col("description"), "description_chars": F.length("description"),
+        "h1": F.array_join(F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"]), " | "), "h2s": h2s,
+        "action": F.col("action.text"), "action_url": F.col("action.url"),
+        "schema_types": F.array_distinct(F.flatten(F.transform("schemas", lambda s: s["types"]))),
+        "words": has("words"), "paragraphs": F.col("paragraphs"), "words_per_sentence": has("words_per_sentence"), "grade": has("grade"),
+        "text_share": F.round(100.0 * F.length("text") / F.nullif(F.col("html_chars"), F.lit(0)), 1),
+    }
+    return pages.select(*[c.alias(n) for n, c in chosen.items()])
+
+
+def keyword_rows(keywords: DataFrame) -> DataFrame:
+    """The columns of a keywords file: phrase, whether it was observed, score, figures and ranking."""
+    has = lambda c: F.col(c) if c in keywords.columns else F.lit(None).cast("double")
+    score = F.round(F.col("score_h") / 100, 2).alias("score")
+    return keywords.select("rank", "keyword", "observed", score, "clicks", "impressions", "position", has("ranking").alias("ranking")).orderBy("rank").drop("rank")
+
+
 def link_rows(links: DataFrame, host: Column) -> DataFrame:
     """Links (source, text, target, internal) with those to share buttons summed up as one row."""
     social = F.coalesce(host.rlike(SOCIAL), F.lit(False))
