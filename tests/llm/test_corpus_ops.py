@@ -359,3 +359,41 @@ def test_clashing_columns(spark):
     for run in (token_files.token_files, packing.pack, minhash.near_duplicates, lm.lm_scores):
         assert run(df).count() >= len(EDGE)
     assert search.top_k(df, df.select(F.col("doc_id").alias("query_id"), "text", "node")).count() > 0
+
+
+def test_search_skips_blocks(spark):
+    """Documents of eight vocabularies: a query scores few of the others, and the answer is the exhaustive one."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{x}" for x in np.minimum(rng.zipf(1.4, rng.integers(5, 60)), 400)) for i in range(4000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    row = search.build_index(df).collect()
+    assert len(row) == 1
+    part = [np.frombuffer(row[0][c], t) for c, t in zip(("terms", "starts", "docs", "counts", "ids"), (np.uint64, np.int64, np.uint32, np.uint32, np.int64), strict=True)]
+    sizes = np.frombuffer(row[0]["sizes"], np.int64)
+    shard = search.Shard(*part, sizes, float(sizes.mean()))
+    n, queries = len(sizes), rng.choice(4000, 50, replace=False)
+    for q in queries:
+        raw = texts[q].encode()
+        _, terms, _, _ = search.term_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        terms = np.sort(terms)
+        at = np.searchsorted(shard.terms, terms)
+        df_ = np.diff(shard.starts)[at]
+        w = np.log(1 + (n - df_ + 0.5) / (df_ + 0.5))
+        full = np.zeros(n)
+        for t, x in zip(at, w, strict=True):
+            full[shard.docs[shard.starts[t] : shard.starts[t + 1]]] += x * shard.impact[shard.starts[t] : shard.starts[t + 1]]
+        found, score = shard.search(terms, w, 10, 0.0)
+        assert search.best(shard.ids[found], score, 10)[0].tolist() == search.best(shard.ids[full > 0], full[full > 0], 10)[0].tolist()
+    assert shard.scored < 0.25 * n * len(queries)
+
+
+def test_search_over_many_shards(spark, docs, monkeypatch):
+    """Shards cut small, weights joined by salted keys, null and extreme ids: the same answers."""
+    df = spark.createDataFrame([*docs.items(), (None, docs[3]), (2**63 - 1, docs[3])], "doc_id long, text string")
+    q = df.where("doc_id % 20 = 3").select(F.col("doc_id").alias("query_id"), "text")
+    ask = lambda: sorted(map(str, search.top_k(df, q, k=5).drop("query_row").collect()))
+    want = ask()
+    assert any("doc_id=None" in x for x in want) and any(str(2**63 - 1) in x for x in want)
+    monkeypatch.setattr(search, "SHARD_DOCS", 16)
+    monkeypatch.setattr(search, "BROADCAST_TERMS", -1)
+    assert ask() == want

@@ -1,10 +1,12 @@
 """Exact top-k search: an inverted index in shards, BM25 by block-max WAND, merged with global statistics.
 
-A shard is the index of one input task. Lists are taken in the order of their score bounds; as soon as the lists left
-can't lift an unseen document over the threshold (the pivot), only seen documents go on, those whose block maxima can
-still reach the threshold are kept, and they alone are scored in full. The k best of a query and its threshold are carried
-from shard to shard in a task. Queries are a table in the shared folder that tasks read block by block, so they're neither
-broadcast nor joined with all rows.
+A shard is the index of some documents of one input task, cut at a number of postings. Its documents are in the order of
+their most frequent word and length, so that neighbours are alike; posting lists are in that order, in blocks of documents,
+each with its greatest impact. A query's cursors walk the blocks in document order: the pivot is the next block whose block
+maxima, summed over the query's lists, reach the threshold; blocks before it are skipped in all lists, and the postings of
+pivot blocks alone are scored. Pivots are taken a growing number at a time, and the threshold rises after each such step.
+A task carries each query's threshold from shard to shard. Queries are a table in the shared folder that tasks read block
+by block, so they're neither broadcast nor joined with all rows, and their answers leave block by block.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from pyspark.sql import functions as F
 from webgrain.llm.common import filesystem, fresh_path, hashed_words, row_chunks, staged, utf8_column
 
 K1, B, TOP = 1.2, 0.75, 10
-BLOCK = 64
+BLOCK = 32
 #: Scores are compared after rounding, so equal texts tie whatever the order of their sums; ties go to the lower id.
 DECIMALS = 6
 EPSILON = 10.0**-DECIMALS
-NULL_ID = np.iinfo(np.int64).max
-#: Lists that are added up before the threshold is looked at again.
-CHUNK = 64
+#: Blocks with the greatest bounds that a query without a threshold looks at first, and blocks of the first step.
+SEEDS, STEP = 4, 16
+#: Postings, and documents, of a shard at most (a longer document is a shard of its own).
+SHARD_POSTINGS, SHARD_DOCS = 4_000_000, 65_536
+#: Distinct terms of all queries up to which their weights are broadcast (16 bytes each); beyond, they are joined by salted keys.
+BROADCAST_TERMS, SALTS = 300_000, 16
 #: Lists of at least one document in so many are also kept as rows of impacts, for random access.
 DENSE_SHARE, MOST_DENSE = 10, 256
 
@@ -45,22 +50,22 @@ def term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Shard:
-    """The index of some documents, with bounds of each list and of its blocks of documents."""
+    """The index of some documents: lists of postings, cut into entries, one for each block of documents that a list has."""
 
-    def __init__(self, terms, starts, docs, counts, ids, sizes, mean: float):
+    def __init__(self, terms, starts, docs, counts, ids, sizes, mean: float, nulls=None):
         self.terms, self.starts, self.docs, self.ids = terms, starts, docs.astype(np.int32), ids
+        self.nulls = np.zeros(len(ids), bool) if nulls is None else nulls
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(len(sizes), K1)
         self.impact = counts.astype(np.float64)
         self.impact *= (K1 + 1) / (self.impact + norm[self.docs])
-        self.most = np.maximum.reduceat(self.impact, starts[:-1]) if len(terms) else np.zeros(0)
         which = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(starts))
         block = self.docs // BLOCK
         new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])))) if len(docs) else np.zeros(0, np.int64)
-        self.block, self.block_most = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.block_starts = np.searchsorted(new, starts)
-        self.key = which.astype(np.int64)
-        self.key <<= 32
-        self.key |= self.docs
+        self.n_blocks = -(-len(ids) // BLOCK)
+        self.entry_block = block[new]
+        self.entry_most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
+        self.entry_from = np.append(new, len(docs))
+        self.entry_starts = np.searchsorted(new, starts)
         size = np.diff(starts)
         long = np.argsort(-size, kind="stable")[:MOST_DENSE]
         long = long[size[long] * DENSE_SHARE >= len(sizes)]
@@ -69,6 +74,7 @@ class Shard:
         self.dense = np.zeros((len(long), len(sizes)))
         for i, t in enumerate(long):
             self.dense[i, self.docs[starts[t] : starts[t + 1]]] = self.impact[starts[t] : starts[t + 1]]
+        self.scored = 0  # documents of pivot blocks, over all queries
 
     def _gather(self, starts: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all entries of the lists, and which list each is in."""
@@ -82,36 +88,44 @@ class Shard:
         at[at == len(self.terms)] = 0
         hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, w = at[hit], weights[hit]
-        bound = w * self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        at, w, bound = at[order], w[order], bound[order]
-        left = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # what the lists from here on can add
-        acc, j, n = np.zeros(len(self.ids)), 0, len(at)
-        while j < n and (left[j] >= least - EPSILON or least == 0):
-            lists, weight = at[j : j + CHUNK], w[j : j + CHUNK]
-            row = self.dense_row[lists]
-            place, which = self._gather(self.starts, lists[row < 0])
-            acc += np.bincount(self.docs[place], self.impact[place] * weight[row < 0][which], len(acc))
-            if (row >= 0).any():
-                acc += weight[row >= 0] @ self.dense[row[row >= 0]]
-            j += len(lists)
-            if j < n and len(acc) > k and left[j] < acc.max():  # else the k-th best can't end it either
-                least = max(least, float(np.partition(acc, len(acc) - k)[len(acc) - k]))
-        found = np.flatnonzero((acc > 0) & (acc + left[j] >= least - EPSILON))
-        if j < n and len(found):
-            rest, weight = at[j:], w[j:]
-            place, which = self._gather(self.block_starts, rest)
-            more = np.bincount(self.block[place], self.block_most[place] * weight[which], -(-len(acc) // BLOCK))
-            found = found[acc[found] + more[found // BLOCK] >= least - EPSILON]
-            row = self.dense_row[rest]
-            if (row >= 0).any():
-                acc[found] += weight[row >= 0] @ self.dense[np.ix_(row[row >= 0], found)]
-            rest, weight = rest[row < 0], weight[row < 0]
-            key = ((rest << 32)[:, None] | found[None, :]).ravel()
-            p = np.searchsorted(self.key, key)
-            p[p == len(self.key)] = 0
-            add = np.where(self.key[p] == key, self.impact[p], 0.0).reshape(len(rest), len(found))
-            acc[found] += (add * weight[:, None]).sum(axis=0)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0)
+        entry, which = self._gather(self.entry_starts, at)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, self.entry_most[entry] * w[which], self.n_blocks)
+        row = self.dense_row[at]
+        dense, dense_w = row[row >= 0], w[row >= 0]
+        rare = row[which] < 0  # entries whose postings are gathered; those of dense lists are read as rows
+        entry, block, entry_w = entry[rare], block[rare], w[which[rare]]
+        acc, done = np.zeros(len(self.ids)), np.zeros(self.n_blocks, bool)
+        best_k = np.zeros(0)
+
+        def score(pivots: np.ndarray) -> None:
+            nonlocal best_k, least
+            done[pivots] = True
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[pivots] = True
+            mine = np.flatnonzero(chosen[block])
+            place, of = self._gather(self.entry_from, entry[mine])
+            acc[:] += np.bincount(self.docs[place], self.impact[place] * entry_w[mine][of], len(acc))
+            seen = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            seen = seen[seen < len(acc)]
+            if len(dense):
+                acc[seen] += dense_w @ self.dense[np.ix_(dense, seen)]
+            self.scored += len(seen)
+            best_k = np.concatenate((best_k, acc[seen]))
+            if len(best_k) > k:
+                best_k = np.partition(best_k, len(best_k) - k)[len(best_k) - k :]
+            if len(best_k) == k:
+                least = max(least, float(best_k.min()))
+
+        if least == 0 and self.n_blocks > SEEDS:
+            score(np.sort(np.argpartition(-bound, SEEDS)[:SEEDS]))
+        left, step = np.flatnonzero((bound > 0) & ~done), STEP
+        while len(left := left[bound[left] >= least - EPSILON]):
+            score(left[:step])  # the next pivots, in document order
+            left, step = left[step:], 2 * step
+        found = np.flatnonzero((acc > 0) & (acc >= least - EPSILON))
         return found, acc[found]
 
 
@@ -120,30 +134,50 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
+def neighbours(row: np.ndarray, term: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order of the documents by their most frequent term, then by length."""
+    top, order = np.zeros(len(size), np.uint64), np.lexsort((term, -count.astype(np.int64), row))
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+    top[row[first]] = term[order][first]
+    return np.lexsort((size, top))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """A staged row for each shard: sorted terms, list starts, documents and counts of the lists, ids and sizes."""
-    shape = "n_docs long, n_words long, terms binary, starts binary, docs binary, counts binary, ids binary, sizes binary"
+    """A staged row for each shard: sorted terms, list starts, documents and counts of the lists, ids, null ids and sizes."""
+    shape = "n_docs long, n_words long, terms binary, starts binary, docs binary, counts binary, ids binary, nulls binary, sizes binary"
+    most_postings, most_docs = SHARD_POSTINGS, SHARD_DOCS
+
+    def shard(parts: list[tuple]) -> pa.RecordBatch:
+        ids, nulls, size = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+        before = np.cumsum([0, *(len(p[3]) for p in parts)])
+        row = np.concatenate([p[0] + n for p, n in zip(parts, before, strict=False)])
+        term, count = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        order = neighbours(row, term, count, size)
+        rank = np.empty(len(size), np.int64)
+        rank[order] = np.arange(len(size))
+        doc = rank[row]
+        by = np.lexsort((doc, term))
+        term, doc, count = term[by], doc[by].astype(np.uint32), count[by].astype(np.uint32)
+        at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
+        starts = np.append(at, len(term)).astype(np.int64)
+        values = (len(size), int(size.sum()), term[at], starts, doc, count, ids[order], nulls[order], size[order].astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, int) else x.tobytes()]) for x in values], names=[x.split()[0] for x in shape.split(", ")])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, ids, sizes = [], [], []
-        n = 0
+        parts, n, held = [], 0, 0
         for b in batches:
             data, off = utf8_column(b.column(1))
+            null = ~b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in row_chunks(off):
                 row, term, count, size = term_counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                parts.append((term, (row + n).astype(np.uint32), count.astype(np.uint32)))
-                sizes.append(size)
-                n += hi - lo
-            ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-        if not n:
-            return
-        term, doc, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(term, kind="stable")  # documents stay in order within a list
-        term, doc, count = term[order], doc[order], count[order]
-        at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
-        size = np.concatenate(sizes)
-        row = (n, int(size.sum()), term[at], np.append(at, len(term)).astype(np.int64), doc, count, np.concatenate(ids).astype(np.int64), size.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, int) else x.tobytes()]) for x in row], names=[x.split()[0] for x in shape.split(", ")])
+                if parts and (n + len(term) > most_postings or held + hi - lo > most_docs):
+                    yield shard(parts)
+                    parts, n, held = [], 0, 0
+                parts.append((row, term, count, ids[lo:hi], null[lo:hi], size))
+                n, held = n + len(term), held + hi - lo
+        if parts:
+            yield shard(parts)
 
     return staged(docs.select("doc_id", "text").mapInArrow(index, shape), "search-index")
 
@@ -182,7 +216,14 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
     wanted = staged(asked.mapInArrow(query_terms, "query_row long, query_id long, term long"), "search-terms")
     df = index.select("terms", "starts").mapInArrow(spread, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = wanted.join(df, "term").select("query_row", "query_id", F.struct("term", idf.alias("w")).alias("t"))
+    # common words are in many queries: weights of the queries' distinct words are few, or dealt out by salted keys
+    weight = staged(df.join(wanted.select("term").distinct(), "term", "left_semi").select("term", idf.alias("w")), "search-idf")
+    if weight.count() <= BROADCAST_TERMS:
+        both = wanted.join(F.broadcast(weight), "term")
+    else:
+        salted = wanted.withColumn("salt", F.pmod("query_row", F.lit(SALTS)))
+        both = salted.join(weight.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["term", "salt"])
+    weighed = both.select("query_row", "query_id", F.struct("term", "w").alias("t"))
     table = weighed.groupBy("query_row", "query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # a query's own words
     path = fresh_path(spark, "search-weights")
     table.select("query_row", "query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")).write.parquet(path)
@@ -201,38 +242,35 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
     shape = "query_row long, query_id long, doc_id long, score double"
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[int | None, np.ndarray, np.ndarray]] = {}
+        least: dict[int, float] = {}  # of each query, once k scores are known
+        kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.int64, np.bool_, np.int64)
         for b in batches:
             for i in range(b.num_rows):
-                part = [np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in enumerate((np.uint64, np.int64, np.uint32, np.uint32, np.int64, np.int64))]
-                shard = Shard(*part, mean)
+                *part, nulls, sizes = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in enumerate(kinds))
+                shard = Shard(*part, sizes, mean, nulls)
                 for q in blocks(256):
+                    rows = []
                     for row, qid, terms, weights in zip(*(q.column(c) for c in range(4)), strict=True):
                         row = row.as_py()
-                        old = kept.get(row)
-                        least = float(old[2][-1]) if old and len(old[2]) == k else 0.0
                         t = terms.values.to_numpy().view(np.uint64)
-                        found, score = shard.search(*sort_terms(t, weights.values.to_numpy()), k, least)
+                        found, score = shard.search(*sort_terms(t, weights.values.to_numpy()), k, least.get(row, 0.0))
                         if len(found):
-                            ids = shard.ids[found]
-                            if old:
-                                ids, score = np.concatenate((old[1], ids)), np.concatenate((old[2], score))
-                            kept[row] = (qid.as_py(), *best(ids, score, k))
-        for lo in range(0, len(kept), 4096):
-            rows = [(r, *kept[r]) for r in list(kept)[lo : lo + 4096]]
-            ids = np.concatenate([x[2] for x in rows])
-            size = [len(x[2]) for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat([x[0] for x in rows], size)),
-                    pa.array([x[1] for x in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), size))),
-                    pa.array(ids, mask=ids == NULL_ID),
-                    pa.array(np.concatenate([x[3] for x in rows])),
-                ],
-                names=[x.split()[0] for x in shape.split(", ")],
-            )
-
-    found = index.select("terms", "starts", "docs", "counts", "ids", "sizes").mapInArrow(answer, shape)
+                            order = np.lexsort((shard.ids[found], shard.nulls[found], -np.round(score, DECIMALS)))[:k]
+                            rows.append((row, qid.as_py(), found[order], score[order]))
+                            if len(order) == k:
+                                least[row] = max(least.get(row, 0.0), float(score[order].min()))
+                    if rows:
+                        docs, size = np.concatenate([x[2] for x in rows]), [len(x[2]) for x in rows]
+                        which = pa.array(np.repeat(np.arange(len(rows)), size))
+                        columns = [
+                            pa.array([x[0] for x in rows], pa.int64()).take(which),
+                            pa.array([x[1] for x in rows], pa.int64()).take(which),
+                            pa.array(shard.ids[docs], mask=shard.nulls[docs]),
+                            pa.array(np.concatenate([x[3] for x in rows])),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in shape.split(", ")])
+
+    found = index.select("terms", "starts", "docs", "counts", "ids", "nulls", "sizes").mapInArrow(answer, shape)
     score: Column = F.round("score", DECIMALS)
     order = Window.partitionBy("query_row").orderBy(score.desc(), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
