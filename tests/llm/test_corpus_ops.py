@@ -241,7 +241,34 @@ def test_language_model_beats_its_counts_alone(spark):
     mean = lambda p: attention.class_log10(p, inputs, voc.klass[target], voc.bias)[real].mean()
     plain = attention.fresh()
     plain["C"] *= 0
-    assert mean(lm.train(rows, voc)) > mean(plain) + 0.005
+    learned = lm.train(rows, voc)
+    blind = learned | {"O": learned["O"] * 0}  # what attention brings is left out
+    assert mean(learned) > mean(plain) + 0.05 and mean(learned) > mean(blind) + 0.05
+
+
+def test_scores_against_a_loop_over_positions():
+    """Every id of texts of several windows, in plain steps: its window, attention over what is before it, class and share."""
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 50, 4000) * (rng.random(4000) < 0.7)
+    voc = attention.Vocabulary(counts, rng.integers(0, 4, attention.INPUTS**2) * (rng.random(attention.INPUTS**2) < 0.02))
+    p = {n: x.astype(np.float64) * 1.5 for n, x in attention.fresh().items()}
+    texts = [rng.integers(0, 4000, n) for n in (1, 31, 32, 33, 56, 57, 130)]
+    sizes = np.array([len(t) for t in texts])
+    got = attention.text_log10(p, voc, np.concatenate(texts), np.cumsum(sizes) - sizes, sizes)
+    for text, total in zip(texts, got, strict=True):
+        want = 0.0
+        for i, own in enumerate(text):
+            first = 0 if i < attention.WINDOW else attention.STRIDE * -(-(i + 1 - attention.WINDOW) // attention.STRIDE)
+            before = [len(counts) if j == 0 else text[j - 1] for j in range(first, i + 1)]
+            x = np.array([p["E"][voc.row[b]] + p["P"][j] for j, b in enumerate(before)])
+            scores = (x @ p["K"]) @ (x[-1] @ p["Q"]) / attention.WIDTH**0.5
+            share = np.exp(scores - scores.max())
+            h = x[-1] + (share / share.sum()) @ (x @ p["V"]) @ p["O"]
+            z = h @ p["C"] + p["b"] + voc.bias[voc.row[before[-1]]]
+            z -= z.max()
+            rank = voc.rank[before[-1]]
+            want += (z[voc.klass[own]] - np.log(np.exp(z).sum())) / np.log(10) + voc.inside(np.array([rank]), np.array([own]))[0]
+        assert abs(total - want) < 1e-3 * len(text)
 
 
 def test_model_is_a_distribution():
@@ -321,11 +348,8 @@ def test_every_training_window_trains():
     voc = attention.Vocabulary(rng.integers(1, 9, 3000))
     batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts], pa.binary())], names=["ids"])
     got = list(lm.all_windows(iter([batch]), voc))
-    sizes = np.array([len(x) for x in texts])
-    text, at, _ = attention.windows(sizes)
-    assert sum(len(i) for i, _, _ in got) == len(text) and max(len(i) for i, _, _ in got) <= lm.BATCH
-    assert sum(int(r.sum()) for _, _, r in got) == np.minimum(sizes[text] - at, attention.WINDOW).sum()
-    want = Counter(int(voc.klass[x]) for t, a in zip(text, at, strict=True) for x in texts[t][a : a + attention.WINDOW])
+    assert max(len(i) for i, _, _ in got) <= lm.BATCH and sum(int(r.sum()) for _, _, r in got) == sum(map(len, texts))
+    want = Counter(int(voc.klass[x]) for t in texts for x in t)  # each id once
     assert sum((Counter(k[r].tolist()) for _, k, r in got), Counter()) == want
 
 

@@ -1,9 +1,9 @@
 """A causal self-attention model in numpy: one layer, one head, a class-factored output.
 
-Ids are mapped to ranks (the most frequent ones by themselves, all others as one) for the input. The output is the id's
-class, predicted by attention over the window, times the id's share of its class after the id before it; the most
+Every id has an input of its own or, beyond the most frequent ones, one of SHARED that it shares by hash. The output is the
+id's class, predicted by attention over the window, times the id's share of its class after the id before it; the most
 frequent ids are classes of their own. Class logits start from the training counts of classes after the id before, shares
-are smoothed training counts of pairs. Every probability is positive, and those of all ids sum to 1.
+are smoothed training counts of pairs; the rest is learned. Every probability is positive, and those of all ids sum to 1.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ WIDTH = 16
 #: Positions of a window, and of those at its start that only give context (but in a text's first window).
 WINDOW, CONTEXT = 32, 8
 STRIDE = WINDOW - CONTEXT
-INPUTS = 1024
+#: Ids that pairs are counted of, less two: all other ids, and the start of a text; and inputs that the other ids share.
+INPUTS, SHARED = 1024, 512
 CLASSES, OWN_CLASSES = 96, 72
 NAMES = ("E", "P", "Q", "K", "V", "O", "C", "b")
 
@@ -30,6 +31,9 @@ class Vocabulary:
     def __init__(self, counts: np.ndarray, pairs: np.ndarray | None = None):
         n = len(counts)
         self.rank = ranks(counts)
+        #: Input of each id, and of the start of a text at the end; and the rank of each input.
+        self.row = np.where(self.rank == INPUTS - 2, INPUTS + np.arange(n + 1) * 40503 % 65521 % SHARED, self.rank).astype(np.int32)
+        self.rank_of = np.append(np.arange(INPUTS), np.full(SHARED, INPUTS - 2)).astype(np.int32)
         order = np.lexsort((np.arange(n), -counts))
         smooth = counts.astype(np.float64) + 0.5
         self.klass = np.empty(n, np.int32)
@@ -61,7 +65,7 @@ class Vocabulary:
         self.room = np.log10(np.maximum(room, 1e-12)).astype(np.float32)
         plain = total / total.sum()
         after[:, self.klass[rare[0]] if len(rare) else CLASSES - 1] += table[:, INPUTS - 2]
-        self.bias = np.log((after + BACKOFF_CLASS * plain) / (after.sum(axis=1, keepdims=True) + BACKOFF_CLASS)).astype(np.float32)
+        self.bias = np.log((after + BACKOFF_CLASS * plain) / (after.sum(axis=1, keepdims=True) + BACKOFF_CLASS)).astype(np.float32)[self.rank_of]
 
     def inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 share of each id of its class after an id of that rank."""
@@ -85,7 +89,7 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 def fresh(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    shapes = {"E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "C": (WIDTH, CLASSES)}
+    shapes = {"E": (INPUTS + SHARED, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "C": (WIDTH, CLASSES)}
     out = {n: (rng.standard_normal(s) * (0.3 if n == "E" else 0.1 if n == "P" else 0.25)).astype(np.float32) for n, s in shapes.items()}
     out["C"] *= 0.1
     return out | {"b": np.zeros(CLASSES, np.float32)}
@@ -97,72 +101,85 @@ def flat(params: dict[str, np.ndarray]) -> np.ndarray:
 
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for n, s in zip(NAMES, ((INPUTS, WIDTH), (WINDOW, WIDTH), *[(WIDTH, WIDTH)] * 4, (WIDTH, CLASSES), (CLASSES,)), strict=True):
+    for n, s in zip(NAMES, ((INPUTS + SHARED, WIDTH), (WINDOW, WIDTH), *[(WIDTH, WIDTH)] * 4, (WIDTH, CLASSES), (CLASSES,)), strict=True):
         size = int(np.prod(s))
         out[n] = x[at : at + size].reshape(s).astype(np.float32)
         at += size
     return out
 
 
-_FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def forward(p: dict[str, np.ndarray], inputs: np.ndarray, bias: np.ndarray):
-    """Everything up to the class logits of each position; inputs: ranks, windows x WINDOW; bias: a row for each rank."""
-    x = p["E"][inputs] + p["P"]
-    q, k, v = x @ (p["Q"] * np.float32(WIDTH**-0.5)), x @ p["K"], x @ p["V"]
-    a = q @ k.transpose(0, 2, 1)
-    a += _FUTURE
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    h = x + o @ p["O"]
-    return x, q, k, v, a, o, h, logits(p, h.reshape(-1, WIDTH), bias[inputs.ravel()])
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product with ones."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(x.shape[:-1])
 
 
-def logits(p: dict[str, np.ndarray], h: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = h @ p["C"]
-    z += p["b"]
-    z += bias
-    return z
+def shares(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Softmax over the last axis, of what the mask leaves. Values are rarely so large that exponentials overflow, so each
+    row's maximum is looked for only if a sum isn't finite (or nothing of it is left)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(z)
+        if mask is not None:
+            e *= mask
+        total = _row_sums(e)
+    if not (np.isfinite(total).all() and total.min(initial=1.0) > 1e-30):
+        z = z if mask is None else np.where(mask > 0, z, -np.inf)
+        e = np.exp(z - z.max(axis=-1, keepdims=True))
+        total = _row_sums(e)
+    e /= total[..., None]
+    return e
 
 
-def hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
-    """What `forward` has before the logits."""
+def _attend(p: dict[str, np.ndarray], inputs: np.ndarray):
+    """Embeddings, queries, keys, values, attention weights and attended values; inputs: windows x WINDOW."""
     x = p["E"][inputs]
     x += p["P"]
-    q, k, v = x @ (p["Q"] * np.float32(WIDTH**-0.5)), x @ p["K"], x @ p["V"]
+    n = inputs.shape
+    every = x.reshape(-1, WIDTH) @ np.concatenate((p["Q"] * x.dtype.type(WIDTH**-0.5), p["K"], p["V"]), axis=1)  # one product for all
+    q, k, v = (every[:, i * WIDTH : (i + 1) * WIDTH].reshape(*n, WIDTH) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a += _FUTURE
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    o = a @ v
-    o /= a.sum(axis=2, keepdims=True)
-    return x + o @ p["O"]
+    a = shares(a, _PAST)
+    return x, q, k, v, a, (a @ v).reshape(-1, WIDTH)
+
+
+def hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
+    """What the class logits are made of: a row for each position."""
+    x, _, _, _, _, o = _attend(p, inputs)
+    return x.reshape(-1, WIDTH) + o @ p["O"]
+
+
+def logits(p: dict[str, np.ndarray], h: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """bias: that of each row's input with the learned one."""
+    z = h @ p["C"]
+    z += bias
+    return z
 
 
 def picked_log10(z: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """log10 probability of each row's class; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
+    """log10 probability of each row's class."""
     own = z[np.arange(len(z)), klass]
-    np.exp(z, out=z)
-    return (own - np.log(z.sum(axis=1))) * np.float32(np.log10(np.e))
+    with np.errstate(over="ignore"):
+        out = own - np.log(_row_sums(np.exp(z)))
+    if not np.isfinite(out).all():
+        z = z - z.max(axis=1, keepdims=True)
+        out = z[np.arange(len(z)), klass] - np.log(_row_sums(np.exp(z)))
+    return out * np.float32(np.log10(np.e))
 
 
 def class_log10(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """log10 probability of each position's class."""
-    return picked_log10(forward(p, inputs, bias)[-1], klass.ravel()).reshape(klass.shape)
+    return picked_log10(logits(p, hidden(p, inputs), (bias + p["b"])[inputs.ravel()]), klass.ravel()).reshape(klass.shape)
 
 
 def text_log10(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 128) -> np.ndarray:
     """log10 probability of each of the texts laid end to end in ids; every id is scored in one window."""
-    rank = v.rank[ids]
-    before = np.concatenate(([INPUTS - 1], rank[:-1])).astype(np.int32)
+    before = np.concatenate(([INPUTS - 1], v.row[ids[:-1]]))
     before[start[sizes > 0]] = INPUTS - 1
-    klass, inside = v.klass[ids], v.inside(before, ids)
+    klass, inside = v.klass[ids], v.inside(v.rank_of[before], ids)
     text, at, first = windows(sizes)
-    total, steps = np.zeros(len(sizes)), np.arange(WINDOW)
+    total, steps, bias = np.zeros(len(sizes)), np.arange(WINDOW), v.bias + p["b"]
     for i in range(0, len(text), batch):
         t, a = text[i : i + batch], at[i : i + batch]
         place = a[:, None] + steps
@@ -170,7 +187,7 @@ def text_log10(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start:
         where = np.minimum(start[t][:, None] + place, len(ids) - 1)  # what lies beyond a text is in nobody's past
         inputs = before[where]
         one = where[use]
-        z = logits(p, hidden(p, inputs)[use], v.bias[inputs[use]])
+        z = logits(p, hidden(p, inputs)[use.ravel()], bias[inputs[use]])
         logp = picked_log10(z, klass[one]).astype(np.float64) + inside[one]
         total += np.bincount(np.repeat(t, use.sum(axis=1)), logp, len(sizes))
     return total
@@ -178,24 +195,35 @@ def text_log10(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start:
 
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, real: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy over the real positions."""
-    x, q, k, v, a, o, h, z = forward(p, inputs, bias)
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), klass.ravel()] -= 1
-    z *= (real.ravel() / max(1, real.sum())).astype(np.float32)[:, None]
-    sheet = lambda t: t.reshape(-1, WIDTH)
-    dh = (z @ p["C"].T).reshape(h.shape)
-    do = dh @ p["O"].T
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    s = np.float32(WIDTH**-0.5)
-    dv, dq, dk = a.transpose(0, 2, 1) @ do, ds @ k * s, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+    x, q, k, v, a, o = _attend(p, inputs)
+    xs = x.reshape(-1, WIDTH)
+    h = xs + o @ p["O"]
+    at = np.flatnonzero(real.ravel())
+    whole = len(at) == len(h)
+    inner = h if whole else h[at]
+    z = shares(logits(p, inner, bias[inputs.ravel()[at]] + p["b"]))
+    z[np.arange(len(at)), klass.ravel()[at]] -= 1
+    z *= z.dtype.type(1 / max(1, len(at)))
+    dh = z @ p["C"].T
+    if not whole:
+        dh, some = np.zeros_like(h), dh
+        dh[at] = some
+    do = (dh @ p["O"].T).reshape(x.shape)
+    ds = do @ v.transpose(0, 2, 1)
+    ds *= a
+    ds -= a * _row_sums(ds)[..., None]
+    s = x.dtype.type(WIDTH**-0.5)
+    parts = np.concatenate([t.reshape(-1, WIDTH) for t in (ds @ k * s, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do)], axis=1)
+    dx = dh + parts @ np.concatenate((p["Q"], p["K"], p["V"]), axis=1).T
+    rows = inputs.ravel().astype(np.uint16)  # short numbers are sorted by digits
+    by = np.argsort(rows, kind="stable")
+    rows = rows[by]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     de = np.zeros_like(p["E"])
-    np.add.at(de, inputs.ravel(), sheet(dx))
-    xs = sheet(x)
-    return {"E": de, "P": dx.sum(axis=0), "Q": xs.T @ sheet(dq), "K": xs.T @ sheet(dk), "V": xs.T @ sheet(dv), "O": sheet(o).T @ sheet(dh), "C": sheet(h).T @ z, "b": z.sum(axis=0)}
+    de[rows[first]] = np.add.reduceat(dx[by], first, axis=0)
+    dqkv = xs.T @ parts
+    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "O": o.T @ dh, "C": inner.T @ z, "b": z.sum(axis=0)}
+    return out | {n: dqkv[:, i * WIDTH : (i + 1) * WIDTH] for i, n in enumerate("QKV")}
 
 
 def train(p: dict[str, np.ndarray], batches, rate: float, bias: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
@@ -219,11 +247,18 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, w * STRIDE, np.where(w == 0, 0, w * STRIDE + CONTEXT)
 
 
+def training_windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first position of windows that lie side by side, so that each id is learned from once."""
+    n = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(sizes)), n)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+
+
 def cut(ids: np.ndarray, start: np.ndarray, size: np.ndarray, text: np.ndarray, at: np.ndarray, v: Vocabulary):
-    """Input ranks, ids to predict and real positions of windows of texts laid end to end in ids."""
+    """Inputs, ids to predict and real positions of windows of texts laid end to end in ids."""
     place = at[:, None] + np.arange(WINDOW)
     real = place < size[text][:, None]
     where = start[text][:, None] + np.where(real, place, 0)
     target = ids[where]
     before = np.where(place == 0, len(v.klass), ids[np.maximum(where - 1, 0)])
-    return v.rank[np.where(real, before, len(v.klass))], target, real
+    return v.row[np.where(real, before, len(v.klass))], target, real

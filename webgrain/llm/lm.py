@@ -1,9 +1,10 @@
 """Language-model scores of whole texts: a smoothed word unigram baseline and a causal self-attention model.
 
 Held-out documents are those whose crc32 of the id as text is 0 modulo 10; everything is learned from the others, all of
-them: word counts, subword counts, counts of subword pairs, and all their windows, in each round, for the attention
-weights. Those are trained by rounds of local passes, one to a task, and averaged by weight between rounds; only averages
-(a fixed number of values) reach the driver. Words that are frequent are looked up in a table of bounded size, the counts
+them: word counts, subword counts, counts of subword pairs, and, for the attention weights, all their windows, once each.
+Weights are trained in rounds over disjoint parts of the documents, which together are all; in a round each task makes a
+local pass over its rows, and the weights are averaged by what they have seen. Only averages (a fixed number of values) reach
+the driver. Words that are frequent are looked up in a table of bounded size, the counts
 of all others are joined by shuffling.
 """
 
@@ -21,11 +22,13 @@ from webgrain.llm.common import hashed_words, row_chunks, staged, utf8_column
 from webgrain.llm.tokens import default_path, encoder
 
 ALPHA = 0.1
+#: The token that ends a text, where a vocabulary has one; else an id beyond its own.
+END_TOKEN = "<|endoftext|>"
 #: Words whose counts are broadcast at most (12 bytes each).
 HEAD_WORDS = 300_000
-END_ID = 49407
-ROUND_RATES = (0.01, 0.005)
-BATCH = 128
+#: Learning rates of the rounds, each over its own part of the training documents.
+ROUND_RATES = (0.02, 0.015, 0.01, 0.004)
+BATCH = 64
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -91,6 +94,7 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
         from pyspark import TaskContext
 
         code, rid = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        end = end_and_size(tokenizer)[0]
         top, weight = hashes.value, np.log10(counts.value + ALPHA) - floor
         for b in batches:
             data, off = utf8_column(b.column(2))
@@ -109,7 +113,7 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
                     x, y = first[i], first[i + 1]
                     rest, times = np.unique(words[x:y][~hit[x:y]], return_counts=True)
                     text = raw[off[lo + i] - off[lo] : off[lo + i + 1] - off[lo]].lower()
-                    out.append((rid, int(y - x) + 1, int(known[y] - known[x]) + (ends > 0), float(score[y] - score[x] + end_score), rest.tobytes(), times.astype(np.uint32).tobytes(), code.pack(text, END_ID)))
+                    out.append((rid, int(y - x) + 1, int(known[y] - known[x]) + (ends > 0), float(score[y] - score[x] + end_score), rest.tobytes(), times.astype(np.uint32).tobytes(), code.pack(text, end)))
                     rid += 1
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
@@ -119,12 +123,20 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
     return staged(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, shape), "lm-rows")
 
 
-def _laid_out(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) // 2 for x in ids], np.int64)
-    return np.frombuffer(b"".join(ids), np.uint16).astype(np.int64), np.cumsum(sizes) - sizes, sizes
+def end_and_size(path: str) -> tuple[int, int]:
+    """Id that ends a text, and the number of ids with it."""
+    tokenizer = encoder(path).tokenizer
+    size, end = tokenizer.get_vocab_size(with_added_tokens=True), tokenizer.token_to_id(END_TOKEN)
+    return (size, size + 1) if end is None else (end, max(size, end + 1))
 
 
-def vocabulary(rows: DataFrame, size: int) -> att.Vocabulary:
+def _laid_out(ids: list[bytes], width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of texts, packed in `width` bytes each, end to end; each text's first place and size."""
+    sizes = np.array([len(x) // width for x in ids], np.int64)
+    return np.frombuffer(b"".join(ids), np.uint16 if width == 2 else np.uint32).astype(np.int64), np.cumsum(sizes) - sizes, sizes
+
+
+def vocabulary(rows: DataFrame, size: int, width: int = 2) -> att.Vocabulary:
     """From all training texts; what is collected is bounded by the numbers of ids and of ranked pairs."""
     spark = rows.sparkSession
     train = rows.where("NOT held_out").select("ids")
@@ -133,7 +145,7 @@ def vocabulary(rows: DataFrame, size: int) -> att.Vocabulary:
         total = np.zeros(size, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                total += np.bincount(_laid_out(b.column(0).slice(lo, 500).to_pylist())[0], minlength=size)
+                total += np.bincount(_laid_out(b.column(0).slice(lo, 500).to_pylist(), width)[0], minlength=size)
         yield from _pairs(np.flatnonzero(total), total[total > 0], ["i", "c"])
 
     counts = np.zeros(size, np.int64)
@@ -145,7 +157,7 @@ def vocabulary(rows: DataFrame, size: int) -> att.Vocabulary:
         total = np.zeros(att.INPUTS**2, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist())
+                flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist(), width)
                 r = rank.value[flat].astype(np.int64)
                 before = np.concatenate(([0], r[:-1]))
                 before[start[sizes > 0]] = att.INPUTS - 1
@@ -158,29 +170,32 @@ def vocabulary(rows: DataFrame, size: int) -> att.Vocabulary:
     return att.Vocabulary(counts, table)
 
 
-def all_windows(batches: Iterator[pa.RecordBatch], v: att.Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def all_windows(batches: Iterator[pa.RecordBatch], v: att.Vocabulary, width: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(inputs, classes, real positions) of every window of the texts of batches (ids), BATCH at a time."""
     for b in batches:
         for lo in range(0, b.num_rows, 500):
-            flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist())
-            text, at, _ = att.windows(sizes)
+            flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist(), width)
+            text, at = att.training_windows(sizes)
+            order = np.random.default_rng(len(text)).permutation(len(text))  # windows of a text aren't learned in a row
             for i in range(0, len(text), BATCH):
-                inputs, target, real = att.cut(flat, start, sizes, text[i : i + BATCH], at[i : i + BATCH], v)
-                yield inputs.astype(np.int64), v.klass[target].astype(np.int64), real
+                mine = order[i : i + BATCH]
+                inputs, target, real = att.cut(flat, start, sizes, text[mine], at[mine], v)
+                yield inputs, v.klass[target].astype(np.int64), real
 
 
-def train(rows: DataFrame, v: att.Vocabulary) -> dict[str, np.ndarray]:
+def train(rows: DataFrame, v: att.Vocabulary, width: int = 2) -> dict[str, np.ndarray]:
     """Attention weights after all rounds."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(v)
 
-    train_rows = rows.where("NOT held_out").select("ids")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(len(ROUND_RATES)))
     params = att.flat(att.fresh())
-    for rate in ROUND_RATES:
+    for i, rate in enumerate(ROUND_RATES):
+        train_rows = rows.where(~F.col("held_out") & (part == i)).select("ids")
         current = sc.broadcast(params)
 
         def learn(batches: Iterator[pa.RecordBatch], current=current, rate=rate) -> Iterator[pa.RecordBatch]:
-            new, seen = att.train(att.unflat(current.value), all_windows(batches, shared.value), rate, shared.value.bias)
+            new, seen = att.train(att.unflat(current.value), all_windows(batches, shared.value, width), rate, shared.value.bias)
             if seen:
                 flat = att.flat(new).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["i", "x", "w"])
@@ -199,7 +214,8 @@ def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     as a sequence of subword ids and an end id, in windows that overlap by a fixed context; each id is scored once.
     Defined results: null and empty texts are the end token alone; a null doc_id is held out; repeated rows are scored
     alike (and counted each); very long texts are scored whole; with no training text all counts are 0; an empty table
-    gives an empty result; other columns are ignored. Words are counted by 64-bit hashes.
+    gives an empty result; other columns are ignored. Words are counted by 64-bit hashes. Ids are packed in two bytes, or in
+    four for vocabularies of more than 65,536.
     """
     path = tokenizer or default_path()
     docs = docs.select("doc_id", "text")
@@ -224,16 +240,19 @@ def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     logs = F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / (F.lit(float(n)) + ALPHA * (v + 1)))
     tail = spread_out.groupBy("rid").agg(F.sum(logs * F.col("times")).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
 
-    voc = vocabulary(rows, max(encoder(path).tokenizer.get_vocab_size(), END_ID + 1))
+    width = encoder(path).width
+    if width == 2 and end_and_size(path)[1] > 1 << 16:
+        raise ValueError("the vocabulary's ids with an end of their own don't fit in two bytes")
+    voc = vocabulary(rows, end_and_size(path)[1], width)
     sc = docs.sparkSession.sparkContext
-    shared, weights = sc.broadcast(voc), sc.broadcast(train(rows, voc))
+    shared, weights = sc.broadcast(voc), sc.broadcast(train(rows, voc, width))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, p = shared.value, weights.value
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 cut = b.slice(lo, 500)
-                flat, start, sizes = _laid_out(cut.column(6).to_pylist())
+                flat, start, sizes = _laid_out(cut.column(6).to_pylist(), width)
                 total = att.text_log10(p, voc, flat, start, sizes)
                 yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in range(6)), pa.array(total)], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
 
