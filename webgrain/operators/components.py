@@ -16,10 +16,11 @@ def _with_least(pairs: DataFrame, own: bool) -> DataFrame:
     return joined.withColumn("m", F.least("u", "m")) if own else joined
 
 
-def _settled(stars: DataFrame) -> bool:
-    """Whether pairs (u, v), v < u, are stars: each u has one v, and no v is a u. Each v is then its component's least."""
+def _settled(stars: DataFrame) -> tuple[bool, int]:
+    """Whether pairs (u, v), v < u, are stars: each u has one v, and no v is a u, so that each v is its component's least;
+    and the number of pairs."""
     n, distinct = stars.agg(F.count("*"), F.countDistinct("u")).collect()[0]
-    return n == distinct and stars.select("v").join(stars.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    return n == distinct and stars.select("v").join(stars.select(F.col("u").alias("v")), "v", "left_semi").isEmpty(), n
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -33,14 +34,15 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     nodes = staged(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     stars = nodes.where("u <> v")
     for _ in range(max_rounds):
-        if _settled(stars):
+        done, n = _settled(stars)
+        if done:
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         linked = _with_least(down, own=False)
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        stars = staged(small, "cc-stars")
+        stars = staged(small, "cc-stars", rows=2 * n)  # a round makes at most two pairs of each
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     every = nodes.select("u").unionByName(nodes.select(F.col("v").alias("u"))).distinct()

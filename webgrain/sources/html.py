@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urlsplit
@@ -43,6 +42,11 @@ ACTION = re.compile(r"\b(get|start|try|buy|shop|book|schedule|contact|request|do
 QUESTION = re.compile(r"\?|^(what|why|how|when|where|who|which|can|does|is|are|should)\b", re.I)
 CLAIM = re.compile(r"\b\d+(?:\.\d+)?%?\b[^.]{0,160}(?:according to|source:|study|report|research|data from)", re.I)
 FOLLOW_UP = re.compile(r"price|cost|compare|alternative|benefit|process|how|why|who|when|requirement|limitation|next step", re.I)
+STYLED = re.compile(r"(btn|button|cta|primary)", re.I)
+# File names of images that say nothing, and extensions.
+EXTENSION = re.compile(r"\.[a-z0-9]{2,5}$", re.I)
+OPAQUE_NAME = re.compile(r"[a-f0-9_-]{20,}", re.I)
+CAMERA_NAME = re.compile(r"(img|image|photo|pic|dsc|untitled|screenshot)[-_ ]?\d*|[a-f0-9_-]{12,}", re.I)
 HIDDEN = re.compile(r"\b(sr-only|visually-hidden|screen-reader)")
 
 
@@ -169,7 +173,7 @@ def main_action(nodes: list[Node], base: str) -> dict | None:
             continue
         hero = any("hero" in a.attrs.get("class", "") or "hero" in a.attrs.get("id", "") for a in [n, *n.up()])
         header, footer = n.within("header", "nav"), n.within("footer")
-        styled = re.search(r"btn|button|cta|primary", f"{n.attrs.get('class', '')} {n.attrs.get('role', '')}", re.I)
+        styled = STYLED.search(f"{n.attrs.get('class', '')} {n.attrs.get('role', '')}")
         score = 4 * bool(ACTION.search(text)) + 3 * bool(styled) + 3 * hero + header - 2 * footer
         place = "hero" if hero else "header" if header else "footer" if footer else "main" if n.within("main") else "unknown"
         if score >= 2 and (best is None or score > best["score"]):
@@ -177,18 +181,14 @@ def main_action(nodes: list[Node], base: str) -> dict | None:
     return best
 
 
-def slug(value: str) -> str:
-    return re.sub(r"^-|-$", "", re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", value.lower())))[:80]
-
-
 def image_row(n: Node, base: str) -> dict | None:
     src = resolve(n.attrs.get("src", ""), base)
     if not src:
         return None
     name = unquote(urlsplit(src).path.split("/")[-1]) or "image"
-    opaque = not re.search(r"\.[a-z0-9]{2,5}$", name, re.I) and bool(re.fullmatch(r"[a-f0-9_-]{20,}", name, re.I))
+    opaque = not EXTENSION.search(name) and bool(OPAQUE_NAME.fullmatch(name))
     stem = re.sub(r"\.[^.]+$", "", name)
-    poor = not opaque and (not stem or bool(re.fullmatch(r"(img|image|photo|pic|dsc|untitled|screenshot)[-_ ]?\d*|[a-f0-9_-]{12,}", stem, re.I) or re.search(r"[\s_]", stem)))
+    poor = not opaque and (not stem or bool(CAMERA_NAME.fullmatch(stem) or re.search(r"[\s_]", stem)))
     figure = next((a for a in n.up() if a.tag == "figure"), None)
     caption = next((c.text() for c in figure.walk() if c.tag == "figcaption"), "") if figure else ""
     context = (caption or (n.parent.text() if n.parent else "") or " ".join(n.attrs.get("title", "").split()))[:180]
