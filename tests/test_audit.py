@@ -245,3 +245,23 @@ def test_stored_runs(spark, tmp_path):
     for bad in ("..", "../x", "."):
         with pytest.raises(ValueError):
             store.stored_report(spark, root, bad, ["summary"])
+
+
+def test_job_states(spark):
+    from webgrain.jobs import Job
+
+    job = Job()
+    with pytest.raises(ValueError):
+        job.to("complete")
+    job.to("running")
+    assert job.go_on() and job.progress(5, 5)["percent"] == 47
+    job.to("cancelled")
+    got = fetch.crawl(spark, [f"{HOST}/"], fetcher(), job=job)
+    assert {r["level"] for r in got.select("level").collect()} == {0}  # it ends after the level that it was in
+
+
+def test_page_shows_passages_and_questions(spark):
+    html = "<html><head><title>T</title></head><body><h1>What is it?</h1><p>" + "This is a passage of some fifty characters, more or less. " * 9 + "</p>" + "".join(f"<h2>How {i}</h2>" for i in range(20)) + "</body></html>"
+    p = AuditSession(spark).pages(spark.createDataFrame([(1, f"{HOST}/", html), (2, f"{HOST}/x", "")], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert len(p[0]["answer_passages"]) == 5 and p[0]["questions"][0] == "What is it?" and len(p[0]["questions"]) == 12
+    assert p[0]["needs_rendering"] and p[1]["needs_rendering"] and p[1]["answer_passages"] == []

@@ -12,9 +12,12 @@ from webgrain.operators import crawl_rules as rules
 from webgrain.operators import duplicates, enrich, graph, keywords, structure, suggestions
 from webgrain.operators import findings as fi
 from webgrain.sources import site
-from webgrain.sources.html import extract_pages
+from webgrain.sources.html import QUESTION, extract_pages
 from webgrain.staging import staged
 
+#: Answer passages and question headings of a page that are told.
+MOST_PASSAGES, MOST_QUESTIONS = 5, 12
+
 
 class AuditSession:
     def __init__(self, spark: SparkSession, config: AuditConfig | None = None):
@@ -52,7 +55,20 @@ class AuditSession:
             "images": F.col("image_count"),
             "images_without_alt": F.col("images_without_alt"),
         }
-        return p.withColumns({"external_links": external, "blocked": signals["blocked"], **fi.answer_readiness(signals)}).drop("r")
+        shell = {
+            "body_chars": F.length("text"),
+            "has_structure": F.exists("headings", lambda h: h["level"] <= 2) | F.col("has_article") | F.col("has_main"),
+            "link_count": F.size("links"),
+            "has_metadata": (F.col("title") != "") & (F.col("description") != ""),
+        }
+        passages = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s).between(45, 320))
+        asked = F.filter(F.transform("headings", lambda h: h["text"]), lambda t: t.rlike(f"(?i){QUESTION.pattern}"))
+        more = {
+            "needs_rendering": site.needs_rendering(shell),
+            "answer_passages": F.slice(passages, 1, MOST_PASSAGES),
+            "questions": F.slice(asked, 1, MOST_QUESTIONS),
+        }
+        return p.withColumns({"external_links": external, "blocked": signals["blocked"], **fi.answer_readiness(signals), **more}).drop("r")
 
     def findings(self, snapshots: DataFrame, as_of: str = "2026-01-01") -> DataFrame:
         """Findings of all rules that need one page, less those of modules that are off."""

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from webgrain.config import AuditConfig
 from webgrain.functions.urls import bucket, crawl_form, private_host, same_host
+from webgrain.jobs import Job
 from webgrain.operators.crawl_rules import before_fetching, bucket_ceiling
 from webgrain.sources.html import extract
 from webgrain.sources.site import with_allowed
@@ -129,6 +130,7 @@ def crawl(
     sitemap: DataFrame | None = None,
     max_pages: int | None = None,
     max_levels: int | None = None,
+    job: Job | None = None,
 ) -> DataFrame:
     """Fetched rows (FETCH_SCHEMA, level, ordinal, reason, allowed) from the start URLs, and those of a sitemap (url), over
     internal links, breadth first, each URL once in crawl form.
@@ -136,6 +138,7 @@ def crawl(
     config: its excluded paths, archives, depth and path ceilings hold before a URL is fetched; robots: rules by origin.
     What they leave out is a row with its reason and nothing fetched. max_pages bounds what is fetched, in the order of
     levels and URLs (of config, if not given). The loop ends when no new URL is found; with max_levels, URLs beyond raise.
+    job: asked between levels, so that a crawl can be paused or cancelled; what was fetched until then is returned.
     """
     config = config or AuditConfig(start_url=start[0], max_depth=None, max_urls_per_path=10**9)
     most = max_pages if max_pages is not None else config.max_pages
@@ -172,7 +175,9 @@ def crawl(
         rows = got.unionByName(shut, allowMissingColumns=True)
         done = rows if done is None else done.unionByName(rows)
         left = None if left is None else left - n
-        if left == 0:
+        if job is not None:
+            job.progress(done.count(), 0, most)
+        if left == 0 or (job is not None and not job.go_on()):
             break
         found = form(got.select(F.explode("targets").alias("url")))
         todo = staged(found.join(done.select("url"), "url", "left_anti"), "crawl-frontier")

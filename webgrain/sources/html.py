@@ -235,6 +235,7 @@ def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -
         "description": meta.get("description", ""),
         "lang": " ".join((first("html").attrs.get("lang", "") if first("html") else "").split()) or None,
         "has_viewport": "viewport" in meta,
+        "has_main": main is not None,
         "has_article": bool(first("article")) or meta.get("og:type", "").lower() == "article" or any("Article" in n.attrs.get("itemtype", "") for n in nodes),
         "has_author": "author" in meta or "author" in prop or any(n.attrs.get("rel", "").lower() == "author" or "author" in n.attrs.get("class", "").split() for n in nodes),
         "published": published,
@@ -262,7 +263,7 @@ def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -
     }
 
 
-SCHEMA = """title string, description string, lang string, has_viewport boolean, has_article boolean, has_author boolean,
+SCHEMA = """title string, description string, lang string, has_viewport boolean, has_main boolean, has_article boolean, has_author boolean,
 published string, modified string, last_modified string, canonical string, robots array<string>,
 headings array<struct<text:string,level:int>>, heading_skip string,
 schemas array<struct<raw:string,types:array<string>,valid:boolean,error:string,issues:array<string>>>, text string, paragraphs int,
