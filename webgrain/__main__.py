@@ -53,7 +53,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, get=f
     if a.search_export:
         search = exports.search_rows(exports.read_export(spark, a.search_export, exports.SEARCH_DIMENSIONS, exports.SEARCH_METRICS))
     if a.analytics_export:
-        analytics = exports.analytics_rows(exports.read_export(spark, a.analytics_export, exports.ANALYTICS_DIMENSIONS, exports.ANALYTICS_METRICS))
+        analytics = exports.analytics_rows(
+            exports.read_export(spark, a.analytics_export, exports.ANALYTICS_DIMENSIONS, exports.ANALYTICS_METRICS)
+        )
     session = AuditSession(spark, config)
     report = session.run(log, robots=robots, search=search, analytics=analytics)
     if config.external_depth and not a.log:
@@ -70,7 +72,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, get=f
         sinks.write_csv(df, f"{a.out}/{name}.csv")
     for name, df in report.items():
         sinks.write_json(df, f"{a.out}/report/{name}")
-    facts = {"domain": urlsplit(a.start_url).hostname, "config_fingerprint": history.config_fingerprint(config.settings()), "scan_type": history.scan_type(config.settings())}
+    facts = {
+        "domain": urlsplit(a.start_url).hostname,
+        "config_fingerprint": history.config_fingerprint(config.settings()),
+        "scan_type": history.scan_type(config.settings())
+    }
     sinks.write_json(spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} string" for k in facts)), f"{a.out}/report/run")
 
 

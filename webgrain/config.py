@@ -45,7 +45,15 @@ class AuditConfig:
     @classmethod
     def clamped(cls, **given) -> AuditConfig:
         """Settings as an interface takes them: numbers beyond their bounds are brought within, 50 pages if not said."""
-        between = {"delay_ms": (0, 2000), "max_depth": (0, 50), "max_urls_per_path": (10, 50_000), "max_keywords": (1, 5000), "max_rankings": (0, 100), "external_depth": (0, 3), "max_external_pages": (1, 5000)}
+        between = {
+            "delay_ms": (0, 2000),
+            "max_depth": (0, 50),
+            "max_urls_per_path": (10, 50_000),
+            "max_keywords": (1, 5000),
+            "max_rankings": (0, 100),
+            "external_depth": (0, 3),
+            "max_external_pages": (1, 5000)
+        }
         bounded = {k: min(max(v, between[k][0]), between[k][1]) if k in between and v is not None else v for k, v in given.items()}
         return cls(**{"max_pages": 50, **bounded})
 

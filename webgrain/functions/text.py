@@ -62,7 +62,9 @@ def syllables(word: Column) -> Column:
 
     def count(w: Column) -> Column:
         core = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-        return F.when(F.length(w) > 3, F.greatest(F.lit(1), F.size(F.regexp_extract_all(core, F.lit("[aeiouy]{1,2}"), F.lit(0))))).when(F.length(w) > 0, 1).otherwise(0)
+        return F.when(
+            F.length(w) > 3, F.greatest(F.lit(1), F.size(F.regexp_extract_all(core, F.lit("[aeiouy]{1,2}"), F.lit(0))))
+        ).when(F.length(w) > 0, 1).otherwise(0)
 
     return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), count)
 
@@ -87,7 +89,14 @@ def readability(text: Column) -> Column:
             (w / 225).alias("minutes"),
         )
 
-    counts = let(words, lambda ws: F.struct(F.size(ws).alias("w"), F.size(sentences).alias("s"), F.aggregate(F.transform(ws, syllables), F.lit(0), lambda a, b: a + b).alias("y")))
+    counts = let(
+        words,
+        lambda ws: F.struct(
+            F.size(ws).alias("w"),
+            F.size(sentences).alias("s"),
+            F.aggregate(F.transform(ws, syllables), F.lit(0), lambda a, b: a + b).alias("y")
+        )
+    )
     return let(counts, measures)
 
 

@@ -98,7 +98,9 @@ def graph_form(url: Column) -> Column:
 
 def history_form(url: Column) -> Column:
     """Form in stored runs: neither scheme nor www."""
-    return _if_url(url, F.concat(F.regexp_replace(host(url), r"^www\.", ""), port_suffix(url), bare_path(url), query(url, HISTORY_TRACKING, sort=True)))
+    return _if_url(
+        url, F.concat(F.regexp_replace(host(url), r"^www\.", ""), port_suffix(url), bare_path(url), query(url, HISTORY_TRACKING, sort=True))
+    )
 
 
 def domain_form(value: Column) -> Column:
@@ -171,13 +173,18 @@ def private_host(url: Column) -> Column:
 
 def slash_redirect(source: Column, final: Column) -> Column:
     """Whether a redirect only adds or drops trailing slashes."""
-    return (origin(source) == origin(final)) & (query(source) == query(final)) & (bare_path(source) == bare_path(final)) & (path(source) != path(final))
+    return (origin(source) == origin(final)) & (query(source) == query(final)) & (
+        bare_path(source) == bare_path(final)
+    ) & (path(source) != path(final))
 
 
 def gated_flow(source: Column, final: Column, chain: Column) -> Column:
     """Whether a redirect leads into another host's sign-in, payment or membership flow."""
     unlock = path(source).rlike(UNLOCK_PATH) | has_key(source, UNLOCK_KEY)
-    login = F.exists(F.concat(F.array(final), F.coalesce(chain, F.array().cast("array<string>"))), lambda u: host(u).rlike(MEMBERSHIP_HOST) & path(u).rlike(MEMBERSHIP_LOGIN))
+    login = F.exists(
+        F.concat(F.array(final), F.coalesce(chain, F.array().cast("array<string>"))),
+        lambda u: host(u).rlike(MEMBERSHIP_HOST) & path(u).rlike(MEMBERSHIP_LOGIN)
+    )
     asks = path(source).rlike(GATE_SOURCE_PATH) | has_key(source, GATE_SOURCE_KEY)
     gate = path(final).rlike(GATE_PATH)
     return (unlock & login) | ((host(source) != host(final)) & asks & gate)
@@ -187,7 +194,9 @@ def redirect_class(source: Column, final: Column, chain: Column) -> Column:
     """automatic (made by a content system), deliberate (same host, short) or unknown."""
     every = F.concat(F.array(source, final), F.coalesce(chain, F.array().cast("array<string>")))
     made = F.exists(every, lambda u: path(u).rlike(MADE_PATH) | has_key(u, MADE_KEY))
-    return F.when(made, "automatic").when(same_host(source, final) & (F.size(F.coalesce(chain, F.array().cast("array<string>"))) <= 3), "deliberate").otherwise("unknown")
+    return F.when(made, "automatic").when(
+        same_host(source, final) & (F.size(F.coalesce(chain, F.array().cast("array<string>"))) <= 3), "deliberate"
+    ).otherwise("unknown")
 
 
 def resolve(reference: str | None, base: str) -> str | None:

@@ -49,6 +49,12 @@ class Job:
         took = time.monotonic() - self.begun if self.begun is not None else 0.0
         pace = done / took if took > 0 else 0.0
         left = max(0, total - done) / pace if pace else None
-        event = {"percent": min(92, round(90 * done / total) + 2) if total else None, "per_minute": 60 * pace, "seconds_left": left, "done": done, "waiting": waiting}
+        event = {
+            "percent": min(92, round(90 * done / total) + 2) if total else None,
+            "per_minute": 60 * pace,
+            "seconds_left": left,
+            "done": done,
+            "waiting": waiting
+        }
         self.events.append(event)
         return event

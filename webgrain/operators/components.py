@@ -41,9 +41,13 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         large = _with_least(both, own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         linked = _with_least(down, own=False)
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = linked.select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         stars = staged(small, "cc-stars", rows=2 * n)  # a round makes at most two pairs of each
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     every = nodes.select("u").unionByName(nodes.select(F.col("v").alias("u"))).distinct()
-    return every.join(stars.select("u", F.col("v").alias("least")), "u", "left").select(F.col("u").alias("node"), F.coalesce("least", "u").alias("component"))
+    return every.join(stars.select("u", F.col("v").alias("least")), "u", "left").select(
+        F.col("u").alias("node"), F.coalesce("least", "u").alias("component")
+    )

@@ -18,7 +18,9 @@ def bucket_ceiling(urls: DataFrame, ordinal: str, most: int, *, bucket: str = "b
     a row to a bucket, so that one bucket with most of the rows is no burden on a task.
     """
     first = F.row_number().over(Window.partitionBy("full_bucket").orderBy("o"))
-    ranked = urls.select(F.col(bucket).alias("full_bucket"), F.col(ordinal).alias("o")).withColumn("place", first).where(F.col("place") <= most)
+    ranked = urls.select(
+        F.col(bucket).alias("full_bucket"), F.col(ordinal).alias("o")
+    ).withColumn("place", first).where(F.col("place") <= most)
     cutoffs = ranked.groupBy("full_bucket").agg(F.max("o").alias("cutoff"), F.count("*").alias("held"))
     full = cutoffs.where(F.col("held") == most).drop("held")
     marked = urls.join(full, F.col(bucket).eqNullSafe(F.col("full_bucket")), "left")

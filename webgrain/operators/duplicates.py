@@ -18,7 +18,9 @@ TAIL_BITS = 52
 def bucketed(pages: DataFrame) -> DataFrame:
     """pages (page, page_type, fingerprint, words) with the bucket that pairs are looked for in."""
     top = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    return pages.withColumn("bucket", F.concat_ws(":", "page_type", F.substring(top, 1, 3), F.floor(F.col("words") / WORDS_STEP + 0.5).cast("string")))
+    return pages.withColumn(
+        "bucket", F.concat_ws(":", "page_type", F.substring(top, 1, 3), F.floor(F.col("words") / WORDS_STEP + 0.5).cast("string"))
+    )
 
 
 def fingerprint_pairs(pages: DataFrame, *, bits: int = NEAR_BITS) -> DataFrame:
@@ -49,7 +51,13 @@ def duplicate_groups(pages: DataFrame) -> DataFrame:
     fingerprint of a bucket is a star around its least page.
     """
     pages = staged(pages.select("page", "page_type", "title", "description", "fingerprint", "words"), "duplicate-pages")
-    texts = pages.select("page", F.explode(F.array_distinct(F.filter(F.array(F.lower("title"), F.lower("description")), lambda t: F.coalesce(t, F.lit("")) != ""))).alias("t"), "page_type")
+    texts = pages.select(
+        "page",
+        F.explode(
+            F.array_distinct(F.filter(F.array(F.lower("title"), F.lower("description")), lambda t: F.coalesce(t, F.lit("")) != ""))
+        ).alias("t"),
+        "page_type"
+    )
     named = texts.groupBy("page_type", "t").agg(F.min("page").alias("least"))
     shared = texts.join(named, ["page_type", "t"]).where("page <> least").select(F.col("least").alias("a"), F.col("page").alias("b"))
     rows = bucketed(pages)
@@ -57,6 +65,8 @@ def duplicate_groups(pages: DataFrame) -> DataFrame:
     same = rows.join(heads, ["bucket", "fingerprint"]).where("page <> least").select(F.col("least").alias("a"), F.col("page").alias("b"))
     ha = heads.select("bucket", F.col("fingerprint").alias("a"), F.col("least").alias("pa"))
     hb = heads.select("bucket", F.col("fingerprint").alias("b"), F.col("least").alias("pb"))
-    near = fingerprint_pairs(pages).join(ha, ["bucket", "a"]).join(hb, ["bucket", "b"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    near = fingerprint_pairs(pages).join(ha, ["bucket", "a"]).join(hb, ["bucket", "b"]).select(
+        F.col("pa").alias("a"), F.col("pb").alias("b")
+    )
     found = connected_components(shared.unionByName(same).unionByName(near))
     return found.select(F.col("node").alias("page"), "component")

@@ -41,20 +41,29 @@ def engagement_totals(rows: DataFrame) -> DataFrame:
 
 def parameter_duplicates(urls: DataFrame, key: str) -> DataFrame:
     """One row: fetched URLs beyond the first of each origin and path."""
-    return urls.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).alias("extra"))
+    return urls.groupBy(key).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).alias("extra")
+    )
 
 
 def image_inventory(images: DataFrame) -> DataFrame:
     """images (page, ordinal, src, alt, filename) by source: pages, occurrences, first alt text and file name."""
     at = F.struct("page", "ordinal")
-    return images.groupBy("src").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("occurrences"), F.min_by("alt", at).alias("alt"), F.min_by("filename", at).alias("filename"))
+    return images.groupBy("src").agg(
+        F.countDistinct("page").alias("pages"),
+        F.count("*").alias("occurrences"),
+        F.min_by("alt", at).alias("alt"),
+        F.min_by("filename", at).alias("filename")
+    )
 
 
 def advice_by_image(suggestions: DataFrame) -> DataFrame:
     """The first suggestion for each image source over all pages: (src, suggested_alt, suggested_filename)."""
     at = F.struct("page", "n")
     known = suggestions.where("suggested_alt IS NOT NULL")
-    return known.groupBy("src").agg(F.min_by("suggested_alt", at).alias("suggested_alt"), F.min_by("suggested_filename", at).alias("suggested_filename"))
+    return known.groupBy("src").agg(
+        F.min_by("suggested_alt", at).alias("suggested_alt"), F.min_by("suggested_filename", at).alias("suggested_filename")
+    )
 
 
 def with_advice(inventory: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -81,7 +90,9 @@ def with_image_analysis(suggestions: DataFrame, analysis: DataFrame) -> DataFram
 def duplicate_texts(pages: DataFrame, column: str) -> DataFrame:
     """Non-empty texts, lower-cased, that several pages have."""
     t = F.lower(F.col(column))
-    return pages.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(t.alias("text")).agg(F.count("*").alias("pages"), F.min("page").alias("first_page")).where("pages > 1")
+    return pages.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(t.alias("text")).agg(
+        F.count("*").alias("pages"), F.min("page").alias("first_page")
+    ).where("pages > 1")
 
 
 def percent(hits: Column, of: Column | None = None) -> Column:

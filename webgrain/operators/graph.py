@@ -14,7 +14,9 @@ def incoming_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(key, incoming): distinct (source, target URL) pairs whose target's key is a page. Two spellings of a target from
     one page count twice, and a page's links to itself count."""
     edges = links.select("source", "target", "target_key").distinct()
-    counts = edges.join(pages.select(F.col("key").alias("target_key")).distinct(), "target_key", "left_semi").groupBy("target_key").agg(F.count("*").alias("n"))
+    counts = edges.join(
+        pages.select(F.col("key").alias("target_key")).distinct(), "target_key", "left_semi"
+    ).groupBy("target_key").agg(F.count("*").alias("n"))
     return pages.join(counts, F.col("key") == F.col("target_key"), "left").select("key", F.coalesce("n", F.lit(0)).alias("incoming"))
 
 
@@ -33,6 +35,7 @@ def click_depths(pages: DataFrame, edges: DataFrame, start: DataFrame, *, max_le
     keys = pages.select("key").distinct()
     inner = edges.select("source", "target").join(keys.withColumnRenamed("key", "target"), "target", "left_semi")
     real = staged(inner.where("source <> target").distinct(), "bfs-edges")
+    most = real.count()  # no level has more pages than edges lead to
     level = staged(keys.join(start.select("key").distinct(), "key", "left_semi").withColumn("depth", F.lit(0)), "bfs-level")
     seen, n = level, 0
     while not level.isEmpty():
@@ -40,10 +43,10 @@ def click_depths(pages: DataFrame, edges: DataFrame, start: DataFrame, *, max_le
         if max_levels is not None and n > max_levels + 1:
             raise RuntimeError(f"pages lie deeper than {max_levels} levels")
         step = real.join(level.select(F.col("key").alias("source")), "source").select(F.col("target").alias("key")).distinct()
-        level = staged(step.join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(n)), "bfs-level")
+        level = staged(step.join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(n)), "bfs-level", rows=most)
         seen = seen.unionByName(level)
         if n % LEVELS_A_TABLE == 0:
-            seen = staged(seen, "bfs-seen")
+            seen = staged(seen, "bfs-seen", rows=most)
     return keys.join(seen, "key", "left")
 
 
@@ -71,12 +74,16 @@ def broken_links(links: DataFrame, failures: DataFrame) -> DataFrame:
 def redirect_sources(redirects: DataFrame, links: DataFrame) -> DataFrame:
     """Redirects (url) with the sorted distinct pages that link to them."""
     by = links.select("source", "target").distinct()
-    return redirects.join(by, F.col("url") == F.col("target"), "left").groupBy("url").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return redirects.join(by, F.col("url") == F.col("target"), "left").groupBy("url").agg(
+        F.array_sort(F.collect_set("source")).alias("sources")
+    )
 
 
 def external_targets(links: DataFrame) -> DataFrame:
     """External URLs with the number of linking pages and their least one."""
-    return links.where("NOT internal").groupBy("target").agg(F.countDistinct("source").alias("pages"), F.min("source").alias("first_source"))
+    return links.where("NOT internal").groupBy("target").agg(
+        F.countDistinct("source").alias("pages"), F.min("source").alias("first_source")
+    )
 
 
 def external_sources(links: DataFrame) -> DataFrame:
@@ -90,7 +97,9 @@ def link_inventory(links: DataFrame, *key: str) -> DataFrame:
     shared = F.coalesce(host(F.col("target")).rlike(SOCIAL), F.lit(False))
     jump = F.col("text").rlike(r"(?i)^skip (to )?(main )?content$")
     rows = links.where(~shared & ~F.coalesce(jump, F.lit(False)))
-    return rows.groupBy(*(key or ("internal", "text", "target"))).agg(F.count("*").alias("occurrences"), F.countDistinct("source").alias("pages"))
+    return rows.groupBy(*(key or ("internal", "text", "target"))).agg(
+        F.count("*").alias("occurrences"), F.countDistinct("source").alias("pages")
+    )
 
 
 def blocked_targets(links: DataFrame, blocked: DataFrame) -> DataFrame:

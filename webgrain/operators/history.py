@@ -17,7 +17,9 @@ VOLATILE_SETTINGS = ("concurrency", "delay_ms", "user_agent")
 
 def finding_fingerprint(domain: Column, url: Column, rule: Column, evidence: Column) -> Column:
     """Identity of a finding across runs; evidence tells apart broken links, structured data and mixed content only."""
-    detail = F.when((rule == "broken_link") | rule.contains("schema") | rule.contains("mixed_content"), F.coalesce(evidence, F.lit(""))).otherwise("")
+    detail = F.when(
+        (rule == "broken_link") | rule.contains("schema") | rule.contains("mixed_content"), F.coalesce(evidence, F.lit(""))
+    ).otherwise("")
     return fingerprint(domain, history_form(url), rule, detail)
 
 
@@ -35,7 +37,9 @@ def scan_type(config: dict) -> str:
 def run_sequence(runs: DataFrame) -> DataFrame:
     """runs (domain, run_id, generated_at, config_fp, ruleset) with the previous run and how the two compare."""
     w = Window.partitionBy("domain").orderBy("generated_at", "run_id")
-    lagged = runs.withColumn("previous_run", F.lag("run_id").over(w)).withColumn("pc", F.lag("config_fp").over(w)).withColumn("pr", F.lag("ruleset").over(w)).withColumn("n", F.row_number().over(w))
+    lagged = runs.withColumn(
+        "previous_run", F.lag("run_id").over(w)
+    ).withColumn("pc", F.lag("config_fp").over(w)).withColumn("pr", F.lag("ruleset").over(w)).withColumn("n", F.row_number().over(w))
     status = (
         F.when(F.col("previous_run").isNull(), "BASELINE")
         .when(F.col("pr") != F.col("ruleset"), "NOT_COMPARABLE")
@@ -56,9 +60,15 @@ def finding_deltas(runs: DataFrame, findings: DataFrame) -> DataFrame:
     w = Window.partitionBy("domain", "fingerprint").orderBy("n")
     marked = seen.withColumn("before", F.lag("n").over(w)).withColumn("after", F.lead("n").over(w))
     state = F.when(F.col("before") == F.col("n") - 1, "PERSISTING").when(F.col("before").isNotNull(), "REOPENED").otherwise("OPENED")
-    now = marked.where(~F.col("comparison").isin("BASELINE", "NOT_COMPARABLE")).select("domain", "run_id", "fingerprint", state.alias("state"))
-    gone = marked.where(F.col("after").isNull() | (F.col("after") != F.col("n") + 1)).select("domain", (F.col("n") + 1).alias("n"), "fingerprint")
-    resolved = gone.join(seq, ["domain", "n"]).where(~F.col("comparison").isin("BASELINE", "NOT_COMPARABLE")).select("domain", "run_id", "fingerprint", F.lit("RESOLVED").alias("state"))
+    now = marked.where(
+        ~F.col("comparison").isin("BASELINE", "NOT_COMPARABLE")
+    ).select("domain", "run_id", "fingerprint", state.alias("state"))
+    gone = marked.where(
+        F.col("after").isNull() | (F.col("after") != F.col("n") + 1)
+    ).select("domain", (F.col("n") + 1).alias("n"), "fingerprint")
+    resolved = gone.join(seq, ["domain", "n"]).where(~F.col("comparison").isin("BASELINE", "NOT_COMPARABLE")).select(
+        "domain", "run_id", "fingerprint", F.lit("RESOLVED").alias("state")
+    )
     return now.unionByName(resolved)
 
 
@@ -69,13 +79,19 @@ def delta_counts(deltas: DataFrame) -> DataFrame:
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Runs and the latest one of each domain."""
-    return runs.groupBy("domain").agg(F.count("*").alias("runs"), F.max_by("run_id", F.struct("generated_at", "run_id")).alias("latest_run"), F.max("generated_at").alias("latest_at"))
+    return runs.groupBy("domain").agg(
+        F.count("*").alias("runs"),
+        F.max_by("run_id", F.struct("generated_at", "run_id")).alias("latest_run"),
+        F.max("generated_at").alias("latest_at")
+    )
 
 
 def merge_domains(runs: DataFrame, merges: DataFrame) -> DataFrame:
     """runs re-pointed by merges (source, target); a domain can't be merged into itself."""
     clean = merges.where("source <> target")
-    return runs.join(clean, F.col("domain") == F.col("source"), "left").withColumn("domain", F.coalesce("target", "domain")).drop("source", "target")
+    return runs.join(
+        clean, F.col("domain") == F.col("source"), "left"
+    ).withColumn("domain", F.coalesce("target", "domain")).drop("source", "target")
 
 
 EVENTS = "action string, domain string, run_id string, actor string, details string, at timestamp"
@@ -98,7 +114,9 @@ def delete_run(runs: DataFrame, run_id: str, confirmation: str) -> DataFrame:
     return runs.where(F.col("run_id") != run_id)
 
 
-def delete_domain(tables: dict[str, DataFrame], domain: str, confirmation: str, actor: str = "local") -> tuple[dict[str, DataFrame], DataFrame]:
+def delete_domain(
+    tables: dict[str, DataFrame], domain: str, confirmation: str, actor: str = "local"
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables (with column domain) without a domain's rows, merges from or to it included, and the event to log; the
     caller must have typed what it asks for. The log itself stays."""
     _confirmed(domain, confirmation)

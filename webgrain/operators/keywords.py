@@ -60,7 +60,9 @@ def page_signals(
             rows = [best(list(lists)) for lists in zip(*(b.column(i + 1).to_pylist() for i in range(len(places))), strict=True)]
             found = list(zip(*[x for r in rows for x in r], strict=True)) or [(), (), (), ()]
             of = b.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows])))
-            made = [pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], shape), pa.array(found[3], pa.int32())]
+            made = [
+                pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], shape), pa.array(found[3], pa.int32())
+            ]
             yield pa.RecordBatch.from_arrays([of, *made], names=[key, "phrase", "score_h", "places", "rank"])
 
     kind = pages.select(key).dtypes[0][1]
@@ -71,9 +73,18 @@ def site_keywords(signals: DataFrame, key: str) -> DataFrame:
     """One row for each phrase of two words or more: score_h, pages, top page and score (the first page of equal ones),
     and confidence_h, at most 98."""
     many = signals.where(F.col("phrase").contains(" "))
-    best = F.max_by(F.struct(F.col(key).alias("page"), F.col("score_h").alias("s")), F.struct(F.col("score_h").alias("s"), (-F.col(key)).alias("k")))
+    best = F.max_by(
+        F.struct(F.col(key).alias("page"), F.col("score_h").alias("s")), F.struct(F.col("score_h").alias("s"), (-F.col(key)).alias("k"))
+    )
     grouped = many.groupBy("phrase").agg(F.sum("score_h").alias("score_h"), F.count("*").alias("pages"), best.alias("b"))
-    return grouped.select("phrase", "score_h", "pages", F.col("b.page").alias("top_page"), F.col("b.s").alias("top_h"), F.least(F.lit(98), F.expr("(1525 + 2 * b.s) div 50")).alias("confidence_h"))
+    return grouped.select(
+        "phrase",
+        "score_h",
+        "pages",
+        F.col("b.page").alias("top_page"),
+        F.col("b.s").alias("top_h"),
+        F.least(F.lit(98), F.expr("(1525 + 2 * b.s) div 50")).alias("confidence_h")
+    )
 
 
 def suppress_parts(keywords: DataFrame) -> DataFrame:
@@ -83,7 +94,9 @@ def suppress_parts(keywords: DataFrame) -> DataFrame:
     join is on the top page, whose phrases are few (the limit of signals per page); no phrase is compared across pages.
     """
     other = keywords.select(F.col("phrase").alias("p"), F.col("score_h").alias("s"), F.col("top_page").alias("t"))
-    inside = (F.col("t") == F.col("top_page")) & (F.col("s") >= F.col("score_h")) & (F.length("p") > F.length("phrase")) & F.col("p").contains(F.col("phrase"))
+    inside = (F.col("t") == F.col("top_page")) & (F.col("s") >= F.col("score_h")) & (
+        F.length("p") > F.length("phrase")
+    ) & F.col("p").contains(F.col("phrase"))
     return keywords.join(other, inside, "left_anti")
 
 
@@ -93,8 +106,16 @@ def competing_pages(signals: DataFrame, key: str) -> DataFrame:
     many = signals.where(F.col("phrase").contains(" ")).withColumn("top", F.max("score_h").over(w))
     contenders = many.where((F.col("score_h") >= 500) & (100 * F.col("score_h") >= 65 * F.col("top")))
     ranked = contenders.withColumn("n", F.row_number().over(w.orderBy(F.desc("score_h"), key)))
-    grouped = ranked.groupBy("phrase").agg(F.count("*").alias("contenders"), F.max("top").alias("top_h"), F.max(F.when(F.col("n") == 2, F.col("score_h"))).alias("second_h"))
-    return grouped.where("contenders > 1").select("phrase", "contenders", "top_h", "second_h", F.when(F.col("second_h") * 10 >= F.col("top_h") * 8, "likely").otherwise("possible").alias("severity"))
+    grouped = ranked.groupBy("phrase").agg(
+        F.count("*").alias("contenders"), F.max("top").alias("top_h"), F.max(F.when(F.col("n") == 2, F.col("score_h"))).alias("second_h")
+    )
+    return grouped.where("contenders > 1").select(
+        "phrase",
+        "contenders",
+        "top_h",
+        "second_h",
+        F.when(F.col("second_h") * 10 >= F.col("top_h") * 8, "likely").otherwise("possible").alias("severity")
+    )
 
 
 def observed_queries(rows: DataFrame) -> DataFrame:
@@ -131,14 +152,20 @@ def with_page_metrics(queries: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def average_position(queries: DataFrame) -> DataFrame:
     """One row: the impression-weighted mean position, the plain mean without impressions, null without rows."""
-    return queries.agg(F.coalesce(F.try_divide(F.sum(F.col("position") * F.col("impressions")), F.sum("impressions")), F.avg("position")).alias("position"))
+    return queries.agg(
+        F.coalesce(F.try_divide(F.sum(F.col("position") * F.col("impressions")), F.sum("impressions")), F.avg("position")).alias("position")
+    )
 
 
 def observed_competition(rows: DataFrame) -> DataFrame:
     """Queries shown for several pages: none if the leader has 90 % of the impressions, likely if it has less than 65 %
     and there are more than two pages."""
     per = rows.groupBy("query", "page").agg(F.sum("impressions").alias("i"))
-    grouped = per.groupBy("query").agg(F.count("*").alias("pages"), F.sum("i").alias("impressions"), F.coalesce(F.try_divide(F.max("i"), F.sum("i")), F.lit(0.0)).alias("leader_share"))
+    grouped = per.groupBy("query").agg(
+        F.count("*").alias("pages"),
+        F.sum("i").alias("impressions"),
+        F.coalesce(F.try_divide(F.max("i"), F.sum("i")), F.lit(0.0)).alias("leader_share")
+    )
     open_ = grouped.where((F.col("pages") > 1) & (F.col("leader_share") < 0.9))
     return open_.withColumn("severity", F.when((F.col("leader_share") < 0.65) & (F.col("pages") > 2), "likely").otherwise("possible"))
 
@@ -148,7 +175,14 @@ def merge_observed(keywords: DataFrame, observed: DataFrame) -> DataFrame:
     k = keywords.withColumn("join_key", F.lower("phrase"))
     o = observed.withColumn("join_key", F.lower("query"))
     both = k.join(o, "join_key", "full_outer")
-    return both.select(F.coalesce("phrase", "query").alias("keyword"), F.col("query").isNotNull().alias("observed"), F.coalesce("score_h", F.lit(0)).alias("score_h"), F.coalesce("impressions", F.lit(0)).alias("impressions"), F.coalesce("clicks", F.lit(0)).alias("clicks"), "position")
+    return both.select(
+        F.coalesce("phrase", "query").alias("keyword"),
+        F.col("query").isNotNull().alias("observed"),
+        F.coalesce("score_h", F.lit(0)).alias("score_h"),
+        F.coalesce("impressions", F.lit(0)).alias("impressions"),
+        F.coalesce("clicks", F.lit(0)).alias("clicks"),
+        "position"
+    )
 
 
 def final_keywords(merged: DataFrame, most: int) -> DataFrame:

@@ -15,7 +15,9 @@ def _has(col: str, text: str | None) -> Column:
     return F.lit(True) if not text else F.lower(F.coalesce(F.col(col), F.lit(""))).contains(text.lower())
 
 
-def keyword_view(keywords: DataFrame, *, text: str | None = None, page: str | None = None, position: float | None = None, unavailable: bool = False) -> DataFrame:
+def keyword_view(
+    keywords: DataFrame, *, text: str | None = None, page: str | None = None, position: float | None = None, unavailable: bool = False
+) -> DataFrame:
     """keywords (keyword, pages array<string>, position, impressions, score_h) by phrase, page, and position up to a bound
     or not known; observed ones first."""
     out = keywords.where(_has("keyword", text))
@@ -50,7 +52,10 @@ def finding_view(findings: DataFrame, *, severity: str | None = None) -> DataFra
 
 def search_rows(rows: DataFrame, text: str) -> DataFrame:
     """Rows any of whose cells, as they are shown, contains a text."""
-    shown = F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") if not k.startswith(("array", "struct", "map")) else F.to_json(f"`{c}`") for c, k in rows.dtypes])
+    shown = F.concat_ws(
+        " ",
+        *[F.col(f"`{c}`").cast("string") if not k.startswith(("array", "struct", "map")) else F.to_json(f"`{c}`") for c, k in rows.dtypes]
+    )
     return rows.where(F.lower(shown).contains(text.lower()))
 
 
@@ -124,7 +129,9 @@ def image_view(images: DataFrame, *, missing: bool = False) -> DataFrame:
 
 def performance_view(reports: DataFrame) -> DataFrame:
     """Performance reports, the slowest first, those without a score last."""
-    return reports.orderBy(F.asc_nulls_last("performance"), "url") if "performance" in reports.columns else reports.orderBy(F.desc_nulls_last("lab_lcp"), "url")
+    return reports.orderBy(
+        F.asc_nulls_last("performance"), "url"
+    ) if "performance" in reports.columns else reports.orderBy(F.desc_nulls_last("lab_lcp"), "url")
 
 
 def priority_view(priorities: DataFrame, *, impact: str | None = None) -> DataFrame:

@@ -70,7 +70,14 @@ regexp_replace(host, '^www\\.', '') || pp || bare || {_query(_sorted(_keys(ur.HI
 regexp_replace(regexp_replace(host, '\\.$', ''), '^www\\.', '') || pp AS domain FROM v""")
 def url_normalize(spark, d):
     u = F.col("url")
-    return load(spark, d, "pages").select("page_id", ur.link_form(u).alias("link_form"), ur.crawl_form(u).alias("crawl_form"), ur.graph_form(u).alias("graph_form"), ur.history_form(u).alias("history_form"), ur.domain_form(u).alias("domain"))
+    return load(spark, d, "pages").select(
+        "page_id",
+        ur.link_form(u).alias("link_form"),
+        ur.crawl_form(u).alias("crawl_form"),
+        ur.graph_form(u).alias("graph_form"),
+        ur.history_form(u).alias("history_form"),
+        ur.domain_form(u).alias("domain")
+    )
 
 
 TYPE_SQL = """CASE WHEN path = '/' AND q = '' THEN 'home' WHEN regexp_matches(path, '(?i)/feed(/|$)') THEN 'feed'
@@ -83,7 +90,9 @@ WHEN page_id % 3 = 0 OR regexp_matches(path, '/\\d{4}/\\d{1,2}/') THEN 'article'
 @query(f"WITH {PARTS} SELECT page_id, len(seg)::INT AS depth, coalesce(seg[1], '/') AS bucket, {TYPE_SQL} AS page_type FROM v")
 def url_depth_bucket_type(spark, d):
     u = F.col("url")
-    return load(spark, d, "pages").select("page_id", ur.depth(u).alias("depth"), ur.bucket(u).alias("bucket"), ur.page_type(u, F.col("page_id") % 3 == 0).alias("page_type"))
+    return load(spark, d, "pages").select(
+        "page_id", ur.depth(u).alias("depth"), ur.bucket(u).alias("bucket"), ur.page_type(u, F.col("page_id") % 3 == 0).alias("page_type")
+    )
 
 
 EXCLUDED_SQL = "(bare = '/fr' OR starts_with(bare, '/fr/') OR bare = '/en/2' OR starts_with(bare, '/en/2/') OR bare = '/de' OR starts_with(bare, '/de/'))"
@@ -105,7 +114,9 @@ def exclusion_reason(spark, d):
     u, i = F.col("url"), F.col("page_id")
     n = F.row_number().over(Window.partitionBy("bucket").orderBy("page_id"))
     rows = load(spark, d, "pages").select("page_id", "url", ur.bucket(u).alias("bucket")).withColumn("n", n)
-    reason = F.when(ur.excluded(u, ["/fr"]), "configured").when(ur.is_archive(u), "archive").when(ur.depth(u) > 3, "depth").when(F.col("n") > 40, "bucket").when(i % 11 == 0, "robots").when(i % 13 == 0, "off_domain").when(i % 17 == 0, "not_html")
+    reason = F.when(
+        ur.excluded(u, ["/fr"]), "configured"
+    ).when(ur.is_archive(u), "archive").when(ur.depth(u) > 3, "depth").when(F.col("n") > 40, "bucket").when(i % 11 == 0, "robots").when(i % 13 == 0, "off_domain").when(i % 17 == 0, "not_html")
     return rows.select("page_id", reason.alias("reason"))
 
 
@@ -142,7 +153,9 @@ def crawl_reasons(spark, d):
     return crawl_rules.with_reasons(log, config).select(F.col("ordinal").alias("page_id"), "reason")
 
 
-@query(f"WITH {PARTS}, g AS (SELECT scheme || '://' || host || pp || path AS k, count(*) AS n FROM v GROUP BY 1) SELECT coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS extra FROM g")
+@query(
+    f"WITH {PARTS}, g AS (SELECT scheme || '://' || host || pp || path AS k, count(*) AS n FROM v GROUP BY 1) SELECT coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS extra FROM g"
+)
 def param_duplicates(spark, d):
     u = F.col("url")
     return enrich.parameter_duplicates(load(spark, d, "pages").select(F.concat(ur.origin(u), ur.path(u)).alias("k")), "k")
@@ -153,9 +166,16 @@ H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
 CLEAN_SQL = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {CLEAN_SQL(f'''regexp_extract(html, '{TITLE}', 1)''')} AS title, {CLEAN_SQL(f'''regexp_extract(html, '{H1}', 1)''')} AS h1, length(html)::INT AS html_chars FROM pages")
+@query(
+    f"SELECT page_id, {CLEAN_SQL(f'''regexp_extract(html, '{TITLE}', 1)''')} AS title, {CLEAN_SQL(f'''regexp_extract(html, '{H1}', 1)''')} AS h1, length(html)::INT AS html_chars FROM pages"
+)
 def title_h1_extract(spark, d):
-    return load(spark, d, "pages").select("page_id", tx.clean(F.regexp_extract("html", TITLE, 1)).alias("title"), tx.clean(F.regexp_extract("html", H1, 1)).alias("h1"), F.length("html").alias("html_chars"))
+    return load(spark, d, "pages").select(
+        "page_id",
+        tx.clean(F.regexp_extract("html", TITLE, 1)).alias("title"),
+        tx.clean(F.regexp_extract("html", H1, 1)).alias("h1"),
+        F.length("html").alias("html_chars")
+    )
 
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
@@ -164,8 +184,14 @@ LINKS_SQL = f"""l AS (SELECT page_id, unnest(regexp_extract_all(html, '{ANCHOR}'
 
 def _links(spark, d):
     """page_id, ordinal, href, anchor of every simple anchor, without a Python pass."""
-    p = load(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("a"))
-    return p.select("page_id", F.posexplode(F.arrays_zip("h", "a")).alias("ordinal", "x")).select("page_id", "ordinal", F.col("x.h").alias("href"), tx.clean(F.col("x.a")).alias("anchor"))
+    p = load(spark, d, "pages").select(
+        "page_id",
+        F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("h"),
+        F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("a")
+    )
+    return p.select("page_id", F.posexplode(F.arrays_zip("h", "a")).alias("ordinal", "x")).select(
+        "page_id", "ordinal", F.col("x.h").alias("href"), tx.clean(F.col("x.a")).alias("anchor")
+    )
 
 
 @query(f"WITH {LINKS_SQL} SELECT page_id, href, {CLEAN_SQL('anchor')} AS anchor, starts_with(href, '/') AS internal FROM l")
@@ -173,16 +199,22 @@ def link_explode(spark, d):
     return _links(spark, d).select("page_id", "href", "anchor", F.col("href").startswith("/").alias("internal"))
 
 
-@query(f"WITH {LINKS_SQL} SELECT {CLEAN_SQL('anchor')} AS anchor, href, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM l GROUP BY ALL")
+@query(
+    f"WITH {LINKS_SQL} SELECT {CLEAN_SQL('anchor')} AS anchor, href, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM l GROUP BY ALL"
+)
 def link_inventory(spark, d):
     links = _links(spark, d).select(F.col("page_id").alias("source"), F.col("anchor").alias("text"), F.col("href").alias("target"))
     return graph.link_inventory(links, "text", "target").withColumnsRenamed({"text": "anchor", "target": "href"})
 
 
-@query(f"WITH {LINKS_SQL} SELECT p.page_id, count(DISTINCT href) FILTER (starts_with(href, '/')) AS internal, count(DISTINCT href) FILTER (NOT starts_with(href, '/')) AS external FROM pages p LEFT JOIN l USING (page_id) GROUP BY 1")
+@query(
+    f"WITH {LINKS_SQL} SELECT p.page_id, count(DISTINCT href) FILTER (starts_with(href, '/')) AS internal, count(DISTINCT href) FILTER (NOT starts_with(href, '/')) AS external FROM pages p LEFT JOIN l USING (page_id) GROUP BY 1"
+)
 def unique_link_counts(spark, d):
     p = load(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("h"))
-    own = lambda inside: F.size(F.array_distinct(F.filter("h", lambda x: x.startswith("/") if inside else ~x.startswith("/")))).cast("long")
+    own = lambda inside: F.size(
+        F.array_distinct(F.filter("h", lambda x: x.startswith("/") if inside else ~x.startswith("/")))
+    ).cast("long")
     return p.select("page_id", own(True).alias("internal"), own(False).alias("external"))
 
 
@@ -198,7 +230,12 @@ SELECT page_id, length(t) < 400 OR NOT regexp_matches(html, '(?i)<(h1|h2|main|ar
 def js_render_predicate(spark, d):
     body = tx.clean(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " "))
     p = load(spark, d, "pages")
-    page = {"body_chars": F.length(body), "has_structure": p["html"].rlike("(?i)<(h1|h2|main|article)[ >]"), "link_count": F.size(F.regexp_extract_all("html", F.lit("(?i)<a[^>]* href="), F.lit(0))), "has_metadata": tx.clean(F.regexp_extract("html", TITLE, 1)) != ""}
+    page = {
+        "body_chars": F.length(body),
+        "has_structure": p["html"].rlike("(?i)<(h1|h2|main|article)[ >]"),
+        "link_count": F.size(F.regexp_extract_all("html", F.lit("(?i)<a[^>]* href="), F.lit(0))),
+        "has_metadata": tx.clean(F.regexp_extract("html", TITLE, 1)) != ""
+    }
     return p.select("page_id", site.needs_rendering(page).alias("needs"))
 
 
@@ -214,16 +251,26 @@ CASE WHEN w > 0 AND s > 0 THEN round(greatest(0, 0.39 * (w / s) + 11.8 * (y / w)
 FROM (SELECT doc_id, w::DOUBLE AS w, s::DOUBLE AS s, y::DOUBLE AS y FROM b)""")
 def readability(spark, d):
     r = load(spark, d, "documents").select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
-    return r.select("doc_id", "words", "sentences", "syllables", *[F.round(c, 4).alias(c) for c in ("words_per_sentence", "reading_ease", "grade", "minutes")])
+    return r.select(
+        "doc_id",
+        "words",
+        "sentences",
+        "syllables",
+        *[F.round(c, 4).alias(c) for c in ("words_per_sentence", "reading_ease", "grade", "minutes")]
+    )
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
 TOKENS_SQL = lambda x: rf"""list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+'), lambda w: regexp_replace(w, '^-|-$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains({STOP_SQL}, w) AND NOT regexp_matches(w, '^\d+$'))"""
 
 
-@query(f"SELECT doc_id, len(t)::BIGINT AS tokens, len(list_distinct(t))::BIGINT AS distinct_tokens FROM (SELECT doc_id, {TOKENS_SQL('text')} AS t FROM documents)")
+@query(
+    f"SELECT doc_id, len(t)::BIGINT AS tokens, len(list_distinct(t))::BIGINT AS distinct_tokens FROM (SELECT doc_id, {TOKENS_SQL('text')} AS t FROM documents)"
+)
 def token_counts(spark, d):
-    return load(spark, d, "documents").select("doc_id", tx.keyword_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"))
+    return load(spark, d, "documents").select("doc_id", tx.keyword_tokens(F.col("text")).alias("t")).select(
+        "doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens")
+    )
 
 
 def _grams_nested(t: str, low: int, high: int) -> str:
@@ -257,12 +304,16 @@ def ngram_top40(spark, d):
     return _signals(spark, d).select("doc_id", "phrase", "score_h", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {SITE_SQL} SELECT phrase, score_h, pages, top_page, top_h, least(98, (1525 + 2 * top_h) // 50)::BIGINT AS confidence_h FROM f")
+@query(
+    f"WITH {SITE_SQL} SELECT phrase, score_h, pages, top_page, top_h, least(98, (1525 + 2 * top_h) // 50)::BIGINT AS confidence_h FROM f"
+)
 def keyword_aggregate(spark, d):
     return keywords.site_keywords(_signals(spark, d), "doc_id").withColumn("confidence_h", F.col("confidence_h").cast("long"))
 
 
-@query(f"WITH {SITE_SQL} SELECT phrase, score_h, top_page FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.top_page = f.top_page AND g.score_h >= f.score_h AND length(g.phrase) > length(f.phrase) AND contains(g.phrase, f.phrase))")
+@query(
+    f"WITH {SITE_SQL} SELECT phrase, score_h, top_page FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.top_page = f.top_page AND g.score_h >= f.score_h AND length(g.phrase) > length(f.phrase) AND contains(g.phrase, f.phrase))"
+)
 def keyword_suppression(spark, d):
     return keywords.suppress_parts(keywords.site_keywords(_signals(spark, d), "doc_id")).select("phrase", "score_h", "top_page")
 
@@ -278,7 +329,14 @@ SEARCH_SQL = "x AS (SELECT l_partkey AS query, l_suppkey AS page, l_linenumber::
 
 
 def _search(spark, d):
-    return load(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("page"), F.col("l_linenumber").cast("double").alias("clicks"), F.col("l_quantity").alias("impressions"), (F.col("l_discount") * 100).alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return load(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("query"),
+        F.col("l_suppkey").alias("page"),
+        F.col("l_linenumber").cast("double").alias("clicks"),
+        F.col("l_quantity").alias("impressions"),
+        (F.col("l_discount") * 100).alias("position"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal")
+    )
 
 
 OBSERVED_SQL = f"""{SEARCH_SQL}, o AS (SELECT query, sum(clicks) AS clicks, sum(impressions) AS impressions, coalesce(sum(clicks) / nullif(sum(impressions), 0), 0) AS ctr,
@@ -287,7 +345,9 @@ coalesce(sum(position * impressions) / nullif(sum(impressions), 0), arg_max(posi
 
 @query(f"WITH {OBSERVED_SQL} SELECT query, clicks, impressions, round(ctr, 6) AS ctr, round(position, 6) AS position, pages FROM o")
 def observed_queries(spark, d):
-    return keywords.observed_queries(_search(spark, d)).select("query", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 6).alias("position"), "pages")
+    return keywords.observed_queries(_search(spark, d)).select(
+        "query", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 6).alias("position"), "pages"
+    )
 
 
 @query(f"""WITH {SEARCH_SQL} SELECT query, page, sum(clicks) AS clicks, sum(impressions) AS impressions, round(coalesce(sum(clicks) / nullif(sum(impressions), 0), 0), 6) AS ctr,
@@ -297,7 +357,9 @@ def observed_page_metrics(spark, d):
     return m.select("query", "page", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 6).alias("position"))
 
 
-@query(f"WITH {OBSERVED_SQL} SELECT round(coalesce(sum(position * impressions) / nullif(sum(impressions), 0), avg(position)), 6) AS position FROM o")
+@query(
+    f"WITH {OBSERVED_SQL} SELECT round(coalesce(sum(position * impressions) / nullif(sum(impressions), 0), avg(position)), 6) AS position FROM o"
+)
 def weighted_position(spark, d):
     return keywords.average_position(keywords.observed_queries(_search(spark, d))).select(F.round("position", 6).alias("position"))
 
@@ -305,7 +367,9 @@ def weighted_position(spark, d):
 @query(f"""WITH {SEARCH_SQL}, p AS (SELECT query, page, sum(impressions) AS i FROM x GROUP BY ALL), g AS (SELECT query, count(*) AS pages, sum(i) AS impressions, coalesce(max(i) / nullif(sum(i), 0), 0) AS s FROM p GROUP BY 1)
 SELECT query, pages, impressions, round(s, 6) AS leader_share, CASE WHEN s < 0.65 AND pages > 2 THEN 'likely' ELSE 'possible' END AS severity FROM g WHERE pages > 1 AND s < 0.9""")
 def cannibalization_observed(spark, d):
-    return keywords.observed_competition(_search(spark, d)).select("query", "pages", "impressions", F.round("leader_share", 6).alias("leader_share"), "severity")
+    return keywords.observed_competition(_search(spark, d)).select(
+        "query", "pages", "impressions", F.round("leader_share", 6).alias("leader_share"), "severity"
+    )
 
 
 @query(f"""WITH {OBSERVED_SQL}, k AS (SELECT p_name AS phrase, min(p_partkey) AS id, sum(p_size)::BIGINT AS score_h FROM part GROUP BY 1), q AS (SELECT upper(p_name) AS query, sum(o.impressions) AS impressions, sum(o.clicks) AS clicks, min(o.position) AS position FROM part JOIN o ON p_partkey + 1 = o.query GROUP BY 1)
@@ -314,26 +378,49 @@ def fullouter_merge(spark, d):
     part = load(spark, d, "part")
     k = part.groupBy(F.col("p_name").alias("phrase")).agg(F.sum("p_size").alias("score_h"))
     o = keywords.observed_queries(_search(spark, d)).withColumnRenamed("query", "q")
-    named = part.join(o, F.col("p_partkey") + 1 == F.col("q")).groupBy(F.upper("p_name").alias("query")).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.min("position").alias("position"))
+    named = part.join(o, F.col("p_partkey") + 1 == F.col("q")).groupBy(F.upper("p_name").alias("query")).agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.min("position").alias("position")
+    )
     return keywords.merge_observed(k, named).withColumn("position", F.round("position", 6))
 
 
 @query("""WITH e AS (SELECT '/' || event_type || '/' || (user_id % 40) || CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END AS path, event_id, value FROM events)
 SELECT regexp_replace(path, '(.)/$', '\\1') AS path_key, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM e GROUP BY 1""")
 def analytics_last_wins(spark, d):
-    e = load(spark, d, "events").select(F.concat(F.lit("/"), "event_type", F.lit("/"), (F.col("user_id") % 40).cast("string"), F.when(F.col("event_id") % 2 == 0, "/").otherwise("")).alias("path"), "event_id", "value")
+    e = load(spark, d, "events").select(
+        F.concat(
+            F.lit("/"),
+            "event_type",
+            F.lit("/"),
+            (F.col("user_id") % 40).cast("string"),
+            F.when(F.col("event_id") % 2 == 0, "/").otherwise("")
+        ).alias("path"),
+        "event_id",
+        "value"
+    )
     return enrich.last_by_path(e, "path", "event_id").select("path_key", "event_id", "value")
 
 
 @query("""WITH e AS (SELECT user_id % 7 + 1 AS sessions, user_id % 3 AS engaged, CASE WHEN event_id % 4 > 0 THEN (event_id % 100) / 100.0::DOUBLE END AS bounce FROM events)
 SELECT sum(sessions)::BIGINT AS sessions, sum(engaged)::BIGINT AS engaged, round(sum(engaged) / sum(sessions), 6) AS engagement_rate, round(sum(bounce * sessions) FILTER (bounce IS NOT NULL) / sum(sessions) FILTER (bounce IS NOT NULL), 6) AS bounce_rate FROM e""")
 def session_weighted_bounce(spark, d):
-    e = load(spark, d, "events").select((F.col("user_id") % 7 + 1).alias("sessions"), (F.col("user_id") % 3).alias("engaged"), F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 100) / F.lit(100.0)).alias("bounce"))
-    return enrich.engagement_totals(e).select("sessions", "engaged", F.round("engagement_rate", 6).alias("engagement_rate"), F.round("bounce_rate", 6).alias("bounce_rate"))
+    e = load(spark, d, "events").select(
+        (F.col("user_id") % 7 + 1).alias("sessions"),
+        (F.col("user_id") % 3).alias("engaged"),
+        F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 100) / F.lit(100.0)).alias("bounce")
+    )
+    return enrich.engagement_totals(e).select(
+        "sessions", "engaged", F.round("engagement_rate", 6).alias("engagement_rate"), F.round("bounce_rate", 6).alias("bounce_rate")
+    )
 
 
 def _link_rows(spark, d):
-    return _links(spark, d).select(F.col("page_id").alias("source"), F.col("anchor").alias("text"), F.col("href").alias("target"), F.col("href").startswith("/").alias("internal"))
+    return _links(spark, d).select(
+        F.col("page_id").alias("source"),
+        F.col("anchor").alias("text"),
+        F.col("href").alias("target"),
+        F.col("href").startswith("/").alias("internal")
+    )
 
 
 def _failures(spark, d):
@@ -350,19 +437,25 @@ def broken_links(spark, d):
     return graph.broken_links(_link_rows(spark, d), _failures(spark, d))
 
 
-@query(f"WITH {FAIL_SQL} SELECT t.url, coalesce(array_to_string(list_sort(list(DISTINCT page_id::VARCHAR) FILTER (page_id IS NOT NULL)), ','), '') AS sources FROM t LEFT JOIN l ON l.href = t.url WHERE status = 301 GROUP BY 1")
+@query(
+    f"WITH {FAIL_SQL} SELECT t.url, coalesce(array_to_string(list_sort(list(DISTINCT page_id::VARCHAR) FILTER (page_id IS NOT NULL)), ','), '') AS sources FROM t LEFT JOIN l ON l.href = t.url WHERE status = 301 GROUP BY 1"
+)
 def redirect_sources(spark, d):
     r = _failures(spark, d).where("status = 301").select("url")
     links = _link_rows(spark, d).withColumn("source", F.col("source").cast("string"))
     return graph.redirect_sources(r, links).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("SELECT count(*) AS listed, count(*) FILTER (o_custkey IS NOT NULL) AS analysed, round(100.0 * count(*) FILTER (o_custkey IS NOT NULL) / count(*), 6) AS rate FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey")
+@query(
+    "SELECT count(*) AS listed, count(*) FILTER (o_custkey IS NOT NULL) AS analysed, round(100.0 * count(*) FILTER (o_custkey IS NOT NULL) / count(*), 6) AS rate FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey"
+)
 def sitemap_rate(spark, d):
     listed = load(spark, d, "customer").select(F.col("c_custkey").alias("key"))
     crawled = load(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct().withColumn("hit", F.lit(True))
     j = listed.join(crawled, "key", "left")
-    return j.agg(F.count("*").alias("listed"), F.count("hit").alias("analysed"), F.round(enrich.percent(F.col("hit").isNotNull()), 6).alias("rate"))
+    return j.agg(
+        F.count("*").alias("listed"), F.count("hit").alias("analysed"), F.round(enrich.percent(F.col("hit").isNotNull()), 6).alias("rate")
+    )
 
 
 @query(f"WITH {LINKS_SQL} SELECT count(DISTINCT href) AS blocked FROM l WHERE starts_with(href, '/') AND length(href) % 6 = 0")
@@ -378,9 +471,13 @@ UNION ALL SELECT 'external', min(page_id)::VARCHAR, href, NULL, count(DISTINCT p
 UNION ALL SELECT 'excluded', NULL, url, NULL, 'configured' FROM pages WHERE page_id % 9 = 0""")
 def technical_union(spark, d):
     links, fails = _link_rows(spark, d), _failures(spark, d)
-    red = fails.where("status = 301").select("url", F.concat("url", F.lit("/")).alias("final_url"), "status", F.lit("deliberate").alias("classification"))
+    red = fails.where("status = 301").select(
+        "url", F.concat("url", F.lit("/")).alias("final_url"), "status", F.lit("deliberate").alias("classification")
+    )
     ext = graph.external_targets(links)
-    gone = load(spark, d, "pages").where("page_id % 9 = 0").select("url", F.lit(None).cast("int").alias("status"), F.lit("configured").alias("reason"))
+    gone = load(spark, d, "pages").where("page_id % 9 = 0").select(
+        "url", F.lit(None).cast("int").alias("status"), F.lit("configured").alias("reason")
+    )
     return sinks.technical_rows(graph.broken_links(links, fails), red, ext, gone)
 
 
@@ -397,14 +494,18 @@ def _findings(spark, d):
         findings.rule("thin_content", "geo", "warning", words < 300, F.lit("thin")),
         findings.rule("canonical_missing", "seo", "info", ~F.col("html").contains("canonical"), F.lit("no canonical")),
         findings.rule("h1_missing", "seo", "warning", F.col("page_id") % 5 == 0, F.lit("no heading")),
-        findings.rule("title_missing", "seo", "critical", F.length(tx.clean(F.regexp_extract("html", TITLE, 1))) % 40 == 0, F.lit("no title")),
+        findings.rule(
+            "title_missing", "seo", "critical", F.length(tx.clean(F.regexp_extract("html", TITLE, 1))) % 40 == 0, F.lit("no title")
+        ),
     ]
     return findings.explode_rules(load(spark, d, "pages"), "page_id", rules).withColumnRenamed("page_id", "page")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT rule, category, severity, count(*) AS findings, count(DISTINCT page) AS pages FROM fi GROUP BY ALL")
 def findings_by_rule(spark, d):
-    return _findings(spark, d).groupBy("rule", "category", "severity").agg(F.count("*").alias("findings"), F.countDistinct("page").alias("pages"))
+    return _findings(spark, d).groupBy("rule", "category", "severity").agg(
+        F.count("*").alias("findings"), F.countDistinct("page").alias("pages")
+    )
 
 
 @query(f"""WITH {FINDINGS_SQL}, n AS (SELECT count(*) AS n FROM pages), g AS (SELECT rule, any_value(category) AS area, any_value(severity) AS sev, count(DISTINCT page) AS affected, min(page) AS seen FROM fi GROUP BY 1),
@@ -412,7 +513,9 @@ h AS (SELECT *, CASE WHEN sev = 'critical' OR (affected >= 3 AND 10 * affected >
 SELECT rule, area, impact, CASE rule WHEN 'thin_content' THEN 'high' ELSE 'low' END AS effort, affected, row_number() OVER (ORDER BY CASE impact WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, affected DESC, seen) AS rank FROM h""")
 def priorities_top25(spark, d):
     total = load(spark, d, "pages").agg(F.count("*").alias("n")).scalar()
-    return findings.priorities(_findings(spark, d), total).select("rule", "area", "impact", "effort", "affected", F.col("rank").cast("long").alias("rank"))
+    return findings.priorities(_findings(spark, d), total).select(
+        "rule", "area", "impact", "effort", "affected", F.col("rank").cast("long").alias("rank")
+    )
 
 
 @query(f"""WITH {FINDINGS_SQL}, c AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM fi), n AS (SELECT count(*) AS pages FROM pages)
@@ -431,13 +534,24 @@ fp AS (SELECT d.doc_id, coalesce(f, 18446744073709551615::UBIGINT) AS f, len(reg
 def _fingerprints(spark, d):
     docs = load(spark, d, "documents")
     prints = tx.simhash(docs, "doc_id", "text")
-    words = docs.select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words"))
-    return prints.join(words, "doc_id").select(F.col("doc_id").alias("page"), F.lit("article").alias("page_type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"), "fingerprint", "words")
+    words = docs.select(
+        "doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words")
+    )
+    return prints.join(words, "doc_id").select(
+        F.col("doc_id").alias("page"),
+        F.lit("article").alias("page_type"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("description"),
+        "fingerprint",
+        "words"
+    )
 
 
 @query(f"WITH {SIMHASH_SQL} SELECT doc_id, lpad(to_hex(f), 16, '0') AS fingerprint FROM fp")
 def simhash(spark, d):
-    return tx.simhash(load(spark, d, "documents"), "doc_id", "text").select("doc_id", F.lpad(F.hex("fingerprint"), 16, "0").alias("fingerprint"))
+    return tx.simhash(load(spark, d, "documents"), "doc_id", "text").select(
+        "doc_id", F.lpad(F.hex("fingerprint"), 16, "0").alias("fingerprint")
+    )
 
 
 PAIRS_SQL = f"""{SIMHASH_SQL}, bk AS (SELECT DISTINCT 'article:' || lower(substr(lpad(to_hex(f), 16, '0'), 1, 3)) || ':' || floor(words / 250 + 0.5)::INT AS bucket, f FROM fp),
@@ -466,17 +580,23 @@ GRAPH_SQL = """nn AS (SELECT count(*) AS n FROM pages), ge AS (SELECT page_id AS
 def _page_graph(spark, d):
     p = load(spark, d, "pages").select(F.col("page_id").alias("key"))
     n = load(spark, d, "pages").agg(F.count("*").alias("n")).scalar()
-    e = p.select(F.col("key").alias("source"), F.explode(F.array(2 * F.col("key") + 1, 2 * F.col("key") + 2)).alias("target")).where(F.col("target") % 7 != 0).where(F.col("target") < n)
+    e = p.select(
+        F.col("key").alias("source"), F.explode(F.array(2 * F.col("key") + 1, 2 * F.col("key") + 2)).alias("target")
+    ).where(F.col("target") % 7 != 0).where(F.col("target") < n)
     return p, e
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT 0::BIGINT AS k, 0 AS depth UNION SELECT t, depth + 1 FROM b JOIN g1 ON s = k WHERE depth < 60), m AS (SELECT k, min(depth) AS depth FROM b GROUP BY 1) SELECT page_id AS key, depth, depth > 3 AS deep FROM pages LEFT JOIN m ON page_id = k")
+@query(
+    f"WITH RECURSIVE {GRAPH_SQL}, b AS (SELECT 0::BIGINT AS k, 0 AS depth UNION SELECT t, depth + 1 FROM b JOIN g1 ON s = k WHERE depth < 60), m AS (SELECT k, min(depth) AS depth FROM b GROUP BY 1) SELECT page_id AS key, depth, depth > 3 AS deep FROM pages LEFT JOIN m ON page_id = k"
+)
 def click_depth(spark, d):
     p, e = _page_graph(spark, d)
     return graph.click_depths(p, e, p.where("key = 0")).withColumn("deep", F.col("depth") > 3)
 
 
-@query(f"WITH {GRAPH_SQL}, c AS (SELECT t, count(DISTINCT s) AS n FROM g1 GROUP BY 1) SELECT page_id AS key, coalesce(c.n, 0) AS incoming, page_id <> 0 AND coalesce(c.n, 0) = 0 AS orphan FROM pages LEFT JOIN c ON page_id = t")
+@query(
+    f"WITH {GRAPH_SQL}, c AS (SELECT t, count(DISTINCT s) AS n FROM g1 GROUP BY 1) SELECT page_id AS key, coalesce(c.n, 0) AS incoming, page_id <> 0 AND coalesce(c.n, 0) = 0 AS orphan FROM pages LEFT JOIN c ON page_id = t"
+)
 def incoming_orphans(spark, d):
     p, e = _page_graph(spark, d)
     links = e.select("source", "target", F.col("target").alias("target_key"))
@@ -488,8 +608,12 @@ def incoming_orphans(spark, d):
 SELECT a.key, a.canonical_key, coalesce(b.canonical_key <> b.key, false) AS chain, CASE WHEN a.canonical_key >= 100000 AND a.key % 3 = 0 THEN 404 END AS bad_status FROM c a LEFT JOIN c b ON a.canonical_key = b.key""")
 def canonical_chains(spark, d):
     i = F.col("page_id")
-    p = load(spark, d, "pages").select(i.alias("key"), F.when(i % 4 == 0, F.floor(i / 2)).when(i % 4 == 1, i + 100000).otherwise(i).alias("canonical_key"))
-    gone = p.where("canonical_key >= 100000").select(F.col("canonical_key").alias("key"), F.when(F.col("key") % 3 == 0, 404).otherwise(200).alias("status"))
+    p = load(spark, d, "pages").select(
+        i.alias("key"), F.when(i % 4 == 0, F.floor(i / 2)).when(i % 4 == 1, i + 100000).otherwise(i).alias("canonical_key")
+    )
+    gone = p.where("canonical_key >= 100000").select(
+        F.col("canonical_key").alias("key"), F.when(F.col("key") % 3 == 0, 404).otherwise(200).alias("status")
+    )
     return graph.canonical_problems(p, gone)
 
 
@@ -511,9 +635,13 @@ CASE WHEN a + e + v + c + i + f + m >= 85 THEN 'strong' WHEN a + e + v + c + i +
 def aio_score(spark, d):
     i, t = F.col("doc_id"), F.col("text")
     p = {
-        "blocked": i % 19 == 0, "has_passage": t.rlike("[^.!?]{45,320}[.!?]"), "h2_count": F.col("n_chars") % 10, "question_headings": F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit(""))), "lists_or_tables": F.col("n_chars") % 2,
+        "blocked": i % 19 == 0, "has_passage": t.rlike("[^.!?]{45,320}[.!?]"), "h2_count": F.col("n_chars") % 10, "question_headings": F.length(t) - F.length(
+            F.replace(t, F.lit("?"), F.lit(""))
+        ), "lists_or_tables": F.col("n_chars") % 2,
         "external_links": i % 3, "cited_claims": i % 4, "has_author": i % 2 == 0, "has_published": i % 5 == 0, "has_modified": i % 7 == 0, "has_last_modified": i % 6 == 0, "has_title_h1": i % 8 > 0, "has_schema": i % 9 == 0,
-        "has_description": i % 10 > 2, "has_core_entity": i % 18 == 0, "words": F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))), "follow_up": i % 11 == 0, "images": i % 6, "images_without_alt": F.least(i % 6, i % 4),
+        "has_description": i % 10 > 2, "has_core_entity": i % 18 == 0, "words": F.size(
+            F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+        ), "follow_up": i % 11 == 0, "images": i % 6, "images_without_alt": F.least(i % 6, i % 4),
     }
     return load(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in findings.answer_readiness(p).items()])
 
@@ -527,10 +655,24 @@ fs AS (SELECT DISTINCT domain, run_id, sha256(domain || chr(10) || 'a.example/u'
 
 def _runs(spark, d):
     week = F.floor(F.datediff("ts", F.lit("2020-01-01")) / 7)
-    e = load(spark, d, "events").select(F.col("event_type").alias("domain"), week.alias("wk"), F.concat("event_type", F.lit("-"), F.lpad(week.cast("string"), 5, "0")).alias("run_id"), "user_id", "event_id")
-    runs = e.select("domain", "run_id", F.col("wk").alias("generated_at"), F.when(F.col("wk") % 3 == 0, "b").otherwise("a").alias("config_fp"), F.lit(history.RULESET).alias("ruleset")).distinct()
+    e = load(spark, d, "events").select(
+        F.col("event_type").alias("domain"),
+        week.alias("wk"),
+        F.concat("event_type", F.lit("-"), F.lpad(week.cast("string"), 5, "0")).alias("run_id"),
+        "user_id",
+        "event_id"
+    )
+    runs = e.select(
+        "domain",
+        "run_id",
+        F.col("wk").alias("generated_at"),
+        F.when(F.col("wk") % 3 == 0, "b").otherwise("a").alias("config_fp"),
+        F.lit(history.RULESET).alias("ruleset")
+    ).distinct()
     url = F.concat(F.lit("https://www.a.example/u"), F.col("user_id").cast("string"), F.lit("/?utm_source=x"))
-    print_ = history.finding_fingerprint(F.col("domain"), url, F.concat(F.lit("rule"), (F.col("user_id") % 5).cast("string")), F.lit(None).cast("string"))
+    print_ = history.finding_fingerprint(
+        F.col("domain"), url, F.concat(F.lit("rule"), (F.col("user_id") % 5).cast("string")), F.lit(None).cast("string")
+    )
     return runs, e.select("domain", "run_id", print_.alias("fingerprint"))
 
 
@@ -555,7 +697,9 @@ def finding_deltas(spark, d):
     return history.finding_deltas(*_runs(spark, d))
 
 
-@query(f"WITH {DELTAS_SQL} SELECT domain, run_id, count(*) FILTER (state = 'OPENED') AS opened, count(*) FILTER (state = 'PERSISTING') AS persisting, count(*) FILTER (state = 'REOPENED') AS reopened, count(*) FILTER (state = 'RESOLVED') AS resolved FROM dl GROUP BY ALL")
+@query(
+    f"WITH {DELTAS_SQL} SELECT domain, run_id, count(*) FILTER (state = 'OPENED') AS opened, count(*) FILTER (state = 'PERSISTING') AS persisting, count(*) FILTER (state = 'REOPENED') AS reopened, count(*) FILTER (state = 'RESOLVED') AS resolved FROM dl GROUP BY ALL"
+)
 def trend_pivot(spark, d):
     return history.delta_counts(history.finding_deltas(*_runs(spark, d)))
 
@@ -575,21 +719,39 @@ def domain_merge(spark, d):
 SELECT event_id, query, CASE WHEN cell = 'n/a' THEN 0 WHEN contains(cell, '%') THEN replace(cell, '%', '')::DOUBLE ELSE replace(cell, ',', '')::DOUBLE END AS number, round(CASE WHEN cell = 'n/a' THEN 0 WHEN contains(cell, '%') THEN replace(cell, '%', '')::DOUBLE / 100 ELSE replace(cell, ',', '')::DOUBLE END, 6) AS rate FROM q WHERE NOT regexp_matches(query, '(?i)^(site|cache|related):')""")
 def operator_query_filter(spark, d):
     i, u = F.col("event_id"), F.col("user_id")
-    cell = F.when(i % 3 == 0, F.concat((u % 100).cast("string"), F.lit("%"))).when(i % 3 == 1, F.concat(F.lit("1,"), F.lpad((u % 1000).cast("string"), 3, "0"))).otherwise("n/a")
-    q = load(spark, d, "events").select("event_id", F.when(i % 4 == 0, F.concat(F.lit("site:"), "event_type")).otherwise(F.col("event_type")).alias("query"), cell.alias("cell"))
-    return q.where(~F.col("query").rlike(exports.OPERATOR)).select("event_id", "query", enrich.number(F.col("cell")).alias("number"), F.round(enrich.rate(F.col("cell")), 6).alias("rate"))
+    cell = F.when(i % 3 == 0, F.concat((u % 100).cast("string"), F.lit("%"))).when(
+        i % 3 == 1, F.concat(F.lit("1,"), F.lpad((u % 1000).cast("string"), 3, "0"))
+    ).otherwise("n/a")
+    q = load(spark, d, "events").select(
+        "event_id",
+        F.when(i % 4 == 0, F.concat(F.lit("site:"), "event_type")).otherwise(F.col("event_type")).alias("query"),
+        cell.alias("cell")
+    )
+    return q.where(~F.col("query").rlike(exports.OPERATOR)).select(
+        "event_id", "query", enrich.number(F.col("cell")).alias("number"), F.round(enrich.rate(F.col("cell")), 6).alias("rate")
+    )
 
 
-@query("SELECT event_type, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
+@query(
+    "SELECT event_type, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1"
+)
 def date_range(spark, d):
     e = load(spark, d, "events").select("event_type", F.to_date("ts").alias("day"))
-    return e.groupBy("event_type").agg(F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.countDistinct("day").alias("days"))
+    return e.groupBy("event_type").agg(
+        F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.countDistinct("day").alias("days")
+    )
 
 
 @query("""WITH i AS (SELECT l_partkey % 200 AS src, l_suppkey AS page, l_orderkey * 10 + l_linenumber AS ordinal, l_returnflag AS alt, 'f' || (l_linenumber % 3) AS filename FROM lineitem)
 SELECT src, count(DISTINCT page) AS pages, count(*) AS occurrences, arg_min(alt, page * 100000000 + ordinal) AS alt, arg_min(filename, page * 100000000 + ordinal) AS filename FROM i GROUP BY 1""")
 def image_inventory(spark, d):
-    i = load(spark, d, "lineitem").select((F.col("l_partkey") % 200).alias("src"), F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.col("l_returnflag").alias("alt"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("filename"))
+    i = load(spark, d, "lineitem").select(
+        (F.col("l_partkey") % 200).alias("src"),
+        F.col("l_suppkey").alias("page"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
+        F.col("l_returnflag").alias("alt"),
+        F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("filename")
+    )
     return enrich.image_inventory(i)
 
 
@@ -627,11 +789,19 @@ def _site_pages(spark, d):
     i = F.col("key")
     canonical = F.when(i % 4 == 0, F.floor(i / 2)).when(i % 4 == 1, i + 100000).otherwise(i)
     keyed = p.withColumn("canonical_key", canonical)
-    dropped = keyed.where("canonical_key >= 100000").select(F.col("canonical_key").alias("key"), F.when(F.col("canonical_key") % 3 == 0, 404).otherwise(200).alias("status"))
+    dropped = keyed.where("canonical_key >= 100000").select(
+        F.col("canonical_key").alias("key"), F.when(F.col("canonical_key") % 3 == 0, 404).otherwise(200).alias("status")
+    )
     problems = graph.canonical_problems(keyed, dropped).drop("canonical_key")
     targets = keyed.select(F.col("key").alias("canonical_key"), F.col("canonical_key").cast("string").alias("target_canonical"))
     rows = found.join(keyed, "key").join(problems, "key").join(targets, "canonical_key", "left")
-    html = load(spark, d, "pages").select(F.col("page_id").alias("key"), "url", tx.clean(F.regexp_extract("html", TITLE, 1)).alias("title"), tx.clean(F.regexp_extract("html", H1, 1)).alias("h1"), F.length("html").alias("n_chars"))
+    html = load(spark, d, "pages").select(
+        F.col("page_id").alias("key"),
+        "url",
+        tx.clean(F.regexp_extract("html", TITLE, 1)).alias("title"),
+        tx.clean(F.regexp_extract("html", H1, 1)).alias("h1"),
+        F.length("html").alias("n_chars")
+    )
     return rows.join(html, "key").withColumn("render_error", F.when(i % 50 == 7, "timeout")).withColumnRenamed("key", "page")
 
 
@@ -657,7 +827,9 @@ def summary(spark, d):
         "canonical_self": F.col("canonical_key") == i, "heading_skip": F.when(i % 6 == 0, "H1 to H3"), "mixed": n % 2 == 0, "content_age_days": n,
     }
     s = structure.summary(_site_pages(spark, d).withColumns(stand_ins))
-    return s.select(*[F.round(c, 6).alias(c) if c in ("average_click_depth", "schema_coverage", "canonical_self_rate") else c for c in s.columns])
+    return s.select(
+        *[F.round(c, 6).alias(c) if c in ("average_click_depth", "schema_coverage", "canonical_self_rate") else c for c in s.columns]
+    )
 
 
 @query(f"""WITH RECURSIVE {SITE_SQL_PAGES}
@@ -665,7 +837,14 @@ SELECT count(*) FILTER (t = '') AS missing_titles, count(*) FILTER (page % 3 > 0
 round(avg(nullif(page % 7, 0)), 6) AS average_response_ms, sum(page % 4)::BIGINT AS images_without_alt, count(*) FILTER (canonical <> page) AS canonical_mismatches FROM sp""")
 def document_counts(spark, d):
     i = F.col("page")
-    stand_ins = {"description": F.when(i % 3 == 0, "x"), "canonical": F.col("canonical_key").cast("string"), "url": i.cast("string"), "words": F.col("n_chars"), "response_ms": i % 7, "images_without_alt": i % 4}
+    stand_ins = {
+        "description": F.when(i % 3 == 0, "x"),
+        "canonical": F.col("canonical_key").cast("string"),
+        "url": i.cast("string"),
+        "words": F.col("n_chars"),
+        "response_ms": i % 7,
+        "images_without_alt": i % 4
+    }
     c = structure.document_counts(_site_pages(spark, d).withColumns(stand_ins))
     return c.select(*[F.round(x, 6).alias(x) if x.startswith("average") else x for x in c.columns])
 
@@ -674,7 +853,12 @@ def document_counts(spark, d):
 SELECT round(avg(lcp), 6) AS lcp, round(avg(cls), 6) AS cls, avg(inp) AS inp, round(avg(tbt), 6) AS tbt FROM r""")
 def performance_means(spark, d):
     n = F.col("l_linenumber")
-    r = load(spark, d, "lineitem").select(F.when(n > 1, F.col("l_quantity")).alias("lab_lcp"), F.col("l_discount").alias("lab_cls"), F.when(n > 9, F.lit(1.0)).alias("field_inp"), F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("lab_tbt"))
+    r = load(spark, d, "lineitem").select(
+        F.when(n > 1, F.col("l_quantity")).alias("lab_lcp"),
+        F.col("l_discount").alias("lab_cls"),
+        F.when(n > 9, F.lit(1.0)).alias("field_inp"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("lab_tbt")
+    )
     m = structure.performance_means(r)
     return m.select(*[F.round(c, 6).alias(c) if c != "inp" else F.col(c) for c in m.columns])
 
@@ -688,13 +872,33 @@ len(regexp_extract_all(html, '<a href="[^"]+"')) AS links, length(html)::INT AS
 def html_extract_counts(spark, d):
     """What patterns can tell of the Python pass over these pages."""
     p = extract_pages(load(spark, d, "pages"))
-    return p.select("page_id", "title", F.coalesce("lang", F.lit("")).alias("lang"), F.size(F.filter("headings", lambda h: h["level"] == 1)).cast("long").alias("h1s"), F.size("links").cast("long").alias("links"), "html_chars")
+    return p.select(
+        "page_id",
+        "title",
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.size(F.filter("headings", lambda h: h["level"] == 1)).cast("long").alias("h1s"),
+        F.size("links").cast("long").alias("links"),
+        "html_chars"
+    )
 
 
 @query()
 def html_extract(spark, d):
     """The Python pass over pages; tested against fixtures."""
-    return extract_pages(load(spark, d, "pages")).select("page_id", "url", "title", "lang", "has_viewport", "has_article", F.size("links").alias("links"), F.size("headings").alias("headings"), F.length("text").alias("text_chars"), "paragraphs", "html_chars", "heading_skip")
+    return extract_pages(load(spark, d, "pages")).select(
+        "page_id",
+        "url",
+        "title",
+        "lang",
+        "has_viewport",
+        "has_article",
+        F.size("links").alias("links"),
+        F.size("headings").alias("headings"),
+        F.length("text").alias("text_chars"),
+        "paragraphs",
+        "html_chars",
+        "heading_skip"
+    )
 
 
 @query()
@@ -705,7 +909,9 @@ def page_findings(spark, d):
     return AuditSession(spark).findings(load(spark, d, "pages"))
 
 
-@query(f"WITH {PARTS} SELECT count(DISTINCT scheme || '://' || host || pp || path || {_query(_sorted(_keys(ur.CRAWL_TRACKING)))}) AS urls FROM v")
+@query(
+    f"WITH {PARTS} SELECT count(DISTINCT scheme || '://' || host || pp || path || {_query(_sorted(_keys(ur.CRAWL_TRACKING)))}) AS urls FROM v"
+)
 def frontier_stream(spark, d):
     """Distinct crawl keys of the pages by a streaming query over a copy in the shared folder, counted."""
     from webgrain.staging import fresh_path

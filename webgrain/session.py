@@ -27,9 +27,19 @@ class AuditSession:
         """Extracted pages (snapshots: page_id, url, html) with measures, dimensions of answer readiness and rule inputs."""
         p = extract_pages(snapshots.select("page_id", "url", "html", *(["headers"] if "headers" in snapshots.columns else [])))
         texts = lambda n: F.transform(F.filter("headings", lambda h: h["level"] == n), lambda h: h["text"])
-        day = lambda c: F.coalesce(F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")), F.try_to_timestamp(c))
+        day = lambda c: F.coalesce(
+            F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")), F.try_to_timestamp(c)
+        )
         read = tx.readability(F.col("text"))
-        p = p.withColumns({"h1s": texts(1), "h2s": texts(2), "r": read, "page_type": ur.page_type(F.col("url"), F.col("has_article")), "content_date": F.coalesce("modified", "published")})
+        p = p.withColumns(
+            {
+                "h1s": texts(1),
+                "h2s": texts(2),
+                "r": read,
+                "page_type": ur.page_type(F.col("url"), F.col("has_article")),
+                "content_date": F.coalesce("modified", "published")
+            }
+        )
         p = p.withColumns({"words": F.col("r.words"), "grade": F.col("r.grade"), "words_per_sentence": F.col("r.words_per_sentence")})
         p = p.withColumn("content_age_days", F.greatest(F.lit(0), F.datediff(F.to_date(F.lit(as_of)), day(F.col("content_date")))))
         types = F.flatten(F.transform("schemas", lambda s: s["types"]))
@@ -76,7 +86,9 @@ class AuditSession:
 
     def _findings(self, p: DataFrame) -> DataFrame:
         rows = fi.explode_rules(p, "page_id", fi.page_rules(p)).select("page_id", "category", "severity", "rule", "message", "evidence")
-        rows = rows.unionByName(fi.schema_findings(p, "page_id")) if self.config.analyze_schema else rows.where(~F.col("rule").contains("schema"))
+        rows = rows.unionByName(fi.schema_findings(p, "page_id")) if self.config.analyze_schema else rows.where(
+            ~F.col("rule").contains("schema")
+        )
         return rows if self.config.analyze_images else rows.where(~F.col("rule").rlike("^image_|^aio_multimodal"))
 
     def links(self, snapshots: DataFrame) -> DataFrame:
@@ -98,14 +110,22 @@ class AuditSession:
         start = pages.where(F.col("key") == (root if has_root else ur.graph_form(F.lit(self.config.start_url))))
         depth = graph.click_depths(pages, links.select("source", F.col("target_key").alias("target")), start)
         found = graph.incoming_links(pages, links).join(depth, "key").join(start.withColumn("is_start", F.lit(True)), "key", "left")
-        return graph.orphans(found.withColumn("is_start", F.coalesce("is_start", F.lit(False))), exhaustive=self.config.exhaustive).drop("is_start")
+        return graph.orphans(
+            found.withColumn("is_start", F.coalesce("is_start", F.lit(False))), exhaustive=self.config.exhaustive
+        ).drop("is_start")
 
     def keywords(self, snapshots: DataFrame) -> DataFrame:
         """Site keywords after suppression, the best max_keywords."""
         return self._keywords(self.pages(snapshots)).limit(self.config.max_keywords)
 
     def _signals(self, p: DataFrame) -> DataFrame:
-        places = {"title": F.col("title"), "h1": F.array_join("h1s", " "), "h2": F.array_join("h2s", " "), "description": F.col("description"), "body": F.col("text")}
+        places = {
+            "title": F.col("title"),
+            "h1": F.array_join("h1s", " "),
+            "h2": F.array_join("h2s", " "),
+            "description": F.col("description"),
+            "body": F.col("text")
+        }
         return keywords.page_signals(p, "page_id", places)
 
     def _keywords(self, p: DataFrame) -> DataFrame:
@@ -148,12 +168,20 @@ class AuditSession:
             shut = spark.createDataFrame([], "url string, status int, reason string")
         ordered = rules.with_reasons(log, c).orderBy("ordinal")  # ids follow the order of the crawl
         judged = staged(ordered.withColumn("page_id", F.monotonically_increasing_id()), "audit-log")
-        dropped = shut.unionByName(judged.where("reason IS NOT NULL").select(F.coalesce(F.when(F.col("reason") == "not_html", F.col("final_url")), F.col("url")).alias("url"), "status", "reason"))
+        dropped = shut.unionByName(
+            judged.where("reason IS NOT NULL").select(
+                F.coalesce(F.when(F.col("reason") == "not_html", F.col("final_url")), F.col("url")).alias("url"), "status", "reason"
+            )
+        )
 
         html = judged.where("reason IS NULL").select("page_id", F.col("final_url").alias("url"), "html", "headers")
-        facts = judged.where("reason IS NULL").select("page_id", "status", "response_ms", "render_error", F.col("chain").alias("redirect_chain"))
+        facts = judged.where("reason IS NULL").select(
+            "page_id", "status", "response_ms", "render_error", F.col("chain").alias("redirect_chain")
+        )
         every = staged(self.pages(html, as_of).join(facts, "page_id"), "audit-extracted")
-        every = every.withColumn("reason", rules.unindexable(F.col("status"), F.col("robots"))).withColumn("indexable", F.col("reason").isNull())
+        every = every.withColumn(
+            "reason", rules.unindexable(F.col("status"), F.col("robots"))
+        ).withColumn("indexable", F.col("reason").isNull())
         dropped = dropped.unionByName(every.where("NOT indexable").select("url", "status", "reason"))
         dropped = staged(dropped.withColumn("key", ur.graph_form(F.col("url"))), "audit-excluded")
         first = every.where("indexable").groupBy("url").agg(F.min("page_id").alias("page_id"))
@@ -164,8 +192,12 @@ class AuditSession:
         graph_rows = self._link_metrics(keyed.select("key").distinct(), links.where("internal"))
         heads = keyed.select("page_id", "key", "url", "canonical_key", F.col("render_error"))
         targets = keyed.groupBy(F.col("key").alias("canonical_key")).agg(F.min("canonical").alias("target_canonical"))
-        problems = graph.canonical_problems(heads.select("page_id", "key", "canonical_key"), dropped.select("key", "status").where("status IS NOT NULL").distinct())
-        linked = heads.join(graph_rows, "key", "left").join(problems.select("page_id", "chain", "bad_status"), "page_id").join(targets, "canonical_key", "left")
+        problems = graph.canonical_problems(
+            heads.select("page_id", "key", "canonical_key"), dropped.select("key", "status").where("status IS NOT NULL").distinct()
+        )
+        linked = heads.join(graph_rows, "key", "left").join(
+            problems.select("page_id", "chain", "bad_status"), "page_id"
+        ).join(targets, "canonical_key", "left")
         linked = staged(linked.dropDuplicates(["page_id"]).withColumnRenamed("page_id", "page"), "audit-linked")
         prints = pages.select(F.col("page_id").alias("page"), "page_type", "title", "description", "words")
         prints = prints.join(tx.simhash(pages.select(F.col("page_id").alias("page"), "text"), "page", "text"), "page")
@@ -175,10 +207,14 @@ class AuditSession:
         own = self._findings(pages).withColumn("ordinal", F.lit(0)).unionByName(site_rows)
         found = staged(own.join(pages.select("page_id", "url"), "page_id"), "audit-findings")
 
-        listed = None if sitemaps is None else staged(site.sitemap_pages(sitemaps, c.start_url).select(ur.graph_form(F.col("url")).alias("k")).distinct(), "audit-sitemap")
+        listed = None if sitemaps is None else staged(
+            site.sitemap_pages(sitemaps, c.start_url).select(ur.graph_form(F.col("url")).alias("k")).distinct(), "audit-sitemap"
+        )
         shape = linked.select("page", "key", "depth", "orphan", "incoming", "chain", "bad_status")
         full = pages.join(shape, pages["page_id"] == shape["page"]).drop("page")
-        full = full.join(listed.withColumn("listed", F.lit(True)), F.col("key") == F.col("k"), "left").drop("k") if listed is not None else full.withColumn("listed", F.lit(None).cast("boolean"))
+        full = full.join(
+            listed.withColumn("listed", F.lit(True)), F.col("key") == F.col("k"), "left"
+        ).drop("k") if listed is not None else full.withColumn("listed", F.lit(None).cast("boolean"))
         full = full.withColumns(
             {
                 "listed": F.coalesce("listed", F.lit(False)),
@@ -189,14 +225,27 @@ class AuditSession:
             }
         )
         if analytics is not None:
-            rows = enrich.last_by_path(analytics.withColumn("path", ur.path(F.concat(ur.origin(F.lit(c.start_url)), F.col("page")))).drop("page"), "path", "ordinal")
-            full = enrich.with_analytics(full.withColumn("path_key", ur.bare_path(F.col("url"))), rows.drop("ordinal", "path")).drop("path_key")
+            rows = enrich.last_by_path(
+                analytics.withColumn("path", ur.path(F.concat(ur.origin(F.lit(c.start_url)), F.col("page")))).drop("page"),
+                "path",
+                "ordinal"
+            )
+            full = enrich.with_analytics(
+                full.withColumn("path_key", ur.bare_path(F.col("url"))), rows.drop("ordinal", "path")
+            ).drop("path_key")
         full = staged(full, "audit-full")
 
         blocked = dropped.where("reason = 'robots'").select("key").distinct()
-        waste = structure.crawl_waste(graph.blocked_targets(links, blocked), enrich.parameter_duplicates(judged.select(F.concat(ur.origin(F.col("url")), ur.path(F.col("url"))).alias("k")), "k"))
+        waste = structure.crawl_waste(
+            graph.blocked_targets(links, blocked),
+            enrich.parameter_duplicates(judged.select(F.concat(ur.origin(F.col("url")), ur.path(F.col("url"))).alias("k")), "k")
+        )
         summary = structure.summary(full).crossJoin(F.broadcast(waste))  # one row each
-        counts = [("near_duplicate_groups", groups.agg(F.countDistinct("component"))), ("excluded", dropped.agg(F.count("*"))), ("fetched", judged.agg(F.count("*")))]
+        counts = [
+            ("near_duplicate_groups", groups.agg(F.countDistinct("component"))),
+            ("excluded", dropped.agg(F.count("*"))),
+            ("fetched", judged.agg(F.count("*")))
+        ]
         if listed is not None:
             counts.append(("sitemap_pages", listed.agg(F.count("*"))))
         for name, one in counts:
@@ -208,12 +257,21 @@ class AuditSession:
         if search is not None:
             merged = keywords.merge_observed(merged, keywords.observed_queries(search))
         else:
-            merged = merged.select(F.col("phrase").alias("keyword"), F.lit(False).alias("observed"), "score_h", F.lit(0.0).alias("impressions"), F.lit(0.0).alias("clicks"), F.lit(None).cast("double").alias("position"))
+            merged = merged.select(
+                F.col("phrase").alias("keyword"),
+                F.lit(False).alias("observed"),
+                "score_h",
+                F.lit(0.0).alias("impressions"),
+                F.lit(0.0).alias("clicks"),
+                F.lit(None).cast("double").alias("position")
+            )
         final = staged(keywords.final_keywords(merged, c.max_keywords), "audit-keywords")
         final = final if rankings is None else keywords.with_rankings(final, rankings)
 
         advice = suggestions.image_suggestions(pages, "page_id", F.coalesce(F.get("h1s", 0), F.col("title"))) if c.analyze_images else None
-        images = pages.select(F.col("page_id").alias("page"), F.posexplode("images").alias("ordinal", "i")).select("page", "ordinal", "i.src", "i.alt", "i.filename")
+        images = pages.select(
+            F.col("page_id").alias("page"), F.posexplode("images").alias("ordinal", "i")
+        ).select("page", "ordinal", "i.src", "i.alt", "i.filename")
         inventory = enrich.image_inventory(images)
         moved = rules.redirects(judged.where("reason IS NULL OR reason IN ('off_domain', 'not_html')"))
         ranked = found.select(F.col("page_id").alias("page"), "ordinal", "rule", "category", "severity", "message")
@@ -225,12 +283,27 @@ class AuditSession:
             "link_inventory": graph.link_inventory(links),
             "excluded": dropped.drop("key"),
             "redirects": moved.join(graph.redirect_sources(moved.select("url"), links), "url", "left"),
-            "broken_links": graph.broken_links(links, dropped.where("status >= 400").select("url", "status").distinct()) if c.report_broken_links else None,
+            "broken_links": graph.broken_links(
+                links, dropped.where("status >= 400").select("url", "status").distinct()
+            ) if c.report_broken_links else None,
             "external": external if external is not None else graph.external_sources(links),
             "keywords": final,
-            "competing_pages": keywords.observed_competition(search) if search is not None else keywords.competing_pages(self._signals(pages), "page_id"),
+            "competing_pages": keywords.observed_competition(search) if search is not None else keywords.competing_pages(
+                self._signals(pages), "page_id"
+            ),
             "primary_keywords": keywords.primary_keywords(pages, self._signals(pages), "page_id"),
-            "schema_suggestions": pages.select("page_id", "url", suggestions.schema_suggestions(F.col("url"), F.col("title"), F.col("h1s"), F.col("h2s"), F.col("text"), F.flatten(F.transform("schemas", lambda s: s["types"]))).alias("types")) if c.analyze_schema else None,
+            "schema_suggestions": pages.select(
+                "page_id",
+                "url",
+                suggestions.schema_suggestions(
+                    F.col("url"),
+                    F.col("title"),
+                    F.col("h1s"),
+                    F.col("h2s"),
+                    F.col("text"),
+                    F.flatten(F.transform("schemas", lambda s: s["types"]))
+                ).alias("types")
+            ) if c.analyze_schema else None,
             "images": inventory if advice is None else enrich.with_advice(inventory, advice.withColumnRenamed("page_id", "page")),
             "image_suggestions": advice,
             "document": structure.document_counts(full),

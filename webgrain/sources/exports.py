@@ -66,7 +66,9 @@ def read_export(spark: SparkSession, path: str, dimensions: dict, metrics: dict)
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
     raw = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
     rows = raw.withColumn("ordinal", F.monotonically_increasing_id())
-    same = F.concat_ws("\x01", *[F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(len(header))]) == "\x01".join(c.strip() for c in header)
+    same = F.concat_ws(
+        "\x01", *[F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(len(header))]
+    ) == "\x01".join(c.strip() for c in header)
     start = rows.where(same).agg(F.min("ordinal").alias("o"))
     body = rows.crossJoin(F.broadcast(start)).where("ordinal > o")  # one row
 
@@ -80,14 +82,28 @@ def read_export(spark: SparkSession, path: str, dimensions: dict, metrics: dict)
 
 def search_rows(raw: DataFrame) -> DataFrame:
     """Typed rows of a search export without queries that use an operator; a missing page stays null."""
-    typed = raw.select(F.col("query"), F.nullif(F.col("page"), F.lit("")).alias("page"), number(F.col("clicks")).alias("clicks"), number(F.col("impressions")).alias("impressions"), rate(F.col("ctr")).alias("ctr"), number(F.col("position")).alias("position"), "ordinal")
+    typed = raw.select(
+        F.col("query"),
+        F.nullif(F.col("page"), F.lit("")).alias("page"),
+        number(F.col("clicks")).alias("clicks"),
+        number(F.col("impressions")).alias("impressions"),
+        rate(F.col("ctr")).alias("ctr"),
+        number(F.col("position")).alias("position"),
+        "ordinal"
+    )
     return typed.where((F.coalesce("query", F.lit("")) != "") & ~F.coalesce(F.col("query").rlike(OPERATOR), F.lit(False)))
 
 
 def analytics_rows(raw: DataFrame) -> DataFrame:
     """Typed rows of an analytics export; rates that aren't in the file, or are blank, stay null."""
     known = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", rate(F.col(c)))
-    return raw.where(F.coalesce("page", F.lit("")) != "").select("page", *[number(F.col(c)).alias(c) for c in ("sessions", "users", "engaged", "key_events")], known("engagement_rate").alias("engagement_rate"), known("bounce").alias("bounce"), "ordinal")
+    return raw.where(F.coalesce("page", F.lit("")) != "").select(
+        "page",
+        *[number(F.col(c)).alias(c) for c in ("sessions", "users", "engaged", "key_events")],
+        known("engagement_rate").alias("engagement_rate"),
+        known("bounce").alias("bounce"),
+        "ordinal"
+    )
 
 
 def combined(raw: DataFrame) -> bool:

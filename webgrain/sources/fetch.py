@@ -49,20 +49,39 @@ def http_get(url: str, timeout: float = TIMEOUT_S, agent: str = "webgrain") -> d
     with answer:
         headers = {k.lower(): v for k, v in answer.headers.items()}
         body = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
-        return {"status": answer.status, "location": headers.get("location"), "content_type": headers.get("content-type"), "headers": headers, "body": body}
+        return {
+            "status": answer.status,
+            "location": headers.get("location"),
+            "content_type": headers.get("content-type"),
+            "headers": headers,
+            "body": body
+        }
 
 
 def follow(url: str, get: Callable[[str], dict], hops: int = HOPS) -> dict:
     """One URL through its redirects; loops and too many hops are errors. get(url): status, location, content_type, headers,
     body. The row has the status of each hop and the time that all took."""
     chain, at, statuses, begun = [url], url, [], time.monotonic()
-    row = {"url": url, "final_url": url, "status": None, "content_type": None, "html": None, "chain": [], "error": None, "statuses": statuses, "response_ms": None, "headers": {}}
+    row = {
+        "url": url,
+        "final_url": url,
+        "status": None,
+        "content_type": None,
+        "html": None,
+        "chain": [],
+        "error": None,
+        "statuses": statuses,
+        "response_ms": None,
+        "headers": {}
+    }
     try:
         for _ in range(hops + 1):
             r = get(at)
             statuses.append(r["status"])
             if not 300 <= r["status"] < 400 or not r.get("location"):
-                row |= {"status": r["status"], "content_type": r.get("content_type"), "html": r.get("body"), "headers": r.get("headers") or {}}
+                row |= {
+                    "status": r["status"], "content_type": r.get("content_type"), "html": r.get("body"), "headers": r.get("headers") or {}
+                }
                 return row | {"final_url": at, "chain": chain if len(chain) > 1 else [], "response_ms": 1000 * (time.monotonic() - begun)}
             at = urljoin(at, r["location"]).split("#")[0]
             if at in chain:
@@ -212,7 +231,9 @@ def external_checks(links: DataFrame, get: Callable[[str], dict], config: AuditC
                     rules[at].parse((answer["html"] or "").splitlines() if answer["status"] == 200 else [])
                 may = rules[at].can_fetch(agent, u)
                 r = follow(u, get) if may else {n: None for n in NAMES} | {"url": u, "final_url": u, "error": "robots"}
-                html = r["html"] if (r["content_type"] or "").startswith(("text/html", "application/xhtml+xml")) and r["status"] and r["status"] < 300 else None
+                html = r["html"] if (r["content_type"] or "").startswith(
+                    ("text/html", "application/xhtml+xml")
+                ) and r["status"] and r["status"] < 300 else None
                 page = extract(r["final_url"], html) if html else None
                 rows.append(r | {"html": None, "robots_allowed": may, "targets": [x["url"] for x in page["links"]] if page else []})
             yield pd.DataFrame(rows, columns=[*NAMES, "robots_allowed", "targets"])
@@ -229,7 +250,9 @@ def external_checks(links: DataFrame, get: Callable[[str], dict], config: AuditC
         left -= n
         if not n or left <= 0:
             break
-        more = got.select(F.col("url").alias("source"), F.explode("targets").alias("t")).select("source", crawl_form(F.col("t")).alias("url"))
+        more = got.select(
+            F.col("url").alias("source"), F.explode("targets").alias("t")
+        ).select("source", crawl_form(F.col("t")).alias("url"))
         every = staged(every.unionByName(more.where(F.col("url").isNotNull() & outside)).distinct(), "external-edges")
     if done is None:
         return spark.createDataFrame([], FETCH_SCHEMA + ", robots_allowed boolean, depth int, sources array<string>")

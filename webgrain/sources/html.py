@@ -22,9 +22,20 @@ from webgrain.functions.urls import resolve
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript svg template".split())
 #: Open elements that a start tag closes, and the ancestors beyond which that doesn't reach.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {
+    "p": {"p"},
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "tr": {"tr", "td", "th"},
+    "td": {"td", "th"},
+    "th": {"td", "th"},
+    "option": {"option"}
+}
 SCOPES = frozenset("ul ol dl table select body html div section article main".split())
-BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+)
 
 # Core properties of structured-data types.
 CORE_PROPERTIES = {
@@ -192,7 +203,14 @@ def image_row(n: Node, base: str) -> dict | None:
     figure = next((a for a in n.up() if a.tag == "figure"), None)
     caption = next((c.text() for c in figure.walk() if c.tag == "figcaption"), "") if figure else ""
     context = (caption or (n.parent.text() if n.parent else "") or " ".join(n.attrs.get("title", "").split()))[:180]
-    return {"src": src, "alt": " ".join(n.attrs.get("alt", "").split()), "filename": name, "opaque": opaque, "poor_name": poor, "context": context}
+    return {
+        "src": src,
+        "alt": " ".join(n.attrs.get("alt", "").split()),
+        "filename": name,
+        "opaque": opaque,
+        "poor_name": poor,
+        "context": context
+    }
 
 
 def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -> dict:
@@ -204,12 +222,21 @@ def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -
     meta: dict[str, str] = {}
     for n in nodes:
         if n.tag == "meta":
-            meta.setdefault((n.attrs.get("name") or n.attrs.get("property") or n.attrs.get("itemprop") or "").lower(), " ".join(n.attrs.get("content", "").split()))
+            meta.setdefault(
+                (n.attrs.get("name") or n.attrs.get("property") or n.attrs.get("itemprop") or "").lower(),
+                " ".join(n.attrs.get("content", "").split())
+            )
     prop = {n.attrs["itemprop"] for n in nodes if "itemprop" in n.attrs}
     times = [n.attrs["datetime"] for n in nodes if n.tag == "time" and n.attrs.get("datetime")]
-    robots = ",".join([headers.get("x-robots-tag", "")] + [n.attrs.get("content", "") for n in nodes if n.tag == "meta" and n.attrs.get("name", "").lower() in ("robots", "googlebot")])
+    robots = ",".join(
+        [headers.get("x-robots-tag", "")] + [
+            n.attrs.get("content", "") for n in nodes if n.tag == "meta" and n.attrs.get("name", "").lower() in ("robots", "googlebot")
+        ]
+    )
     headings = [{"text": t, "level": int(n.tag[1])} for n in nodes if re.fullmatch("h[1-6]", n.tag) and (t := n.text())]
-    jump = next((f"H{a['level']} to H{b['level']}" for a, b in zip(headings, headings[1:], strict=False) if b["level"] > a["level"] + 1), None)
+    jump = next(
+        (f"H{a['level']} to H{b['level']}" for a, b in zip(headings, headings[1:], strict=False) if b["level"] > a["level"] + 1), None
+    )
     main, body = first("main"), first("body")
     text = (main.text() if main else "") or (body.text() if body else " ".join(root.text().split()) if not first("html") else "")
     by_id = {n.attrs["id"]: n for n in nodes if n.attrs.get("id")}
@@ -223,9 +250,17 @@ def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -
                 links.append({"text": name, "url": target, "internal": urlsplit(target).hostname == host})
     images = [x for n in nodes if n.tag == "img" and n.attrs.get("src") and (x := image_row(n, url))]
     active = ("img", "script", "iframe", "source", "video", "audio")
-    loads = [n.attrs.get("src", "") for n in nodes if n.tag in active] + [n.attrs.get("href", "") for n in nodes if n.tag == "link" and n.attrs.get("rel", "").lower() == "stylesheet"]
-    blocks = [structured_block("".join(c for c in n.children if isinstance(c, str))) for n in nodes if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json"]
-    canonical = next((n.attrs["href"] for n in nodes if n.tag == "link" and n.attrs.get("rel", "").lower() == "canonical" and n.attrs.get("href")), None)
+    loads = [n.attrs.get("src", "") for n in nodes if n.tag in active] + [
+        n.attrs.get("href", "") for n in nodes if n.tag == "link" and n.attrs.get("rel", "").lower() == "stylesheet"
+    ]
+    blocks = [
+        structured_block(
+            "".join(c for c in n.children if isinstance(c, str))
+        ) for n in nodes if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json"
+    ]
+    canonical = next(
+        (n.attrs["href"] for n in nodes if n.tag == "link" and n.attrs.get("rel", "").lower() == "canonical" and n.attrs.get("href")), None
+    )
     published = meta.get("article:published_time") or meta.get("datepublished") or (times[0] if times else None)
     modified = meta.get("article:modified_time") or meta.get("datemodified") or headers.get("last-modified")
     questions = [h["text"] for h in headings if QUESTION.search(h["text"])]
@@ -236,8 +271,12 @@ def extract(url: str, html: str | None, headers: dict[str, str] | None = None) -
         "lang": " ".join((first("html").attrs.get("lang", "") if first("html") else "").split()) or None,
         "has_viewport": "viewport" in meta,
         "has_main": main is not None,
-        "has_article": bool(first("article")) or meta.get("og:type", "").lower() == "article" or any("Article" in n.attrs.get("itemtype", "") for n in nodes),
-        "has_author": "author" in meta or "author" in prop or any(n.attrs.get("rel", "").lower() == "author" or "author" in n.attrs.get("class", "").split() for n in nodes),
+        "has_article": bool(first("article")) or meta.get("og:type", "").lower() == "article" or any(
+            "Article" in n.attrs.get("itemtype", "") for n in nodes
+        ),
+        "has_author": "author" in meta or "author" in prop or any(
+            n.attrs.get("rel", "").lower() == "author" or "author" in n.attrs.get("class", "").split() for n in nodes
+        ),
         "published": published,
         "modified": modified,
         "last_modified": headers.get("last-modified"),

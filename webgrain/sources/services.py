@@ -32,14 +32,19 @@ def search_console_rows(
         for f in frames:
             for first, limit in zip(f["first"], f["limit"], strict=True):
                 got = ask(int(first), int(limit))
-                rows = [(*(list(r.get("keys") or []) + [None, None])[:2], *(float(r.get(c) or 0) for c in names[2:6]), int(first) + i) for i, r in enumerate(got)]
+                rows = [
+                    (*(list(r.get("keys") or []) + [None, None])[:2], *(float(r.get(c) or 0) for c in names[2:6]), int(first) + i) for i,
+                    r in enumerate(got)
+                ]
                 yield pd.DataFrame(rows, columns=names)
 
     pages = spark.createDataFrame([(a, min(page, most - a)) for a in range(0, most, page)], "first long, limit long")
     return pages.repartition(len(range(0, most, page)), "first").mapInPandas(run, SEARCH_SHAPE)
 
 
-def performance_reports(urls: DataFrame, ask: Callable[[str], dict], *, pace: float = PACE_S, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def performance_reports(
+    urls: DataFrame, ask: Callable[[str], dict], *, pace: float = PACE_S, wait: Callable[[float], None] = time.sleep
+) -> DataFrame:
     """(ordinal, url, body, error_code, skipped) of a report for each of urls (ordinal, url), one after the other.
 
     ask(url): status, body, retry_after. A limited (429) or failing (500 and above) answer is tried again TRIES times at

@@ -12,8 +12,19 @@ from webgrain.functions.urls import link_form, same_host
 
 MAX_SITEMAPS = 100
 CRAWLERS = ("OAI-SearchBot", "GPTBot", "ChatGPT-User", "Googlebot", "Bingbot")
-LAB = {"lcp": "largest-contentful-paint", "fcp": "first-contentful-paint", "cls": "cumulative-layout-shift", "tbt": "total-blocking-time", "speed_index": "speed-index"}
-FIELD = {"lcp": "LARGEST_CONTENTFUL_PAINT_MS", "inp": "INTERACTION_TO_NEXT_PAINT", "cls": "CUMULATIVE_LAYOUT_SHIFT_SCORE", "fcp": "FIRST_CONTENTFUL_PAINT_MS"}
+LAB = {
+    "lcp": "largest-contentful-paint",
+    "fcp": "first-contentful-paint",
+    "cls": "cumulative-layout-shift",
+    "tbt": "total-blocking-time",
+    "speed_index": "speed-index"
+}
+FIELD = {
+    "lcp": "LARGEST_CONTENTFUL_PAINT_MS",
+    "inp": "INTERACTION_TO_NEXT_PAINT",
+    "cls": "CUMULATIVE_LAYOUT_SHIFT_SCORE",
+    "fcp": "FIRST_CONTENTFUL_PAINT_MS"
+}
 SCORES = {"performance": "performance", "accessibility": "accessibility", "best_practices": "best-practices", "seo": "seo"}
 
 
@@ -22,7 +33,9 @@ def sitemap_report(files: DataFrame, start_url: str) -> DataFrame:
     kind); of files that weren't found only those that something names should be given."""
     entries = sitemap_entries(files, start_url)
     told = files.select(F.col("url").alias("u"), "status").join(entries, F.col("u") == F.col("url")).drop("u")
-    return told.select("url", "status", "kind", F.size("locations").alias("entries"), ((F.col("status") == 200) & (F.col("kind") != "unknown")).alias("ok"))
+    return told.select(
+        "url", "status", "kind", F.size("locations").alias("entries"), ((F.col("status") == 200) & (F.col("kind") != "unknown")).alias("ok")
+    )
 
 
 def sitemap_pages(files: DataFrame, start_url: str) -> DataFrame:
@@ -36,7 +49,10 @@ def sitemap_entries(files: DataFrame, start_url: str | None = None) -> DataFrame
     start_url those of other hosts."""
     xml = F.coalesce("xml", F.lit(""))
     kind = F.when(xml.rlike("<sitemapindex[ >]"), "index").when(xml.rlike("<urlset[ >]"), "urlset").otherwise("unknown")
-    found = F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+    found = F.transform(
+        F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"), F.lit(1)),
+        lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))
+    )
     usable = lambda u: u.isNotNull() & (same_host(u, F.lit(start_url)) if start_url else F.lit(True))
     return files.select("url", kind.alias("kind"), F.filter(F.transform(found, link_form), usable).alias("locations"))
 
@@ -47,7 +63,9 @@ def reachable_sitemaps(files: DataFrame, start: list[str], *, most: int = MAX_SI
     todo, seen = list(dict.fromkeys(start)), []
     while todo and len(seen) < most:
         seen += todo[: most - len(seen)]
-        level = entries.where(F.col("url").isin(todo) & (F.col("kind") == "index")).select(F.explode("locations").alias("u")).distinct().limit(most)
+        level = entries.where(
+            F.col("url").isin(todo) & (F.col("kind") == "index")
+        ).select(F.explode("locations").alias("u")).distinct().limit(most)
         todo = [u for u in sorted(r["u"] for r in level.collect()) if u not in seen]  # at most `most` rows
     return entries.where(F.col("url").isin(seen))
 

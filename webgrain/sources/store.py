@@ -44,7 +44,9 @@ def save_run(tables: dict[str, DataFrame], root: str) -> None:
 def saved(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table's rows of runs that were wholly written."""
     rows = spark.read.parquet(f"{root}/{name}")
-    return rows if name == "runs" else rows.join(spark.read.parquet(f"{root}/runs").select("domain", "run_id").distinct(), ["domain", "run_id"], "left_semi")
+    return rows if name == "runs" else rows.join(
+        spark.read.parquet(f"{root}/runs").select("domain", "run_id").distinct(), ["domain", "run_id"], "left_semi"
+    )
 
 
 def save_report(tables: dict[str, DataFrame], root: str, run_id: str) -> str:
@@ -74,6 +76,12 @@ def page_metrics(pages: DataFrame, domain: str, run_id: str) -> DataFrame:
 
 def run_row(report: dict[str, DataFrame], domain: str, run_id: str, generated_at: str, config_fp: str, ruleset: str) -> DataFrame:
     """A run's row: the summary's figures with severity counts, and what tells runs apart."""
-    head = [F.lit(domain).alias("domain"), F.lit(run_id).alias("run_id"), F.to_timestamp(F.lit(generated_at)).alias("generated_at"), F.lit(config_fp).alias("config_fp"), F.lit(ruleset).alias("ruleset")]
+    head = [
+        F.lit(domain).alias("domain"),
+        F.lit(run_id).alias("run_id"),
+        F.to_timestamp(F.lit(generated_at)).alias("generated_at"),
+        F.lit(config_fp).alias("config_fp"),
+        F.lit(ruleset).alias("ruleset")
+    ]
     counts = report["health"].select("critical", "warning", "info")
     return report["summary"].crossJoin(F.broadcast(counts)).select(*head, "*")  # one row each

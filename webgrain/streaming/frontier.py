@@ -15,5 +15,7 @@ def new_urls(stream: DataFrame, url: str = "url") -> DataFrame:
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends all that is there to a table and stops."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint
+    ).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
