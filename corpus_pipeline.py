@@ -43,7 +43,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = lines.dedup_lines(_with_row(docs, "doc_id", "text"), exact_chars=lines.EXACT_CHARS)
     changed = F.col("n_removed_lines") > 0
-    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     left = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[(new.get(c) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
