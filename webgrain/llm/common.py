@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.staging import fresh_path, shared_dir, staged  # noqa: F401  (used by the operators)
@@ -20,6 +20,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, so that neither side holds many texts at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's bytes to an Arrow batch to BATCH_BYTES where they are more; rows to a batch say little of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key) or "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def apart(docs: DataFrame, own: list[str], *needed: str) -> tuple[DataFrame, list[Column]]:
     """docs as a struct `row` beside the columns needed, so that its other names can't clash with an operator's, and how to
     select them again: all columns but those named like own ones, in either case."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import filesystem, fresh_path, hashed_words, row_chunks, staged, utf8_column
+from webgrain.llm.common import bounded_batches, filesystem, fresh_path, hashed_words, row_chunks, staged, utf8_column
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK = 32
@@ -192,6 +192,7 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
     are separate results; repeated queries, or those with a null id, are answered each (told apart by query_row); very
     long texts are indexed whole; empty tables give no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     index = build_index(docs)
     n_docs, n_words = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).collect()[0]
@@ -214,10 +215,12 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
 
     asked = staged(queries.select(F.monotonically_increasing_id().alias("query_row"), "query_id", "text"), "search-queries")
     wanted = staged(asked.mapInArrow(query_terms, "query_row long, query_id long, term long"), "search-terms")
-    df = index.select("terms", "starts").mapInArrow(spread, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    held = index.select("terms", "starts").mapInArrow(spread, "term long, df long").withColumn("asked", F.lit(False))
+    every = held.unionByName(wanted.select("term", F.lit(0).cast("long").alias("df"), F.lit(True).alias("asked")))
+    df = every.groupBy("term").agg(F.sum("df").alias("df"), F.max("asked").alias("asked")).where("asked AND df > 0")
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # common words are in many queries: weights of the queries' distinct words are few, or dealt out by salted keys
-    weight = staged(df.join(wanted.select("term").distinct(), "term", "left_semi").select("term", idf.alias("w")), "search-idf")
+    weight = staged(df.select("term", idf.alias("w")), "search-idf")
     if weight.count() <= BROADCAST_TERMS:
         both = wanted.join(F.broadcast(weight), "term")
     else:
