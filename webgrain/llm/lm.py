@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import attention as att
-from webgrain.llm.common import hashed_words, row_chunks, staged, utf8_column
+from webgrain.llm.common import bounded_batches, hashed_words, row_chunks, staged, utf8_column
 from webgrain.llm.tokens import default_path, encoder
 
 ALPHA = 0.1
@@ -217,6 +217,7 @@ def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     gives an empty result; other columns are ignored. Words are counted by 64-bit hashes. Ids are packed in two bytes, or in
     four for vocabularies of more than 65,536.
     """
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_path()
     docs = docs.select("doc_id", "text")
     counts = word_counts(docs)

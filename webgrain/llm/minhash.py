@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import coefficients, hashed_words, mix64, row_chunks, staged, utf8_column
+from webgrain.llm.common import bounded_batches, coefficients, hashed_words, mix64, row_chunks, staged, utf8_column
 from webgrain.operators.components import connected_components
 
 SHINGLE = 5
@@ -116,6 +116,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
                 names=["doc_id", "h", "n_shingles", "key", "sig"],
             )
 
+    bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     described = staged(source.mapInArrow(describe, "doc_id long, h long, n_shingles long, key binary, sig binary"), "minhash-rows")
     # the class of a set, and the row whose text stands for it
@@ -176,14 +177,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
         signed = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        likely = staged(signed.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), f"minhash-likely-{name}")
+        likely = signed.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")
         held = likely.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         return staged(held.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"minhash-links-{name}")
 
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     stars = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb"))
     star = stars.where(sized).select("a", "b").distinct()
-    star_links = links(staged(star, "minhash-star"), "star")
+    star_links = links(star, "star")
     edges = star_links
 
     # Pairs that lie in different components yet. A shingle that no other such class has is in no intersection, so of n
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     bound = f"{100 + percent} * least(ua, ub) >= {percent} * (na + nb)"
     pivots = rest.groupBy("bucket").agg(F.max(F.struct((F.col("u") / F.col("n")).alias("q"), "node", "n", "u", "c")).alias("p"))
     around = rest.join(pivots, "bucket").where("c <> p.c").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("u").alias("ua"), F.col("p.u").alias("ub"))
-    edges = staged(edges.unionByName(links(staged(around.where(sized).where(bound).select("a", "b").distinct(), "minhash-around"), "around")), "minhash-edges")
+    edges = edges.unionByName(links(around.where(sized).where(bound).select("a", "b").distinct(), "around"))
     # The last pairs. A pair that shares a rare shingle is found by it; one that shares none overlaps in common shingles
     # alone, so at most in the fewer of the two. Of the buckets that two classes share, the least one names the pair.
     rest = still_open(rest.drop("c", "u"), "open-again")
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     by_rare = rare.select("x", F.col("node").alias("a")).join(rare.select("x", F.col("node").alias("b")), "x").where("a < b").select("a", "b").distinct()
     by_rare = by_rare.join(a.drop("sa"), "a").join(b.drop("sb"), "b").where("ca <> cb").where(sized).select("a", "b")
     cross = by_bucket.unionByName(by_rare).distinct()
-    component = connected_components(edges.unionByName(links(staged(cross, "minhash-cross"), "cross")))
+    component = connected_components(edges.unionByName(links(cross, "cross")))
 
     labels = classes.select("node", "key", "low", "r").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min("r").alias("first"))

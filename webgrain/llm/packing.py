@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import staged
+from webgrain.llm.common import bounded_batches, staged
 from webgrain.llm.tokens import binary_texts, default_path, encoder
 
 CAPACITY = 4096
@@ -197,6 +197,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID,
     (their pieces may be told apart by sequence and offset only); very long texts fill windows of their own; an empty
     table gives no piece; other columns of docs are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     table = token_table(docs, tokenizer or default_path(), end_id, capacity)
     parts = table.groupBy("part").agg((F.max_by("windows_before", "ord") + F.max_by(F.size("crcs"), "ord")).alias("n"))

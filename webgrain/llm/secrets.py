@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm.assignments import NAME_WEIGHTS, Site, name_weight, resolve, sites_of
+from webgrain.llm.common import bounded_batches
 
 #: Fixed patterns of the base scan and the shortest group or match that counts.
 ASSIGN = re.compile(
@@ -111,6 +112,7 @@ def secret_scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> Data
     whole; repeated rows give repeated results; null ids pass through; an empty table gives an empty result; columns of
     docs outside keep are left out, so none can clash.
     """
+    bounded_batches(docs.sparkSession)
     schema = ", ".join(f"`{c}` {docs.select(F.col(f'`{c}`')).dtypes[0][1]}" for c in keep)
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(_batches, f"{schema}, {ADDED}")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import _SPACE, coefficients, hashed_words, mix64, row_chunks, staged, utf8_column
+from webgrain.llm.common import _SPACE, bounded_batches, coefficients, hashed_words, mix64, row_chunks, staged, utf8_column
 
 #: Sentences of a span: so many that short lines which pages share, of a few short sentences, are none.
 SPAN = 5
@@ -151,6 +151,7 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, least_words: int = LEAS
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place)], names=["h", "doc_id", "t", "place"])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     spans = staged(source.mapInArrow(hash_spans, "h long, doc_id long, t long, place long"), "spans")
     repeated = staged(spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "spans-repeated")
