@@ -128,16 +128,22 @@ def banded_distance(x: Column, y: Column, threshold: int) -> Column:
 
 def removed_per_row(removed: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """(d, dt, gone): sorted line numbers for each row of documents, and whether they may be broadcast."""
-    out = staged(removed.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.array_sort(F.collect_set("no")).alias("gone")), name)
+    out = staged(
+        removed.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.array_sort(F.collect_set("no")).alias("gone")), name
+    )
     return out, out.agg(F.coalesce(F.sum(F.size("gone") + 2), F.lit(0))).collect()[0][0] <= BROADCAST_NUMBERS
 
 
 def with_removed(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
     gone, few = removed_per_row(removed, name)
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left").drop("d", "dt")
+    return docs.join(
+        F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left"
+    ).drop("d", "dt")
 
 
-def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, exact_chars: int | None = None
+) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with its text less the repeated lines; n_lines and n_removed_lines appended.
 
     A line (between line feeds, compared as it is) of least_chars code points or more is removed if an equal line comes
@@ -160,7 +166,9 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     grouped = (F.length("s") >= least_chars) | ((F.length("s") >= exact_chars) & F.col("s").rlike(r"[^\x20\x09-\x0D]"))
     hashed = cut.where(grouped).select("doc_id", "t", "no", F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit("second")).alias("h2"))
     lines = staged(hashed, "lines")
-    copies = staged(lines.groupBy("h", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-copies")
+    copies = staged(
+        lines.groupBy("h", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-copies"
+    )
     exact = staged(lines.join(copies, ["h", "h2"]).where(order != F.col("first")).select("doc_id", "t", "no"), "lines-exact")
 
     # what is left holds each kind of line once
@@ -168,12 +176,19 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
         "doc_id", "t", F.split(text_or_empty("text"), "\n").alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
-    firsts = once.select("doc_id", "t", F.explode(F.transform(kept, lambda i: F.struct(i.alias("no"), F.get(F.col("all"), i).alias("s")))).alias("l"))
+    firsts = once.select(
+        "doc_id", "t", F.explode(F.transform(kept, lambda i: F.struct(i.alias("no"), F.get(F.col("all"), i).alias("s")))).alias("l")
+    )
     firsts = firsts.select("doc_id", "t", "l.no", "l.s").where(F.length("s") >= least_chars)
 
     # one pass over the texts; of equally long lines one direction is enough
     sized = firsts.select("s", F.xxhash64("s").alias("h"), F.length("s").alias("n"))
-    keyed = sized.select("h", letter_counts(F.col("s")).alias("c"), F.array(*index_keys(F.col("s"), F.col("n"), threshold)).alias("index"), F.array(*[k for _, k in probe_keys(F.col("s"), F.col("n"), threshold)]).alias("probe"))
+    keyed = sized.select(
+        "h",
+        letter_counts(F.col("s")).alias("c"),
+        F.array(*index_keys(F.col("s"), F.col("n"), threshold)).alias("index"),
+        F.array(*[k for _, k in probe_keys(F.col("s"), F.col("n"), threshold)]).alias("probe")
+    )
     keys = staged(keyed, "lines-keys")
     lesses = F.array(*[F.lit(less) for less, _ in probe_keys(F.lit(""), F.lit(1), threshold)])
     index = keys.select("h", "c", F.explode("index").alias("k"))
@@ -192,13 +207,20 @@ def dedup_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least_chars: int
     x = texts.select(F.col("h").alias("a"), F.col("o").alias("oa"), F.col("s").alias("x"))
     y = texts.select(F.col("h").alias("b"), F.col("o").alias("ob"), F.col("s").alias("y"))
     close = pairs.join(x, "a").join(y, "b").where(F.abs(F.length("x") - F.length("y")) <= threshold)
-    close = close.where((bag_distance(F.col("x"), F.col("y")) <= 2 * threshold) & (banded_distance(F.col("x"), F.col("y"), threshold) <= threshold))
+    close = close.where(
+        (bag_distance(F.col("x"), F.col("y")) <= 2 * threshold) & (banded_distance(F.col("x"), F.col("y"), threshold) <= threshold)
+    )
     later = close.select(F.greatest("oa", "ob").alias("o")).distinct().select("o.doc_id", "o.t", "o.no")
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("t"))  # names of docs can't clash with ours
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("t")
+    )  # names of docs can't clash with ours
     final = with_removed(whole, exact.unionByName(later), "lines-removed")
     every = F.split(F.col("text"), "\n")
-    left = let(every, lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n"))
+    left = let(
+        every,
+        lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n")
+    )
     return final.select(
         *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(every)).cast("long").alias("n_lines"),

@@ -132,7 +132,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
                 continue
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
             keys = mix64((sig * _C[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _C[SHINGLE]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "node", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys.reshape(-1)),
+                    pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)),
+                    pa.array(np.repeat(b.column(1).to_numpy(zero_copy_only=False), BANDS))
+                ],
+                names=["bucket", "node", "n"]
+            )
 
     bands = classes.select("node", "n", "sig").mapInArrow(band, "bucket long, node long, n long")
     # a bucket's least class comes with its size, so that nothing has to be dealt out by that class, which may be that of many
@@ -148,7 +155,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
         for b, sets in _sets(batches, shingle):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
-    texts = source.join(F.broadcast(reps) if few else reps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("rh"))).select("node", "text")
+    texts = source.join(
+        F.broadcast(reps) if few else reps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("rh"))
+    ).select("node", "text")
     sets = staged(texts.mapInArrow(to_sets, "node long, hashes binary").dropDuplicates(["node"]), "minhash-sets")
     sigs = classes.select("node", "sig")
     floor = least_matches(percent=percent)
@@ -176,9 +185,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
-        signed = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+        signed = pairs.join(
+            sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a"
+        ).join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         likely = signed.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")
-        held = likely.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        held = likely.join(
+            sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a"
+        ).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         return staged(held.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"minhash-links-{name}")
 
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
@@ -202,16 +215,31 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
             for lo in range(0, b.num_rows, 256):
                 cut = b.slice(lo, 256)
                 parts = [np.frombuffer(x, np.int64) for x in cut.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cut.column(0).to_numpy(zero_copy_only=False), [len(x) for x in parts])), pa.array(np.concatenate(parts))], names=["node", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(cut.column(0).to_numpy(zero_copy_only=False), [len(x) for x in parts])),
+                        pa.array(np.concatenate(parts))
+                    ],
+                    names=["node", "x"]
+                )
 
     rest = still_open(members.drop("na"), "open")
-    holders = staged(sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(explode_sets, "node long, x long"), "minhash-holders")
+    holders = staged(
+        sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(explode_sets, "node long, x long"), "minhash-holders"
+    )
     held_twice = holders.groupBy("x").agg(F.count("*").alias("df")).where("df > 1").select("x")
     shared_by = holders.join(held_twice, "x", "left_semi").groupBy("node").agg(F.count("*").alias("u"))
     rest = staged(rest.join(shared_by, "node").where(f"100 * u >= {percent} * n"), "minhash-shared")
     bound = f"{100 + percent} * least(ua, ub) >= {percent} * (na + nb)"
     pivots = rest.groupBy("bucket").agg(F.max(F.struct((F.col("u") / F.col("n")).alias("q"), "node", "n", "u", "c")).alias("p"))
-    around = rest.join(pivots, "bucket").where("c <> p.c").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("u").alias("ua"), F.col("p.u").alias("ub"))
+    around = rest.join(pivots, "bucket").where("c <> p.c").select(
+        F.least("node", "p.node").alias("a"),
+        F.greatest("node", "p.node").alias("b"),
+        F.col("n").alias("na"),
+        F.col("p.n").alias("nb"),
+        F.col("u").alias("ua"),
+        F.col("p.u").alias("ub")
+    )
     edges = edges.unionByName(links(around.where(sized).where(bound).select("a", "b").distinct(), "around"))
     # The last pairs. A pair that shares a rare shingle is found by it; one that shares none overlaps in common shingles
     # alone, so at most in the fewer of the two. Of the buckets that two classes share, the least one names the pair.
@@ -222,20 +250,32 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, shingle: int = S
     counted = staged(held.join(df, "x").select("node", "x", "df"), "minhash-counted")
     common = counted.where(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("k"))
     own = staged(own.join(common, "node", "left").withColumn("k", F.coalesce("k", F.lit(0))), "minhash-own")
-    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("k").alias(f"k{x}"), F.col("buckets").alias(f"s{x}"))
+    side = lambda x: own.select(
+        F.col("node").alias(x),
+        F.col("n").alias(f"n{x}"),
+        F.col("c").alias(f"c{x}"),
+        F.col("k").alias(f"k{x}"),
+        F.col("buckets").alias(f"s{x}")
+    )
     a, b = side("a"), side("b")
     enough = f"{100 + percent} * least(ka, kb) >= {percent} * (na + nb)"
     able = f"100 * k{{0}} >= {percent} * n{{0}}"  # what `enough` asks of either side alone
     l, r = (x.where(able.format(n)).withColumn("bucket", F.explode(f"s{n}")) for x, n in ((a, "a"), (b, "b")))
     first = F.array_min(F.array_intersect("sa", "sb")) == l["bucket"]
-    by_bucket = l.join(r, (l["bucket"] == r["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & F.expr(sized) & F.expr(enough) & first).select("a", "b")
+    by_bucket = l.join(
+        r, (l["bucket"] == r["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & F.expr(sized) & F.expr(enough) & first
+    ).select("a", "b")
     rare = counted.where(F.col("df") <= RARE)
-    by_rare = rare.select("x", F.col("node").alias("a")).join(rare.select("x", F.col("node").alias("b")), "x").where("a < b").select("a", "b").distinct()
+    by_rare = rare.select("x", F.col("node").alias("a")).join(
+        rare.select("x", F.col("node").alias("b")), "x"
+    ).where("a < b").select("a", "b").distinct()
     by_rare = by_rare.join(a.drop("sa"), "a").join(b.drop("sb"), "b").where("ca <> cb").where(sized).select("a", "b")
     cross = by_bucket.unionByName(by_rare).distinct()
     component = connected_components(edges.unionByName(links(cross, "cross")))
 
-    labels = classes.select("node", "key", "low", "r").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = classes.select("node", "key", "low", "r").join(component, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
     named = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min("r").alias("first"))
     per_class = labels.drop("r").join(named, "component").select("key", F.col("node").alias("class_id"), "component_id", "first")
     out = described.select("doc_id", "h", "n_shingles", "key").join(per_class, "key", "left")

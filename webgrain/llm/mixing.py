@@ -57,7 +57,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, size: float
         raw = n.withColumn("w", F.coalesce(F.when(F.col("source").isNotNull(), F.try_element_at(pairs, F.col("source"))), F.lit(0.0)))
     whole = raw.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
     target = F.lit(float(size)) if size is not None else F.col("all_n").cast("double")
-    return raw.crossJoin(F.broadcast(whole)).select("source", "n", F.coalesce(F.try_divide(F.col("w") * target, F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))  # whole: one row
+    return raw.crossJoin(F.broadcast(whole)).select(
+        "source", "n", F.coalesce(F.try_divide(F.col("w") * target, F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate")
+    )  # whole: one row
 
 
 def mixed(
@@ -81,7 +83,11 @@ def mixed(
     docs, columns = apart(docs, own, "doc_id", "source")
     rates = source_rates(docs.select("source"), weights, size, temperature)
     most = F.floor(F.col("rate") / 600)  # whole copies for huge rates, the rest from the Poisson law of what is left
-    table = rates.select(F.col("source").alias("__source"), (most * 600).cast("long").alias("__whole"), poisson_cdf(F.col("rate") - most * 600).alias("__cdf"))
+    table = rates.select(
+        F.col("source").alias("__source"),
+        (most * 600).cast("long").alias("__whole"),
+        poisson_cdf(F.col("rate") - most * 600).alias("__cdf")
+    )
     few = table.limit(BROADCAST_SOURCES + 1).collect()  # bounded: short rows, at most BROADCAST_SOURCES + 1
     if len(few) <= BROADCAST_SOURCES:
         small = docs.sparkSession.createDataFrame([tuple(r) for r in few], table.schema)
@@ -89,7 +95,9 @@ def mixed(
     else:
         salted = table.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         marked = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = marked.join(salted, marked["source"].eqNullSafe(salted["__source"]) & (marked["__salt"] == salted["__s"])).drop("__salt", "__s")
+        joined = marked.join(
+            salted, marked["source"].eqNullSafe(salted["__source"]) & (marked["__salt"] == salted["__s"])
+        ).drop("__salt", "__s")
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     u = uniform(seed, named)
     n = F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))) + F.col("__whole")

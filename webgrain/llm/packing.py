@@ -178,12 +178,28 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                     wide = np.frombuffer(ids, dtype=kind).astype("<u4")
                     n, rest = len(wide) // capacity, len(wide) % capacity
                     crcs = [zlib.crc32(wide[i * capacity : (i + 1) * capacity].tobytes()) for i in range(n)]
-                    rows.append((part, ordinal, doc, len(wide), windows, crcs, rest, zlib.crc32(wide[n * capacity :].tobytes()), int(ranks[rest]), ids))
+                    rows.append(
+                        (
+                            part,
+                            ordinal,
+                            doc,
+                            len(wide),
+                            windows,
+                            crcs,
+                            rest,
+                            zlib.crc32(wide[n * capacity :].tobytes()),
+                            int(ranks[rest]),
+                            ids
+                        )
+                    )
                     windows, ordinal = windows + n, ordinal + 1
                     ranks[rest] += 1
                 if rows:
                     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * 3 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in shape.split(", ")])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=[x.split()[0] for x in shape.split(", ")]
+                    )
 
     return staged(docs.select("doc_id", "text").mapInArrow(encode, shape), "packing-tokens")
 
@@ -236,15 +252,31 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID,
             for x in place(p, num["rest"], num["rank"], num["doc_tokens"] - num["rest"]):
                 at = pa.array(x["row"])
                 crc = pa.array(col["rest_crc"].take(at).to_numpy(zero_copy_only=False), pa.int64(), mask=x["cut"])
-                arrays = [col["part"].take(at), col["ord"].take(at), col["doc_id"].take(at), pa.array(x["start"]), pa.array(x["length"]), crc, col["doc_tokens"].take(at), pa.array(x["window"] + n_full), pa.array(x["offset"])]
+                arrays = [
+                    col["part"].take(at),
+                    col["ord"].take(at),
+                    col["doc_id"].take(at),
+                    pa.array(x["start"]),
+                    pa.array(x["length"]),
+                    crc,
+                    col["doc_tokens"].take(at),
+                    pa.array(x["window"] + n_full),
+                    pa.array(x["offset"])
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[y.split()[0] for y in shape.split(", ")])
 
-    ranked = rests.join(offsets, (F.col("part") == F.col("p")) & (F.col("rest") == F.col("r"))).withColumn("rank", F.col("rest_rank") + F.col("rank_shift")).drop("p", "r", "rest_rank", "rank_shift")
+    ranked = rests.join(
+        offsets, (F.col("part") == F.col("p")) & (F.col("rest") == F.col("r"))
+    ).withColumn("rank", F.col("rest_rank") + F.col("rank_shift")).drop("p", "r", "rest_rank", "rank_shift")
     pieces = staged(ranked.mapInArrow(assign, shape), "packing-pieces")
 
-    cuts = pieces.where("ids_crc32 IS NULL").select(F.col("part").alias("p"), F.col("ord").alias("o"), "start", "length", "sequence_id", "offset")
+    cuts = pieces.where("ids_crc32 IS NULL").select(
+        F.col("part").alias("p"), F.col("ord").alias("o"), "start", "length", "sequence_id", "offset"
+    )
     few = cuts.count() <= BROADCAST_CUTS
-    fetched = table.select("part", "ord", "doc_id", "doc_tokens", "ids").join(F.broadcast(cuts) if few else cuts, (F.col("part") == F.col("p")) & (F.col("ord") == F.col("o")))
+    fetched = table.select("part", "ord", "doc_id", "doc_tokens", "ids").join(
+        F.broadcast(cuts) if few else cuts, (F.col("part") == F.col("p")) & (F.col("ord") == F.col("o"))
+    )
     fetched = fetched.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
     final = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

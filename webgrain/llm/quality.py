@@ -35,13 +35,22 @@ def repeated_words(words: Column) -> Column:
                 F.transform(
                     F.filter(
                         s,
-                        lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)),
+                        lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(
+                            F.get(s, k + 1)["h"] == x["h"], F.lit(False)
+                        ),
                     ),
                     lambda x: x["i"],
                 )
             ),
         )
-        return let(starts, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b))
+        return let(
+            starts,
+            lambda p: F.aggregate(
+                F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))),
+                F.lit(0),
+                lambda a, b: a + b
+            )
+        )
 
     def hashes(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
@@ -73,7 +82,9 @@ def buckets_of(text: Column, buckets: int = BUCKETS) -> Column:
         F.transform(pieces, lambda p: F.xxhash64(p)),
         lambda h: F.concat(
             F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
-            F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(h[i], x), F.lit(buckets)).cast("int")),
+            F.transform(
+                F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(h[i], x), F.lit(buckets)).cast("int")
+            ),
         ),
     )
 
@@ -83,10 +94,20 @@ def bucket_ratios(docs: DataFrame, target: Column, buckets: int = BUCKETS, alpha
     grams = docs.select(target.cast("long").alias("t"), F.explode(buckets_of(text_or_empty("text"), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
-    filled = every.join(F.broadcast(counts), "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    total = filled.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("rows"))
+    filled = every.join(F.broadcast(counts), "b", "left").select(
+        "b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
+    )
+    total = filled.agg(
+        F.sum("raw").alias("n_raw"),
+        F.sum("target").alias("n_target"),
+        F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("rows")
+    )
     smooth = lambda c, n: (c + F.lit(alpha)) / (n + F.lit(alpha * buckets))
-    return total.select(F.transform("rows", lambda x: F.log(smooth(x["target"], F.col("n_target"))) - F.log(smooth(x["raw"], F.col("n_raw")))).alias("weights"))
+    return total.select(
+        F.transform(
+            "rows", lambda x: F.log(smooth(x["target"], F.col("n_target"))) - F.log(smooth(x["raw"], F.col("n_raw")))
+        ).alias("weights")
+    )
 
 
 def quality_rules(
@@ -108,14 +129,22 @@ def quality_rules(
     text = text_or_empty("text")
     weighed = let(
         buckets_of(text, buckets),
-        lambda b: F.struct(F.size(b).cast("long").alias("n"), F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("__w"), x)).alias("total")),
+        lambda b: F.struct(
+            F.size(b).cast("long").alias("n"), F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("__w"), x)).alias("total")
+        ),
     )
 
     def verdict(x: Column) -> Column:
         r, g = x["r"], x["g"]
         failed = (r["n_words"] < 20) | (100 * r["n_repeat_words"] > 30 * r["n_words"])
         llr = F.when(g["n"] > 0, g["total"] / g["n"]).otherwise(0.0)
-        return F.struct(*[r[c].alias(c) for c in own[:5]], failed.alias("base_failed"), (~failed & (llr >= threshold)).alias("kept"), llr.alias("llr"), g["n"].alias("n_grams"))
+        return F.struct(
+            *[r[c].alias(c) for c in own[:5]],
+            failed.alias("base_failed"),
+            (~failed & (llr >= threshold)).alias("kept"),
+            llr.alias("llr"),
+            g["n"].alias("n_grams")
+        )
 
     # One expression for all results: a filter on one of them, pushed below, then repeats nothing.
     found = let(F.struct(base_columns(text).alias("r"), weighed.alias("g")), verdict)
@@ -131,4 +160,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def op2(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality_rules(docs.select("doc_id", "text"), trusted_ids(labels))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "n_grams")
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "n_grams"
+    )

@@ -6,7 +6,18 @@ from webgrain.llm import lines, lm, minhash, mixing, packing, quality, search, s
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": lines.op1, "op2_quality_rules": quality.op2, "op3_substring_dedup": substrings.op3, "op4_mixing": mixing.op4, "op5_token_files": token_files.op5, "op6_packing": packing.op6, "op7_minhash": minhash.op7, "op8_lm_scores": lm.op8, "op9_top_k": search.op9, "op10_secret_scan": secrets.op10}
+    return {
+        "op1_line_dedup": lines.op1,
+        "op2_quality_rules": quality.op2,
+        "op3_substring_dedup": substrings.op3,
+        "op4_mixing": mixing.op4,
+        "op5_token_files": token_files.op5,
+        "op6_packing": packing.op6,
+        "op7_minhash": minhash.op7,
+        "op8_lm_scores": lm.op8,
+        "op9_top_k": search.op9,
+        "op10_secret_scan": secrets.op10
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,7 +60,9 @@ class Shard:
         self.impact *= (K1 + 1) / (self.impact + norm[self.docs])
         which = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(starts))
         block = self.docs // BLOCK
-        new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])))) if len(docs) else np.zeros(0, np.int64)
+        new = np.flatnonzero(
+            np.concatenate(([True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])))
+        ) if len(docs) else np.zeros(0, np.int64)
         self.n_blocks = -(-len(ids) // BLOCK)
         self.entry_block = block[new]
         self.entry_most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
@@ -161,7 +163,9 @@ def build_index(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
         starts = np.append(at, len(term)).astype(np.int64)
         values = (len(size), int(size.sum()), term[at], starts, doc, count, ids[order], nulls[order], size[order].astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, int) else x.tobytes()]) for x in values], names=[x.split()[0] for x in shape.split(", ")])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x if isinstance(x, int) else x.tobytes()]) for x in values], names=[x.split()[0] for x in shape.split(", ")]
+        )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n, held = [], 0, 0
@@ -211,7 +215,9 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
             for lo, hi in row_chunks(off):
                 row, term, _, _ = term_counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 at = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(term.view(np.int64))], names=["query_row", "query_id", "term"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(term.view(np.int64))], names=["query_row", "query_id", "term"]
+                )
 
     asked = staged(queries.select(F.monotonically_increasing_id().alias("query_row"), "query_id", "text"), "search-queries")
     wanted = staged(asked.mapInArrow(query_terms, "query_row long, query_id long, term long"), "search-terms")
@@ -225,7 +231,9 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
         both = wanted.join(F.broadcast(weight), "term")
     else:
         salted = wanted.withColumn("salt", F.pmod("query_row", F.lit(SALTS)))
-        both = salted.join(weight.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["term", "salt"])
+        both = salted.join(
+            weight.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["term", "salt"]
+        )
     weighed = both.select("query_row", "query_id", F.struct("term", "w").alias("t"))
     table = weighed.groupBy("query_row", "query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # a query's own words
     path = fresh_path(spark, "search-weights")

@@ -37,7 +37,9 @@ SENSITIVE = re.compile("|".join(w for w, x in NAME_WEIGHTS.items() if x > 0), re
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base scan; each kind leftmost and non-overlapping."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST] if ":" in text or "=" in text else []
+    found = [
+        (m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST
+    ] if ":" in text or "=" in text else []
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     return found + [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
@@ -67,7 +69,9 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
     any number, those that it is made of. A name's reference may stand before or after what binds it."""
     sites = sites_of(text)
     chars, odd = resolve(sites)
-    todo = [i for i, s in enumerate(sites) if (w := site_weight(s)) > 0 and (x := shape_score(chars[i], odd[i])) > 0 and w + x >= LEAST_SCORE]
+    todo = [
+        i for i, s in enumerate(sites) if (w := site_weight(s)) > 0 and (x := shape_score(chars[i], odd[i])) > 0 and w + x >= LEAST_SCORE
+    ]
     found, seen = set(), set(todo)
     while todo:
         site = sites[todo.pop()]
@@ -102,7 +106,10 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [scan_text(t) for t in b.column(b.num_columns - 1).to_pylist()]
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         keep = range(b.num_columns - 1)
-        yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[b.schema.field(i).name for i in keep] + names)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(i) for i in keep] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+            names=[b.schema.field(i).name for i in keep] + names
+        )
 
 
 def secret_scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

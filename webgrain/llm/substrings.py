@@ -149,7 +149,10 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, least_words: int = LEAS
                 (h, row, place), (h2, row2, word) = s.spans(span), s.word_spans()
                 h, row, place = np.concatenate((h, h2)), np.concatenate((row, row2)), np.concatenate((2 * place, 2 * word + 1))
                 at = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place)], names=["h", "doc_id", "t", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(place)],
+                    names=["h", "doc_id", "t", "place"]
+                )
 
     bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
@@ -167,7 +170,9 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, least_words: int = LEAS
     removals = staged(per_doc, "spans-removals")
     size = removals.agg(F.coalesce(F.sum(F.size("places") + F.size("first_doc_ids")), F.lit(0))).collect()[0][0]
     marks = F.broadcast(removals) if size <= BROADCAST_POSITIONS else removals
-    joined = source.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left").select("doc_id", "text", "places", "first_doc_ids")
+    joined = source.join(
+        marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left"
+    ).select("doc_id", "text", "places", "first_doc_ids")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text", "n_removed", "removed_words", "first_doc_ids"]

@@ -64,7 +64,9 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
     out = []
     for i in range(len(x)):
         at = np.flatnonzero(over[i])
-        out.append(HEAD.pack(int(low[i]), int(width[i]), len(at)) + packed[i] + at.astype("<u2").tobytes() + d[i][at].astype("<u4").tobytes())
+        out.append(
+            HEAD.pack(int(low[i]), int(width[i]), len(at)) + packed[i] + at.astype("<u2").tobytes() + d[i][at].astype("<u4").tobytes()
+        )
     return out
 
 
