@@ -1,5 +1,7 @@
 """URL forms, classes and text measures on small cases."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -74,3 +76,11 @@ def test_empty_texts_share_a_fingerprint(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, "some words here")], "k long, t string")
     got = {r["k"]: r["fingerprint"] for r in tx.simhash(df, "k", "t").collect()}
     assert got[1] == got[2] == -1 and got[3] != -1
+
+
+def test_syllables_of_joined_words(spark):
+    rng = random.Random(3)
+    rows = [(i, ["".join(rng.choices("aeyldshx'9\u00e9Y", k=rng.randint(1, 7))) for _ in range(rng.randint(0, 9))]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, w array<string>")
+    each = F.aggregate(F.transform("w", tx.syllables), F.lit(0), lambda a, b: a + b)
+    assert df.where(tx.syllable_total(F.col("w")) != each).count() == 0

@@ -69,6 +69,21 @@ def syllables(word: Column) -> Column:
     return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), count)
 
 
+def syllable_total(words: Column) -> Column:
+    """Sum of the syllables of all words, by patterns over the joined words instead of each one."""
+    joined = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z ]", "")
+
+    def count(t: Column) -> Column:
+        times = lambda s, pattern: F.regexp_count(s, F.lit(pattern))
+        short = times(t, "(?<![a-z])[a-z]{1,3}(?![a-z])")
+        long = F.regexp_replace(t, "(?<![a-z])[a-z]{1,3}(?![a-z])", "")
+        core = F.regexp_replace(F.regexp_replace(long, "(?:[^laeiouy]es|ed|[^laeiouy]e)(?![a-z])", ""), "(?<![a-z])y", "")
+        # a long word has its vowel runs, or one syllable where it has none
+        return let(core, lambda c: short + times(c, "[aeiouy]{1,2}") + times(t, "[a-z]{4,}") - times(c, "[a-z]*[aeiouy][a-z]*"))
+
+    return let(joined, count)
+
+
 def readability(text: Column) -> Column:
     """Struct of words, sentences, syllables, words per sentence, reading ease (0 to 100), grade (from 0), minutes."""
     t = F.coalesce(text, F.lit(""))
@@ -94,7 +109,7 @@ def readability(text: Column) -> Column:
         lambda ws: F.struct(
             F.size(ws).alias("w"),
             F.size(sentences).alias("s"),
-            F.aggregate(F.transform(ws, syllables), F.lit(0), lambda a, b: a + b).alias("y")
+            syllable_total(ws).alias("y"),
         )
     )
     return let(counts, measures)
