@@ -41,7 +41,9 @@ class Vocabulary:
         rest = order[OWN_CLASSES:]
         mass = np.cumsum(smooth[rest])
         if len(rest):  # the others by frequency, in classes of like mass
-            self.klass[rest] = OWN_CLASSES + np.minimum((mass - smooth[rest] / 2) / mass[-1] * (CLASSES - OWN_CLASSES), CLASSES - OWN_CLASSES - 1).astype(np.int32)
+            self.klass[rest] = OWN_CLASSES + np.minimum(
+                (mass - smooth[rest] / 2) / mass[-1] * (CLASSES - OWN_CLASSES), CLASSES - OWN_CLASSES - 1
+            ).astype(np.int32)
         total = np.maximum(np.bincount(self.klass, smooth, CLASSES), 1e-9)
         share = smooth / total[self.klass]
         # share of each rank in its class; rare ids of one class are one unit, whose ids have fixed shares of it
@@ -50,7 +52,9 @@ class Vocabulary:
         after = np.zeros((INPUTS, CLASSES))
         np.add.at(after.T, self.klass[named], table[:, : len(named)].T)
         within = (table[:, : len(named)] + BACKOFF_SHARE * share[named]) / (after[:, self.klass[named]] + BACKOFF_SHARE)
-        left = np.maximum(1 - np.add.reduceat(within, np.flatnonzero(np.diff(self.klass[named], prepend=-1)), axis=1), 0) if len(named) else np.ones((INPUTS, 1))
+        left = np.maximum(
+            1 - np.add.reduceat(within, np.flatnonzero(np.diff(self.klass[named], prepend=-1)), axis=1), 0
+        ) if len(named) else np.ones((INPUTS, 1))
         self.within = np.full((INPUTS, INPUTS), 0.0, np.float32)
         self.within[:, : len(named)] = np.log10(within)
         # what rare ids (all in the last class that named ids reach, or later) leave of each class
@@ -65,7 +69,15 @@ class Vocabulary:
         self.room = np.log10(np.maximum(room, 1e-12)).astype(np.float32)
         plain = total / total.sum()
         after[:, self.klass[rare[0]] if len(rare) else CLASSES - 1] += table[:, INPUTS - 2]
-        self.bias = np.log((after + BACKOFF_CLASS * plain) / (after.sum(axis=1, keepdims=True) + BACKOFF_CLASS)).astype(np.float32)[self.rank_of]
+        self.bias = np.log(
+            (after + BACKOFF_CLASS * plain) / (after.sum(axis=1, keepdims=True) + BACKOFF_CLASS)
+        ).astype(np.float32)[self.rank_of]
+
+    def inputs(self, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Input at each place of texts laid end to end: that of the id before it, or of a text's start."""
+        before = np.concatenate((self.row[-1:], self.row[ids[:-1]]))
+        before[start[sizes > 0]] = self.row[-1]
+        return before
 
     def inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 share of each id of its class after an id of that rank."""
@@ -89,7 +101,15 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 def fresh(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    shapes = {"E": (INPUTS + SHARED, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "C": (WIDTH, CLASSES)}
+    shapes = {
+        "E": (INPUTS + SHARED, WIDTH),
+        "P": (WINDOW, WIDTH),
+        "Q": (WIDTH, WIDTH),
+        "K": (WIDTH, WIDTH),
+        "V": (WIDTH, WIDTH),
+        "O": (WIDTH, WIDTH),
+        "C": (WIDTH, CLASSES)
+    }
     out = {n: (rng.standard_normal(s) * (0.3 if n == "E" else 0.1 if n == "P" else 0.25)).astype(np.float32) for n, s in shapes.items()}
     out["C"] *= 0.1
     return out | {"b": np.zeros(CLASSES, np.float32)}
@@ -99,15 +119,20 @@ def flat(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[n].ravel() for n in NAMES])
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def views(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights by name, as parts of one vector."""
     out, at = {}, 0
     for n, s in zip(NAMES, ((INPUTS + SHARED, WIDTH), (WINDOW, WIDTH), *[(WIDTH, WIDTH)] * 4, (WIDTH, CLASSES), (CLASSES,)), strict=True):
         size = int(np.prod(s))
-        out[n] = x[at : at + size].reshape(s).astype(np.float32)
+        out[n] = x[at : at + size].reshape(s)
         at += size
     return out
 
 
+def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+    return views(x.astype(np.float32))
+
+
 _PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -116,9 +141,10 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(x.shape[:-1])
 
 
-def shares(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-    """Softmax over the last axis, of what the mask leaves. Values are rarely so large that exponentials overflow, so each
-    row's maximum is looked for only if a sum isn't finite (or nothing of it is left)."""
+def exps(z: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, of what the mask leaves, and their sums over the last axis: shares but for a factor of each row. Values
+    are rarely so large that exponentials overflow, so each row's maximum is looked for only if a sum isn't finite (or
+    nothing of it is left)."""
     with np.errstate(over="ignore", invalid="ignore"):
         e = np.exp(z)
         if mask is not None:
@@ -128,8 +154,7 @@ def shares(z: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
         z = z if mask is None else np.where(mask > 0, z, -np.inf)
         e = np.exp(z - z.max(axis=-1, keepdims=True))
         total = _row_sums(e)
-    e /= total[..., None]
-    return e
+    return e, total
 
 
 def _attend(p: dict[str, np.ndarray], inputs: np.ndarray):
@@ -140,7 +165,8 @@ def _attend(p: dict[str, np.ndarray], inputs: np.ndarray):
     every = x.reshape(-1, WIDTH) @ np.concatenate((p["Q"] * x.dtype.type(WIDTH**-0.5), p["K"], p["V"]), axis=1)  # one product for all
     q, k, v = (every[:, i * WIDTH : (i + 1) * WIDTH].reshape(*n, WIDTH) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a = shares(a, _PAST)
+    a, total = exps(a, _PAST)
+    a /= total[..., None]
     return x, q, k, v, a, (a @ v).reshape(-1, WIDTH)
 
 
@@ -173,10 +199,11 @@ def class_log10(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray,
     return picked_log10(logits(p, hidden(p, inputs), (bias + p["b"])[inputs.ravel()]), klass.ravel()).reshape(klass.shape)
 
 
-def text_log10(p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 128) -> np.ndarray:
+def text_log10(
+    p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 128
+) -> np.ndarray:
     """log10 probability of each of the texts laid end to end in ids; every id is scored in one window."""
-    before = np.concatenate(([INPUTS - 1], v.row[ids[:-1]]))
-    before[start[sizes > 0]] = INPUTS - 1
+    before = v.inputs(ids, start, sizes)
     klass, inside = v.klass[ids], v.inside(v.rank_of[before], ids)
     text, at, first = windows(sizes)
     total, steps, bias = np.zeros(len(sizes)), np.arange(WINDOW), v.bias + p["b"]
@@ -198,16 +225,10 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, r
     x, q, k, v, a, o = _attend(p, inputs)
     xs = x.reshape(-1, WIDTH)
     h = xs + o @ p["O"]
-    at = np.flatnonzero(real.ravel())
-    whole = len(at) == len(h)
-    inner = h if whole else h[at]
-    z = shares(logits(p, inner, bias[inputs.ravel()[at]] + p["b"]))
-    z[np.arange(len(at)), klass.ravel()[at]] -= 1
-    z *= z.dtype.type(1 / max(1, len(at)))
-    dh = z @ p["C"].T
-    if not whole:
-        dh, some = np.zeros_like(h), dh
-        dh[at] = some
+    e, total = exps(logits(p, h, (bias + p["b"])[inputs.ravel()]))
+    e[np.arange(len(e)), klass.ravel()] -= total  # the gradient of each logit, but for a factor of its row
+    weight = (real.ravel() / (total * max(1, int(real.sum())))).astype(e.dtype)
+    dh = (e @ p["C"].T) * weight[:, None]
     do = (dh @ p["O"].T).reshape(x.shape)
     ds = do @ v.transpose(0, 2, 1)
     ds *= a
@@ -222,21 +243,31 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, r
     de = np.zeros_like(p["E"])
     de[rows[first]] = np.add.reduceat(dx[by], first, axis=0)
     dqkv = xs.T @ parts
-    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "O": o.T @ dh, "C": inner.T @ z, "b": z.sum(axis=0)}
+    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "O": o.T @ dh, "C": (h * weight[:, None]).T @ e, "b": weight @ e}
     return out | {n: dqkv[:, i * WIDTH : (i + 1) * WIDTH] for i, n in enumerate("QKV")}
 
 
 def train(p: dict[str, np.ndarray], batches, rate: float, bias: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
     """One pass of Adam over batches (inputs, classes, real positions); parameters and positions learned from."""
-    p = {n: x.copy() for n, x in p.items()}
-    m, s, seen = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
+    x = flat(p)
+    now, seen = views(x), 0
+    m, s, step = np.zeros_like(x), np.zeros_like(x), np.empty_like(x)
     for t, (inputs, klass, real) in enumerate(batches, 1):
-        for n, g in gradients(p, inputs, klass, real, bias).items():
-            m[n] += 0.1 * (g - m[n])
-            s[n] += 0.01 * (g * g - s[n])
-            p[n] -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-8)
+        g = flat(gradients(now, inputs, klass, real, bias))
+        np.multiply(g, g, out=step)  # all in place: one vector of all weights
+        step -= s
+        step *= 0.01
+        s += step
+        g -= m
+        g *= 0.1
+        m += g
+        np.sqrt(s, out=step)
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= rate * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
+        x -= step
         seen += int(real.sum())
-    return p, seen
+    return now, seen
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

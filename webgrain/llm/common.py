@@ -99,14 +99,19 @@ def utf8_column(arr) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, first word of each row: offsets, byte start of each word).
+    """(64-bit hash of each word, first word of each row: offsets, byte start of each word)."""
+    return sized_words(data, off, lower)[:3]
+
+
+def sized_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, first word of each row: offsets, byte start of each word, bytes of each word).
 
     The hash is multilinear in the bytes with a coefficient for each position, then mixed; equal words have equal
     hashes everywhere, and two words collide with a chance of about 2**-56.
     """
     global _COEF
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if lower:
         data = _LOWER[data]
     inside = ~_SPACE[data]
@@ -116,7 +121,7 @@ def hashed_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple
     first[edges] = inside[edges]  # a row's first byte starts a word even after the former row's last one
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), starts
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), starts, starts
     at = np.flatnonzero(inside)
     word_of = np.cumsum(first)[at] - 1
     pos = at - starts[word_of]
@@ -124,7 +129,7 @@ def hashed_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple
         _COEF = coefficients(1 << top.bit_length(), 7)
     part = (data[at].astype(np.uint64) + np.uint64(1)) * _COEF[pos]
     begin = np.flatnonzero(np.concatenate(([True], word_of[1:] != word_of[:-1])))
-    return mix64(np.add.reduceat(part, begin)), np.searchsorted(starts, off), starts
+    return mix64(np.add.reduceat(part, begin)), np.searchsorted(starts, off), starts, np.diff(np.append(begin, len(at)))
 
 
 def row_chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import attention as att
-from webgrain.llm.common import bounded_batches, hashed_words, row_chunks, staged, utf8_column
+from webgrain.llm.common import bounded_batches, hashed_words, row_chunks, sized_words, staged, utf8_column
 from webgrain.llm.tokens import default_path, encoder
 
 ALPHA = 0.1
@@ -94,15 +94,22 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
         from pyspark import TaskContext
 
         code, rid = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        end = end_and_size(tokenizer)[0]
+        end, kind = end_and_size(tokenizer)[0], np.dtype(f"<u{code.width}")
         top, weight = hashes.value, np.log10(counts.value + ALPHA) - floor
         for b in batches:
             data, off = utf8_column(b.column(2))
             for lo, hi in row_chunks(off, 1 << 21):
                 part = data[off[lo] : off[hi]]
-                words, first, _ = hashed_words(part, off[lo : hi + 1] - off[lo])
-                words, raw, out = words.view(np.int64), part.tobytes(), []
-                kinds, which = np.unique(words, return_inverse=True)
+                words, first, starts, sizes = sized_words(part, off[lo : hi + 1] - off[lo])
+                words, raw, out = words.view(np.int64), part.tobytes().lower(), []
+                kinds, seen, which = np.unique(words, return_index=True, return_inverse=True)
+                # each distinct word is encoded once, and its ids are laid out wherever it stands
+                codes = [code[raw[a : a + n]] for a, n in zip(starts[seen].tolist(), sizes[seen].tolist(), strict=True)]
+                n_ids = np.array([len(x) // code.width for x in codes], np.int64)
+                begin, per_word = np.cumsum(n_ids) - n_ids, n_ids[which]
+                place = np.append(0, np.cumsum(per_word))
+                spread = np.arange(place[-1]) + np.repeat(begin[which] - place[:-1], per_word)
+                laid = np.frombuffer(b"".join(codes), kind)[spread]
                 at = np.searchsorted(top, kinds)
                 at[at == len(top)] = 0
                 hit = (top[at] == kinds if len(top) else np.zeros(len(kinds), bool))[which]
@@ -112,13 +119,17 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
                 for i in range(hi - lo):
                     x, y = first[i], first[i + 1]
                     rest, times = np.unique(words[x:y][~hit[x:y]], return_counts=True)
-                    text = raw[off[lo + i] - off[lo] : off[lo + i + 1] - off[lo]].lower()
-                    out.append((rid, int(y - x) + 1, int(known[y] - known[x]) + (ends > 0), float(score[y] - score[x] + end_score), rest.tobytes(), times.astype(np.uint32).tobytes(), code.pack(text, end)))
+                    ids = laid[place[x] : place[y]].tobytes() + end.to_bytes(code.width, "little")
+                    facts = (rid, int(y - x) + 1, int(known[y] - known[x]) + (ends > 0), float(score[y] - score[x] + end_score))
+                    out.append((*facts, rest.tobytes(), times.astype(np.uint32).tobytes(), ids))
                     rid += 1
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
                 made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([made[0], b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *made[1:]], names=[x.split()[0] for x in shape.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [made[0], b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *made[1:]],
+                    names=[x.split()[0] for x in shape.split(", ")]
+                )
 
     return staged(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, shape), "lm-rows")
 
@@ -170,17 +181,21 @@ def vocabulary(rows: DataFrame, size: int, width: int = 2) -> att.Vocabulary:
     return att.Vocabulary(counts, table)
 
 
-def all_windows(batches: Iterator[pa.RecordBatch], v: att.Vocabulary, width: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def all_windows(
+    batches: Iterator[pa.RecordBatch], v: att.Vocabulary, width: int = 2
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(inputs, classes, real positions) of every window of the texts of batches (ids), BATCH at a time."""
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist(), width)
+            before, klass = v.inputs(flat, start, sizes), v.klass[flat]
             text, at = att.training_windows(sizes)
             order = np.random.default_rng(len(text)).permutation(len(text))  # windows of a text aren't learned in a row
+            first, left = (start[text] + at)[order], np.minimum(sizes[text] - at, att.WINDOW)[order]
+            steps = np.arange(att.WINDOW)
             for i in range(0, len(text), BATCH):
-                mine = order[i : i + BATCH]
-                inputs, target, real = att.cut(flat, start, sizes, text[mine], at[mine], v)
-                yield inputs, v.klass[target].astype(np.int64), real
+                where = np.minimum(first[i : i + BATCH, None] + steps, len(flat) - 1)  # what lies beyond a text is in nobody's past
+                yield before[where], klass[where], steps < left[i : i + BATCH, None]
 
 
 def train(rows: DataFrame, v: att.Vocabulary, width: int = 2) -> dict[str, np.ndarray]:
@@ -198,9 +213,13 @@ def train(rows: DataFrame, v: att.Vocabulary, width: int = 2) -> dict[str, np.nd
             new, seen = att.train(att.unflat(current.value), all_windows(batches, shared.value, width), rate, shared.value.bias)
             if seen:
                 flat = att.flat(new).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["i", "x", "w"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["i", "x", "w"]
+                )
 
-        mean = train_rows.mapInArrow(learn, "i long, x double, w long").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()  # a row for each weight
+        mean = train_rows.mapInArrow(learn, "i long, x double, w long").groupBy("i").agg(
+            (F.sum("x") / F.sum("w")).alias("x")
+        ).toArrow()  # a row for each weight
         if mean.num_rows:
             params = params.copy()
             params[mean.column(0).to_numpy()] = mean.column(1).to_numpy()
@@ -234,12 +253,17 @@ def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
                 words = [np.frombuffer(x.as_buffer(), np.int64) for x in cut.column(1)]
                 times = [np.frombuffer(x.as_buffer(), np.uint32) for x in cut.column(2)]
                 rid = np.repeat(cut.column(0).to_numpy(zero_copy_only=False), [len(x) for x in words])
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(words)), pa.array(np.concatenate(times).astype(np.int64))], names=["rid", "h", "times"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rid), pa.array(np.concatenate(words)), pa.array(np.concatenate(times).astype(np.int64))],
+                    names=["rid", "h", "times"]
+                )
 
     rare = counts.where(F.floor(F.log2("c") * 8).cast("int") < least)
     spread_out = rows.select("rid", "words", "times").mapInArrow(spread, "rid long, h long, times long").join(rare, "h", "left")
     logs = F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / (F.lit(float(n)) + ALPHA * (v + 1)))
-    tail = spread_out.groupBy("rid").agg(F.sum(logs * F.col("times")).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
+    tail = spread_out.groupBy("rid").agg(
+        F.sum(logs * F.col("times")).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known")
+    )
 
     width = encoder(path).width
     if width == 2 and end_and_size(path)[1] > 1 << 16:
@@ -255,9 +279,14 @@ def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
                 cut = b.slice(lo, 500)
                 flat, start, sizes = _laid_out(cut.column(6).to_pylist(), width)
                 total = att.text_log10(p, voc, flat, start, sizes)
-                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in range(6)), pa.array(total)], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(cut.column(c) for c in range(6)), pa.array(total)],
+                    names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+                )
 
-    scored = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(score, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    scored = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(
+        score, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+    )
     return scored.join(tail, "rid", "left").select(
         "doc_id",
         "held_out",
