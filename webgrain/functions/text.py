@@ -143,7 +143,7 @@ def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
                     continue
                 if len(known) > CACHED_TOKENS:
                     known.clear()
-                for token in found.keys() - known.keys():
+                for token in [x for x in found if x not in known]:
                     known[token] = int.from_bytes(hashlib.sha256(token).digest()[:8], "big")
                 h = np.array([known[x] for x in found], np.uint64)
                 n = np.array(list(found.values()), np.int64)
