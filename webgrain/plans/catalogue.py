@@ -37,6 +37,13 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table for work on each row that costs far more than moving it: one of fewer splits than there are cores is dealt
+    out over them, one of more is left as it is read."""
+    df, cores = load(spark, d, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _u(n: int) -> str:
     return f"regexp_extract(url, '{URL_SQL}', {n})"
 
@@ -250,7 +257,7 @@ CASE WHEN w > 0 AND s > 0 THEN round(greatest(0, least(100, 206.835 - 1.015 * (w
 CASE WHEN w > 0 AND s > 0 THEN round(greatest(0, 0.39 * (w / s) + 11.8 * (y / w) - 15.59), 4) END AS grade, round(w / 225, 4) AS minutes
 FROM (SELECT doc_id, w::DOUBLE AS w, s::DOUBLE AS s, y::DOUBLE AS y FROM b)""")
 def readability(spark, d):
-    r = load(spark, d, "documents").select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+    r = spread(spark, d, "documents").select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
     return r.select(
         "doc_id",
         "words",
@@ -268,7 +275,7 @@ TOKENS_SQL = lambda x: rf"""list_filter(list_transform(regexp_split_to_array(reg
     f"SELECT doc_id, len(t)::BIGINT AS tokens, len(list_distinct(t))::BIGINT AS distinct_tokens FROM (SELECT doc_id, {TOKENS_SQL('text')} AS t FROM documents)"
 )
 def token_counts(spark, d):
-    return load(spark, d, "documents").select("doc_id", tx.keyword_tokens(F.col("text")).alias("t")).select(
+    return spread(spark, d, "documents").select("doc_id", tx.keyword_tokens(F.col("text")).alias("t")).select(
         "doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens")
     )
 
@@ -295,7 +302,7 @@ f AS (SELECT phrase, sum(score_h)::BIGINT AS score_h, count(*) AS pages, max(doc
 
 
 def _signals(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text", F.get(F.split("text", "\n"), 0).alias("title"))
+    docs = spread(spark, d, "documents").select("doc_id", "text", F.get(F.split("text", "\n"), 0).alias("title"))
     return keywords.page_signals(docs, "doc_id", {"title": F.col("title"), "body": F.col("text")})
 
 
@@ -532,7 +539,7 @@ fp AS (SELECT d.doc_id, coalesce(f, 18446744073709551615::UBIGINT) AS f, len(reg
 
 
 def _fingerprints(spark, d):
-    docs = load(spark, d, "documents")
+    docs = spread(spark, d, "documents")
     prints = tx.simhash(docs, "doc_id", "text")
     words = docs.select(
         "doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("words")
@@ -549,7 +556,7 @@ def _fingerprints(spark, d):
 
 @query(f"WITH {SIMHASH_SQL} SELECT doc_id, lpad(to_hex(f), 16, '0') AS fingerprint FROM fp")
 def simhash(spark, d):
-    return tx.simhash(load(spark, d, "documents"), "doc_id", "text").select(
+    return tx.simhash(spread(spark, d, "documents"), "doc_id", "text").select(
         "doc_id", F.lpad(F.hex("fingerprint"), 16, "0").alias("fingerprint")
     )
 
@@ -871,7 +878,7 @@ ENTITIES = lambda x: f"replace({x}, '&amp;', '&')"
 len(regexp_extract_all(html, '<a href="[^"]+"')) AS links, length(html)::INT AS html_chars FROM pages""")
 def html_extract_counts(spark, d):
     """What patterns can tell of the Python pass over these pages."""
-    p = extract_pages(load(spark, d, "pages"))
+    p = extract_pages(spread(spark, d, "pages"))
     return p.select(
         "page_id",
         "title",
@@ -885,7 +892,7 @@ def html_extract_counts(spark, d):
 @query()
 def html_extract(spark, d):
     """The Python pass over pages; tested against fixtures."""
-    return extract_pages(load(spark, d, "pages")).select(
+    return extract_pages(spread(spark, d, "pages")).select(
         "page_id",
         "url",
         "title",
@@ -906,7 +913,7 @@ def page_findings(spark, d):
     """All single-page rules over extracted pages."""
     from webgrain.session import AuditSession
 
-    return AuditSession(spark).findings(load(spark, d, "pages"))
+    return AuditSession(spark).findings(spread(spark, d, "pages"))
 
 
 @query(
