@@ -32,6 +32,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table as it is read or, if it has fewer splits than there are cores, dealt out over them: for work on each row
+    that costs far more than moving it. df: a scan, so that looking at its splits runs nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def apart(docs: DataFrame, own: list[str], *needed: str) -> tuple[DataFrame, list[Column]]:
     """docs as a struct `row` beside the columns needed, so that its other names can't clash with an operator's, and how to
     select them again: all columns but those named like own ones, in either case."""

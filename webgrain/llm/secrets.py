@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm.assignments import NAME_WEIGHTS, Site, name_weight, resolve, sites_of
-from webgrain.llm.common import bounded_batches
+from webgrain.llm.common import bounded_batches, dealt
 
 #: Fixed patterns of the base scan and the shortest group or match that counts.
 ASSIGN = re.compile(
@@ -125,4 +125,4 @@ def secret_scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> Data
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return secret_scan(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
