@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webgrain.llm import lines, lm, minhash, mixing, packing, quality, search, secrets, substrings, token_files
+from webgrain.llm import filter_audit, lines, lm, minhash, mixing, packing, quality, search, secrets, substrings, token_files
 
 
 def queries() -> dict:
@@ -16,9 +16,15 @@ def queries() -> dict:
         "op7_minhash": minhash.op7,
         "op8_lm_scores": lm.op8,
         "op9_top_k": search.op9,
-        "op10_secret_scan": secrets.op10
+        "op10_secret_scan": secrets.op10,
+        "op12_filter_audit": filter_audit.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_OP4, "op7_minhash": minhash.ORACLE_OP7, "op9_top_k": search.ORACLE_OP9}
+    return {
+        "op4_mixing": mixing.ORACLE_OP4,
+        "op7_minhash": minhash.ORACLE_OP7,
+        "op9_top_k": search.ORACLE_OP9,
+        "op12_filter_audit": filter_audit.ORACLE_OP12,
+    }
