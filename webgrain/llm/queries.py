@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webgrain.llm import filter_audit, lines, lm, minhash, mixing, packing, quality, search, secrets, substrings, token_files
+from webgrain.llm import bpe, filter_audit, lines, lm, minhash, mixing, packing, quality, search, secrets, substrings, token_files
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_top_k": search.op9,
         "op10_secret_scan": secrets.op10,
         "op12_filter_audit": filter_audit.op12,
+        "op13_byte_bpe": bpe.op13,
     }
 
 
