@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webgrain.llm import bpe, filter_audit, lines, lm, minhash, mixing, packing, quality, search, secrets, substrings, token_files
+from webgrain.llm import bpe, filter_audit, lines, lm, minhash, mixing, packing, quality, ranked, search, secrets, substrings, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_scores": lm.op8,
         "op9_top_k": search.op9,
         "op10_secret_scan": secrets.op10,
+        "op11_ranked_search": ranked.op11,
         "op12_filter_audit": filter_audit.op12,
         "op13_byte_bpe": bpe.op13,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.ORACLE_OP4,
         "op7_minhash": minhash.ORACLE_OP7,
         "op9_top_k": search.ORACLE_OP9,
+        "op11_ranked_search": ranked.ORACLE_OP11,
         "op12_filter_audit": filter_audit.ORACLE_OP12,
     }
