@@ -67,8 +67,8 @@ def test_each_distinct_word_is_encoded_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 2_000)
     docs = spark.createDataFrame([(i, "the same words again and again " * 20, "", "") for i in range(60)], DOCS).repartition(6)
     parts = bpe.split_words(docs, bpe.default_pattern(), 16)
-    words = parts.where("bucket >= 0").select("bucket", "packed").collect()
-    met = {(w, r["bucket"]) for r in words for w in bpe.unpacked(bytes(r["packed"]))["word"].to_pylist()}
+    words = parts.where("bucket >= 0").select("bucket", "words", "sizes").collect()
+    met = {(w, r["bucket"]) for r in words for w in bpe.cut(bpe.unpacked(bytes(r["words"])), bpe.unpacked(bytes(r["sizes"]), "i8"))}
     assert len(met) == len({w for w, _ in met}) < len(words) * 6  # a word has one bucket, many chunks have it
     chunks = parts.where("bucket < 0").count()
     assert chunks > 6 and all(r["n"] <= 7 * chunks for r in parts.where("bucket >= 0").groupBy("bucket").sum("n_words").toDF("b", "n").collect())

@@ -32,6 +32,8 @@ LISTED_CHARS, BLOCK_WORDS = 1 << 22, 1 << 20
 KEPT_WORDS = 2_000_000
 #: Least number of parts of the global shuffle; spark.sql.shuffle.partitions, if that is more.
 LEAST_BUCKETS = 16
+#: Compression of what is staged and shuffled.
+LEVEL = 9
 #: Words that are put together at once, about.
 SLICE_WORDS = 1 << 20
 
@@ -63,17 +65,20 @@ def words_of(text: str, pattern) -> Iterator[list[str]]:
         yield block
 
 
-def packed(columns: dict[str, pa.Array]) -> bytes:
-    """Columns of equal length as compressed Arrow bytes."""
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch(list(columns.values()), names=list(columns))
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def packed(values: np.ndarray | bytes) -> bytes:
+    """Bytes, or those of an array one byte of each number after the other, compressed; their length comes first."""
+    planes = values if isinstance(values, bytes) else values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(planes, asbytes=True)
 
 
-def unpacked(data) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def unpacked(data: bytes, kind: str | None = None):
+    """The bytes, or the numbers of a kind, that were packed."""
+    size = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+    if kind is None:
+        return planes
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.copy().view(kind)[:, 0] if size else np.zeros(0, kind)
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -106,25 +111,41 @@ class Chunk:
         self.bytes += len(text)
 
     def rows(self, chunk: int, buckets: int) -> Iterator[dict]:
-        """The documents' row, with bucket -1, and a row of distinct words for each bucket that has any."""
+        """The documents' row, with bucket -1, and for each bucket that has any a row of distinct words, most frequent first.
+
+        The documents' row knows each word's bucket, so that words and, later, their ids travel without their numbers.
+        """
         places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
-        words = list(self.numbers)
+        words, ids, sizes = list(self.numbers), self.ids, np.array(self.sizes, np.int64)
+        self.__init__()
         order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        ranked = rank[places]
-        planes = {f"byte_{i}": pa.array(((ranked >> (8 * i)) & 255).astype(np.uint8)) for i in range(4)}
-        docs = packed({"doc_id": pa.array(self.ids, pa.int64()), "n": pa.array(self.sizes, pa.int64())})
-        yield {"chunk": chunk, "bucket": -1, "n_words": len(words), "docs": docs, "packed": packed(planes)}
-        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-        by = np.lexsort((rank, bucket))
+        places = rank[places]
+        bucket = np.fromiter((zlib.crc32(words[i].encode()) % buckets for i in order), np.uint32, len(words))
+        null = np.array([i is None for i in ids], np.uint8)
+        head = {
+            "doc_ids": packed(np.array([i or 0 for i in ids], np.int64)), "nulls": packed(null), "sizes": packed(sizes),
+            "words": packed(bucket), "places": packed(places),
+        }
+        yield {"chunk": chunk, "bucket": -1, "n_words": len(words), **head}
+        del places, head
+        by = np.argsort(bucket, kind="stable")
         for group in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else ():
-            columns = {"place": pa.array(rank[group]), "word": pa.array([words[i] for i in group], pa.large_string())}
-            yield {"chunk": chunk, "bucket": int(bucket[group[0]]), "n_words": len(group), "docs": None, "packed": packed(columns)}
+            utf8 = [words[order[i]].encode() for i in group]
+            lengths = packed(np.fromiter(map(len, utf8), np.int64, len(utf8)))
+            row = {"chunk": chunk, "bucket": int(bucket[group[0]]), "n_words": len(group)}
+            yield row | {"doc_ids": None, "nulls": None, "sizes": lengths, "words": packed(b"".join(utf8)), "places": None}
+
+
+SPLIT_DDL = "chunk long, bucket int, n_words long, doc_ids binary, nulls binary, sizes binary, words binary, places binary"
+SPLIT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n_words", pa.int64()), *((c.split()[0], pa.binary()) for c in SPLIT_DDL.split(", ")[3:])])
 
 
-SPLIT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n_words", pa.int64()), ("docs", pa.binary()), ("packed", pa.binary())])
-SPLIT_DDL = "chunk long, bucket int, n_words long, docs binary, packed binary"
+def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    """data in pieces of these sizes."""
+    edges = np.append(0, np.cumsum(sizes)).tolist()
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
@@ -147,7 +168,7 @@ def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 chunk.add(doc_id, text.as_py() or "", compiled)
                 if chunk.bytes >= most:
                     yield from done()
-                    chunk, number = Chunk(), number + 1
+                    number += 1
         if chunk.ids:
             yield from done()
 
@@ -164,18 +185,16 @@ def encode_words(words: DataFrame, path: str, pattern: str, buckets: int) -> Dat
         model = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
         class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                self[word] = ids = np.array(model.encode_ordinary(word), "<u4").tobytes()
+            def __missing__(self, word: bytes) -> bytes:
+                self[word] = ids = np.array(model.encode_ordinary(word.decode()), "<u4").tobytes()
                 return ids
 
         known = Known()
         for b in batches:
             for row in b.to_pylist():
-                table = unpacked(row["packed"])
-                ids = list(map(known.__getitem__, table["word"].to_pylist()))
-                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(size)), np.frombuffer(b"".join(ids), "<u4"))
-                row["packed"] = packed({"place": table["place"].combine_chunks(), "ids": lists})
+                ids = list(map(known.__getitem__, cut(unpacked(row["words"]), unpacked(row["sizes"], "i8"))))
+                row["sizes"] = packed(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+                row["words"] = packed(np.frombuffer(b"".join(ids), "<u4"))
                 yield pa.RecordBatch.from_pylist([row], schema=SPLIT)
                 if len(known) > most:
                     known.clear()
@@ -186,42 +205,34 @@ def encode_words(words: DataFrame, path: str, pattern: str, buckets: int) -> Dat
 def put_together(parts: DataFrame) -> DataFrame:
     """(doc_id, ids) from the rows of documents and of encoded words of each chunk."""
 
-    def documents(docs: pa.Table, places: pa.Table, size: np.ndarray, start: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = docs["n"].to_numpy()
+    def chunk(head: dict, words: list[dict]) -> Iterator[pa.RecordBatch]:
+        flat = [unpacked(w["words"], "<u4") for w in words]
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        sizes = np.concatenate([np.zeros(0, np.int64), *(unpacked(w["sizes"], "i8") for w in words)])
+        if len(sizes) != head["n_words"]:
+            raise RuntimeError("a chunk lacks ids of some of its words")
+        by = np.argsort(unpacked(head["words"], "u4"), kind="stable")  # rows of words come by bucket, their words by number
+        size, start = np.empty_like(sizes), np.empty_like(sizes)
+        size[by], start[by] = sizes, np.cumsum(sizes) - sizes
+        places, n = unpacked(head["places"], "u4"), unpacked(head["sizes"], "i8")
         first = np.append(0, np.cumsum(n))
-        planes = [c.to_numpy() for c in places.columns]
+        ids = pa.array(unpacked(head["doc_ids"], "i8"), mask=unpacked(head["nulls"], "u1").astype(bool))
         a = 0
         while a < len(n):
             b = max(a + 1, int(np.searchsorted(first, first[a] + SLICE_WORDS, side="right")) - 1)
-            at = slice(first[a], first[b])
-            place = sum((p[at].astype(np.uint32) << (8 * i) for i, p in enumerate(planes)), np.zeros(1, np.uint32))
-            ids = ragged(flat, start[place], size[place])
-            edge = 4 * np.append(0, np.cumsum(size[place]))[first[a : b + 1] - first[a]]
-            data = ids.astype("<u4").tobytes()
-            texts = pa.array([data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([docs["doc_id"].slice(a, b - a).combine_chunks(), texts], names=["doc_id", "ids"])
+            place = places[first[a] : first[b]]
+            upto = np.append(0, np.cumsum(size[place]))[first[a : b + 1] - first[a]]
+            data = ragged(flat, start[place], size[place]).astype("<u4").tobytes()
+            texts = pa.array(cut(data, 4 * np.diff(upto)), pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), texts], names=["doc_id", "ids"])
             a = b
 
-    def chunk(head: dict, words: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        size, start = np.zeros(head["n_words"], np.int64), np.zeros(head["n_words"], np.int64)
-        flat, n = [], 0
-        for t in words:
-            place, lists = t["place"].to_numpy(), t["ids"].combine_chunks()
-            off = lists.offsets.to_numpy()
-            size[place], start[place] = np.diff(off), off[:-1] - off[0] + n
-            flat.append(lists.flatten().to_numpy())
-            n += len(flat[-1])
-        if not size.all():
-            raise RuntimeError("a chunk lacks ids of some of its words")
-        both = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        yield from documents(unpacked(head["docs"]), unpacked(head["packed"]), size, start, both)
-
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, words = None, []
         for b in batches:
             for row in b.to_pylist():
                 if row["bucket"] >= 0:
-                    words.append(unpacked(row["packed"]))
+                    words.append(row)
                     continue
                 if head:
                     yield from chunk(head, words)
