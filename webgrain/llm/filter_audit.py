@@ -15,7 +15,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import WS_CLASS, text_or_empty
+from webgrain.llm.common import WS_CLASS, dealt, staged, text_or_empty
 
 # The filters' limits
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT, SYMBOLS = 200, 50, 2, r"[#$%&*|]"
@@ -75,6 +75,7 @@ def document_failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("doc_id").alias("least"),
         F.min_by("c", "doc_id").alias("of_least"),
     )
+    texts = staged(texts, "audit-texts")  # read twice below: documents are read once
     # kinds of one text: as many as parts times labels, not as many as rows
     smallest = texts.groupBy("digest").agg(F.min("least").alias("first_id"), F.sum("with_id").alias("all"))
     smallest = smallest.where("all > 1").select("digest", "first_id")
@@ -167,8 +168,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return filter_audit(docs, labels).drop("filter")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return filter_audit(dealt(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("filter")
 
 
 ORACLE_OP12 = rf"""
