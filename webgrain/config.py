@@ -41,6 +41,8 @@ class AuditConfig:
         check(self.max_urls_per_path >= 10, "max_urls_per_path is at least 10")
         check(0 <= self.external_depth <= 3, "external_depth is from 0 to 3")
         check(1 <= self.max_external_pages <= 5000, "max_external_pages is from 1 to 5000")
+        check(self.concurrency >= 1, "concurrency is at least 1")
+        check(self.delay_ms >= 0, "delay_ms is at least 0")
 
     @classmethod
     def clamped(cls, **given) -> AuditConfig:

@@ -27,6 +27,36 @@ def bucket_ceiling(urls: DataFrame, ordinal: str, most: int, *, bucket: str = "b
     return marked.withColumn("over", F.coalesce(F.col(ordinal) > F.col("cutoff"), F.lit(False))).drop("full_bucket", "cutoff")
 
 
+#: Parts in which the rows of one bucket are ranked before its first rows are put together.
+RANK_SALTS = 32
+
+
+def level_ceiling(level: DataFrame, counted: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """The level's rows (url, bucket) with `over`, and the counts (bucket, held) with these rows: how many rows of each
+    bucket have come so far, `most` at most. counted: the counts before this level.
+
+    Earlier levels are in the counts alone, so no earlier row is ranked again. Only buckets that this level fills are ranked,
+    each in parts first, so that no task sorts a bucket with most of the rows.
+    """
+    added = level.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = added.withColumn("held", F.lit(0).cast("long")) if counted is None else added.join(
+        counted.select(F.col("bucket").alias("b"), "held"), F.col("bucket").eqNullSafe(F.col("b")), "left"
+    ).drop("b").fillna(0, ["held"])
+    filled = before.where(F.col("held") + F.col("n") > most).select(F.col("bucket").alias("b"), (most - F.col("held")).alias("room"))
+    same = F.col("bucket").eqNullSafe(F.col("b"))
+    rows = level.join(filled, same).withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(RANK_SALTS)))
+    of_part, of_bucket = Window.partitionBy("b", "salt").orderBy("url"), Window.partitionBy("b").orderBy("url")
+    first = rows.withColumn("place", F.row_number().over(of_part)).where("place <= room")
+    cutoff = first.withColumn("place", F.row_number().over(of_bucket)).where("place = room").select("b", F.col("url").alias("cutoff"))
+    full = filled.select(F.col("b").alias("full_bucket")).join(cutoff, F.col("full_bucket").eqNullSafe(F.col("b")), "left").drop("b")
+    marked = level.join(full.withColumn("is_full", F.lit(True)), F.col("bucket").eqNullSafe(F.col("full_bucket")), "left")
+    over = F.col("is_full") & (F.col("cutoff").isNull() | (F.col("url") > F.col("cutoff")))
+    held = F.least(F.sum("held"), F.lit(most)).cast("long").alias("held")
+    both = added.select("bucket", F.col("n").alias("held"))
+    both = both if counted is None else both.unionByName(counted)
+    return marked.withColumn("over", F.coalesce(over, F.lit(False))).drop("is_full", "full_bucket", "cutoff"), both.groupBy("bucket").agg(held)
+
+
 def before_fetching(config: AuditConfig, url: Column) -> Column:
     """Reason to leave a URL out that its spelling gives, in the order configured, archive, too_deep; else null."""
     deep = ur.depth(url) > config.max_depth if config.max_depth is not None else F.lit(False)

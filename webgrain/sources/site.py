@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -67,6 +68,8 @@ def reachable_sitemaps(files: DataFrame, start: list[str], *, most: int = MAX_SI
             F.col("url").isin(todo) & (F.col("kind") == "index")
         ).select(F.explode("locations").alias("u")).distinct().limit(most)
         todo = [u for u in sorted(r["u"] for r in level.collect()) if u not in seen]  # at most `most` rows
+    if todo:
+        warnings.warn(f"{most} sitemaps are read; more are named, {todo[0]} among them", stacklevel=2)
     return entries.where(F.col("url").isin(seen))
 
 
