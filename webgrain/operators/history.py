@@ -103,14 +103,14 @@ def event(spark: SparkSession, action: str, domain: str | None, run_id: str | No
     return spark.createDataFrame([row], ", ".join(EVENTS.split(", ")[:5])).withColumn("at", F.current_timestamp())
 
 
-def _confirmed(what: str, confirmation: str) -> None:
+def confirmed(what: str, confirmation: str) -> None:
     if confirmation != f"DELETE {what}":
         raise ValueError(f"confirm with: DELETE {what}")
 
 
 def delete_run(runs: DataFrame, run_id: str, confirmation: str) -> DataFrame:
     """runs without one, if the caller typed what it asks for."""
-    _confirmed(run_id, confirmation)
+    confirmed(run_id, confirmation)
     return runs.where(F.col("run_id") != run_id)
 
 
@@ -119,7 +119,7 @@ def delete_domain(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables (with column domain) without a domain's rows, merges from or to it included, and the event to log; the
     caller must have typed what it asks for. The log itself stays."""
-    _confirmed(domain, confirmation)
+    confirmed(domain, confirmation)
     left = {}
     for name, df in tables.items():
         if name == "events":

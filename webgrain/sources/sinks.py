@@ -34,11 +34,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_run(df: DataFrame, path: str) -> None:
-    """Appends a run's rows (with column domain) to a table partitioned by domain, committed as a whole."""
-    df.write.mode("append").partitionBy("domain").parquet(path)
-
-
 def page_rows(pages: DataFrame) -> DataFrame:
     """The columns of a pages file, in its order; lists are joined when it is written. What a report lacks is null."""
     has = lambda c: F.col(c) if c in pages.columns else F.lit(None).cast("string")
