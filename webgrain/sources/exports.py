@@ -7,10 +7,11 @@ import io
 import re
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.operators.enrich import number, rate
+from webgrain.sources.quoted import bare, read_quoted
 
 # Spellings of fields in exports, by their letters and digits.
 SEARCH_DIMENSIONS = {"query": ("query", "queries", "topqueries"), "page": ("page", "pages", "toppages"), "date": ("date",)}
@@ -27,57 +28,26 @@ ANALYTICS_METRICS = {
     "bounce": ("bouncerate",),
     "key_events": ("keyevents", "conversions"),
 }
+#: What analytics writes for visits without a page.
+NOT_SET = "(not set)"
 #: Queries with a search operator aren't searches of visitors.
 OPERATOR = r"(?i)^(site|cache|related|info|filetype|inurl|intitle|allinurl|allintitle):"
 DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%Y%m%d", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y")
 
 
-def bare(header: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "", header.strip().lower())
-
-
 def table(text: str) -> list[list[str]]:
     """Rows of a CSV with quoted cells, blank rows left out."""
     return [r for r in csv.reader(io.StringIO(text.replace("\r\n", "\n").replace("\r", "\n"))) if any(c.strip() for c in r)]
 
 
-def find_header(rows: list[list[str]], dimensions: dict, metrics: dict) -> int | None:
-    """The first row with a known dimension and a known metric."""
-    d, m = ({s for v in x.values() for s in v} for x in (dimensions, metrics))
-    return next((i for i, r in enumerate(rows) if (h := {bare(c) for c in r}) & d and h & m), None)
-
-
 def read_export(spark: SparkSession, path: str, dimensions: dict, metrics: dict) -> DataFrame:
-    """All data rows of an export as strings, in columns named by field, missing ones null, with `ordinal`.
+    """All data rows of an export, a file or a folder of them, as strings in columns named by field, with `ordinal`.
 
-    The header is the first line, however late, with a known dimension and a known metric; only that line comes to the
-    driver. The body is read by Spark's CSV reader.
+    Each file's header is the first line, however late, with a known dimension and a known metric; a field that it lacks is
+    null. Rows are in the order of the files' paths, and within one as they come. See read_quoted for how files are read.
     """
-    known = [F.array(*[F.lit(s) for v in x.values() for s in v]) for x in (dimensions, metrics)]
-    line = F.regexp_replace("value", "\r$", "")
-    cells = F.transform(F.split(line, ","), lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""))
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select(line.alias("value"), cells.alias("c"), place.alias("place"))
-    heads = lines.where(F.arrays_overlap("c", known[0]) & F.arrays_overlap("c", known[1]))
-    found = heads.agg(F.min_by("value", "place")).collect()[0][0]
-    if found is None:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*dimensions, *metrics]) + ", ordinal long")
-    header = table(found)[0]
-    schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    raw = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
-    rows = raw.withColumn("ordinal", F.monotonically_increasing_id())
-    same = F.concat_ws(
-        "\x01", *[F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(len(header))]
-    ) == "\x01".join(c.strip() for c in header)
-    start = rows.where(same).agg(F.min("ordinal").alias("o"))
-    body = rows.crossJoin(F.broadcast(start)).where("ordinal > o")  # one row
-
-    def field(spellings: tuple[str, ...]) -> Column:
-        found = [i for s in spellings for i, c in enumerate(header) if bare(c) == s]
-        return F.trim(F.coalesce(F.col(f"c{found[0]}"), F.lit(""))) if found else F.lit(None).cast("string")
-
-    filled = F.concat_ws("", *[F.coalesce(f"c{i}", F.lit("")) for i in range(len(header))]) != ""
-    return body.where(filled).select(*[field(s).alias(c) for c, s in {**dimensions, **metrics}.items()], "ordinal")
+    rows = read_quoted(spark, path, dimensions, metrics)
+    return rows.select(*dimensions, *metrics, F.struct("file", "block", "line").alias("ordinal"))
 
 
 def search_rows(raw: DataFrame) -> DataFrame:
@@ -95,9 +65,9 @@ def search_rows(raw: DataFrame) -> DataFrame:
 
 
 def analytics_rows(raw: DataFrame) -> DataFrame:
-    """Typed rows of an analytics export; rates that aren't in the file, or are blank, stay null."""
+    """Typed rows of an analytics export but those of no page; rates that aren't in the file, or are blank, stay null."""
     known = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", rate(F.col(c)))
-    return raw.where(F.coalesce("page", F.lit("")) != "").select(
+    return raw.where(~F.coalesce("page", F.lit("")).isin("", NOT_SET)).select(
         "page",
         *[number(F.col(c)).alias(c) for c in ("sessions", "users", "engaged", "key_events")],
         known("engagement_rate").alias("engagement_rate"),
