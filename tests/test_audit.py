@@ -101,6 +101,12 @@ def test_tables(report):
     assert (a["sessions"], a["users"], a["listed"], a["incoming"]) == (9.0, 8.0, True, 1)  # link targets have no slash at the end
     assert [(r["keyword"], r["observed"], r["impressions"], r["ranking"]) for r in sorted(report["keywords"], key=lambda r: r["rank"])][:2] == [("red shoes", True, 400.0, 3), ("new query", True, 50.0, None)]
     assert next(r for r in report["search"] if r["query"] == "red shoes")["position"] == 5.0
+    red = next(r for r in report["keywords"] if r["keyword"] == "red shoes")
+    assert red["pages"][: len(red["page_scores"])] == [x["url"] for x in red["page_scores"]] and {f"{HOST}/a", f"{HOST}/b"} <= set(red["pages"])
+    assert all(x["score_h"] >= 200 and x["places"] for x in red["page_scores"]) and red["ctr"] == 0.015 and red["confidence_h"] <= 98
+    assert [(x["page"], x["impressions"], x["position"]) for x in red["page_metrics"]] == [(f"{HOST}/b", 300.0, 6.0), (f"{HOST}/a", 100.0, 2.0)]
+    new = next(r for r in report["keywords"] if r["keyword"] == "new query")
+    assert (new["pages"], new["page_metrics"], new["confidence_h"]) == ([], [], 100)
     assert len(report["search_pages"]) == 2 and report["crawler_access"][0]["allowed"]
     assert report["sitemaps"] == [{"url": f"{HOST}/sitemap.xml", "status": 200, "kind": "urlset", "entries": 3, "ok": True}]
     assert report["performance_means"] == [{"lcp": 3.0, "cls": 0.1, "inp": 200.0, "tbt": 30.0}]

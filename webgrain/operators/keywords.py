@@ -18,6 +18,8 @@ from webgrain.functions.text import keyword_tokens
 #: Hundredths that one occurrence adds, and the phrase lengths that count, by place.
 PLACES = {"title": (800, 1, 4), "h1": (700, 1, 4), "h2": (400, 2, 4), "description": (300, 2, 4), "body": (12, 2, 4)}
 LEAST_LENGTH, LEAST_SCORE, PER_PAGE = 4, 200, 40
+#: Pages that are listed with a keyword, and parts in which those of one keyword are ranked first.
+PAGES_LISTED, RANK_PARTS = 100, 16
 
 
 def page_signals(
@@ -87,6 +89,50 @@ def site_keywords(signals: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _first_of_each(rows: DataFrame, key: str, order: list[Column], part: Column, most: int) -> DataFrame:
+    """The first `most` rows of each key, with their `place`: ranked in parts, then the first rows of these. A key that most of
+    the rows have is so many rows of each part in the end, and no list is ever longer."""
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(part), F.lit(RANK_PARTS)))
+    for by in ([key, "_part"], [key]):
+        salted = salted.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    return salted.drop("_part")
+
+
+def keyword_pages(signals: DataFrame, key: str, most: int = PAGES_LISTED) -> DataFrame:
+    """(phrase, place, key, score_h, places): the best pages of each phrase of two words or more, `most` at most, the first page
+    of equal ones first; places are the evidence, where on the page the phrase is."""
+    many = signals.where(F.col("phrase").contains(" ")).select("phrase", key, "score_h", "places")
+    return _first_of_each(many, "phrase", [F.desc("score_h"), F.col(key)], F.col(key), most)
+
+
+def query_pages(metrics: DataFrame, most: int = PAGES_LISTED) -> DataFrame:
+    """Rows of observed_page_metrics with their `place`: the pages of each query that were shown most, `most` at most."""
+    order = [F.desc("impressions"), F.desc("clicks"), F.col("page")]
+    return _first_of_each(metrics, "query", order, F.col("page"), most)
+
+
+def with_page_lists(keywords: DataFrame, listed: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """keywords with the pages of each: page_scores (url, score_h, places) by place, from listed (phrase, place, url, score_h,
+    places); page_metrics (page, clicks, impressions, ctr, position) by place, from shown (rows of query_pages); and pages, the
+    URLs of both, those of the site first. Keywords without any have empty lists."""
+    own = F.array_sort(F.collect_list(F.struct("place", "url", "score_h", "places")))
+    site = listed.groupBy(F.lower("phrase").alias("_k")).agg(own.alias("_s"))
+    both = keywords.withColumn("_key", F.lower("keyword")).join(site, F.col("_key") == F.col("_k"), "left").drop("_k")
+    metric = "struct<place:int,page:string,clicks:double,impressions:double,ctr:double,position:double>"
+    if shown is None:
+        both = both.withColumn("_m", F.lit(None).cast(f"array<{metric}>"))
+    else:
+        row = F.struct("place", F.col("page").cast("string").alias("page"), "clicks", "impressions", "ctr", "position").cast(metric)
+        seen = shown.groupBy(F.lower("query").alias("_k")).agg(F.array_sort(F.collect_list(row)).alias("_m"))
+        both = both.join(seen, F.col("_key") == F.col("_k"), "left").drop("_k")
+    scores = F.transform(F.coalesce("_s", F.array()), lambda x: F.struct(x["url"].alias("url"), x["score_h"].alias("score_h"), x["places"].alias("places")))
+    names = ("page", "clicks", "impressions", "ctr", "position")
+    figures = F.transform(F.coalesce("_m", F.array()), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    urls = F.array_union(F.transform("page_scores", lambda x: x["url"]), F.transform("page_metrics", lambda x: x["page"]))
+    listed_ = both.withColumn("page_scores", scores).withColumn("page_metrics", figures).withColumn("pages", urls)
+    return listed_.drop("_s", "_m", "_key")
+
+
 def suppress_parts(keywords: DataFrame) -> DataFrame:
     """Keywords but for those that a longer one of the same top page, and no lower score, contains.
 
@@ -175,13 +221,19 @@ def merge_observed(keywords: DataFrame, observed: DataFrame) -> DataFrame:
     k = keywords.withColumn("join_key", F.lower("phrase"))
     o = observed.withColumn("join_key", F.lower("query"))
     both = k.join(o, "join_key", "full_outer")
+    more = []
+    if "confidence_h" in keywords.columns:  # what visitors searched for is certain
+        more.append(F.coalesce("confidence_h", F.lit(100)).alias("confidence_h"))
+    if "ctr" in observed.columns:
+        more.append(F.col("ctr"))
     return both.select(
         F.coalesce("phrase", "query").alias("keyword"),
         F.col("query").isNotNull().alias("observed"),
         F.coalesce("score_h", F.lit(0)).alias("score_h"),
         F.coalesce("impressions", F.lit(0)).alias("impressions"),
         F.coalesce("clicks", F.lit(0)).alias("clicks"),
-        "position"
+        "position",
+        *more,
     )
 
 

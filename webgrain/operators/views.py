@@ -9,6 +9,10 @@ from webgrain.operators.findings import DIMENSIONS
 from webgrain.sources.sinks import technical_rows
 
 SEVERITY = {"critical": 0, "warning": 1, "info": 2}
+# Words that sort by rank instead of spelling
+RANKED = {
+    **SEVERITY, "high": 0, "medium": 1, "low": 2, "strong": 0, "generally ready": 1, "partial": 2, "significant barriers": 3,
+}
 
 
 def _has(col: str, text: str | None) -> Column:
@@ -59,10 +63,26 @@ def search_rows(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(F.lower(shown).contains(text.lower()))
 
 
+def natural_order(text: Column) -> Column:
+    """A key by which texts sort with their numbers as numbers: runs of digits by value, the rest without case."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"))
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    number = lambda x: F.concat(F.lpad(F.length(digits(x)).cast("string"), 6, "0"), digits(x))
+    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x))
+
+
 def sorted_rows(rows: DataFrame, column: str, *, descending: bool = False, ordinal: str | None = None) -> DataFrame:
-    """Rows by a column, missing values last either way; equal ones by `ordinal`."""
-    c = F.col(column)
-    return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *([ordinal] if ordinal else []))
+    """Rows by a column, missing and empty values last either way; equal ones by `ordinal`. Numbers in texts count as numbers,
+    severities, impacts and labels by rank."""
+    c = F.col(f"`{column}`")
+    keys = [c]
+    if dict(rows.dtypes)[column] == "string":
+        given = F.when(c != "", c)
+        rank = F.coalesce(*[F.when(F.lower(c) == w, F.lit(n)) for w, n in RANKED.items()])
+        keys = [rank, natural_order(given), given]
+    return rows.orderBy(
+        *[k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys], *([ordinal] if ordinal else [])
+    )
 
 
 def dashboard_totals(pages: DataFrame) -> DataFrame:

@@ -391,6 +391,52 @@ def fullouter_merge(spark, d):
     return keywords.merge_observed(k, named).withColumn("position", F.round("position", 6))
 
 
+PLACED_SQL = """p AS (SELECT doc_id, phrase, concat_ws(',', CASE WHEN bool_or(w = 12) THEN 'body' END, CASE WHEN bool_or(w = 800) THEN 'title' END) AS places
+FROM o GROUP BY ALL)"""
+
+
+@query(f"""WITH {SITE_SQL}, {PLACED_SQL}
+SELECT phrase, n AS place, doc_id, score_h, places FROM m JOIN p USING (doc_id, phrase) WHERE n <= {keywords.PAGES_LISTED}""")
+def keyword_page_lists(spark, d):
+    """The best pages of each phrase, with score and evidence."""
+    best = keywords.keyword_pages(_signals(spark, d), "doc_id")
+    return best.select("phrase", F.col("place").cast("long").alias("place"), "doc_id", "score_h", F.array_join("places", ",").alias("places"))
+
+
+@query(f"""WITH {SEARCH_SQL},
+s AS (SELECT p_name AS phrase, p_partkey AS page, 100 * p_size::BIGINT AS score_h FROM part WHERE contains(p_name, ' ')),
+t AS (SELECT phrase, page, score_h, row_number() OVER (PARTITION BY phrase ORDER BY score_h DESC, page) AS place FROM s),
+k AS (SELECT phrase, least(98, (1525 + 2 * max(score_h)) // 50) AS confidence_h FROM s GROUP BY 1),
+y AS (SELECT upper(p_name) AS query, page, clicks, impressions, position, ordinal FROM x JOIN part ON x.query = p_partkey + 3),
+m AS (SELECT query, page, sum(clicks) AS clicks, sum(impressions) AS impressions FROM y GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY impressions DESC, clicks DESC, page) AS place FROM m),
+q AS (SELECT DISTINCT query FROM y),
+f AS (SELECT coalesce(phrase, query) AS keyword, query IS NOT NULL AS observed, coalesce(confidence_h, 100)::BIGINT AS confidence_h FROM k FULL JOIN q ON phrase = lower(query))
+SELECT keyword, observed, confidence_h, 'site' AS list, place, page::VARCHAR AS page, score_h::DOUBLE AS figure FROM f JOIN t ON phrase = lower(keyword) WHERE place <= {keywords.PAGES_LISTED}
+UNION ALL SELECT keyword, observed, confidence_h, 'search', place, page::VARCHAR, impressions FROM f JOIN u ON lower(query) = lower(keyword) WHERE place <= {keywords.PAGES_LISTED}""")
+def keyword_report(spark, d):
+    """Site keywords and observed queries joined, with the pages of both, a row for each listed page."""
+    part = load(spark, d, "part")
+    signals = part.select(
+        F.col("p_name").alias("phrase"), F.col("p_partkey").alias("page"), (F.col("p_size") * 100).cast("long").alias("score_h"),
+        F.array(F.lit("title")).alias("places"),
+    )
+    site = keywords.site_keywords(signals, "page")
+    rows = _search(spark, d).withColumnRenamed("query", "k").join(
+        part.select((F.col("p_partkey") + 3).alias("k"), F.upper("p_name").alias("query")), "k"
+    ).drop("k")
+    merged = keywords.merge_observed(site, keywords.observed_queries(rows))
+    listed = keywords.keyword_pages(signals, "page").withColumn("url", F.col("page").cast("string"))
+    full = keywords.with_page_lists(merged, listed, keywords.query_pages(keywords.observed_page_metrics(rows)))
+    head = ["keyword", "observed", F.col("confidence_h").cast("long").alias("confidence_h")]
+    row = lambda kind, page, figure: [
+        *head, F.lit(kind).alias("list"), (F.col("i") + 1).cast("long").alias("place"), F.col(page).alias("page"),
+        F.col(figure).cast("double").alias("figure"),
+    ]
+    of_site = full.select("*", F.posexplode("page_scores").alias("i", "x")).select(*row("site", "x.url", "x.score_h"))
+    return of_site.unionByName(full.select("*", F.posexplode("page_metrics").alias("i", "x")).select(*row("search", "x.page", "x.impressions")))
+
+
 @query("""WITH e AS (SELECT '/' || event_type || '/' || (user_id % 40) || CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END AS path, event_id, value FROM events)
 SELECT regexp_replace(path, '(.)/$', '\\1') AS path_key, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM e GROUP BY 1""")
 def analytics_last_wins(spark, d):

@@ -116,7 +116,7 @@ class AuditSession:
 
     def keywords(self, snapshots: DataFrame) -> DataFrame:
         """Site keywords after suppression, the best max_keywords."""
-        return self._keywords(self.pages(snapshots)).limit(self.config.max_keywords)
+        return self._keywords(self._signals(self.pages(snapshots))).limit(self.config.max_keywords)
 
     def _signals(self, p: DataFrame) -> DataFrame:
         places = {
@@ -128,8 +128,8 @@ class AuditSession:
         }
         return keywords.page_signals(p, "page_id", places)
 
-    def _keywords(self, p: DataFrame) -> DataFrame:
-        site = keywords.site_keywords(self._signals(p), "page_id")
+    def _keywords(self, signals: DataFrame) -> DataFrame:
+        site = keywords.site_keywords(signals, "page_id")
         return keywords.suppress_parts(site).orderBy(F.desc("score_h"), F.desc(F.length("phrase")), "phrase")
 
     def priorities(self, snapshots: DataFrame) -> DataFrame:
@@ -253,7 +253,8 @@ class AuditSession:
         if listed is not None:
             summary = summary.withColumn("indexable_rate", F.try_divide(100.0 * F.col("listed_pages"), F.col("sitemap_pages")))
 
-        merged = self._keywords(pages)
+        signals = staged(self._signals(pages), "audit-signals")
+        merged = self._keywords(signals)
         if search is not None:
             merged = keywords.merge_observed(merged, keywords.observed_queries(search))
         else:
@@ -263,9 +264,18 @@ class AuditSession:
                 "score_h",
                 F.lit(0.0).alias("impressions"),
                 F.lit(0.0).alias("clicks"),
-                F.lit(None).cast("double").alias("position")
+                F.lit(None).cast("double").alias("position"),
+                "confidence_h",
+                F.lit(None).cast("double").alias("ctr"),
             )
         final = staged(keywords.final_keywords(merged, c.max_keywords), "audit-keywords")
+        wanted = F.broadcast(final.select(F.lower("keyword").alias("wanted")).distinct())  # max_keywords of them at most
+        best = keywords.keyword_pages(signals.join(wanted, F.lower("phrase") == F.col("wanted"), "left_semi"), "page_id")
+        shown = None
+        if search is not None:
+            asked = search.join(wanted, F.lower("query") == F.col("wanted"), "left_semi")
+            shown = keywords.query_pages(keywords.observed_page_metrics(asked))
+        final = keywords.with_page_lists(final, best.join(pages.select("page_id", "url"), "page_id"), shown)
         final = final if rankings is None else keywords.with_rankings(final, rankings)
 
         advice = suggestions.image_suggestions(pages, "page_id", F.coalesce(F.get("h1s", 0), F.col("title"))) if c.analyze_images else None
@@ -288,10 +298,8 @@ class AuditSession:
             ) if c.report_broken_links else None,
             "external": external if external is not None else graph.external_sources(links),
             "keywords": final,
-            "competing_pages": keywords.observed_competition(search) if search is not None else keywords.competing_pages(
-                self._signals(pages), "page_id"
-            ),
-            "primary_keywords": keywords.primary_keywords(pages, self._signals(pages), "page_id"),
+            "competing_pages": keywords.observed_competition(search) if search is not None else keywords.competing_pages(signals, "page_id"),
+            "primary_keywords": keywords.primary_keywords(pages, signals, "page_id"),
             "schema_suggestions": pages.select(
                 "page_id",
                 "url",
