@@ -3,13 +3,19 @@ address or a key; that function runs in Python workers and must be picklable."""
 
 from __future__ import annotations
 
+import importlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
+    StringContains,
+)
 
 from webgrain.sources.site import retry_wait
 
@@ -42,6 +48,74 @@ def search_console_rows(
     return pages.repartition(len(range(0, most, page)), "first").mapInPandas(run, SEARCH_SHAPE)
 
 
+SEARCH_FIELDS = "date date, query string, page string, clicks double, impressions double, ctr double, position double, ordinal long"
+
+
+class SearchSource(DataSource):
+    """Search rows by date, query and page as a table: spark.read.format("webgrain_search").
+
+    Options: asker ('module:function'), most and page (rows in all, and of a request). The function is given first, limit, start
+    and end (dates, both included, or None) and filters ((field, 'equals' or 'contains', value), ...), and returns rows with keys
+    [date, query, page], clicks, impressions, ctr and position, as search_console_rows's does. Conditions on date and page
+    become part of the request (with spark.sql.python.filterPushdown.enabled); each request is a partition.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "webgrain_search"
+
+    def schema(self) -> str:
+        return SEARCH_FIELDS
+
+    def reader(self, schema) -> DataSourceReader:
+        return SearchReader(self.options)
+
+
+class SearchReader(DataSourceReader):
+    def __init__(self, options):
+        self.asker = options["asker"]
+        self.most, self.page = int(options.get("most", MOST_ROWS)), int(options.get("page", PAGE_ROWS))
+        if not 1 <= self.most <= MOST_ROWS or self.page < 1:
+            raise ValueError(f"most is from 1 to {MOST_ROWS}, page at least 1")
+        self.start = self.end = None
+        self.filters: list[tuple[str, str, str]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes bounds of date and an exact page; what a page contains narrows the request, and Spark looks again."""
+        day = timedelta(days=1)
+        for f in filters:
+            field, value = ".".join(f.attribute) if hasattr(f, "attribute") else None, getattr(f, "value", None)
+            if field == "date" and isinstance(f, EqualTo | GreaterThanOrEqual | GreaterThan | LessThanOrEqual | LessThan):
+                if isinstance(f, EqualTo | GreaterThanOrEqual | GreaterThan):
+                    first = value + day if isinstance(f, GreaterThan) else value
+                    self.start = first if self.start is None else max(self.start, first)
+                if isinstance(f, EqualTo | LessThanOrEqual | LessThan):
+                    last = value - day if isinstance(f, LessThan) else value
+                    self.end = last if self.end is None else min(self.end, last)
+            elif field == "page" and isinstance(f, EqualTo):
+                self.filters.append(("page", "equals", value))
+            else:
+                if field == "page" and isinstance(f, StringContains):
+                    self.filters.append(("page", "contains", value))
+                yield f
+
+    def partitions(self):
+        if self.start is not None and self.end is not None and self.start > self.end:
+            return [InputPartition((0, 0))]
+        return [InputPartition((a, min(self.page, self.most - a))) for a in range(0, self.most, self.page)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        first, limit = partition.value
+        if not limit:
+            return
+        module, name = self.asker.split(":")
+        ask = getattr(importlib.import_module(module), name)
+        for i, r in enumerate(ask(first=first, limit=limit, start=self.start, end=self.end, filters=list(self.filters))):
+            day, query, page = (list(r.get("keys") or []) + [None] * 3)[:3]
+            figures = (float(r.get(c) or 0) for c in ("clicks", "impressions", "ctr", "position"))
+            yield (date.fromisoformat(day) if day else None, query, page, *figures, first + i)
+
+
 def performance_reports(
     urls: DataFrame, ask: Callable[[str], dict], *, pace: float = PACE_S, wait: Callable[[float], None] = time.sleep
 ) -> DataFrame:
