@@ -29,7 +29,7 @@ class Vocabulary:
     array of INPUTS * INPUTS, the rank before times INPUTS plus the rank)."""
 
     def __init__(self, counts: np.ndarray, pairs: np.ndarray | None = None):
-        n = len(counts)
+        n, self.total = len(counts), int(counts.sum())
         self.rank = ranks(counts)
         #: Input of each id, and of the start of a text at the end; and the rank of each input.
         self.row = np.where(self.rank == INPUTS - 2, INPUTS + np.arange(n + 1) * 40503 % 65521 % SHARED, self.rank).astype(np.int32)

@@ -2,8 +2,8 @@
 
 Held-out documents are those whose crc32 of the id as text is 0 modulo 10; everything is learned from the others, all of
 them: word counts, subword counts, counts of subword pairs, and, for the attention weights, all their windows, once each.
-Weights are trained in rounds over disjoint parts of the documents, which together are all; in a round each task makes a
-local pass over its rows, and the weights are averaged by what they have seen. Only averages (a fixed number of values) reach
+Weights are trained in rounds over disjoint parts of the documents, which together are all; in a round each shard of the part
+is a local pass, and the weights are averaged by what they have seen. Shards and their order follow from the documents. Only averages (a fixed number of values) reach
 the driver. Words that are frequent are looked up in a table of bounded size, the counts
 of all others are joined by shuffling.
 """
@@ -11,6 +11,8 @@ of all others are joined by shuffling.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as numbers
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,11 @@ HEAD_WORDS = 300_000
 #: Learning rates of the rounds, each over its own part of the training documents.
 ROUND_RATES = (0.02, 0.015, 0.01, 0.004)
 BATCH = 64
+#: Texts whose windows are mixed; ids of a shard, about, whose pass gives weights of its own; shards of a round at most (they
+#: are longer then).
+SHUFFLED, SHARD_IDS, MOST_SHARDS = 500, 1_000_000, 4096
+#: Decimals of averaged weights.
+DECIMALS = 7
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -181,36 +188,44 @@ def vocabulary(rows: DataFrame, size: int, width: int = 2) -> att.Vocabulary:
     return att.Vocabulary(counts, table)
 
 
-def all_windows(
-    batches: Iterator[pa.RecordBatch], v: att.Vocabulary, width: int = 2
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, classes, real positions) of every window of the texts of batches (ids), BATCH at a time."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            flat, start, sizes = _laid_out(b.column(0).slice(lo, 500).to_pylist(), width)
-            before, klass = v.inputs(flat, start, sizes), v.klass[flat]
-            text, at = att.training_windows(sizes)
-            order = np.random.default_rng(len(text)).permutation(len(text))  # windows of a text aren't learned in a row
-            first, left = (start[text] + at)[order], np.minimum(sizes[text] - at, att.WINDOW)[order]
-            steps = np.arange(att.WINDOW)
-            for i in range(0, len(text), BATCH):
-                where = np.minimum(first[i : i + BATCH, None] + steps, len(flat) - 1)  # what lies beyond a text is in nobody's past
-                yield before[where], klass[where], steps < left[i : i + BATCH, None]
+def all_windows(texts: Iterator[bytes], v: att.Vocabulary, width: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, classes, real positions) of every window of texts (packed ids), BATCH at a time, mixed among SHUFFLED texts."""
+    for number in numbers():
+        flat, start, sizes = _laid_out(list(islice(texts, SHUFFLED)), width)
+        if not len(sizes):
+            return
+        before, klass = v.inputs(flat, start, sizes), v.klass[flat]
+        text, at = att.training_windows(sizes)
+        order = np.random.default_rng(number).permutation(len(text))  # windows of a text aren't learned in a row
+        first, left = (start[text] + at)[order], np.minimum(sizes[text] - at, att.WINDOW)[order]
+        steps = np.arange(att.WINDOW)
+        for i in range(0, len(text), BATCH):
+            where = np.minimum(first[i : i + BATCH, None] + steps, len(flat) - 1)  # what lies beyond a text is in nobody's past
+            yield before[where], klass[where], steps < left[i : i + BATCH, None]
 
 
 def train(rows: DataFrame, v: att.Vocabulary, width: int = 2) -> dict[str, np.ndarray]:
-    """Attention weights after all rounds."""
+    """Attention weights after all rounds.
+
+    What is learned together is fixed by the documents alone: a round's texts are dealt by hash into shards, as many as
+    their ids ask for, and a shard's are learned in the order of their hashes. So the input's splits change nothing.
+    """
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(v)
 
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(len(ROUND_RATES)))
+    rounds = len(ROUND_RATES)
+    shards = min(MOST_SHARDS, max(1, -(-v.total // (rounds * SHARD_IDS))))
+    part, mark = F.pmod(F.xxhash64("doc_id"), F.lit(rounds)), F.xxhash64("ids", "doc_id")
     params = att.flat(att.fresh())
     for i, rate in enumerate(ROUND_RATES):
-        train_rows = rows.where(~F.col("held_out") & (part == i)).select("ids")
+        texts = rows.where(~F.col("held_out") & (part == i)).select("ids", "doc_id", mark.alias("mark"))
+        dealt = texts.repartitionById(shards, F.pmod("mark", F.lit(shards)).cast("int"))
+        train_rows = dealt.sortWithinPartitions("mark", "doc_id", "ids").select("ids")
         current = sc.broadcast(params)
 
         def learn(batches: Iterator[pa.RecordBatch], current=current, rate=rate) -> Iterator[pa.RecordBatch]:
-            new, seen = att.train(att.unflat(current.value), all_windows(batches, shared.value, width), rate, shared.value.bias)
+            texts = (x for b in batches for x in b.column(0).to_pylist())
+            new, seen = att.train(att.unflat(current.value), all_windows(texts, shared.value, width), rate, shared.value.bias)
             if seen:
                 flat = att.flat(new).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -222,7 +237,7 @@ def train(rows: DataFrame, v: att.Vocabulary, width: int = 2) -> dict[str, np.nd
         ).toArrow()  # a row for each weight
         if mean.num_rows:
             params = params.copy()
-            params[mean.column(0).to_numpy()] = mean.column(1).to_numpy()
+            params[mean.column(0).to_numpy()] = np.round(mean.column(1).to_numpy(), DECIMALS)  # sums in any order are equal
     return att.unflat(params)
 
 
@@ -234,7 +249,7 @@ def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     Defined results: null and empty texts are the end token alone; a null doc_id is held out; repeated rows are scored
     alike (and counted each); very long texts are scored whole; with no training text all counts are 0; an empty table
     gives an empty result; other columns are ignored. Words are counted by 64-bit hashes. Ids are packed in two bytes, or in
-    four for vocabularies of more than 65,536.
+    four for vocabularies of more than 65,536. Scores don't depend on how docs is split or ordered.
     """
     bounded_batches(docs.sparkSession)
     path = tokenizer or default_path()
