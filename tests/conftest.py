@@ -1,5 +1,9 @@
+import atexit
+import functools
 import os
+import shutil
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,16 +14,30 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+@functools.cache
+def session():
+    """The one session of a test run, with a shared folder of its own; both end with the run."""
     from pyspark.sql import SparkSession
 
-    shared = tmp_path_factory.mktemp("shared")
-    conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{shared}"}
-    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    shared = tempfile.mkdtemp(prefix="webgrain-tests-")
+    conf = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "4",
+        "spark.driver.memory": "4g",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.checkpoint.dir": f"file://{shared}",
+    }
+    made = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    made.sparkContext.setLogLevel("ERROR")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    atexit.register(made.stop)  # before the folder goes
+    return made
+
+
+@pytest.fixture
+def spark():
+    return session()
 
 
 def rows_of(frame) -> list[tuple]:
@@ -30,14 +48,20 @@ def rows_of(frame) -> list[tuple]:
     return sorted((tuple(None if null(x) else x for x in r) for r in frame[cols].astype(object).itertuples(index=False, name=None)), key=str)
 
 
-@pytest.fixture(scope="session")
-def same_as_sql(spark):
-    """Compares a query with its SQL over the smallest tables."""
+@functools.cache
+def tables():
     import duckdb
 
     con = duckdb.connect()
     for f in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.fixture
+def same_as_sql(spark):
+    """Compares a query with its SQL over the smallest tables."""
+    con = tables()
 
     def check(query, sql):
         ours, theirs = query(spark, SF).toPandas(), con.execute(sql).df()

@@ -1,5 +1,6 @@
 """A whole audit of a small site, end to end: every reason to leave a URL out, site findings, merges and the summary."""
 
+import functools
 import json
 
 import pytest
@@ -54,8 +55,8 @@ ROBOTS = {HOST: "User-agent: *\nDisallow: /private/"}
 SITEMAP = [(f"{HOST}/sitemap.xml", 200, f"<urlset><url><loc>{HOST}/lonely</loc></url><url><loc>{HOST}/a</loc></url><url><loc>{HOST}/hidden</loc></url><url><loc>https://third.example/</loc></url></urlset>")]
 
 
-@pytest.fixture(scope="module")
-def report(spark):
+@functools.cache
+def whole_report(spark):
     sitemaps = spark.createDataFrame(SITEMAP, "url string, status int, xml string")
     listed = spark.createDataFrame([(f"{HOST}/lonely",)], "url string")
     log = fetch.crawl(spark, [f"{HOST}/"], fetcher(), config=CONFIG, robots=ROBOTS, sitemap=listed)
@@ -68,6 +69,11 @@ def report(spark):
     return {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in found.items()}
 
 
+@pytest.fixture
+def report(spark):
+    return whole_report(spark)
+
+
 def test_reasons(report):
     reasons = {r["url"].removeprefix(HOST): r["reason"] for r in report["excluded"]}
     assert reasons == {
