@@ -1,5 +1,6 @@
 """Mixing, token files, packing, near-duplicates, language model, search and the pipeline."""
 
+import functools
 import io
 import math
 import random
@@ -19,18 +20,28 @@ DOCS = "doc_id long, text string, source string, kept string"
 EDGE = [(1, None, None, "x"), (2, "", "a", "x"), (3, " \n", "a", "x"), (None, "some words here", "b", "x"), (5, "five words are in here", "b", "x"), (5, "five words are in here", "b", "x"), (6, "Long " * 9000, "b", "x")]
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
+@functools.cache
+def texts_of(spark):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
-@pytest.fixture(scope="module")
-def library():
+@pytest.fixture
+def docs(spark):
+    return dict(texts_of(spark))
+
+
+@functools.cache
+def whole_tokenizer():
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(tokens.default_path())
 
 
+@pytest.fixture
+def library():
+    return whole_tokenizer()
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -1,5 +1,10 @@
 """Each stage of the pipeline on null, empty, repeated and clashing input; columns that look like an operator's own."""
 
+import atexit
+import functools
+import shutil
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,19 +18,25 @@ EXTRA = ["kept", "copy", "__u", "row", "d", "h", "text_hash", "stays", "N_COPIES
 ROWS = [(3, A), (5, A), (5, B), (None, A), (7, None), (8, ""), (9, " \n\t "), (9, " \n\t "), (None, None), (11, B + " own"), (11, B + " own"), (12, "x" * 50_000), (13, "own words " * 9_000)]
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def given(spark):
     df = spark.createDataFrame([(i, t, "en" if t else None, "web" if i != 9 else None, len(t or "") or None) for i, t in ROWS], SCHEMA)
     return df.withColumns({c: F.lit(f"own {c}") for c in EXTRA})
 
 
-@pytest.fixture(scope="module")
-def sf_dir(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("labels"))
+@functools.cache
+def labels_folder(spark):
+    path = tempfile.mkdtemp(prefix="webgrain-labels-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.createDataFrame([(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
+@pytest.fixture
+def sf_dir(spark):
+    return labels_folder(spark)
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:4])
 def test_stages_keep_columns_and_take_any_rows(spark, given, sf_dir, name, stage):
     out = stage(spark, given, sf_dir)

@@ -1,4 +1,7 @@
-"""Exact top-k search: an inverted index in shards, BM25 by block-max WAND, merged with global statistics.
+"""Exact top-k search: an inverted index in shards, BM25 with block-max pruning, merged with global statistics.
+
+Of block-max WAND this has the pivots: blocks in document order whose summed block maxima reach the threshold. All lists have
+the same blocks, so the sums are made for all blocks of a shard at once, and not list by list with cursors that skip.
 
 A shard is the index of some documents of one input task, cut at a number of postings. Its documents are in the order of
 their most frequent word and length, so that neighbours are alike; posting lists are in that order, in blocks of documents,
