@@ -43,6 +43,33 @@ FOUND = {
     "\n".join([f'k0 = "{KEY}"', *(f"k{i} = k{i - 1}" for i in range(1, 50)), "secret = k49"]): [KEY],
     f"{'x' * 300}_password = '{KEY}'": [KEY],
     "db_password = 'q7$xZ'": ["q7$xZ"],
+    f'cfg.setSigningKey("{KEY}")': [KEY],
+    f"client->set_password('{KEY}');": [KEY],
+    f'K = "{KEY}"\nbuilder.withSecret(K)': [KEY],
+    f'signingKey = prod ? "{KEY}" : "{KEY}9"': [KEY, KEY + "9"],
+    f'signingKey = env == "prod" ? "{KEY}" : "dev"': [KEY],
+    f'signing_key = "{KEY}" if prod else "dev"': [KEY],
+    f'a = p ? "{KEY}" : q ? "{KEY}8" : "plain"\nclient_secret = a': [KEY, KEY + "8"],
+    f'auth_key := getenv("X12aB") || "{KEY}"': [KEY],
+    f'auth_key = os.environ.get("X12aB") or "{KEY}"': [KEY],
+    f'authKey = process.env.X ?? "{KEY}"': [KEY],
+    f'password = config.get("X12aB", "{KEY}")': [KEY],
+    f'user, client_credential = "bob", "{KEY}"': [KEY],
+    f'const [user, authKey] = ["bob12xY", "{KEY}"];': [KEY],
+    f'(a, b) = ("x", "{KEY}")\nsecret = b': [KEY],
+    f'K = "{KEY}"\nprivate_key = "%s" % K': [KEY],
+    f'K = "{KEY}"\nprivate_key = "{{}}".format(K)': [KEY],
+    f'K = "{KEY}"\nprivateKey := fmt.Sprintf("%s", K)': [KEY],
+    'secret = "".join(["Zx81Qm44", "Lp07Tt53"])': ["Zx81Qm44", "Lp07Tt53"],
+    'secret = ["Zx81Qm44", "Lp07Tt53"].join("")': ["Zx81Qm44", "Lp07Tt53"],
+    f'if auth_key == "{KEY}": go()': [KEY],
+    f'if ("{KEY}" === authKey) go()': [KEY],
+    f'if (authKey.equals("{KEY}")) go()': [KEY],
+    'token = "839201746553"': ["839201746553"],
+    'client_secret = "qzxvwkjhptrnmbgd"': ["qzxvwkjhptrnmbgd"],
+    'passphrase = "correct horse battery staple"': ["correct horse battery staple"],
+    'db_password = "q7x Zx81 kk9"': ["q7x Zx81 kk9"],
+    f"see https://user:{KEY}@host/path": [KEY],
 }
 CLEAN = [
     'The token: Something. His password: required. Key: Value. See "Session: Monday" at 12:30, it\'s a key.',
@@ -53,6 +80,16 @@ CLEAN = [
     "password: userPassword",
     "a = b\nb = a\npassword = a",
     f'a = "{KEY}"\na = "public words"\npassword = a',
+    'auth_key := getenv("X12aB")',
+    "the private key: Always2try",
+    "token = getToken2X()",
+    "def set_password(self, newPassword2): pass",
+    'passphrase = "enter your new passphrase here"',
+    'password = "Must be 8 characters"',
+    "see https://user:password@host and https://user:${PASSWORD2}@host",
+    'signingKey = prod ? "first" : "second"',
+    'if color == "Zx81Qm44Lp07Tt53": go()',
+    'password = "administrator"; token = "2024"',
 ]
 
 
@@ -71,6 +108,7 @@ def test_clean_texts(text):
 def test_time_is_linear():
     n = 20_000
     hostile = ["key=" * n, 'password = "' + 'x\\"' * n, "it's key: 'a " * n, "<key " * n, "key: {" * n, '"""' * n + "key", '\\"' * n + "key", "key = " + "+".join(["k"] * n), "key:" * n, "key" * n, "(" * n + "key=" + "(" * n]
+    hostile += [x * n for x in ("key=[", 'key="%s"%(key,', 'key="".join([', "key=concat(", "key=a ? a : ", "a,key=", "key=a if a else ", "key.set_key(", "key=='a'", "://a:key", "key=a or ")]
     doubled = "\n".join(['x0 = "aB1"', *(f"x{i} = x{i - 1} + x{i - 1}" for i in range(1, 500)), "secret = x499"])
     begin = time.time()
     for text in [*hostile, doubled]:

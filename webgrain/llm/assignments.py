@@ -2,9 +2,10 @@
 
 Texts are cut into tokens (strings with escapes, triple-quoted strings, names, operators, flags, tags, lines with their
 indents). At each place that binds a name (an operator, a subscript, a typed declaration, a call with a name and a literal,
-a preprocessor or environment directive, a command-line flag, an XML element, nested blocks) a site is recorded: the name
-with the names around it, and the parts of its value: literals, and references to other names. Contents of strings are lexed
-as well, escapes removed. `resolve` links references to sites, earlier or later, and folds values.
+a preprocessor or environment directive, a command-line flag, an XML element, nested blocks, a setter, a comparison with a
+literal, a tuple of targets, the password of a URL) a site is recorded: the name with the names around it, and the parts of
+its value: literals, and references to other names. Conditional values and fallbacks are a site for each alternative. Contents
+of strings are lexed as well, escapes removed. `resolve` links references to sites, earlier or later, and folds values.
 
 Memory is a few machine words a token; the time is linear in the text.
 """
@@ -49,7 +50,19 @@ KEY = re.compile(r"[\w.$/@:-]+\Z")
 SECTION = re.compile(r"(?:\A|\n)[ \t]*\[([^\[\]\n]+)\][ \t]*(?=\n|\Z)")
 
 BINDS = {"=", ":=", "=>", ":", "+=", "?=", "??=", "||="}
+COMPARES = {"==", "===", "!=", "!=="}
 JOINS = {"+", ".", "&", "~"}
+#: Calls that look a name up, and such that put their arguments together.
+LOOKUPS = {"getenv", "lookupenv", "env", "get", "fetch", "lookup", "getproperty", "getstring", "getsecret", "get_secret"}
+FOLDS = {"sprintf", "format", "concat", "join"}
+EQUALS = {"equals", "equalsIgnoreCase", "contentEquals"}
+#: Words that may stand before a tuple of targets.
+DECLARES = {"let", "var", "const", "local", "my", "auto", "val"}
+SETTER = re.compile(r"(?:set|with|use|update)(?:_|(?=[A-Z]))(\w+)\Z")
+#: Places of a template that arguments fill.
+PLACE = re.compile(r"%\(\w+\)[a-z]|%[-+ 0#]*\d*[a-zA-Z]|\{[^{}]*\}")
+#: The password of a URL, beside its user.
+CREDENTIAL = re.compile(r"://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@(?=[\w\[])")
 PREFIXES = {"b", "r", "f", "u", "rb", "br", "fr", "rf", "L", "B", "R", "F", "U"}
 DIRECTIVES = {"setenv", "SetEnv", "ENV", "ARG"}
 #: Words of declared types, which may stand between a name and its operator.
@@ -63,7 +76,7 @@ ATTRIBUTE = re.compile(r"([^\W\d][\w:.-]*)\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)')"
 #: Weights of the parts of names: what a name says about its value.
 NAME_WEIGHTS = {
     "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
-    "private": 1.5, "auth": 1.5, "authorization": 2.0, "bearer": 2.0, "access": 1.0, "api": 1.0, "key": 1.5, "signature": 1.5,
+    "mnemonic": 3.0, "private": 1.5, "auth": 1.5, "authorization": 2.0, "bearer": 2.0, "access": 1.0, "api": 1.0, "key": 1.5, "signature": 1.5,
     "signing": 1.0, "session": 1.0, "cookie": 1.0, "salt": 1.5, "encryption": 1.0, "public": -2.5, "example": -1.5, "name": -1.0,
     "path": -1.5, "url": -1.5, "file": -1.5, "length": -3.0, "count": -3.0, "type": -2.0, "hint": -2.0, "id": -0.5,
 }
@@ -119,6 +132,8 @@ class Site:
     around: tuple[str, ...]
     parts: list[Part]
     links: list[int] = field(default_factory=list)
+    choice: bool = False  # its parts are references to alternatives
+    prose: bool = False  # the name stands in a run of words
 
 
 class Source:
@@ -177,6 +192,8 @@ class Parser:
         self.indent = INDENT.match(source.text).end()
         self.pending, self.label, self.here = "", ("", 0, 0), 0
         self.tag_end = self.taken = 0  # ends of the last tag and of the last bare value
+        self.end_of_bare = 0
+        self.chain = 0  # the token after the last chain of alternatives
         self.sections = [(m.start(), m[1].strip()) for m in SECTION.finditer(source.text)]
         for i in range(source.n):
             kind = source.kind[i]
@@ -195,6 +212,8 @@ class Parser:
             elif kind == OPERATOR:
                 if source.word(i) in BINDS:
                     self.operator(i)
+                elif source.word(i) in COMPARES:
+                    self.comparison(i)
             elif kind == TAG:
                 self.tag(i)
             elif kind == FLAG:
@@ -204,6 +223,8 @@ class Parser:
                 word = source.word(i)
                 if word in DIRECTIVES or (word == "define" and source.word(i - 1) == "#"):
                     self.record(source.word(i + 1), i + 2)
+            elif kind == WORD and source.text.startswith("(", source.end[i]):
+                self.call(i)
 
     # --- what stands around a site -------------------------------------------------------------------------------------
 
@@ -226,11 +247,83 @@ class Parser:
         elif c == "," and s.is_kind(i - 1, STRING) and s.word(i - 2) in ("(", "{") and KEY.match(s.content(i - 1)):
             self.record(s.content(i - 1), i + 1)
 
+    def call(self, i: int) -> None:
+        """A setter binds what it is named after to its argument; a method that compares, its object."""
+        s = self.s
+        owner, _, method = s.word(i).rpartition(".")
+        if owner and method in EQUALS and s.is_kind(i + 2, STRING):
+            self.compared(owner, i + 2)
+        elif m := SETTER.match(method):
+            if s.is_kind(i + 2, STRING, LONG):
+                self.record(m[1], i + 2)
+            elif s.is_kind(i + 2, WORD) and s.word(i + 3) in (")", ","):
+                self.bind(m[1], [self.reference(i + 2)])
+
+    def comparison(self, i: int) -> None:
+        s = self.s
+        if s.is_kind(i + 1, STRING):
+            for name in self.targets(i)[:1]:
+                self.compared(name, i + 1)
+        elif s.is_kind(i - 1, STRING) and s.is_kind(i + 1, WORD):
+            self.compared(s.word(i + 1), i - 1)
+
+    def compared(self, name: str, v: int) -> None:
+        """A literal that a name is compared with; references to the name don't find it."""
+        self.here = self.s.start[v]
+        if parts := self.string(v):
+            self.bind(f"{name}==", parts)
+
+    def tuple_of(self, i: int) -> list[str]:
+        """Names before the operator at i if they are two or more between commas, in brackets or at the start of a statement."""
+        s, j, names = self.s, i - 1, []
+        opened = {"]": "[", ")": "("}.get(s.word(j), "")
+        j -= bool(opened)
+        while s.is_kind(j, WORD):
+            names.append(s.word(j))
+            j -= 1
+            if s.word(j) != ",":
+                break
+            j -= 1
+        if len(names) < 2:
+            return []
+        if opened:
+            called = s.is_kind(j - 1, WORD) and s.end[j - 1] == s.start[j]
+            return names[::-1] if s.word(j) == opened and not called else []
+        return names[::-1] if j < 0 or s.is_kind(j, LINE) or s.word(j) in DECLARES | {";"} else []
+
+    def elements(self, v: int, n: int) -> list[list[Part]]:
+        """Values between commas from v on, up to n + 1 of them."""
+        s, out = self.s, []
+        v += s.word(v) in ("[", "(")
+        while len(out) <= n:
+            v += s.is_kind(v, LINE)
+            parts, v = self.value(v)
+            out.append(parts)
+            if s.word(v) != ",":
+                break
+            v += 1
+        return out
+
     def operator(self, i: int) -> None:
+        op, v = self.s.word(i), i + 1
+        if op == ":" and i < self.chain:
+            return  # between two alternatives
+        if op in ("=", ":=") and (several := self.tuple_of(i)):
+            values = self.elements(v, len(several))
+            if len(values) == len(several):
+                self.here = self.s.start[i]
+                for name, parts in zip(several, values, strict=True):
+                    if parts:
+                        self.bind(name, parts)
+                return
         names = self.targets(i)
         if not names:
             return
-        op, v = self.s.word(i), i + 1
+        if self.s.word(v) == "[" and (folded := self.joined_list(v)):
+            self.here = self.s.start[v]
+            for name in names:
+                self.bind(name, folded)
+            return
         if self.s.word(v) in ("{", "["):
             self.pending = names[0]
             return
@@ -241,13 +334,33 @@ class Parser:
             if not self.s.is_kind(v + 1, STRING, LONG) or self.s.word(v + 2) in BINDS:
                 return
             v += 1
+        self.here = self.s.start[v] if v < self.s.n else len(self.s.text)
+        options = self.options(v)
+        prose = op == ":" and self.in_prose(i) and not self.s.is_kind(v, STRING, LONG) and self.s.word(v) not in SCHEMES
         for name in names:
             if self.s.start[i] < self.tag_end and name.lower() in LABELS | VALUES:
                 continue  # the tag itself pairs them
-            parts = self.record(name, v, append=op == "+=")
-            if parts:
+            if len(options) > 1:
+                self.choose(name, options)
+            elif options:
+                parts = [Part(0, 0, "", name)] * (op == "+=") + options[0]
+                self.bind(name, parts)
+                self.sites[-1].prose = prose
                 self.note_label(name, parts)
 
+    def in_prose(self, i: int) -> bool:
+        """Whether the name before the operator at i follows a word on its line."""
+        s = self.s
+        return s.is_kind(i - 1, WORD) and s.is_kind(i - 2, WORD) and s.word(i - 2) not in DECLARES | DIRECTIVES
+
+    def choose(self, name: str, options: list[list[Part]]) -> None:
+        """A site for each alternative, and one by the name itself that refers to them."""
+        for n, parts in enumerate(options):
+            self.bind(f"{name}?{n}", parts)
+        end = max(p.end for parts in options for p in parts)
+        self.bind(name, [Part(end, end, "", f"{name}?{n}") for n in range(len(options))])
+        self.sites[-1].choice = True
+
     def note_label(self, name: str, parts: list[Part]) -> None:
         here = (len(self.brackets), self.indent)
         if name.lower() in LABELS and KEY.match(parts[0].text):
@@ -327,23 +440,124 @@ class Parser:
     def bind(self, name: str, parts: list[Part]) -> None:
         self.sites.append(Site(name, self.around(), parts))
 
-    def record(self, name: str, v: int, append: bool = False) -> list[Part]:
+    def reference(self, i: int) -> Part:
+        return Part(*self.s.span(self.s.start[i], self.s.end[i]), self.s.word(i), self.s.word(i))
+
+    def record(self, name: str, v: int) -> None:
         self.here = self.s.start[v] if v < self.s.n else len(self.s.text)
-        parts = self.value(v)
-        if parts:
-            self.bind(name, [Part(0, 0, "", name)] * append + parts)
-        return parts
+        if parts := self.value(v)[0]:
+            self.bind(name, parts)
+
+    def options(self, v: int) -> list[list[Part]]:
+        """Parts of the value that begins at token v, or of each of its alternatives: `c ? x : y`, `x if c else y`, `x or y`,
+        `x ?? y`, `x ?: y`. A condition is read up to the end of its line or the next operator that binds."""
+        parts, at = self.value(v)
+        if v < self.chain:
+            return [parts] if parts else []
+        s, out = self.s, []
+        while True:
+            if s.word(at) == "or" or (s.word(at) == "?" and s.word(at + 1) in ("?", ":")):
+                out.append(parts)
+                at += 1 + (s.word(at) == "?")
+            elif s.word(at) == "if" and s.word(k := self.condition(at + 1)) == "else":
+                out.append(parts)
+                at = k + 1
+            elif (not parts or parts[0].name) and s.word(k := self.condition(at)) == "?":
+                first, after = self.value(k + 1 + s.is_kind(k + 1, LINE))
+                after += s.is_kind(after, LINE)
+                if s.word(after) != ":":
+                    break
+                out.append(first)
+                at = after + 1
+            else:
+                break
+            parts, at = self.value(at + s.is_kind(at, LINE))
+        if out:
+            self.chain = max(self.chain, at)
+        return [p for p in [*out, parts] if p]
+
+    def condition(self, k: int) -> int:
+        """The first token from k on that ends a condition: `?`, `else`, or one that can't be part of one."""
+        s, depth = self.s, 0
+        while k < s.n and s.kind[k] != LINE:
+            word = s.word(k)
+            if word in BINDS or word in ("else", ";", "{", "}") or (depth <= 0 and word in ("?", ",")):
+                break
+            depth += (word in ("(", "[")) - (word in (")", "]"))
+            if depth < 0 and not s.is_kind(k + 1, SIGN):
+                break
+            k += 1
+        return k
+
+    def items(self, v: int) -> tuple[list[Part], int]:
+        """Strings and names from v on up to the bracket that closes an open one; and the token after it."""
+        s, parts, depth = self.s, [], 1
+        while depth:
+            word = s.word(v)
+            if s.is_kind(v, STRING):
+                parts += self.string(v)
+            elif s.is_kind(v, WORD):
+                if s.word(v + 1) != "=":  # the name of an argument is none of its value
+                    parts.append(self.reference(v))
+            elif word in ("(", "[") and depth < 2:  # so a token is read at most twice
+                depth += 1
+            elif word in (")", "]"):
+                depth -= 1
+            elif word == "=" and s.word(v + 2) not in (",", ")"):  # what binds more than an argument is read by itself
+                break
+            elif word not in (",", "=") and not s.is_kind(v, LINE):
+                break
+            v += 1
+        return parts, v
+
+    def joined_list(self, v: int) -> list[Part]:
+        """Parts of a list that is joined at once, if one begins at token v."""
+        parts, after = self.items(v + 1)
+        return parts if self.s.word(after) == "." and self.s.word(after + 1) == "join" else []
+
+    def template(self, i: int) -> list[Part]:
+        """What stands between the places of a template, where it holds no white space."""
+        a, b = self.s.inside(i)
+        out, at = [], a
+        for m in [*PLACE.finditer(self.s.text, a, b), None]:
+            piece = self.s.text[at : m.start() if m else b]
+            if piece and not any(c.isspace() for c in piece):
+                out.append(self.literal(at, at + len(piece)))
+            at = m.end() if m else b
+        return out
 
-    def value(self, v: int) -> list[Part]:
-        """Parts of the value that begins at token v: joined strings and names, a wrapped string, a block, a bare word."""
+    def folded(self, v: int) -> tuple[list[Part], int] | None:
+        """A string at v that a format or join makes of its arguments."""
+        s = self.s
+        if s.word(v + 1) == "%":
+            if s.word(v + 2) == "(":
+                parts, after = self.items(v + 3)
+            elif s.is_kind(v + 2, STRING):
+                parts, after = self.string(v + 2), v + 3
+            elif s.is_kind(v + 2, WORD):
+                parts, after = [self.reference(v + 2)], v + 3
+            else:
+                return None
+            return self.template(v) + parts, after
+        if s.word(v + 1) == "." and s.word(v + 2) in ("format", "join") and s.word(v + 3) == "(":
+            parts, after = self.items(v + 4)
+            return (self.template(v) if s.word(v + 2) == "format" else []) + parts, after
+        return None
+
+    def value(self, v: int) -> tuple[list[Part], int]:
+        """Parts of the value that begins at token v: joined strings and names, a wrapped string, a block, a bare word; and
+        the token after it."""
         s, parts, wrapped = self.s, [], False
         while s.word(v) in ("(", "&", "@", "*", "$", "!", "{") or (wrapped and s.is_kind(v, LINE)):
             wrapped |= s.word(v) == "("
             v += 1
         if s.word(v) in ("|", ">") and s.is_kind(v + 1 + (s.word(v + 1) in ("-", "+")), LINE):
-            return self.block(s.end[v])
+            return self.block(s.end[v]), s.n
         while True:
-            if s.is_kind(v, STRING, LONG):
+            if s.is_kind(v, STRING) and (made := self.folded(v)):
+                parts += made[0]
+                v = made[1]
+            elif s.is_kind(v, STRING, LONG):
                 parts += self.string(v)
                 v += 1
             elif s.is_kind(v, WORD):
@@ -355,11 +569,12 @@ class Parser:
                     p.bare &= not parts  # a name that is joined to something is no literal
                 parts += found
             elif s.is_kind(v, NUMBER, SIGN, FLAG, ESCAPE) and not parts:
-                return self.bare(s.start[v])
+                a, end = self.bare_span(s.start[v])
+                return ([self.literal(a, end)], bisect_left(s.start, end)) if end > a else ([], v)
             else:
-                return parts
+                return parts, v
             if parts and not parts[-1].name and not s.is_kind(v - 1, STRING, LONG) and s.word(v - 1) not in (")", "]"):
-                return parts  # a bare literal takes in all that touches it
+                return parts, bisect_left(s.start, self.end_of_bare, v)  # a bare literal takes in all that touches it
             k = v + s.is_kind(v, LINE)
             if s.word(k) in JOINS or (s.word(k) == "|" and s.word(k + 1) == "|"):
                 v = k + 1
@@ -369,14 +584,14 @@ class Parser:
             else:
                 k = k if wrapped else v
                 if not (s.is_kind(k, STRING, LONG) and s.is_kind(v - 1, STRING, LONG) and s.word(k + 1) not in BINDS):
-                    return parts
+                    return parts, k
                 v = k
 
     def string(self, i: int) -> list[Part]:
         s, (a, b) = self.s, self.s.inside(i)
         text = s.text[a:b]
         if INTERPOLATED.match(text):
-            return [Part(0, 0, "", m[0]) for m in INNER_NAME.finditer(text)]
+            return [Part(*s.span(a + m.start(), a + m.end()), "", m[0]) for m in INNER_NAME.finditer(text)]
         if "\n" in text or "\\n" in text:
             return self.lines(a, b)
         space = re.match(r"\s*(?:(?:Bearer|Basic|Token|Digest)\s+)?", text).end()
@@ -410,11 +625,24 @@ class Parser:
     def named(self, v: int) -> tuple[list[Part], int]:
         """A value that begins with a name: a call around one string or name, a subscript, a reference or a bare word."""
         s = self.s
-        if s.end[v] < len(s.text) and s.text[s.end[v]] == "(" and s.word(v + 3) == ")":
-            if s.is_kind(v + 2, STRING):
+        if s.end[v] < len(s.text) and s.text[s.end[v]] == "(":
+            called = s.word(v).rpartition(".")[2].lower()
+            if called in LOOKUPS and s.is_kind(v + 2, STRING):
+                a, b = s.inside(v + 2)
+                known = Part(*s.span(a, max(b, a + 1)), "", s.text[a:b])
+                return [known], v + 4 if s.word(v + 3) == ")" else v + 3
+            if called in FOLDS:
+                parts, after = self.items(v + 2)
+                first = self.template(v + 2) if s.is_kind(v + 2, STRING) and called in ("sprintf", "format") else None
+                if first is not None:
+                    parts = first + parts[len(self.string(v + 2)) :]
+                return parts, after
+            if s.word(v + 3) == ")" and s.is_kind(v + 2, STRING):
                 return self.string(v + 2), v + 4
-            if s.is_kind(v + 2, WORD):
-                return [Part(0, 0, "", s.word(v + 2))], v + 4
+            if s.word(v + 3) == ")" and s.is_kind(v + 2, WORD):
+                return [self.reference(v + 2)], v + 4
+            close = v + 3 if s.word(v + 2) == ")" else v + 1
+            return [self.reference(v)], close  # what a call gives is no literal
         if s.word(v + 1) == "[" and s.word(v + 3) == "]" and s.is_kind(v + 2, STRING):
             return [Part(0, 0, "", f"{s.word(v)}.{s.content(v + 2)}")], v + 4
         if s.word(v) in SCHEMES and not s.is_kind(v + 1, LINE, OPERATOR):
@@ -434,6 +662,7 @@ class Parser:
         self.taken = max(self.taken, end)
         while end > a and text[end - 1] in ".,;:!?":
             end -= 1
+        self.end_of_bare = end
         return a, end
 
     def bare(self, a: int) -> list[Part]:
@@ -441,18 +670,26 @@ class Parser:
         return [self.literal(a, end)] if end > a else []
 
 
+def url_parts(m: re.Match) -> list[Part]:
+    """The password of a URL: a literal, or the names that it is made of."""
+    if INTERPOLATED.match(m[1]):
+        return [Part(m.start(1) + n.start(), m.start(1) + n.end(), "", n[0]) for n in INNER_NAME.finditer(m[1])]
+    return [Part(*m.span(1), m[1])]
+
+
 def sites_of(text: str) -> list[Site]:
     """All sites of a text and of the contents of its strings, by the places of their values."""
     found, todo = [], [Source(text)]
+    found += [Site("password", (), url_parts(m)) for m in CREDENTIAL.finditer(text)]
     while todo:
         found += Parser(todo.pop(), todo).sites
     place = lambda s: max((p.end for p in s.parts), default=0)
     return sorted(found, key=place)
 
 
-def resolve(sites: list[Site]) -> tuple[list[Counter], list[bool]]:
+def resolve(sites: list[Site]) -> tuple[list[Counter], list[int]]:
     """Links each reference to the last site before it that binds its name, else to the first one after it; returns for
-    each site the characters of its whole value, and whether it looks irregular. What a cycle adds to itself is left out.
+    each site the characters of its whole value, and how irregular it looks. What a cycle adds to itself is left out.
     A bare name that nothing binds becomes a literal."""
     by_name: dict[str, list[int]] = defaultdict(list)
     for i, s in enumerate(sites):
@@ -472,7 +709,7 @@ def resolve(sites: list[Site]) -> tuple[list[Counter], list[bool]]:
             elif p.bare:
                 p.name = None
     chars: list[Counter | None] = [None] * len(sites)
-    odd = [False] * len(sites)
+    odd = [0] * len(sites)
     begun = bytearray(len(sites))
     for root in range(len(sites)):
         stack = [root]
@@ -487,11 +724,11 @@ def resolve(sites: list[Site]) -> tuple[list[Counter], list[bool]]:
                 stack.pop()
                 own = [p.text for p in sites[i].parts if p.name is None]
                 chars[i] = Counter("".join(own))
-                odd[i] = any(irregular(t) for t in own)
+                odd[i] = max(map(irregular, own), default=0)
                 for j in sites[i].links:
                     if chars[j] is not None:
                         chars[i].update(chars[j])
-                        odd[i] |= odd[j]
+                        odd[i] = max(odd[i], odd[j])
     return chars, odd
 
 
@@ -499,6 +736,38 @@ _PIECE = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+|[0-9]+)"
 PLAIN = re.compile(rf"{_PIECE}(?:[-_./:]+{_PIECE})*\Z")
 
 
-def irregular(text: str) -> bool:
-    """Whether a text is more than plain words and numbers between separators."""
-    return not PLAIN.match(text)
+#: The least length of a text of digits, or of letters of one case, that may be drawn at random; the least number of different
+#: digits; and a run of letters that words don't have.
+DIGITS_LEAST, LETTERS_LEAST, DIGITS_DIFFERENT = 10, 12, 6
+UNSPOKEN = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.I)
+
+
+def irregular(text: str) -> int:
+    """0 for plain words and numbers between separators, 2 for one kind of character that looks drawn at random, else 1."""
+    if text.isascii() and text.isdigit():
+        return 2 * (len(text) >= DIGITS_LEAST and len(set(text)) >= DIGITS_DIFFERENT)
+    if text.isascii() and text.isalpha() and (text.islower() or text.isupper()):
+        return 2 * (len(text) >= LETTERS_LEAST and UNSPOKEN.search(text) is not None)
+    return 0 if PLAIN.match(text) else 1
+
+
+#: Words of notes about passphrases, which passphrases themselves seldom hold.
+NOTE_WORDS = {
+    "the", "your", "you", "a", "an", "is", "are", "must", "be", "enter", "please", "to", "for", "of", "and", "or", "not", "no",
+    "with", "this", "that", "in", "on", "at", "it", "if", "has", "have", "can", "from", "by",
+}
+#: The fewest words of a passphrase of words alone, and of one with words that hold letters and digits.
+WORDS_LEAST, MIXED_LEAST = 4, 2
+MIXED = re.compile(r"(?=\S*[A-Za-z])(?=\S*\d)\S+\Z")
+
+
+def passphrase(name: str, text: str) -> bool:
+    """Whether a text with white space is a passphrase: lower-case words without those of a note, under a name that says
+    so; or words of letters and digits for the most part, under any name of a password."""
+    words = text.split()
+    mixed = sum(MIXED.match(w) is not None for w in words)
+    if len(words) >= MIXED_LEAST and 2 * mixed > len(words):
+        return name_weight(name) >= 3
+    spoken = all(w.isalpha() and w.islower() for w in words)
+    told = {p.lower() for p in NAME_PART.findall(name)} & {"passphrase", "mnemonic"}
+    return bool(told) and len(words) >= WORDS_LEAST and spoken and not any(w in NOTE_WORDS or part_weight(w) > 0 for w in words)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.assignments import NAME_WEIGHTS, Site, name_weight, resolve, sites_of
+from webgrain.llm.assignments import CREDENTIAL, NAME_WEIGHTS, Site, name_weight, passphrase, resolve, sites_of
 from webgrain.llm.common import bounded_batches, dealt
 
 #: Fixed patterns of the base scan and the shortest group or match that counts.
@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "named")
 
 #: A literal counts when its name's weight and its own shape reach this.
 LEAST_SCORE = 3.5
+#: What is asked for beyond that where the name stands in a run of words.
+PROSE = 1.0
 #: Texts without any of these have no name of weight.
 SENSITIVE = re.compile("|".join(w for w, x in NAME_WEIGHTS.items() if x > 0), re.I)
 
@@ -45,14 +47,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
 
 
-def shape_score(chars: Counter, odd: bool) -> float:
-    """0 for plain words and numbers, texts with white space or one kind of character; up to 3 for long, mixed, high-entropy
-    ones. chars: how often each character occurs; odd: whether the text is more than plain words."""
+def shape_score(chars: Counter, odd: int) -> float:
+    """0 for plain words and numbers, texts with white space, or one kind of character unless it looks drawn at random; up to 3
+    for long, mixed, high-entropy ones. chars: how often each character occurs; odd: how irregular the text is."""
     n = sum(chars.values())
     if not n or not odd or any(c.isspace() for c in chars):
         return 0.0
     kinds = any(c.isdigit() for c in chars) + any(c.islower() for c in chars) + any(c.isupper() for c in chars)
-    if kinds < 2:
+    if kinds < 2 and odd < 2:
         return 0.0
     entropy = -sum(k / n * math.log2(k / n) for k in chars.values())
     return min(1.0, n / 20) + min(1.0, entropy / 4) + (kinds - 1) / 2
@@ -64,19 +66,30 @@ def site_weight(site: Site) -> float:
     return own if own < 0 else own + max([0.0, *map(name_weight, site.around)])
 
 
+def counts(site: Site, shape: float) -> bool:
+    """Whether a site's name and the shape of its whole value make it a secret. Of a choice the alternatives count, each by
+    itself."""
+    if site.choice:
+        return False
+    if shape > 0:
+        weight = site_weight(site)
+        return weight > 0 and weight + shape >= LEAST_SCORE + PROSE * site.prose
+    only = site.parts[0]
+    return len(site.parts) == 1 and only.name is None and " " in only.text and passphrase(site.name, only.text)
+
+
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals of sites whose name, and whole value, make them secrets: those in the value itself and, by references of
     any number, those that it is made of. A name's reference may stand before or after what binds it."""
     sites = sites_of(text)
     chars, odd = resolve(sites)
-    todo = [
-        i for i, s in enumerate(sites) if (w := site_weight(s)) > 0 and (x := shape_score(chars[i], odd[i])) > 0 and w + x >= LEAST_SCORE
-    ]
+    shape = [shape_score(c, o) for c, o in zip(chars, odd, strict=True)]
+    todo = [i for i, s in enumerate(sites) if counts(s, shape[i])]
     found, seen = set(), set(todo)
     while todo:
         site = sites[todo.pop()]
         found.update((p.start, 3, p.end) for p in site.parts if p.name is None)
-        new = set(site.links) - seen
+        new = {j for j in site.links if not site.choice or shape[j] > 0} - seen
         seen |= new
         todo += new
     return list(found)
@@ -90,7 +103,7 @@ def scan_text(text: str | None) -> tuple[int, int, int, str, str, int]:
     """n_assign, n_access, n_hex, base_sha256, spans, n_named of one whole text."""
     text = text or ""
     base = base_spans(text)
-    named = named_spans(text) if SENSITIVE.search(text) else []
+    named = named_spans(text) if SENSITIVE.search(text) or CREDENTIAL.search(text) else []
     n = Counter(k for _, k, _ in base)
     line = joined(base)
     return n[0], n[1], n[2], hashlib.sha256(line.encode()).hexdigest(), joined(base + named) if named else line, len(named)
