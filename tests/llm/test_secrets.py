@@ -1,5 +1,6 @@
 """The secret scan: syntaxes, constants, clean texts, and the whole query against plain patterns."""
 
+import hashlib
 import re
 import time
 
@@ -135,3 +136,48 @@ def test_query_against_plain_patterns(spark, tmp_path):
                 named += 1
         assert got[i] == secrets.joined(want), i
     assert named > 12
+
+
+SHAPES = [
+    'cfg.set{0}("{1}")',
+    '{0} = prod ? "{1}" : "{2}"',
+    'user, {0} = "bob", "{1}"',
+    'if {0} == "{1}": go()',
+    '{0} = lookup("{2}") or "{1}"',
+]
+#: The literals that the shapes bind, found without a lexer.
+PLAIN_SHAPES = [
+    re.compile(r'cfg\.set(?P<name>\w+)\("(?P<a>\w+)"\)'),
+    re.compile(r'(?P<name>\w+) = prod \? "(?P<a>\w+)" : "(?P<b>\w+)"'),
+    re.compile(r'user, (?P<name>\w+) = "bob", "(?P<a>\w+)"'),
+    re.compile(r'if (?P<name>\w+) == "(?P<a>\w+)": go\(\)'),
+    re.compile(r'(?P<name>\w+) = lookup\("\w+"\) or "(?P<a>\w+)"'),
+]
+
+
+def test_query_against_plain_shapes(spark, tmp_path):
+    """Each document with a line of one shape after it: exactly the literals that its expression finds are marked more."""
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = []
+    for i, text in docs:
+        digest = hashlib.sha256(str(i).encode()).hexdigest()
+        name = ("ClientSecret", "Color", "DbPassword", "PublicKey", "LabelText")[i % 7 % 5]
+        values = [f"Q{digest[:15]}7x", f"w{digest[20:34]}K8"] if i % 3 else ["settings", f"Q{digest[:15]}7x"]
+        rows.append((i, text, "\n" + SHAPES[i % 5].format(name, *values) + "\n"))
+    whole = spark.createDataFrame([(i, a + b) for i, a, b in rows], "doc_id long, text string")
+    whole.write.parquet(f"{tmp_path}/with/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/without/documents.parquet")
+    spans = lambda d: {r["doc_id"]: set(r["spans"].split(",")) - {""} for r in secrets.op10(spark, f"{tmp_path}/{d}").collect()}
+    before, after = spans("without"), spans("with")
+    marked = 0
+    for i, text, line in rows:
+        m = PLAIN_SHAPES[i % 5].search(line)
+        base = {f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in secrets.base_spans(text + line)}
+        want = {x for x in before[i] if x.startswith("named")} | base
+        if re.search("secret|password", m["name"], re.I):
+            for group, value in m.groupdict().items():
+                if group != "name" and value and any(c.isdigit() for c in value):
+                    want.add(f"named:{len(text) + m.start(group)}:{len(text) + m.end(group)}")
+                    marked += 1
+        assert after[i] == want, (i, line)
+    assert marked > 200
