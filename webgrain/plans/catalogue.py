@@ -962,6 +962,59 @@ def page_findings(spark, d):
     return AuditSession(spark).findings(spread(spark, d, "pages"))
 
 
+#: Page rules that patterns can tell: rule, category, severity, whether listing pages are left out, condition, message.
+MARKUP_RULES = [
+    ("title_missing", "seo", "'critical'", False, "title = ''", "'The page has no title.'"),
+    ("meta_description_missing", "seo", "'warning'", True, "NOT regexp_matches(html, '(?is)<meta[^>]+name=\"description\"')",
+     "'The page has no meta description.'"),
+    ("h1_missing", "seo", "'warning'", False, "h1s = 0", "'The page has no main heading.'"),
+    ("multiple_h1", "seo", "'info'", False, "h1s > 1", "'The page has ' || h1s || ' main headings.'"),
+    ("canonical_missing", "seo", "'info'", False, "NOT regexp_matches(html, '(?is)<link[^>]+rel=\"canonical\"')",
+     "'The page declares no canonical URL.'"),
+    ("answer_structure", "aio", "'info'", True, "NOT regexp_matches(html, '(?i)<h2[ >]')",
+     "'The page has no second-level sections.'"),
+    ("schema_missing", "geo", "'info'", True, "NOT regexp_matches(html, '(?i)application/ld.json')",
+     "'The page has no structured data.'"),
+    ("indexable_archive_review", "seo", "CASE WHEN kind = 'search_archive' THEN 'warning' ELSE 'info' END", False, "NOT live",
+     "'Listing page of kind ' || kind || ' may be indexed.'"),
+    ("viewport_missing", "seo", "'warning'", False, "NOT regexp_matches(html, '(?is)<meta[^>]+name=\"viewport\"')",
+     "'The page sets no viewport.'"),
+    ("html_lang_missing", "seo", "'info'", False, "NOT regexp_matches(html, '(?is)<html[^>]+lang=')",
+     "'The page declares no language.'"),
+]
+MARKUP_SQL = " UNION ALL ".join(
+    f"SELECT page_id, '{category}' AS category, {severity} AS severity, '{name}' AS rule, {message} AS message FROM m "
+    f"WHERE {'live AND ' if unlisted else ''}{condition}"
+    for name, category, severity, unlisted, condition, message in MARKUP_RULES
+)
+ARCHIVES_SQL = ", ".join(f"'{t}'" for t in ur.ARCHIVE_TYPES)
+
+
+@query(f"""WITH {PARTS}, k AS (SELECT page_id, {TYPE_SQL} AS kind FROM v),
+m AS (SELECT page_id, html, kind, kind NOT IN ({ARCHIVES_SQL}) AS live, {CLEAN_SQL(f"regexp_extract(html, '{TITLE}', 1)")} AS title,
+len(regexp_extract_all(html, '{H1_ALL}')) AS h1s FROM pages JOIN k USING (page_id)) {MARKUP_SQL}""")
+def page_findings_markup(spark, d):
+    """Findings of the page rules whose condition patterns can tell of these pages, with their messages."""
+    names = [r[0] for r in MARKUP_RULES]
+    return page_findings(spark, d).where(F.col("rule").isin(*names)).drop("evidence")
+
+
+@query("""SELECT page_id, url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+regexp_matches(html, '(?is)<meta[^>]+name="viewport"') AS has_viewport, regexp_matches(html, '(?i)<article[ >]') AS has_article,
+len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS headings, length(html)::INT AS html_chars FROM pages""")
+def html_extract_markup(spark, d):
+    """The columns of html_extract that patterns can tell of these pages."""
+    return html_extract(spark, d).select(
+        "page_id",
+        "url",
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        "has_viewport",
+        "has_article",
+        F.col("headings").cast("long").alias("headings"),
+        "html_chars"
+    )
+
+
 @query(
     f"WITH {PARTS} SELECT count(DISTINCT scheme || '://' || host || pp || path || {_query(_sorted(_keys(ur.CRAWL_TRACKING)))}) AS urls FROM v"
 )
