@@ -54,9 +54,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates, the one with the least id.
 
     Documents are told apart by id and text, so a text that is no copy stays though another has its id.
-    Defined results: null ids come last in a group's order, and go like others; of rows with equal id and text one stays;
-    texts without words are copies of nothing, so each stays (once to an id); very long texts are compared whole; an empty
-    table stays empty; columns of any name pass through.
+    Defined results: null ids come last in a group's order, and go like others; of rows with equal id and text one stays,
+    the first by its other columns; texts without words are copies of nothing, so each stays (once to an id); very long texts
+    are compared whole; an empty table stays empty; columns of any name pass through.
     """
     found = staged(minhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "text_hash", "stays"), "pipeline-groups")
     gone = found.where("NOT stays").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
@@ -66,7 +66,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
     held = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     marked = rows.join(held(staged(gone, "pipeline-gone")), same, "left_anti").join(held(twice), same, "left")
-    repeated = marked.where("h IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))  # those rows alone
+    # of those rows alone: the first by all columns, whatever their types, so that the same one stays in every run
+    repeated = marked.where("h IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return marked.where("h IS NULL").select("row.*").unionByName(repeated.select("row.*"))
 
 
