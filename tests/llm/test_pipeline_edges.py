@@ -86,3 +86,27 @@ def test_operators_replace_their_own_names_in_either_case(spark, given):
     assert [c.lower() for c in out.columns].count("n_copies") == 1 and all(r["__u"] == "own __u" and r["a.b"] == "own a.b" for r in out.collect())
     judged = quality.quality_rules(given.withColumn("KEPT", F.lit("x")), given.select("doc_id").limit(0))
     assert [c.lower() for c in judged.columns].count("kept") == 1 and all(r["__w"] == "own __w" for r in judged.collect())
+
+
+def test_rows_of_equal_id_and_text_leave_the_same_one(spark, sf_dir):
+    rows = [(1, A, "en", s, 5) for s in ("web", "books", "news")] + [(2, B, "en", "web", 5)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, SCHEMA).repartition(3)
+        kept.append(sorted(tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()))
+    assert kept[0] == kept[1] == [(1, A, "en", "books", 5), (2, B, "en", "web", 5)]
+
+
+def test_null_and_equal_ids_are_dealt_out(spark):
+    """The mixture's rows of one id, or of none, lie in many partitions."""
+    rows = [(None if i % 2 else 7, f"text {i}", "en", "web", 5) for i in range(4000)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = mixing.mixed(spark.createDataFrame(rows, SCHEMA), size=40_000).groupBy("doc_id", F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i in {r["doc_id"] for r in found}:
+        sizes = [r["count"] for r in found if r["doc_id"] == i]
+        assert len(sizes) == parts and max(sizes) < 2 * sum(sizes) / parts

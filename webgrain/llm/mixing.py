@@ -73,7 +73,7 @@ def mixed(
     """docs (doc_id, source, ...), each row as often as its Poisson count, shuffled globally.
 
     Appends copy (0-based), n_copies, and shuffle_key (uniform in [0, 1)), by which and doc_id and copy the mixture is
-    totally ordered; rows lie in partitions by a hash of the key and sorted within them, which is a uniform random order.
+    totally ordered; rows lie in partitions by a hash of the key and the row, sorted within, which is a uniform random order.
     size: expected number of rows of the mixture; the input's by default.
     Defined results: a null source is a source of its own (weight 0 where weights are given); a source that weights
     doesn't name gets none; null doc_ids share one uniform number; repeated rows get equal counts; an empty table gives
@@ -104,7 +104,9 @@ def mixed(
     counted = joined.withColumn("__u", u).withColumn("n_copies", n.cast("long")).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), named, F.col("copy").cast("string")))
-    dealt = keyed.select(*columns, *own).repartition("shuffle_key")
+    dealt = keyed.select(*columns, *own)
+    told = [F.col(f"`{c}`") for c, kind in dealt.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = dealt.repartition("shuffle_key", F.xxhash64(*told))  # rows of one id, or of none, don't meet in one task
     return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
