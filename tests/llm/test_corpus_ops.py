@@ -446,3 +446,14 @@ def test_search_over_many_shards(spark, docs, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 16)
     monkeypatch.setattr(search, "BROADCAST_TERMS", -1)
     assert ask() == want
+
+
+def test_many_search_weights_are_not_broadcast(spark, monkeypatch):
+    wanted = spark.range(40).selectExpr("id % 7 AS query_row", "id % 7 AS query_id", "id % 11 AS term")
+    weight = spark.range(10).selectExpr("id AS term", "id + 0.5D AS w")
+    joined = lambda: search.with_weights(wanted, weight)
+    few = sorted(joined().select("query_row", "query_id", "term", "w").collect())
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 5)
+    many = joined()
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()  # small as Spark expects them to be
+    assert sorted(many.select("query_row", "query_id", "term", "w").collect()) == few and len(few) == 37

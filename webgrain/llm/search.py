@@ -189,6 +189,17 @@ def build_index(docs: DataFrame) -> DataFrame:
     return staged(docs.select("doc_id", "text").mapInArrow(index, shape), "search-index")
 
 
+def with_weights(wanted: DataFrame, weight: DataFrame) -> DataFrame:
+    """Rows of wanted (query_row, query_id, term) with their term's weight (term, w). Common words are in many queries:
+    weights are broadcast while they are few, else dealt out by salted keys. Those are merged whatever size Spark expects,
+    as it may take the weights, SALTS times each, for few enough to go through the driver."""
+    if weight.count() <= BROADCAST_TERMS:
+        return wanted.join(F.broadcast(weight), "term")
+    salted = wanted.withColumn("salt", F.pmod("query_row", F.lit(SALTS)))
+    copies = weight.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return salted.join(copies.hint("merge"), ["term", "salt"])
+
+
 def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of queries (query_id, text) the k best rows of docs (doc_id, text).
 
@@ -228,15 +239,8 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
     every = held.unionByName(wanted.select("term", F.lit(0).cast("long").alias("df"), F.lit(True).alias("asked")))
     df = every.groupBy("term").agg(F.sum("df").alias("df"), F.max("asked").alias("asked")).where("asked AND df > 0")
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # common words are in many queries: weights of the queries' distinct words are few, or dealt out by salted keys
     weight = staged(df.select("term", idf.alias("w")), "search-idf")
-    if weight.count() <= BROADCAST_TERMS:
-        both = wanted.join(F.broadcast(weight), "term")
-    else:
-        salted = wanted.withColumn("salt", F.pmod("query_row", F.lit(SALTS)))
-        both = salted.join(
-            weight.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["term", "salt"]
-        )
+    both = with_weights(wanted, weight)
     weighed = both.select("query_row", "query_id", F.struct("term", "w").alias("t"))
     table = weighed.groupBy("query_row", "query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))  # a query's own words
     path = fresh_path(spark, "search-weights")
