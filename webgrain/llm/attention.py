@@ -17,6 +17,8 @@ STRIDE = WINDOW - CONTEXT
 #: Ids that pairs are counted of, less two: all other ids, and the start of a text; and inputs that the other ids share.
 INPUTS, SHARED = 1024, 512
 CLASSES, OWN_CLASSES = 96, 72
+#: Positions whose class logits are made at a time in training, so that they stay in a core's cache.
+CACHED = 512
 NAMES = ("E", "P", "Q", "K", "V", "O", "C", "b")
 
 
@@ -157,35 +159,45 @@ def exps(z: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return e, total
 
 
-def _attend(p: dict[str, np.ndarray], inputs: np.ndarray):
-    """Embeddings, queries, keys, values, attention weights and attended values; inputs: windows x WINDOW."""
-    x = p["E"][inputs]
+def _attend(p: dict[str, np.ndarray], inputs: np.ndarray, skip: int = 0):
+    """Embeddings, queries, keys, values, attention weights and attended values; inputs: windows x WINDOW. The last three
+    and queries are of the positions from skip on alone."""
+    x = p["E"].take(inputs, axis=0)
     x += p["P"]
-    n = inputs.shape
-    every = x.reshape(-1, WIDTH) @ np.concatenate((p["Q"] * x.dtype.type(WIDTH**-0.5), p["K"], p["V"]), axis=1)  # one product for all
-    q, k, v = (every[:, i * WIDTH : (i + 1) * WIDTH].reshape(*n, WIDTH) for i in range(3))
-    a = q @ k.transpose(0, 2, 1)
-    a, total = exps(a, _PAST)
+    # one contiguous product for each: products of small matrices are slow if those are parts of larger ones
+    xs, asking = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, skip:])
+    q = (asking.reshape(-1, WIDTH) @ (p["Q"] * x.dtype.type(WIDTH**-0.5))).reshape(asking.shape)
+    k, v = (xs @ p["K"]).reshape(x.shape), (xs @ p["V"]).reshape(x.shape)
+    a, total = exps(q @ _turned(k), _PAST[skip:])
     a /= total[..., None]
     return x, q, k, v, a, (a @ v).reshape(-1, WIDTH)
 
 
-def hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
-    """What the class logits are made of: a row for each position."""
-    x, _, _, _, _, o = _attend(p, inputs)
-    return x.reshape(-1, WIDTH) + o @ p["O"]
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix of x transposed, in order of its own."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def hidden(p: dict[str, np.ndarray], inputs: np.ndarray, skip: int = 0) -> np.ndarray:
+    """What the class logits are made of: a row for each position from skip on of each window."""
+    x, _, _, _, _, o = _attend(p, inputs, skip)
+    return x[:, skip:].reshape(-1, WIDTH) + o @ p["O"]
 
 
 def logits(p: dict[str, np.ndarray], h: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """bias: that of each row's input with the learned one."""
-    z = h @ p["C"]
+    return logits_of(p["C"], h, bias)
+
+
+def logits_of(heads: np.ndarray, h: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = h @ heads
     z += bias
     return z
 
 
 def picked_log10(z: np.ndarray, klass: np.ndarray) -> np.ndarray:
     """log10 probability of each row's class."""
-    own = z[np.arange(len(z)), klass]
+    own = z.reshape(-1)[np.arange(len(z)) * z.shape[1] + klass]
     with np.errstate(over="ignore"):
         out = own - np.log(_row_sums(np.exp(z)))
     if not np.isfinite(out).all():
@@ -200,51 +212,56 @@ def class_log10(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray,
 
 
 def text_log10(
-    p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 128
+    p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 64
 ) -> np.ndarray:
     """log10 probability of each of the texts laid end to end in ids; every id is scored in one window."""
     before = v.inputs(ids, start, sizes)
     klass, inside = v.klass[ids], v.inside(v.rank_of[before], ids)
-    text, at, first = windows(sizes)
-    total, steps, bias = np.zeros(len(sizes)), np.arange(WINDOW), v.bias + p["b"]
-    for i in range(0, len(text), batch):
-        t, a = text[i : i + batch], at[i : i + batch]
-        place = a[:, None] + steps
-        use = (place < sizes[t][:, None]) & (place >= first[i : i + batch][:, None])
-        where = np.minimum(start[t][:, None] + place, len(ids) - 1)  # what lies beyond a text is in nobody's past
-        inputs = before[where]
-        one = where[use]
-        z = logits(p, hidden(p, inputs)[use.ravel()], bias[inputs[use]])
-        logp = picked_log10(z, klass[one]).astype(np.float64) + inside[one]
-        total += np.bincount(np.repeat(t, use.sum(axis=1)), logp, len(sizes))
-    return total
+    text, at, _ = windows(sizes)
+    logs, bias = np.zeros(len(ids)), v.bias + p["b"]
+    for skip in (0, CONTEXT):  # first windows are scored whole, later ones after their context
+        mine = np.flatnonzero((at > 0) == (skip > 0))
+        steps = np.arange(WINDOW)
+        for i in range(0, len(mine), batch):
+            t, a = text[mine[i : i + batch]], at[mine[i : i + batch]]
+            where = np.minimum((start[t] + a)[:, None] + steps, len(ids) - 1)  # what lies beyond a text is in nobody's past
+            inputs, use = before[where], (steps[skip:] < (sizes[t] - a)[:, None]).ravel()
+            h, one, row = hidden(p, inputs, skip), where[:, skip:].ravel(), inputs[:, skip:].ravel()
+            if not use.all():
+                h, one, row = h[use], one[use], row[use]
+            logs[one] = picked_log10(logits(p, h, bias.take(row, axis=0)), klass[one])
+    logs += inside
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
 
 
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, real: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy over the real positions."""
     x, q, k, v, a, o = _attend(p, inputs)
-    xs = x.reshape(-1, WIDTH)
-    h = xs + o @ p["O"]
-    e, total = exps(logits(p, h, (bias + p["b"])[inputs.ravel()]))
-    e[np.arange(len(e)), klass.ravel()] -= total  # the gradient of each logit, but for a factor of its row
-    weight = (real.ravel() / (total * max(1, int(real.sum())))).astype(e.dtype)
-    dh = (e @ p["C"].T) * weight[:, None]
+    xs, rows, klass = x.reshape(-1, WIDTH), inputs.ravel(), klass.ravel()
+    h = np.ones((len(xs), WIDTH + 1), x.dtype)  # the ones meet the learned bias
+    np.add(xs, o @ p["O"], out=h[:, :WIDTH])
+    heads, dh = np.concatenate((p["C"], p["b"][None])), np.empty_like(xs)
+    dheads, share = np.zeros_like(heads), (real.ravel() / max(1, int(real.sum()))).astype(x.dtype)
+    for i in range(0, len(xs), CACHED):
+        part = slice(i, i + CACHED)
+        e, total = exps(logits_of(heads, h[part], bias.take(rows[part], axis=0)))
+        e.reshape(-1)[np.arange(len(e)) * CLASSES + klass[part]] -= total  # each logit's gradient, but for a factor of its row
+        weight = (share[part] / total)[:, None]
+        np.multiply(e @ p["C"].T, weight, out=dh[part])
+        dheads += (h[part] * weight).T @ e
     do = (dh @ p["O"].T).reshape(x.shape)
-    ds = do @ v.transpose(0, 2, 1)
+    ds = do @ _turned(v)
     ds *= a
     ds -= a * _row_sums(ds)[..., None]
     s = x.dtype.type(WIDTH**-0.5)
-    parts = np.concatenate([t.reshape(-1, WIDTH) for t in (ds @ k * s, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do)], axis=1)
-    dx = dh + parts @ np.concatenate((p["Q"], p["K"], p["V"]), axis=1).T
-    rows = inputs.ravel().astype(np.uint16)  # short numbers are sorted by digits
-    by = np.argsort(rows, kind="stable")
-    rows = rows[by]
-    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    de = np.zeros_like(p["E"])
-    de[rows[first]] = np.add.reduceat(dx[by], first, axis=0)
-    dqkv = xs.T @ parts
-    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "O": o.T @ dh, "C": (h * weight[:, None]).T @ e, "b": weight @ e}
-    return out | {n: dqkv[:, i * WIDTH : (i + 1) * WIDTH] for i, n in enumerate("QKV")}
+    dq, dk, dv = (t.reshape(-1, WIDTH) for t in (ds @ k, _turned(ds) @ q, _turned(a) @ do))
+    dx = dh + dq @ (p["Q"].T * s)
+    dx += dk @ p["K"].T
+    dx += dv @ p["V"].T
+    cells = (rows.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    de = np.bincount(cells, dx.ravel(), p["E"].size).astype(x.dtype).reshape(p["E"].shape)
+    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "O": o.T @ dh, "C": dheads[:-1], "b": dheads[-1]}
+    return out | {"Q": xs.T @ dq * s, "K": xs.T @ dk, "V": xs.T @ dv}
 
 
 def train(p: dict[str, np.ndarray], batches, rate: float, bias: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
