@@ -17,8 +17,8 @@ STRIDE = WINDOW - CONTEXT
 #: Ids that pairs are counted of, less two: all other ids, and the start of a text; and inputs that the other ids share.
 INPUTS, SHARED = 1024, 512
 CLASSES, OWN_CLASSES = 96, 72
-#: Positions whose class logits are made at a time in training, so that they stay in a core's cache.
-CACHED = 512
+#: Positions whose class logits are made at a time, so that they stay in a core's cache.
+CACHED = 1024
 NAMES = ("E", "P", "Q", "K", "V", "O", "C", "b")
 
 
@@ -135,6 +135,8 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return views(x.astype(np.float32))
 
 
+#: Places of each input's values in a flat E.
+_CELLS = np.arange((INPUTS + SHARED) * WIDTH).reshape(-1, WIDTH)
 _PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -160,28 +162,32 @@ def exps(z: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.
 
 
 def _attend(p: dict[str, np.ndarray], inputs: np.ndarray, skip: int = 0):
-    """Embeddings, queries, keys, values, attention weights and attended values; inputs: windows x WINDOW. The last three
-    and queries are of the positions from skip on alone."""
+    """Embeddings, queries, exponentials of the attention scores and their sums, and attended embeddings; inputs: windows x
+    WINDOW. All but the first are of the positions from skip on alone.
+
+    Q and K only occur as Q K', V and O as V O, so embeddings stand for keys and values, and each pair is one product of
+    small matrices. The sums divide what is attended, not each weight."""
     x = p["E"].take(inputs, axis=0)
     x += p["P"]
-    # one contiguous product for each: products of small matrices are slow if those are parts of larger ones
-    xs, asking = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, skip:])
-    q = (asking.reshape(-1, WIDTH) @ (p["Q"] * x.dtype.type(WIDTH**-0.5))).reshape(asking.shape)
-    k, v = (xs @ p["K"]).reshape(x.shape), (xs @ p["V"]).reshape(x.shape)
-    a, total = exps(q @ _turned(k), _PAST[skip:])
-    a /= total[..., None]
-    return x, q, k, v, a, (a @ v).reshape(-1, WIDTH)
+    asking = np.ascontiguousarray(x[:, skip:])
+    q = (asking.reshape(-1, WIDTH) @ _asks(p)).reshape(asking.shape)
+    e, total = exps(q @ x.transpose(0, 2, 1), _PAST[skip:])
+    o = (e @ x).reshape(-1, WIDTH)
+    o /= total.reshape(-1, 1)
+    return x, q, e, total, o
 
 
-def _turned(x: np.ndarray) -> np.ndarray:
-    """Each matrix of x transposed, in order of its own."""
-    return np.ascontiguousarray(x.transpose(0, 2, 1))
+def _asks(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What embeddings are multiplied with to meet other embeddings."""
+    return p["Q"] @ p["K"].T * p["Q"].dtype.type(WIDTH**-0.5)
 
 
 def hidden(p: dict[str, np.ndarray], inputs: np.ndarray, skip: int = 0) -> np.ndarray:
     """What the class logits are made of: a row for each position from skip on of each window."""
-    x, _, _, _, _, o = _attend(p, inputs, skip)
-    return x[:, skip:].reshape(-1, WIDTH) + o @ p["O"]
+    x, _, _, _, o = _attend(p, inputs, skip)
+    h = o @ (p["V"] @ p["O"])
+    h += x[:, skip:].reshape(-1, WIDTH)
+    return h
 
 
 def logits(p: dict[str, np.ndarray], h: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -212,7 +218,7 @@ def class_log10(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray,
 
 
 def text_log10(
-    p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 64
+    p: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray, batch: int = 128
 ) -> np.ndarray:
     """log10 probability of each of the texts laid end to end in ids; every id is scored in one window."""
     before = v.inputs(ids, start, sizes)
@@ -229,39 +235,47 @@ def text_log10(
             h, one, row = hidden(p, inputs, skip), where[:, skip:].ravel(), inputs[:, skip:].ravel()
             if not use.all():
                 h, one, row = h[use], one[use], row[use]
-            logs[one] = picked_log10(logits(p, h, bias.take(row, axis=0)), klass[one])
+            for j in range(0, len(h), CACHED):
+                part = slice(j, j + CACHED)
+                logs[one[part]] = picked_log10(logits(p, h[part], bias.take(row[part], axis=0)), klass[one[part]])
     logs += inside
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
 
 
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, real: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy over the real positions."""
-    x, q, k, v, a, o = _attend(p, inputs)
+    x, q, a, total, o = _attend(p, inputs)
+    asks, brings = _asks(p), p["V"] @ p["O"]
     xs, rows, klass = x.reshape(-1, WIDTH), inputs.ravel(), klass.ravel()
     h = np.ones((len(xs), WIDTH + 1), x.dtype)  # the ones meet the learned bias
-    np.add(xs, o @ p["O"], out=h[:, :WIDTH])
+    np.add(xs, o @ brings, out=h[:, :WIDTH])
     heads, dh = np.concatenate((p["C"], p["b"][None])), np.empty_like(xs)
-    dheads, share = np.zeros_like(heads), (real.ravel() / max(1, int(real.sum()))).astype(x.dtype)
+    dheads, db = np.zeros_like(p["C"]), np.zeros_like(p["b"])
+    share = (real.ravel() / max(1, int(real.sum()))).astype(x.dtype)
     for i in range(0, len(xs), CACHED):
         part = slice(i, i + CACHED)
-        e, total = exps(logits_of(heads, h[part], bias.take(rows[part], axis=0)))
-        e.reshape(-1)[np.arange(len(e)) * CLASSES + klass[part]] -= total  # each logit's gradient, but for a factor of its row
-        weight = (share[part] / total)[:, None]
-        np.multiply(e @ p["C"].T, weight, out=dh[part])
-        dheads += (h[part] * weight).T @ e
-    do = (dh @ p["O"].T).reshape(x.shape)
-    ds = do @ _turned(v)
+        e, sums = exps(logits_of(heads, h[part], bias.take(rows[part], axis=0)))
+        e.reshape(-1)[np.arange(len(e)) * CLASSES + klass[part]] -= sums  # each logit's gradient, but for a factor of its row
+        weight = share[part] / sums
+        np.multiply(e @ p["C"].T, weight[:, None], out=dh[part])
+        dheads += (h[part, :WIDTH] * weight[:, None]).T @ e
+        db += weight @ e
+    # a is exponentials: what comes back to them is divided by their sums beforehand
+    do = dh @ brings.T
+    each = (np.vecdot(do, o).reshape(total.shape) / total)[..., None]
+    do = do.reshape(x.shape) / total[..., None]
+    ds = do @ x.transpose(0, 2, 1)
+    ds -= each
     ds *= a
-    ds -= a * _row_sums(ds)[..., None]
-    s = x.dtype.type(WIDTH**-0.5)
-    dq, dk, dv = (t.reshape(-1, WIDTH) for t in (ds @ k, _turned(ds) @ q, _turned(a) @ do))
-    dx = dh + dq @ (p["Q"].T * s)
-    dx += dk @ p["K"].T
-    dx += dv @ p["V"].T
-    cells = (rows.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    de = np.bincount(cells, dx.ravel(), p["E"].size).astype(x.dtype).reshape(p["E"].shape)
-    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "O": o.T @ dh, "C": dheads[:-1], "b": dheads[-1]}
-    return out | {"Q": xs.T @ dq * s, "K": xs.T @ dk, "V": xs.T @ dv}
+    dq = (ds @ x).reshape(-1, WIDTH)
+    dx = dq @ asks.T
+    dx += dh
+    dx += (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    dx += (a.transpose(0, 2, 1) @ do).reshape(-1, WIDTH)
+    de = np.bincount(_CELLS.take(rows, axis=0).ravel(), dx.ravel(), p["E"].size).astype(x.dtype).reshape(p["E"].shape)
+    dasks, dbrings = xs.T @ dq * x.dtype.type(WIDTH**-0.5), o.T @ dh
+    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "C": dheads, "b": db}
+    return out | {"Q": dasks @ p["K"], "K": dasks.T @ p["Q"], "V": dbrings @ p["O"].T, "O": p["V"].T @ dbrings}
 
 
 def train(p: dict[str, np.ndarray], batches, rate: float, bias: np.ndarray) -> tuple[dict[str, np.ndarray], int]:

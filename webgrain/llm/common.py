@@ -71,6 +71,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: What each byte counts for in a word's hash, as it is and with A-Z as a-z.
+_VALUE, _VALUE_LOWER = np.arange(1, 257, dtype=np.uint64), _LOWER.astype(np.uint64) + np.uint64(1)
+#: Bytes of a word that are hashed for all words at once, place by place.
+EACH_BYTE = 24
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -119,8 +123,6 @@ def sized_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[
     global _COEF
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if lower:
-        data = _LOWER[data]
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -129,14 +131,26 @@ def sized_words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), starts, starts
-    at = np.flatnonzero(inside)
-    word_of = np.cumsum(first)[at] - 1
-    pos = at - starts[word_of]
-    if (top := int(pos.max()) + 1) > len(_COEF):
+    last = inside
+    last[:-1] &= ~inside[1:] | first[1:]
+    sizes = np.flatnonzero(last) + 1 - starts
+    if (top := int(sizes.max())) > len(_COEF):
         _COEF = coefficients(1 << top.bit_length(), 7)
-    part = (data[at].astype(np.uint64) + np.uint64(1)) * _COEF[pos]
-    begin = np.flatnonzero(np.concatenate(([True], word_of[1:] != word_of[:-1])))
-    return mix64(np.add.reduceat(part, begin)), np.searchsorted(starts, off), starts, np.diff(np.append(begin, len(at)))
+    value, total = _VALUE_LOWER if lower else _VALUE, np.empty(len(starts), np.uint64)
+    order = np.argsort(np.minimum(sizes, EACH_BYTE + 1).astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(np.minimum(sizes, EACH_BYTE + 1), minlength=EACH_BYTE + 2))  # words of k bytes at most
+    at, sums = starts[order], np.zeros(len(starts), np.uint64)
+    for k in range(min(top, EACH_BYTE)):  # byte k of all words that have one; the shorter ones come first
+        a = ends[k]
+        sums[a:] += value[data[at[a:] + k]] * _COEF[k]
+    if top > EACH_BYTE:  # the other bytes of the long words, one after another
+        a = ends[EACH_BYTE]
+        n = sizes[order[a:]] - EACH_BYTE
+        begin = np.cumsum(n) - n
+        pos = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n) + EACH_BYTE
+        sums[a:] += np.add.reduceat(value[data[np.repeat(at[a:], n) + pos]] * _COEF[pos], begin)
+    total[order] = sums
+    return mix64(total), np.searchsorted(starts, off), starts, sizes
 
 
 def row_chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -108,7 +108,7 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
             for lo, hi in row_chunks(off, 1 << 21):
                 part = data[off[lo] : off[hi]]
                 words, first, starts, sizes = sized_words(part, off[lo : hi + 1] - off[lo])
-                words, raw, out = words.view(np.int64), part.tobytes().lower(), []
+                words, raw = words.view(np.int64), part.tobytes().lower()
                 kinds, seen, which = np.unique(words, return_index=True, return_inverse=True)
                 # each distinct word is encoded once, and its ids are laid out wherever it stands
                 codes = [code[raw[a : a + n]] for a, n in zip(starts[seen].tolist(), sizes[seen].tolist(), strict=True)]
@@ -123,24 +123,47 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
                 at = at[which]
                 score = np.append(0.0, np.cumsum(np.where(hit, weight[at], 0.0))) if len(top) else np.zeros(len(words) + 1)
                 known = np.append(0, np.cumsum(hit))
-                for i in range(hi - lo):
-                    x, y = first[i], first[i + 1]
-                    rest, times = np.unique(words[x:y][~hit[x:y]], return_counts=True)
-                    ids = laid[place[x] : place[y]].tobytes() + end.to_bytes(code.width, "little")
-                    facts = (rid, int(y - x) + 1, int(known[y] - known[x]) + (ends > 0), float(score[y] - score[x] + end_score))
-                    out.append((*facts, rest.tobytes(), times.astype(np.uint32).tobytes(), ids))
-                    rid += 1
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                # the other words of each row, in order of their hashes
+                other = np.flatnonzero(~hit)
+                of_row = np.searchsorted(first, other, side="right") - 1
+                rest, times = np.unique(of_row * len(kinds) + which[other], return_counts=True)
+                cut = np.searchsorted(rest, np.arange(hi - lo + 1) * len(kinds))
+                # ids with the end after each row's own
+                n_rows, put = hi - lo, place[first]
+                out = np.full(len(laid) + n_rows, end, kind)
+                here = np.ones(len(out), bool)
+                here[put[1:] + np.arange(n_rows)] = False
+                out[here] = laid
+                total = np.diff(score[first]) + end_score
                 yield pa.RecordBatch.from_arrays(
-                    [made[0], b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *made[1:]],
+                    [
+                        pa.array(np.arange(rid, rid + n_rows)),
+                        b.column(0).slice(lo, n_rows),
+                        b.column(1).slice(lo, n_rows),
+                        pa.array(np.diff(first).astype(np.int64) + 1),
+                        pa.array(np.diff(known[first]).astype(np.int64) + (ends > 0)),
+                        pa.array(total),
+                        packed(kinds[rest % max(1, len(kinds))], cut),
+                        packed(times.astype(np.uint32), cut),
+                        packed(out, put + np.arange(n_rows + 1)),
+                    ],
                     names=[x.split()[0] for x in shape.split(", ")]
                 )
+                rid += n_rows
 
     return staged(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, shape), "lm-rows")
 
 
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary Arrow array: the bytes of values between each two neighbours of cuts."""
+    cuts = cuts.astype(np.int64) * values.itemsize
+    if cuts[-1] >= 1 << 31:  # one row alone, as chunks of rows are small
+        raw = values.tobytes()
+        return pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    offsets, data = pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, data])
+
+
 def end_and_size(path: str) -> tuple[int, int]:
     """Id that ends a text, and the number of ids with it."""
     tokenizer = encoder(path).tokenizer
