@@ -62,13 +62,13 @@ def repeated_words(words: Column) -> Column:
 
 def base_columns(text: Column) -> Column:
     """Struct of the counts that the rules use, from one tokenisation of the whole text."""
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, WS_CHARS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda s: F.ltrim(s, F.lit(WS_CHARS)) != "")
     return let(
         words_of(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(text, WS_CHARS, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
         ),
