@@ -101,6 +101,22 @@ def test_word_ids_are_the_librarys(text):
     assert np.frombuffer(code.pack(text.encode(), 1), np.uint16).tolist() == want
 
 
+def test_stems_are_asked_for_once(library):
+    """Case and punctuation after a word don't make the model encode its letters again."""
+    code, asked = tokens.WordEncoder(tokens.default_path()), []
+
+    class Asked:
+        def tokenize(self, stem, model=code.model):
+            asked.append(stem)
+            return model.tokenize(stem)
+
+    code.model = Asked()
+    text = "Zwergelin, zwergelin ZWERGELIN! (Zwergelin) zwergelin-x \u00c9t\u00e9! \u00e9t\u00e9 \u00e9t\u00e9... \u0130x ... don't"
+    got = np.frombuffer(code.pack(text.encode(), 1), np.uint16).tolist()
+    assert got == [*library.encode(text, add_special_tokens=False).ids, 1]
+    assert len(asked) == len(set(asked)) == 2
+
+
 def test_token_files(spark, docs, library):
     start, got = 0, {r["doc_id"]: r for r in token_files.op5(spark, SF).collect()}
     for i in sorted(docs):

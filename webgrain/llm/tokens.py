@@ -49,16 +49,26 @@ class WordEncoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         low = word.decode().lower()
         stem = low.rstrip(PUNCTUATION)
-        if self.plain and stem.isalpha() and max(stem) < "\u0250":
-            ids = array(self.code, [t.id for t in self.model.tokenize("".join(map(BYTE_CHARS.__getitem__, stem.encode())))]).tobytes()
+        if not (self.plain and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")):
+            ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        elif (bare := stem.encode()) != word:  # the model sees a stem once, whatever its case and the punctuation after it
+            ids = self.get(bare) or self._stem(bare, stem)
             if len(stem) < len(low):
                 ids += self[low[len(stem) :].encode()]
         else:
-            ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            return self._stem(bare, stem)
         if len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
 
+    def _stem(self, bare: bytes, stem: str) -> bytes:
+        """Ids of a lower-case run of letters; ASCII ones stand for their own bytes."""
+        seen = stem if len(bare) == len(stem) else "".join(map(BYTE_CHARS.__getitem__, bare))
+        ids = array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+        if len(self) < CACHE_WORDS:
+            self[bare] = ids
+        return ids
+
     def pack(self, text: bytes, end: int) -> bytes:
         """Ids of text and the end id."""
         return b"".join(map(self.__getitem__, text.split())) + end.to_bytes(self.width, "little")
