@@ -452,6 +452,37 @@ def test_search_skips_blocks(spark):
     assert shard.scored < 0.25 * n * len(queries)
 
 
+def test_search_bounds_of_long_lists_are_sums():
+    """Each block has every term, but one block alone has documents with all of them: the others aren't scored."""
+    n, terms = 64 * search.BLOCK, np.arange(1, 9, dtype=np.uint64)
+    best = np.arange(5 * search.BLOCK, 5 * search.BLOCK + 12)
+    lists = [np.union1d(np.arange(t, n, 8), best) for t in range(8)]
+    starts, flat = np.cumsum([0, *map(len, lists)]), np.concatenate(lists)
+    shard = search.Shard(terms, starts, flat, np.ones(len(flat), np.int64), np.arange(n), np.full(n, 8), 8.0)
+    found, score = shard.search(terms, np.ones(8), 10, 0.0)
+    assert search.best(found, score, 10)[0].tolist() == best[:10].tolist()
+    assert shard.scored <= search.SEEDS * search.BLOCK
+
+
+def test_searches_together_are_searches_one_by_one(monkeypatch):
+    """Lists of all lengths, terms that the shard lacks, no terms, a last block that isn't full; sums made for few queries at a time."""
+    rng = np.random.default_rng(12)
+    n, terms = 1003, np.arange(60, dtype=np.uint64) * 3
+    lists = [np.sort(rng.choice(n, int(rng.integers(1, n // (1 + i % 40))), replace=False)) for i in range(60)]
+    starts, flat = np.cumsum([0, *map(len, lists)]), np.concatenate(lists)
+    shard = search.Shard(terms, starts, flat, rng.integers(1, 6, len(flat)), np.arange(n), rng.integers(5, 90, n), 40.0)
+    queries = [(np.sort(rng.choice(200, m, replace=False)).astype(np.uint64), rng.random(m)) for m in (0, 1, 3, 20, 90, 150)]
+    monkeypatch.setattr(search, "SUMS", 2 * shard.dense.shape[1])
+    for (t, w), (found, score) in zip(queries, shard.search_all(queries, 10, [0.0] * 6), strict=True):
+        full = np.zeros(n)
+        for x, y in zip(t, w, strict=True):
+            if x % 3 == 0 and x < 180:
+                full[lists[int(x) // 3]] += y * shard.impact[starts[int(x) // 3] : starts[int(x) // 3 + 1]]
+        want = search.best(np.flatnonzero(full), full[full > 0], 10)
+        got = search.best(found, score, 10)
+        assert got[0].tolist() == want[0].tolist() and np.allclose(got[1], want[1])
+
+
 def test_search_over_many_shards(spark, docs, monkeypatch):
     """Shards cut small, weights joined by salted keys, null and extreme ids: the same answers."""
     df = spark.createDataFrame([*docs.items(), (None, docs[3]), (2**63 - 1, docs[3])], "doc_id long, text string")

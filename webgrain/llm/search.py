@@ -6,7 +6,8 @@ the same blocks, so the sums are made for all blocks of a shard at once, and not
 A shard is the index of some documents of one input task, cut at a number of postings. Its documents are in the order of
 their most frequent word and length, so that neighbours are alike; posting lists are in that order, in blocks of documents,
 each with its greatest impact. A query's cursors walk the blocks in document order: the pivot is the next block whose block
-maxima, summed over the query's lists, reach the threshold; blocks before it are skipped in all lists, and the postings of
+maxima, summed over the query's lists, reach the threshold (of the longest lists the sums are known for each document, as they
+are one product for many queries; there a block's maximum is that of the sums); blocks before it are skipped in all lists, and the postings of
 pivot blocks alone are scored. Pivots are taken a growing number at a time, and the threshold rises after each such step.
 A task carries each query's threshold from shard to shard. Queries are a table in the shared folder that tasks read block
 by block, so they're neither broadcast nor joined with all rows, and their answers leave block by block.
@@ -29,13 +30,17 @@ BLOCK = 32
 DECIMALS = 6
 EPSILON = 10.0**-DECIMALS
 #: Blocks with the greatest bounds that a query without a threshold looks at first, and blocks of the first step.
-SEEDS, STEP = 4, 16
+SEEDS, STEP = 4, 64
 #: Postings, and documents, of a shard at most (a longer document is a shard of its own).
 SHARD_POSTINGS, SHARD_DOCS = 4_000_000, 65_536
 #: Distinct terms of all queries up to which their weights are broadcast (16 bytes each); beyond, they are joined by salted keys.
 BROADCAST_TERMS, SALTS = 300_000, 16
-#: Lists of at least one document in so many are also kept as rows of impacts, for random access.
-DENSE_SHARE, MOST_DENSE = 10, 256
+#: Lists of at least one document in so many are also kept as rows of impacts, so that many queries' sums over them are one product.
+DENSE_SHARE, MOST_DENSE = 20, 512
+#: Cells of those rows at most.
+DENSE_CELLS = 1 << 24
+#: Sums over dense lists (queries times documents) that are made at once.
+SUMS = 1 << 21
 
 
 def term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,11 +77,11 @@ class Shard:
         self.entry_from = np.append(new, len(docs))
         self.entry_starts = np.searchsorted(new, starts)
         size = np.diff(starts)
-        long = np.argsort(-size, kind="stable")[:MOST_DENSE]
+        long = np.argsort(-size, kind="stable")[: min(MOST_DENSE, DENSE_CELLS // max(1, len(sizes)))]
         long = long[size[long] * DENSE_SHARE >= len(sizes)]
         self.dense_row = np.full(len(terms), -1, np.int64)
         self.dense_row[long] = np.arange(len(long))
-        self.dense = np.zeros((len(long), len(sizes)))
+        self.dense = np.zeros((len(long), self.n_blocks * BLOCK))
         for i, t in enumerate(long):
             self.dense[i, self.docs[starts[t] : starts[t + 1]]] = self.impact[starts[t] : starts[t + 1]]
         self.scored = 0  # documents of pivot blocks, over all queries
@@ -89,20 +94,38 @@ class Shard:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(document, score) of all that may be among the k best, given that k scores of `least` are known (0: none)."""
+        return next(self.search_all([(terms, weights)], k, [least]))
+
+    def search_all(self, queries: list, k: int, least: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What search gives for each of the queries (terms, weights). Sums over the dense lists are exact and made for many
+        queries at once; so a block's bound is its greatest such sum and the block maxima of the other lists."""
+        many = max(1, SUMS // max(1, self.dense.shape[1]))
+        for i in range(0, len(queries), many):
+            some = [self._lists(*q) for q in queries[i : i + many]]
+            heads = np.zeros((len(some), len(self.dense)))
+            for head, (at, w) in zip(heads, some, strict=True):
+                row = self.dense_row[at]
+                head[row[row >= 0]] = w[row >= 0]
+            for sums, (at, w), known in zip(heads @ self.dense, some, least[i : i + many], strict=True):
+                yield self._search(at, w, sums, k, known)
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of those terms that the shard has, and their weights."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, w = at[hit], weights[hit]
+        return at[hit], weights[hit]
+
+    def _search(self, at: np.ndarray, w: np.ndarray, acc: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """acc: sums over the dense lists, to which those over the others are added in pivot blocks."""
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
+        rare = self.dense_row[at] < 0
+        at, w = at[rare], w[rare]
         entry, which = self._gather(self.entry_starts, at)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, self.entry_most[entry] * w[which], self.n_blocks)
-        row = self.dense_row[at]
-        dense, dense_w = row[row >= 0], w[row >= 0]
-        rare = row[which] < 0  # entries whose postings are gathered; those of dense lists are read as rows
-        entry, block, entry_w = entry[rare], block[rare], w[which[rare]]
-        acc, done = np.zeros(len(self.ids)), np.zeros(self.n_blocks, bool)
+        block, entry_w = self.entry_block[entry], w[which]
+        bound = acc.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, self.entry_most[entry] * entry_w, self.n_blocks)
+        done = np.zeros(self.n_blocks, bool)
         best_k = np.zeros(0)
 
         def score(pivots: np.ndarray) -> None:
@@ -113,12 +136,9 @@ class Shard:
             mine = np.flatnonzero(chosen[block])
             place, of = self._gather(self.entry_from, entry[mine])
             acc[:] += np.bincount(self.docs[place], self.impact[place] * entry_w[mine][of], len(acc))
-            seen = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            seen = seen[seen < len(acc)]
-            if len(dense):
-                acc[seen] += dense_w @ self.dense[np.ix_(dense, seen)]
+            seen = acc.reshape(-1, BLOCK)[pivots].ravel()
             self.scored += len(seen)
-            best_k = np.concatenate((best_k, acc[seen]))
+            best_k = np.concatenate((best_k, seen))
             if len(best_k) > k:
                 best_k = np.partition(best_k, len(best_k) - k)[len(best_k) - k :]
             if len(best_k) == k:
@@ -130,7 +150,7 @@ class Shard:
         while len(left := left[bound[left] >= least - EPSILON]):
             score(left[:step])  # the next pivots, in document order
             left, step = left[step:], 2 * step
-        found = np.flatnonzero((acc > 0) & (acc >= least - EPSILON))
+        found = np.flatnonzero((acc > 0) & (acc >= least - EPSILON))  # in blocks that were left out no sum is as great
         return found, acc[found]
 
 
@@ -267,11 +287,13 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = TOP) -> DataFrame:
                 *part, nulls, sizes = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in enumerate(kinds))
                 shard = Shard(*part, sizes, mean, nulls)
                 for q in blocks(256):
-                    rows = []
-                    for row, qid, terms, weights in zip(*(q.column(c) for c in range(4)), strict=True):
-                        row = row.as_py()
-                        t = terms.values.to_numpy().view(np.uint64)
-                        found, score = shard.search(*sort_terms(t, weights.values.to_numpy()), k, least.get(row, 0.0))
+                    rows, which_row = [], q.column(0).to_pylist()
+                    asking = [
+                        sort_terms(t.values.to_numpy().view(np.uint64), w.values.to_numpy())
+                        for t, w in zip(q.column(2), q.column(3), strict=True)
+                    ]
+                    answers = shard.search_all(asking, k, [least.get(row, 0.0) for row in which_row])
+                    for row, qid, (found, score) in zip(which_row, q.column(1), answers, strict=True):
                         if len(found):
                             order = np.lexsort((shard.ids[found], shard.nulls[found], -np.round(score, DECIMALS)))[:k]
                             rows.append((row, qid.as_py(), found[order], score[order]))
