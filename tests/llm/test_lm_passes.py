@@ -85,3 +85,65 @@ def test_scores_dont_depend_on_batches():
     ids = rng.integers(0, 4000, sizes.sum())
     one, other = (attention.text_log10(p, voc, ids, np.cumsum(sizes) - sizes, sizes, batch=n) for n in (7, 128))
     assert np.abs(one - other).max() < 1e-3
+
+
+def test_head_words_are_encoded_once(monkeypatch):
+    """However many chunks a head word stands in, its ids are asked for once; those of other words once a chunk, and they
+    leave no room taken in the cache."""
+    asked = []
+
+    class Asked(tokens.WordEncoder):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    code = Asked(tokens.default_path())
+    monkeypatch.setattr(lm, "encoder", lambda path: code)
+    monkeypatch.setattr(lm, "row_chunks", lambda off, limit: ((i, i + 1) for i in range(len(off) - 1)))
+    head = np.array(sorted(np.int64(np.uint64(hashed_one_by_one(w))) for w in (b"one", b"two")), np.int64)
+    texts = [f"One two zwergel{'abc'[i % 3]}ein one" for i in range(9)]
+    end = lm.end_and_size(tokens.default_path())[0]
+    rows, _ = described(monkeypatch, texts, (head, np.array([5, 6])))
+    assert [r["ids"] for r in rows] == [tokens.WordEncoder(tokens.default_path()).pack(t.lower().encode(), end) for t in texts]
+    assert sorted(w for w in asked if w.isalpha()) == [b"one", b"two"]
+    assert {w for w in code if w.isalpha()} == {b"one", b"two"}
+
+
+@pytest.mark.parametrize("word", [b"Zwergel!", b"zwergel", b"don't", b"x", b"...", "Été!".encode(), "İx".encode(), b"a" * 300, b"ab1", b"-ab"])
+def test_ids_of_words_left_out_of_the_cache(word):
+    code = tokens.WordEncoder(tokens.default_path())
+    want = code.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+    assert np.frombuffer(code.ids(word, False), np.uint16).tolist() == want and word not in code
+    assert np.frombuffer(code[word], np.uint16).tolist() == want and word in code
+
+
+def test_weights_are_averaged_in_few_rows(spark, monkeypatch):
+    """A shard's weights are a handful of rows, and their mean is weighted by what each shard has seen."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, seen, mapped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), DataFrame.mapInArrow
+
+    def counted(self, f, schema, *a):
+        def rows(batches):
+            for b in f(batches):
+                made.add(b.num_rows)
+                if f.__name__ == "learn":
+                    seen.add(b.column(b.num_columns - 1)[0].as_py())
+                yield b
+
+        return mapped(self, rows, schema, *a)
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, False, rng.integers(0, 900, 400).astype("<u2").tobytes()) for i in range(60)], "doc_id long, held_out boolean, ids binary")
+    voc = attention.Vocabulary(np.bincount(rng.integers(0, 900, 24_000), minlength=1000))
+    monkeypatch.setattr(lm, "SHARD_IDS", 2_000)
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    learned = lm.train(rows, voc)
+    shards = -(-24_000 // (len(lm.ROUND_RATES) * 2_000))
+    assert 0 < made.value <= len(lm.ROUND_RATES) * (shards + 1) * 8
+    assert seen.value == 24_000  # every id in one of the rounds
+    assert all(np.abs(learned[n] - x).max() > 0 for n, x in attention.fresh().items())
+    a, b = np.arange(10_000.0), np.ones(10_000)
+    parts = list(lm.summed_weights(iter([lm.weight_rows(a * 3, 3), lm.weight_rows(b, 1)])))
+    mean = np.concatenate([np.frombuffer(p.column(1)[0].as_py()) / p.column(2)[0].as_py() for p in parts])
+    assert np.abs(mean - (a * 3 + b) / 4).max() < 1e-9

@@ -225,15 +225,17 @@ def text_log10(
     klass, inside = v.klass[ids], v.inside(v.rank_of[before], ids)
     text, at, _ = windows(sizes)
     logs, bias = np.zeros(len(ids)), v.bias + p["b"]
-    for skip in (0, CONTEXT):  # first windows are scored whole, later ones after their context
-        mine = np.flatnonzero((at > 0) == (skip > 0))
-        steps = np.arange(WINDOW)
+    steps, left = np.arange(WINDOW), sizes[text] - at
+    # first windows are scored whole, later ones after their context; those that their text fills go by themselves
+    for skip, full in ((0, True), (0, False), (CONTEXT, True), (CONTEXT, False)):
+        mine = np.flatnonzero(((at > 0) == (skip > 0)) & ((left >= WINDOW) == full))
         for i in range(0, len(mine), batch):
             t, a = text[mine[i : i + batch]], at[mine[i : i + batch]]
             where = np.minimum((start[t] + a)[:, None] + steps, len(ids) - 1)  # what lies beyond a text is in nobody's past
-            inputs, use = before[where], (steps[skip:] < (sizes[t] - a)[:, None]).ravel()
+            inputs = before[where]
             h, one, row = hidden(p, inputs, skip), where[:, skip:].ravel(), inputs[:, skip:].ravel()
-            if not use.all():
+            if not full:
+                use = (steps[skip:] < left[mine[i : i + batch], None]).ravel()
                 h, one, row = h[use], one[use], row[use]
             for j in range(0, len(h), CACHED):
                 part = slice(j, j + CACHED)
@@ -250,15 +252,15 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, r
     h = np.ones((len(xs), WIDTH + 1), x.dtype)  # the ones meet the learned bias
     np.add(xs, o @ brings, out=h[:, :WIDTH])
     heads, dh = np.concatenate((p["C"], p["b"][None])), np.empty_like(xs)
-    dheads, db = np.zeros_like(p["C"]), np.zeros_like(p["b"])
-    share = (real.ravel() / max(1, int(real.sum()))).astype(x.dtype)
+    dheads, db = np.zeros((CLASSES, WIDTH), x.dtype), np.zeros_like(p["b"])
+    share = real.ravel() * x.dtype.type(1 / max(1, np.count_nonzero(real)))
     for i in range(0, len(xs), CACHED):
         part = slice(i, i + CACHED)
         e, sums = exps(logits_of(heads, h[part], bias.take(rows[part], axis=0)))
         e.reshape(-1)[np.arange(len(e)) * CLASSES + klass[part]] -= sums  # each logit's gradient, but for a factor of its row
         weight = share[part] / sums
         np.multiply(e @ p["C"].T, weight[:, None], out=dh[part])
-        dheads += (h[part, :WIDTH] * weight[:, None]).T @ e
+        dheads += e.T @ (h[part, :WIDTH] * weight[:, None])
         db += weight @ e
     # a is exponentials: what comes back to them is divided by their sums beforehand
     do = dh @ brings.T
@@ -274,7 +276,7 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, klass: np.ndarray, r
     dx += (a.transpose(0, 2, 1) @ do).reshape(-1, WIDTH)
     de = np.bincount(_CELLS.take(rows, axis=0).ravel(), dx.ravel(), p["E"].size).astype(x.dtype).reshape(p["E"].shape)
     dasks, dbrings = xs.T @ dq * x.dtype.type(WIDTH**-0.5), o.T @ dh
-    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "C": dheads, "b": db}
+    out = {"E": de, "P": dx.reshape(x.shape).sum(axis=0), "C": dheads.T, "b": db}
     return out | {"Q": dasks @ p["K"], "K": dasks.T @ p["Q"], "V": dbrings @ p["O"].T, "O": p["V"].T @ dbrings}
 
 
@@ -282,22 +284,21 @@ def train(p: dict[str, np.ndarray], batches, rate: float, bias: np.ndarray) -> t
     """One pass of Adam over batches (inputs, classes, real positions); parameters and positions learned from."""
     x = flat(p)
     now, seen = views(x), 0
-    m, s, step = np.zeros_like(x), np.zeros_like(x), np.empty_like(x)
+    # sums of past gradients and of their squares: ten and a hundred times the means
+    m, s = np.zeros_like(x), np.zeros_like(x)
     for t, (inputs, klass, real) in enumerate(batches, 1):
-        g = flat(gradients(now, inputs, klass, real, bias))
-        np.multiply(g, g, out=step)  # all in place: one vector of all weights
-        step -= s
-        step *= 0.01
+        step = flat(gradients(now, inputs, klass, real, bias))
+        m *= 0.9  # all in place: one vector of all weights
+        m += step
+        s *= 0.99
+        step *= step
         s += step
-        g -= m
-        g *= 0.1
-        m += g
         np.sqrt(s, out=step)
-        step += 1e-8
+        step += 1e-7
         np.divide(m, step, out=step)
         step *= rate * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
         x -= step
-        seen += int(real.sum())
+        seen += int(np.count_nonzero(real))
     return now, seen
 
 

@@ -34,8 +34,9 @@ BATCH = 64
 #: Texts whose windows are mixed; ids of a shard, about, whose pass gives weights of its own; shards of a round at most (they
 #: are longer then).
 SHUFFLED, SHARD_IDS, MOST_SHARDS = 500, 1_000_000, 4096
-#: Decimals of averaged weights.
-DECIMALS = 7
+#: Decimals of averaged weights; weights that go to be averaged as one row.
+DECIMALS, WEIGHTS = 7, 4096
+WEIGHT_ROWS = "part int, x binary, seen long"
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -71,7 +72,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield from _pairs(*merged(), ["h", "c"])
 
     partial = docs.where(~held_out()).select("text").mapInArrow(count, "h long, c long")
-    return staged(partial.groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
+    # a task's hashes hardly repeat, so they aren't aggregated before they are dealt out
+    return staged(partial.repartition("h").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
 
 
 def head_of(counts: DataFrame, most: int = HEAD_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -103,24 +105,35 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
         code, rid = encoder(tokenizer), TaskContext.get().partitionId() << 32
         end, kind = end_and_size(tokenizer)[0], np.dtype(f"<u{code.width}")
         top, weight = hashes.value, np.log10(counts.value + ALPHA) - floor
+        # ids of the head words met so far, end to end, and where those of each begin
+        store, begins, lengths = np.zeros(0, kind), np.full(max(1, len(top)), -1), np.zeros(max(1, len(top)), np.int64)
         for b in batches:
             data, off = utf8_column(b.column(2))
             for lo, hi in row_chunks(off, 1 << 21):
                 part = data[off[lo] : off[hi]]
                 words, first, starts, sizes = sized_words(part, off[lo : hi + 1] - off[lo])
                 words, raw = words.view(np.int64), part.tobytes().lower()
-                kinds, seen, which = np.unique(words, return_index=True, return_inverse=True)
-                # each distinct word is encoded once, and its ids are laid out wherever it stands
-                codes = [code[raw[a : a + n]] for a, n in zip(starts[seen].tolist(), sizes[seen].tolist(), strict=True)]
-                n_ids = np.array([len(x) // code.width for x in codes], np.int64)
-                begin, per_word = np.cumsum(n_ids) - n_ids, n_ids[which]
-                place = np.append(0, np.cumsum(per_word))
-                spread = np.arange(place[-1]) + np.repeat(begin[which] - place[:-1], per_word)
-                laid = np.frombuffer(b"".join(codes), kind)[spread]
+                kinds, seen, which = distinct(words)
                 at = np.searchsorted(top, kinds)
                 at[at == len(top)] = 0
-                hit = (top[at] == kinds if len(top) else np.zeros(len(kinds), bool))[which]
-                at = at[which]
+                hit = top[at] == kinds if len(top) else np.zeros(len(kinds), bool)
+                # a head word is encoded when it is first met, each other one once a chunk; ids are laid out wherever words stand
+                new, other = np.flatnonzero(hit & (begins[at] < 0)), np.flatnonzero(~hit)
+                a, n = (x[seen[np.concatenate((new, other))]].tolist() for x in (starts, sizes))
+                codes = [code[raw[i : i + k]] for i, k in zip(a[: len(new)], n, strict=False)]
+                for i, k in zip(a[len(new) :], n[len(new) :], strict=True):
+                    word = raw[i : i + k]
+                    codes.append(code.get(word) or code.ids(word, False))
+                counted = np.array([len(x) // code.width for x in codes], np.int64)
+                place = len(store) + np.cumsum(counted) - counted
+                begins[at[new]], lengths[at[new]] = place[: len(new)], counted[: len(new)]
+                begin, n_ids, every = begins[at], lengths[at], np.concatenate((store, np.frombuffer(b"".join(codes), kind)))
+                begin[other], n_ids[other] = place[len(new) :], counted[len(new) :]
+                store = every[: len(store) + counted[: len(new)].sum()]
+                per_word = n_ids[which]
+                place = np.append(0, np.cumsum(per_word))
+                laid = every[np.arange(place[-1]) + np.repeat(begin[which] - place[:-1], per_word)]
+                hit, at = hit[which], at[which]
                 score = np.append(0.0, np.cumsum(np.where(hit, weight[at], 0.0))) if len(top) else np.zeros(len(words) + 1)
                 known = np.append(0, np.cumsum(hit))
                 # the other words of each row, in order of their hashes
@@ -154,6 +167,16 @@ def describe(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], n: int, v: in
     return staged(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rows, shape), "lm-rows")
 
 
+def distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place of each, and the number of each word's among them."""
+    order = np.argsort(words)
+    ordered = words[order]
+    first = np.append(np.ones(min(1, len(words)), bool), ordered[1:] != ordered[:-1])
+    which = np.empty(len(words), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return ordered[first], order[first], which
+
+
 def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Binary Arrow array: the bytes of values between each two neighbours of cuts."""
     cuts = cuts.astype(np.int64) * values.itemsize
@@ -250,20 +273,38 @@ def train(rows: DataFrame, v: att.Vocabulary, width: int = 2) -> dict[str, np.nd
             texts = (x for b in batches for x in b.column(0).to_pylist())
             new, seen = att.train(att.unflat(current.value), all_windows(texts, shared.value, width), rate, shared.value.bias)
             if seen:
-                flat = att.flat(new).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["i", "x", "w"]
-                )
+                yield weight_rows(att.flat(new).astype(np.float64) * seen, seen)
 
-        mean = train_rows.mapInArrow(learn, "i long, x double, w long").groupBy("i").agg(
-            (F.sum("x") / F.sum("w")).alias("x")
-        ).toArrow()  # a row for each weight
-        if mean.num_rows:
+        learned = train_rows.mapInArrow(learn, WEIGHT_ROWS).repartitionById(-(-len(params) // WEIGHTS), "part")
+        sums = learned.mapInArrow(summed_weights, WEIGHT_ROWS).toArrow()  # a row for each WEIGHTS of the weights
+        if sums.num_rows:
             params = params.copy()
-            params[mean.column(0).to_numpy()] = np.round(mean.column(1).to_numpy(), DECIMALS)  # sums in any order are equal
+            for number, x, seen in zip(*(sums.column(c).to_pylist() for c in range(3)), strict=True):
+                mean = np.frombuffer(x) / seen
+                params[number * WEIGHTS :][: len(mean)] = np.round(mean, DECIMALS)  # sums in any order are equal
     return att.unflat(params)
 
 
+def weight_rows(sums: np.ndarray, seen: int) -> pa.RecordBatch:
+    """Rows of WEIGHTS values each: sums of weights, and the positions that they have seen."""
+    parts = [sums[i : i + WEIGHTS].tobytes() for i in range(0, len(sums), WEIGHTS)]
+    numbers = pa.array(range(len(parts)), pa.int32())
+    return pa.RecordBatch.from_arrays([numbers, pa.array(parts, pa.binary()), pa.array([seen] * len(parts), pa.int64())], names=["part", "x", "seen"])
+
+
+def summed_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the rows of each part."""
+    total: dict[int, tuple[np.ndarray, int]] = {}
+    for b in batches:
+        for part, x, seen in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            before, n = total.get(part, (0.0, 0))
+            total[part] = before + np.frombuffer(x), n + seen
+    for part, (x, seen) in total.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["part", "x", "seen"]
+        )
+
+
 def lm_scores(docs: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

@@ -9,6 +9,7 @@ CACHE_WORDS = 400_000
 
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ENDS = PUNCTUATION.encode()
 #: The character that byte-level vocabularies write for each byte: visible Latin-1 ones as they are, others from U+0100 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -47,25 +48,38 @@ class WordEncoder(dict):
         self.model, self.plain = self.tokenizer.model, plain_words(self.tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
-        low = word.decode().lower()
-        stem = low.rstrip(PUNCTUATION)
-        if not (self.plain and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")):
-            ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        elif (bare := stem.encode()) != word:  # the model sees a stem once, whatever its case and the punctuation after it
-            ids = self.get(bare) or self._stem(bare, stem)
-            if len(stem) < len(low):
-                ids += self[low[len(stem) :].encode()]
+        return self.ids(word)
+
+    def ids(self, word: bytes, keep: bool = True) -> bytes:
+        """Ids of a word that isn't in the cache; keep: whether they go there, if there is room."""
+        small = word.lower()
+        bare = small.rstrip(ENDS)
+        if self.plain and bare.isalpha():  # ASCII letters, which stand for their own bytes
+            ids = self.get(bare) or self._stem(bare, bare.decode(), keep)
+            if len(bare) < len(small):
+                ids += self[small[len(bare) :]]
+            elif bare == word:
+                return ids
         else:
-            return self._stem(bare, stem)
-        if len(self) < CACHE_WORDS:
+            low = word.decode().lower()
+            stem = low.rstrip(PUNCTUATION)
+            if not (self.plain and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")):
+                ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            elif (bare := stem.encode()) != word:  # the model sees a stem once, whatever its case and the punctuation after it
+                ids = self.get(bare) or self._stem(bare, stem, keep)
+                if len(stem) < len(low):
+                    ids += self[low[len(stem) :].encode()]
+            else:
+                return self._stem(bare, stem, keep)
+        if keep and len(self) < CACHE_WORDS:
             self[word] = ids
         return ids
 
-    def _stem(self, bare: bytes, stem: str) -> bytes:
+    def _stem(self, bare: bytes, stem: str, keep: bool = True) -> bytes:
         """Ids of a lower-case run of letters; ASCII ones stand for their own bytes."""
         seen = stem if len(bare) == len(stem) else "".join(map(BYTE_CHARS.__getitem__, bare))
         ids = array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
-        if len(self) < CACHE_WORDS:
+        if keep and len(self) < CACHE_WORDS:
             self[bare] = ids
         return ids
 
